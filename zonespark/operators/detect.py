@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from zonespark.functions.geometry import clamp, js_round
 from zonespark.functions.merge import join_boxes
 from zonespark.functions.text import clean_text, readable
+from zonespark.plans.ordering import lookup, materialise
 from zonespark.schemas import FRAME, RECT
 
 # Levels of the OCR hierarchy, limits of the settings, the note of an accepted box.
@@ -173,9 +174,9 @@ def above_confidence(boxes: DataFrame, threshold) -> DataFrame:
 _MERGED = "array<struct<ord: bigint, x: int, y: int, width: int, height: int, text: string, confidence: int>>"
 
 
-def _merge_islands(islands: pd.Series, gaps: pd.Series) -> pd.Series:
-    # A NULL island is one that has nothing to join; it passes by.
-    return pd.Series([None if boxes is None else join_boxes(boxes, gap) for boxes, gap in zip(islands, gaps)])
+def _join_groups(groups: pd.Series, gaps: pd.Series) -> pd.Series:
+    # A NULL group has a single box and nothing to join; it passes by.
+    return pd.Series([None if boxes is None else join_boxes(boxes, gap) for boxes, gap in zip(groups, gaps)])
 
 
 def _cut_along(boxes: DataFrame, keys: list[str], start: str, length: str, gap: Column, name: str) -> DataFrame:
@@ -196,57 +197,59 @@ def _cut_along(boxes: DataFrame, keys: list[str], start: str, length: str, gap:
     return boxes.join(islands, [*keys, start])
 
 
-def merge_boxes(boxes: DataFrame, gap=None, frame: list[str] = FRAME, island_limit: int = 20_000) -> DataFrame:
+_PARTS = ("ord", *RECT, "text", "confidence")
+
+
+def _merge_groups(boxes: DataFrame, groups: list[str], extra: list[str], gap: Column) -> DataFrame:
+    """Join the boxes of each group, one after the other; `groups` have to be of bounded size."""
+    gathered = boxes.groupBy(*groups, *extra).agg(F.array_sort(F.collect_list(F.struct(*_PARTS))).alias("_boxes"))
+    several = F.when(F.size("_boxes") > 1, F.col("_boxes"))
+    joined = F.coalesce(F.pandas_udf(_join_groups, _MERGED)(several, gap), F.col("_boxes"))
+    return gathered.select(*groups, *extra, F.explode(joined).alias("_box")).select(
+        *groups, *extra, *[F.col("_box")[c].alias(c) for c in _PARTS]
+    )
+
+
+def _merge_dense(boxes: DataFrame, frame: list[str], extra: list[str], gap: Column, limit: int) -> DataFrame:
+    """merge_boxes for frames too full for one task."""
+    cut = _cut_along(boxes, frame, "y", "height", gap, "_a")
+    cut = _cut_along(cut, [*frame, "_a"], "x", "width", gap, "_b")
+    island = [*frame, "_a", "_b"]
+    parts = cut.groupBy(*island).agg(F.ceil(F.count("*") / F.lit(limit)).alias("_parts"))
+    dealt = lookup(cut, parts, island, ["ord", *RECT]).withColumn(
+        "_part", F.pmod(F.xxhash64("ord", *RECT), F.col("_parts"))
+    ).drop("_parts")
+    once = _merge_groups(dealt, [*island, "_part"], extra, gap)
+    return _merge_groups(once.drop("_part"), island, extra, gap).drop("_a", "_b")
+
+
+def merge_boxes(boxes: DataFrame, gap=None, frame_limit: int = 5_000) -> DataFrame:
     """Join boxes of a frame whose distance is within `gap` on both axes, until none are left to join.
 
-    gap=None reads it from settings.merge_gap; a gap of 0 joins nothing. Frames are first cut into islands
-    along y, x, y and x again, and only islands are merged, so the work of a dense frame spreads out. An island of
-    more than `island_limit` boxes is merged in random parts first and once more as a whole: the merged
-    rectangles and confidences do not depend on the order (a part's result is bounded by the raster, since
-    what is left has no two boxes near each other), and only for such islands may `text` be joined in
-    another order than one box after the other.
+    gap=None reads it from settings.merge_gap; a gap of 0 joins nothing.
+
+    A frame of up to `frame_limit` boxes is joined in one go. A fuller one is first cut into islands along y
+    and x, and an island beyond the limit is dealt into random parts, each joined on its own and their results once
+    more. Rectangles and confidences come out the same whatever the order of joining, and what a part leaves is
+    bounded by the raster, since no two boxes left are near each other. Only in such an island may `text`
+    be put together in another order than one box after the other.
     """
     if gap is not None and not gap > 0:
         return boxes
     width = F.lit(gap) if gap is not None else F.col("settings.merge_gap")
-    carried = [c for c in boxes.columns if c not in ("ord", *RECT, "text", "confidence")]
-    # A struct column cannot tell rows apart in a join condition any better than its frame does.
-    plain = [c for c in carried if c != "settings"]
-    extra = [c for c in carried if c == "settings"]
-    cut = boxes
-    island: list[str] = []
-    for name, start, length in (
-        ("_a", "y", "height"), ("_b", "x", "width"), ("_c", "y", "height"), ("_d", "x", "width")
-    ):
-        cut = _cut_along(cut, [*plain, *island], start, length, width, name)
-        island.append(name)
-    sizes = cut.groupBy(*plain, *island).agg(F.count("*").alias("_n")).filter(F.col("_n") > island_limit)
-    parts = F.when(
-        F.col("_n").isNotNull(),
-        F.pmod(F.xxhash64("ord", *RECT), F.ceil(F.col("_n") / F.lit(island_limit))),
-    ).otherwise(0)
-    box = F.struct("ord", *RECT, "text", "confidence")
-    gathered = (
-        cut.join(sizes, [*plain, *island], "left")
-        .withColumn("_part", parts)
-        .groupBy(*plain, *extra, *island, "_part", F.col("_n").isNotNull().alias("_hot"))
-        .agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
-    )
-
-    merge_islands = F.pandas_udf(_merge_islands, _MERGED)
-
-    def merged(apply: Column) -> Column:
-        work = F.when(apply & (F.size("_boxes") > 1), F.col("_boxes"))
-        return F.coalesce(merge_islands(work, width), F.col("_boxes"))
-
-    once = gathered.withColumn("_boxes", merged(F.lit(True)))
-    whole = (
-        once.groupBy(*plain, *extra, *island, "_hot")
-        .agg(F.array_sort(F.flatten(F.collect_list("_boxes"))).alias("_boxes"))
-        .withColumn("_boxes", merged(F.col("_hot")))
-    )
-    return whole.select(*plain, *extra, F.explode("_boxes").alias("_box")).select(
-        *carried, *[F.col("_box")[c].alias(c) for c in ("ord", *RECT, "text", "confidence")]
+    columns = boxes.columns
+    extra = [c for c in columns if c == "settings"]
+    frame = [c for c in columns if c not in (*_PARTS, *extra)]
+    written = materialise(boxes)
+    full = written.groupBy(*frame).agg(F.count("*").alias("_n")).filter(F.col("_n") > frame_limit).select(*frame)
+    if full.isEmpty():
+        return _merge_groups(written, frame, extra, width).select(*columns)
+    spread = ["ord", *RECT]
+    rest = lookup(written, full, frame, spread, "left_anti")
+    dense = lookup(written, full, frame, spread, "left_semi")
+    return (
+        _merge_groups(rest, frame, extra, width).select(*columns)
+        .unionByName(_merge_dense(dense, frame, extra, width, frame_limit).select(*columns))
     )
 
 
