@@ -12,7 +12,7 @@ from zonespark.functions.text import json_quote
 from zonespark.operators.triage import export_blockers
 from zonespark.operators.zones import layout_facts, layout_union, zone_facts
 from zonespark.plans.documents import Level, document, literal, members
-from zonespark.plans.ordering import lookup
+from zonespark.plans.ordering import lookup, materialise
 from zonespark.schemas import DEVICE, LAYOUT_KEY, RECT, ZONE
 
 GROUP_BY = ["attributes", "combo"]
@@ -105,7 +105,8 @@ def export_tables(
 ) -> ExportTables:
     """Annotated images grouped by device attributes or combo, and promoted layouts per combo.
 
-    A raster whose zones all clip away stays, with no zones.
+    A raster whose zones all clip away stays, with no zones. The two aggregates everything else follows from,
+    images per part and distinct zones, are written once, so that no format scans the library again.
     """
     parts = _image_parts(images, zones, group_by)
     facts = zone_facts(images, zones, *DEVICE).select(
@@ -118,7 +119,8 @@ def export_tables(
                 _key("imported", _combo()), "ref_width", "ref_height", *ZONE, "first"
             )
         )
-    distinct = facts.groupBy(*SIZE_KEY, *ZONE).agg(F.min("first").alias("first"))
+    parts = materialise(parts)
+    distinct = materialise(facts.groupBy(*SIZE_KEY, *ZONE).agg(F.min("first").alias("first")))
     zone_counts = distinct.groupBy(*SIZE_KEY).agg(F.count("*").alias("zone_count"))
     sizes = (
         parts.groupBy(*SIZE_KEY).agg(F.sum("files").alias("file_count"))
@@ -292,7 +294,7 @@ def export_v1(
         blocker = export_blockers(images, zones).select("name").head(1)
         if blocker:
             raise ValueError(f"Assign a numeric combo ID to {blocker[0]['name']} before a combo export.")
-    union = layout_union(images, zones, layouts, layout_zones)
+    union = materialise(layout_union(images, zones, layouts, layout_zones))
     # JavaScript lists keys that are plain integers first, in ascending order, then the rest as first seen.
     plain = F.col("combo").rlike(r"^(0|[1-9][0-9]{0,9})\z") & (F.col("combo").try_cast("bigint") < 2**32 - 1)
     combos = union.groupBy("combo").agg(F.min("first").alias("first")).select(

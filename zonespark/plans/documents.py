@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.plans.ordering import lookup
+from zonespark.plans.ordering import lookup, materialise
 
 
 @dataclass
@@ -43,17 +43,6 @@ def members(indent: int, fields: dict[str, Column]) -> Column:
     )
 
 
-def _with_last(level: Level, parent_keys: list[str]) -> DataFrame:
-    """Mark the last row under each parent: the one with no comma after it."""
-    if parent_keys:
-        last = level.rows.groupBy(*parent_keys).agg(F.max("order").alias("_max"))
-        marked = lookup(level.rows, last, parent_keys, ["order"])
-    else:
-        top = level.rows.orderBy(F.col("order").desc()).limit(1).select(*level.keys, F.col("order").alias("_max"))
-        marked = level.rows.join(top, level.keys, "left")
-    return marked.withColumn("_last", F.coalesce(F.col("order") == F.col("_max"), F.lit(False))).drop("_max")
-
-
 def document(head: str, levels: list[Level], tail: str, comma: str = ",") -> DataFrame:
     """Columns `line` and `place`; sorted by place, the lines are the document."""
     depth = len(levels)
@@ -71,22 +60,28 @@ def document(head: str, levels: list[Level], tail: str, comma: str = ",") -> Dat
     pieces = []
     above: DataFrame | None = None
     for i, level in enumerate(levels):
-        parent_keys = levels[i - 1].keys if i else []
-        rows = _with_last(level, parent_keys)
-        if above is not None:
-            rows = lookup(rows, above, parent_keys, ["order"])
+        inner = i < depth - 1
+        # A level that others hang from is read several times, and is small beside the leaves.
+        rows = materialise(level.rows) if inner else level.rows
+        if above is None:
+            final = rows.orderBy(F.col("order").desc()).limit(1).select(*level.keys, F.lit(True).alias("_is_last"))
+            rows = rows.join(final, level.keys, "left").withColumn("_last", F.coalesce("_is_last", F.lit(False)))
+        else:
+            parent = levels[i - 1].keys
+            ends = rows.groupBy(*parent).agg(F.max("order").alias("_max"))
+            rows = lookup(rows, above.join(ends, parent), parent, ["order"])
+            rows = rows.withColumn("_last", F.col("order") == F.col("_max"))
         path = [(F.col(f"_o{j}"), 1) for j in range(i)]
         here = F.col("order")
         end = F.when(F.col("_last"), "").otherwise(comma)
         closed = F.col("close").isNull()
         opening = F.concat(F.col("open"), F.when(closed, end).otherwise(""))
         pieces.append(rows.select(opening.alias("line"), place(1, [*path, (here, 0)])))
-        if i < depth - 1:
+        if inner:
             pieces.append(
                 rows.filter(~closed).select(F.concat("close", end).alias("line"), place(1, [*path, (here, 2)]))
             )
-            above = level.rows if i == 0 else lookup(level.rows, above, parent_keys, ["order"])
-            above = above.select(*level.keys, *[f"_o{j}" for j in range(i)], F.col("order").alias(f"_o{i}"))
+            above = rows.select(*level.keys, *[f"_o{j}" for j in range(i)], here.alias(f"_o{i}"))
     one = spark_rows.sparkSession.range(1)
     pieces.append(one.select(F.lit(head).alias("line"), place(0, [])))
     pieces.append(one.select(F.lit(tail).alias("line"), place(2, [])))
