@@ -114,34 +114,34 @@ FROM part""",
 }
 
 
-def _le(number: str, size: int) -> str:
-    """SQL for a number as little-endian hexadecimal bytes (2 or 4)."""
-    digits = f"lpad(hex({number}),{size * 2},'0')"
-    return "||".join(f"substr({digits},{i},2)" for i in range(size * 2 - 1, 0, -2))
+def _le16(number: str) -> str:
+    """SQL for a number below 65536 as two little-endian bytes in hexadecimal."""
+    return f"lpad(hex({number} % 256),2,'0')||lpad(hex(CAST(({number} - {number} % 256) / 256 AS BIGINT)),2,'0')"
 
 
-def _element(tag: str, vr: str, text: str) -> str:
-    """SQL for an explicit-VR little-endian DICOM element with a text value."""
-    pad = "00" if vr == "UI" else "20"
-    value = f"(hex({text})||CASE WHEN length({text}) % 2 = 1 THEN '{pad}' ELSE '' END)"
-    head = f"'{tag[2:4]}{tag[0:2]}{tag[6:8]}{tag[4:6]}{vr.encode().hex()}'"
-    return f"{head}||{_le(f'CAST(length({value})/2 AS BIGINT)', 2)}||{value}"
-
-
-def _short(tag: str, number: str) -> str:
-    """SQL for a DICOM element with one unsigned 16-bit number."""
-    return f"'{tag[2:4]}{tag[0:2]}{tag[6:8]}{tag[4:6]}55530200'||{_le(number, 2)}"
+def _tag(tag: str, vr: str) -> str:
+    return f"'{tag[2:4]}{tag[0:2]}{tag[6:8]}{tag[4:6]}{vr.encode().hex()}'"
 
 
+# Text elements of the files: tag, VR and the SQL of the value, all shorter than 256 bytes.
+_TEXTS = [
+    ("00020010", "UI", "'1.2.840.10008.1.2.1'"), ("00080016", "UI", "sop_class"), ("00080060", "CS", "'US'"),
+    ("00080070", "LO", "manufacturer"), ("00081090", "LO", "model"), ("00100010", "PN", "name"),
+    ("00181020", "LO", "software"), ("00280004", "CS", "'MONOCHROME2'"), ("00280008", "IS", "CAST(frame_count AS STRING)"),
+]
+_PADDED = ", ".join(
+    f"hex({text})||CASE WHEN length({text}) % 2 = 1 THEN '{'00' if vr == 'UI' else '20'}' ELSE '' END AS v{i}"
+    for i, (_, vr, text) in enumerate(_TEXTS)
+)
 _DICOM = "||".join(
     [
         "repeat('00',128)||'4449434D'",
-        _element("00020010", "UI", "'1.2.840.10008.1.2.1'"), _element("00080016", "UI", "sop_class"),
-        _element("00080060", "CS", "'US'"), _element("00080070", "LO", "manufacturer"),
-        _element("00081090", "LO", "model"), _element("00100010", "PN", "name"),
-        _element("00181020", "LO", "software"), _element("00280004", "CS", "'MONOCHROME2'"),
-        _element("00280008", "IS", "CAST(frame_count AS STRING)"), _short("00280010", "height"),
-        _short("00280011", "width"), _short("00280100", "8"), "'E07F10004F4200000400000000010203'",
+        *[
+            f"{_tag(tag, vr)}||lpad(hex(CAST(length(v{i})/2 AS BIGINT)),2,'0')||'00'||v{i}"
+            for i, (tag, vr, _) in enumerate(_TEXTS)
+        ],
+        f"{_tag('00280010', 'US')}||'0200'||rows16", f"{_tag('00280011', 'US')}||'0200'||columns16",
+        f"{_tag('00280100', 'US')}||'02000800'", "'E07F10004F4200000400000000010203'",
     ]
 )
 _PNG = "'89504E470D0A1A0A0000000D49484452'||lpad(hex(width),8,'0')||lpad(hex(height),8,'0')||hex(name)"
@@ -151,7 +151,7 @@ VIEWS["fil"] = (
     ["ims"],
     f"""SELECT import_idx, CASE WHEN import_idx % 61 = 0 THEN 'batch/.' || name ELSE path END AS path,
  CASE WHEN import_idx % 37 = 0 THEN hex('broken ' || name) WHEN kind = 'PNG' THEN {_PNG} ELSE {_DICOM} END AS hexed
-FROM ims""",
+FROM (SELECT *, {_PADDED}, {_le16('CAST(height AS BIGINT)')} AS rows16, {_le16('CAST(width AS BIGINT)')} AS columns16 FROM ims) values_""",
 )
 
 

@@ -2,6 +2,7 @@
 
 A file with any defect is refused as a whole, with the reason; rectangles that do not fit are never
 repaired. Readers return what the good files hold and a table of rejects. `files` tables have path and text.
+A file is parsed once: what is read from it is written before it is judged, and so are the rejects.
 """
 
 import json
@@ -15,7 +16,7 @@ from zonespark.functions import variants as V
 from zonespark.functions.geometry import inside
 from zonespark.functions.text import is_digits, js_trim
 from zonespark.operators.templates import derived_id, template_name
-from zonespark.plans.ordering import with_global_rank
+from zonespark.plans.ordering import materialise, with_global_rank
 from zonespark.schemas import DEVICE, LAYOUT_KEY, ZONE
 
 
@@ -43,7 +44,8 @@ def _first_reason(parts: list[DataFrame]) -> DataFrame:
     """One reason per refused file: from the outermost level, and the first by text within it."""
     numbered = [part.withColumn("level", F.lit(i)) for i, part in enumerate(parts)]
     every = reduce(lambda a, b: a.unionByName(b), numbered)
-    return every.groupBy("path").agg(F.min(F.struct("level", "reason"))["reason"].alias("reason"))
+    refused = every.groupBy("path").agg(F.min(F.struct("level", "reason"))["reason"].alias("reason"))
+    return materialise(refused)
 
 
 def _ints(*names: str) -> list[Column]:
@@ -61,6 +63,7 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .groupBy("path", "combo").agg(F.min("pos").alias("combo_pos"), F.max_by("raw", "pos").alias("raw"))
         .withColumn("sizes", F.from_json("raw", "map<string, variant>"))
     )
+    top, combos = materialise(top), materialise(combos.drop("raw"))
     sizes = (
         combos.select("path", "combo", "combo_pos", F.posexplode("sizes").alias("pos", "size", "body"))
         .groupBy("path", "combo", "combo_pos", "size")
@@ -74,6 +77,7 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.regexp_extract("size", key, 2).try_cast("bigint").alias("ref_height"),
         V.elements(V.member(F.col("body"), "zones")).alias("list"),
     )
+    sizes = materialise(sizes)
     agrees = V.integer(V.member(F.col("body"), "ref_width")).eqNullSafe(F.col("ref_width")) & V.integer(
         V.member(F.col("body"), "ref_height")
     ).eqNullSafe(F.col("ref_height"))
@@ -162,6 +166,7 @@ def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[Da
         whole("frameCount").alias("frame_count"), whole("frameIndex").alias("frame_index"),
         F.try_variant_get("image", "$.frames", "map<string, variant>").alias("frames"),
     )
+    top, images = materialise(top.select("path", F.col("items").isNull().alias("bad"))), materialise(images)
     frames = images.select(
         "path", "pos", "image_id", "ref_width", "ref_height", "frame_count",
         F.explode("frames").alias("key", "list"),
@@ -182,7 +187,7 @@ def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[Da
     )
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("items").isNull(), "Not a supported annotation backup.")),
+            _defects(top, F.when(F.col("bad"), "Not a supported annotation backup.")),
             _defects(
                 images,
                 F.when(~valid_id, "Invalid or duplicate image identifier.")
@@ -282,6 +287,7 @@ def parse_templates(
         V.elements(V.member(F.col("t"), "zones")).alias("list"),
         F.coalesce(text("createdAt"), F.lit(created_at)).alias("created_at"),
     )
+    top, rows = materialise(top.select("path", F.col("items").isNull().alias("bad"))), materialise(rows)
     zones = rows.select(
         "path", "pos", "ref_width", "ref_height", F.posexplode("list").alias("ord", "zone")
     ).select("*", *_zone_columns(F.col("zone"))).drop("zone")
@@ -289,7 +295,7 @@ def parse_templates(
     combo_ok = F.coalesce((F.col("combo") == "") | is_digits(F.col("combo")), F.lit(False))
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("items").isNull(), "Not a template file.")),
+            _defects(top, F.when(F.col("bad"), "Not a template file.")),
             _defects(
                 rows,
                 F.when(~named, "A template is missing its name.")

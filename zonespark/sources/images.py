@@ -8,6 +8,7 @@ from zonespark.functions.filenames import parse_filename
 from zonespark.functions.identifying import is_identifying_tag
 from zonespark.functions.tags import format_tag, is_private_tag, keyword_to_name
 from zonespark.functions.text import MAX_SAFE_INTEGER
+from zonespark.plans.ordering import materialise
 from zonespark.schemas import DEVICE, names_of
 from zonespark.sources.dicom_dictionary import DICTIONARY
 from zonespark.sources.dicom_values import tag_rows
@@ -112,6 +113,8 @@ def inspect_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path", "image_id", "_png", "h", name.alias("name"), width.alias("width"), height.alias("height"),
         frames.alias("frame_count"), error.alias("error"), parse_filename(name).alias("stated"),
     )
+    # Images and rejects come from one reading of the files.
+    judged = materialise(judged)
     rejects = judged.filter(F.col("error").isNotNull()).select("path", "error")
     header = [F.coalesce(F.col(f"h.{c}"), F.lit("")).alias(c) for c in DEVICE]
     images = judged.filter(F.col("error").isNull()).select(
@@ -154,7 +157,10 @@ def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTION
     def parse(contents: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(c) for c in contents], columns=["rows", "warnings", "partial", "error"])
 
-    parsed = files.select("path", F.sha2("content", 256).alias("image_id"), F.pandas_udf(parse, _TAGS)("content").alias("t"))
+    # Tags and warnings come from one reading of the files.
+    parsed = materialise(
+        files.select("path", F.sha2("content", 256).alias("image_id"), F.pandas_udf(parse, _TAGS)("content").alias("t"))
+    )
     rows = parsed.select("image_id", "path", F.posexplode("t.rows").alias("row_idx", "r"))
     step = F.transform(
         "r.steps", lambda s: F.concat(keyword_to_name(s["keyword"]), F.lit(" ["), s["item"].cast("string"), F.lit("]"))
