@@ -54,8 +54,10 @@ def _ints(*names: str) -> list[Column]:
 
 def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(layouts, layout_zones, rejects) of files keyed by combo and raster. Nothing arrives promoted."""
-    top = files.select(
-        "path", F.from_json("text", "struct<annotations: map<string, string>>")["annotations"].alias("annotations")
+    top = materialise(
+        files.select(
+            "path", F.from_json("text", "struct<annotations: map<string, string>>")["annotations"].alias("annotations")
+        )
     )
     # A repeated key stands where it came first and means what it says last.
     combos = (
@@ -63,7 +65,7 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .groupBy("path", "combo").agg(F.min("pos").alias("combo_pos"), F.max_by("raw", "pos").alias("raw"))
         .withColumn("sizes", F.from_json("raw", "map<string, variant>"))
     )
-    top, combos = materialise(top), materialise(combos.drop("raw"))
+    combos = materialise(combos.drop("raw"))
     sizes = (
         combos.select("path", "combo", "combo_pos", F.posexplode("sizes").alias("pos", "size", "body"))
         .groupBy("path", "combo", "combo_pos", "size")
@@ -141,7 +143,8 @@ def _envelope(files: DataFrame, items: str, kind: str) -> DataFrame:
     """
     body = F.from_json("text", f"struct<format: variant, version: variant, {items}: array<variant>>")
     known = V.text(F.col("body.format")).endswith(f"-{kind}") & (V.integer(F.col("body.version")) == 1)
-    return files.select("path", body.alias("body")).select("path", F.when(known, F.col(f"body.{items}")).alias("items"))
+    parsed = files.select("path", body.alias("body")).select("path", F.when(known, F.col(f"body.{items}")).alias("items"))
+    return materialise(parsed)
 
 
 def _positive(name: str) -> Column:
@@ -166,7 +169,7 @@ def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[Da
         whole("frameCount").alias("frame_count"), whole("frameIndex").alias("frame_index"),
         F.try_variant_get("image", "$.frames", "map<string, variant>").alias("frames"),
     )
-    top, images = materialise(top.select("path", F.col("items").isNull().alias("bad"))), materialise(images)
+    images = materialise(images)
     frames = images.select(
         "path", "pos", "image_id", "ref_width", "ref_height", "frame_count",
         F.explode("frames").alias("key", "list"),
@@ -187,7 +190,7 @@ def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[Da
     )
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("bad"), "Not a supported annotation backup.")),
+            _defects(top, F.when(F.col("items").isNull(), "Not a supported annotation backup.")),
             _defects(
                 images,
                 F.when(~valid_id, "Invalid or duplicate image identifier.")
@@ -287,7 +290,7 @@ def parse_templates(
         V.elements(V.member(F.col("t"), "zones")).alias("list"),
         F.coalesce(text("createdAt"), F.lit(created_at)).alias("created_at"),
     )
-    top, rows = materialise(top.select("path", F.col("items").isNull().alias("bad"))), materialise(rows)
+    rows = materialise(rows)
     zones = rows.select(
         "path", "pos", "ref_width", "ref_height", F.posexplode("list").alias("ord", "zone")
     ).select("*", *_zone_columns(F.col("zone"))).drop("zone")
@@ -295,7 +298,7 @@ def parse_templates(
     combo_ok = F.coalesce((F.col("combo") == "") | is_digits(F.col("combo")), F.lit(False))
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("bad"), "Not a template file.")),
+            _defects(top, F.when(F.col("items").isNull(), "Not a template file.")),
             _defects(
                 rows,
                 F.when(~named, "A template is missing its name.")
