@@ -16,7 +16,10 @@ taken AS (SELECT * FROM listed WHERE import_idx % 37 <> 0)
 
 
 def _files(t):
-    return S.importable(t.fil.select("path", F.unhex("hexed").alias("content")))
+    # Spread like a folder of files would be, wherever the rows come from.
+    fil = t.fil.select("path", "hexed")
+    spread = fil.repartition(int(fil.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return S.importable(spread.select("path", F.unhex("hexed").alias("content")))
 
 
 @query(

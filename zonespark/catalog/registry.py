@@ -15,10 +15,10 @@ class Tables:
     """The views of one data folder, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
+        self._spark, self._dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return fixtures.view(self._spark, self._dir, name)
+        return fixtures.view(self._spark, self._dir, name, self._made)
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = ""):

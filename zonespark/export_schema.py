@@ -43,24 +43,24 @@ def _text(value) -> str:
 def _mapping(given: dict, part: str, sources: list[str]) -> dict:
     mapping = given.get(part, {})
     if not isinstance(mapping, dict):
-        raise ValueError(f'{part} must be an object of "output key": "source".')
+        raise ValueError(f"{part}: expected a mapping from output keys to sources.")
     for key, source in mapping.items():
         if not key.strip():
-            raise ValueError(f"{part} has an empty output key.")
+            raise ValueError(f"{part}: an output key is blank.")
         if source not in sources:
-            raise ValueError(f'{part}.{key} reads "{source}", which is not one of: {", ".join(sources)}.')
+            raise ValueError(f"{part}.{key}: unknown source {source!r}; known are {', '.join(sources)}.")
     return dict(mapping)
 
 
 def _constants(given: dict, part: str) -> dict:
     constants = given.get(part, {})
     if not isinstance(constants, dict):
-        raise ValueError(f"{part} must be an object of literal values.")
+        raise ValueError(f"{part}: expected a mapping from keys to constants.")
     for key, value in constants.items():
         if not key.strip():
-            raise ValueError(f"{part} has an empty key.")
+            raise ValueError(f"{part}: a key is blank.")
         if value is not None and not isinstance(value, (str, int, float, bool)):
-            raise ValueError(f"{part}.{key} must be a string, number, boolean or null.")
+            raise ValueError(f"{part}.{key}: a constant is text, a number, true, false or null.")
     return dict(constants)
 
 
@@ -68,39 +68,36 @@ def _choice(given: dict, part: str, options: list[str]) -> str:
     value = given.get(part)
     value = options[0] if value is None else value
     if value not in options:
-        raise ValueError(f"{part} must be one of: {', '.join(options)}.")
+        raise ValueError(f"{part}: choose one of {', '.join(options)}.")
     return value
 
 
 def validate_export_schema(given, default_id: str | None = None) -> ExportSchema:
     """The schema a definition describes, or ValueError with the reason it is refused."""
     if not isinstance(given, dict):
-        raise ValueError("A schema definition must be an object.")
+        raise ValueError("A schema is a mapping.")
     name = _text(given.get("name"))
     if not name:
-        raise ValueError("Give the schema a name.")
+        raise ValueError("The schema has no name.")
     group_by, shape = _choice(given, "group_by", GROUP_BY), _choice(given, "shape", SHAPES)
     entry = _mapping(given, "entry", ENTRY_SOURCES)
     size = _mapping(given, "size", SIZE_SOURCES)
     zone = _mapping(given, "zone", ZONE_SOURCES)
     if not zone:
-        raise ValueError("zone must map at least one coordinate; a schema with no zones exports nothing useful.")
+        raise ValueError("zone: nothing is mapped, so no coordinate would be exported.")
     if shape == "nested":
         for key, source in entry.items():
             if source in ("ref_width", "ref_height", "size"):
-                raise ValueError(
-                    f'entry.{key} reads "{source}", which only exists per size. '
-                    'Use shape "flat", or move it to "size".'
-                )
+                raise ValueError(f"entry.{key}: {source} belongs to a raster; map it in size, or go flat.")
     elif size:
-        raise ValueError('shape "flat" has no sizes object; map the size fields in "entry" instead.')
+        raise ValueError("size: a flat schema has no raster objects; map these fields in entry.")
     root = _constants(given, "root")
     entries_field = _text(given.get("entries_field")) or "annotations"
     timestamp_field = _text(given["timestamp_field"]) if "timestamp_field" in given else "generated_at"
     if entries_field in root:
-        raise ValueError(f"root.{entries_field} collides with the entries field.")
+        raise ValueError(f"root.{entries_field}: the name is taken by the list of entries.")
     if timestamp_field and timestamp_field in root:
-        raise ValueError(f"root.{timestamp_field} collides with the timestamp field.")
+        raise ValueError(f"root.{timestamp_field}: the name is taken by the time of export.")
     own_id = given.get("id")
     return ExportSchema(
         id=own_id if isinstance(own_id, str) and own_id else default_id or "s-" + re.sub(r"\W+", "-", name.lower()),

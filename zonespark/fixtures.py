@@ -3,6 +3,8 @@
 The SQL is read by Spark and, for the checks, by DuckDB, so it keeps to what both understand.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -159,15 +161,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view by name, or one of the driver's tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view by name, or one of the driver's tables. `made` keeps what was put together before."""
+    made = {} if made is None else made
+    if name not in made:
+        made[name] = _build(spark, sf_dir, name, made)
+    return made[name]
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     needs, text = VIEWS[name]
-    for need in sorted(needs, key=len, reverse=True):
+    for need in needs:
         for word in ("FROM", "JOIN"):
-            text = text.replace(f"{word} {need}", f"{word} {{{need}}}")
-    return spark.sql(text, **{need: view(spark, sf_dir, need) for need in needs})
+            text = re.sub(rf"\b{word} {need}\b", f"{word} {{{need}}}", text)
+    return spark.sql(text, **{need: view(spark, sf_dir, need, made) for need in needs})
 
 
 def with_views(*names: str) -> str:

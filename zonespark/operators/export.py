@@ -49,7 +49,7 @@ def _combo() -> Column:
 
 def _image_key(group_by: str) -> Column:
     if group_by not in GROUP_BY:
-        raise ValueError(f"group_by must be one of: {', '.join(GROUP_BY)}.")
+        raise ValueError(f"group_by: choose one of {', '.join(GROUP_BY)}.")
     return _key("combo", _combo()) if group_by == "combo" else _key("attributes", *[attribute(c) for c in DEVICE])
 
 
@@ -293,7 +293,7 @@ def export_v1(
     if check:
         blocker = export_blockers(images, zones).select("name").head(1)
         if blocker:
-            raise ValueError(f"Assign a numeric combo ID to {blocker[0]['name']} before a combo export.")
+            raise ValueError(f"{blocker[0]['name']} has zones but no digit combo to export them under.")
     union = materialise(layout_union(images, zones, layouts, layout_zones))
     # JavaScript lists keys that are plain integers first, in ascending order, then the rest as first seen.
     plain = F.col("combo").rlike(r"^(0|[1-9][0-9]{0,9})\z") & (F.col("combo").try_cast("bigint") < 2**32 - 1)
@@ -445,7 +445,7 @@ def export(
     if format.startswith(CUSTOM_PREFIX):
         schema = next((s for s in schemas if CUSTOM_PREFIX + s.id == format), None)
         if schema is None:
-            raise ValueError("That custom schema is no longer saved. Choose another format.")
+            raise ValueError("No schema given has the id this format names.")
         tables = export_tables(images, zones, layouts, layout_zones, schema.group_by)
         return export_custom(schema, tables, generated_at, locale), FILE_NAMES["custom"]
     tables = export_tables(images, zones, layouts, layout_zones)

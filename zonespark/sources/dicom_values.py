@@ -17,6 +17,8 @@ CODECS = {
     "ISO_IR 13": "cp932", "ISO_IR 192": "utf_8", "GB18030": "gb18030", "GBK": "gbk",
 }
 JAPANESE = {"", "ISO 2022 IR 6", "ISO 2022 IR 13", "ISO 2022 IR 87", "ISO 2022 IR 159"}
+# The bytes cp1252 leaves open stay the control characters they are in Latin-1.
+_WINDOWS = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 PIXELS = {PIXEL_DATA, "7fe00008", "7fe00009"}
 
 
@@ -32,8 +34,7 @@ def decode_text(raw: bytes, charset: str, warnings: dict) -> str:
         warnings[f"Character set {charset} is not supported; affected text is shown as bytes."] = None
         return "[Undecoded text] " + _hex(raw)
     if codec == "cp1252":
-        # The bytes cp1252 leaves open are control characters.
-        text = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
+        text = raw.decode("latin-1").translate(_WINDOWS)
     else:
         try:
             text = raw.decode(codec)
@@ -97,7 +98,10 @@ def resolve_vr(found: DataSet, element: Element, entry, creator: bool) -> str:
 
 
 def tag_rows(found: DataSet, dictionary: dict, warnings: dict, path=(), charset: str = ""):
-    """One record per element, sequence items right after their sequence, in tag order."""
+    """(tag, VR, keyword, value, binary, sequence, length, path) of every element, in tag order.
+
+    The items of a sequence come right after it, with the sequences they lie in as their path.
+    """
     charset = found.string("00080005") or charset
     for hex_digits in sorted(found.elements):
         element = found.elements[hex_digits]
@@ -111,10 +115,7 @@ def tag_rows(found: DataSet, dictionary: dict, warnings: dict, path=(), charset:
         except (ValueError, struct.error):
             value, binary = "[Unable to read this value]", True
             warnings[f"({hex_digits[:4].upper()},{hex_digits[4:].upper()}) contains an unreadable value."] = None
-        yield {
-            "hex": hex_digits, "vr": vr, "keyword": keyword, "value": value, "binary": binary,
-            "sequence": element.items is not None, "length": element.length,
-            "steps": [{"keyword": k, "item": i} for k, i in path],
-        }
+        steps = " › ".join(f"{step} [{number}]" for step, number in path)
+        yield hex_digits, vr, keyword, value, binary, element.items is not None, element.length, steps
         for number, item in enumerate(element.items or [], 1):
             yield from tag_rows(item, dictionary, warnings, (*path, (keyword, number)), charset)

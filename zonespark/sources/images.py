@@ -1,6 +1,9 @@
 """Image files as tables: what each file is, and every DICOM tag it carries."""
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,10 @@ _HEADER = (
     " software STRING, modality STRING, photometric STRING, transfer_syntax STRING, bits INT, error STRING"
 )
 _TAGS = (
-    "rows ARRAY<STRUCT<hex: STRING, vr: STRING, keyword: STRING, value: STRING, binary: BOOLEAN,"
-    " sequence: BOOLEAN, length: BIGINT, steps: ARRAY<STRUCT<keyword: STRING, item: INT>>>>,"
-    " warnings ARRAY<STRING>, partial BOOLEAN, error STRING"
+    "file STRING, image_id STRING, row_idx BIGINT, hex STRING, vr STRING, keyword STRING, value STRING,"
+    " binary BOOLEAN, sequence BOOLEAN, length BIGINT, steps STRING, partial BOOLEAN, warning STRING"
 )
+_ROWS_PER_BATCH = 4096
 # Where the four device attributes and the other header facts are stored.
 HEADER_TAGS = {
     "sop_class": "00080016", "modality": "00080060", "manufacturer": "00080070", "model": "00081090",
@@ -136,44 +139,60 @@ def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return inspect_files(list_files(spark, path))
 
 
+def _one_file(content, dictionary: dict) -> Iterator[tuple]:
+    """The tag rows of a file, and a row per warning: those have no tag but say what is wrong."""
+    blank = (None,) * 9
+    try:
+        found, problem = read_elements(content, dictionary)
+    except Malformed:
+        yield *blank, False, "Could not parse the DICOM metadata."
+        return
+    warnings: dict[str, None] = {}
+    for row_idx, row in enumerate(tag_rows(found, dictionary, warnings)):
+        yield row_idx, *row, None, None
+    if problem:
+        warnings["Partial metadata: only the tags before a malformed or unsupported element are shown."] = None
+    for warning in warnings:
+        yield *blank, problem is not None, warning
+
+
 def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTIONARY) -> tuple[DataFrame, DataFrame]:
     """(tags, warnings) of a table of DICOM files (path, content).
 
     tags has a row per element, sequence items included, numbered by row_idx in file order. warnings tells of
     text that could not be decoded and of files that could be read in part or not at all.
     """
-
-    def one(content) -> dict:
-        noted: dict[str, None] = {}
-        try:
-            found, problem = read_elements(bytes(content), dictionary)
-        except Malformed:
-            return {"rows": [], "warnings": [], "partial": False, "error": "Could not parse the DICOM metadata."}
-        rows = list(tag_rows(found, dictionary, noted))
-        if problem:
-            noted["Partial metadata: only the tags before a malformed or unsupported element are shown."] = None
-        return {"rows": rows, "warnings": list(noted), "partial": problem is not None, "error": None}
-
-    def parse(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(c) for c in contents], columns=["rows", "warnings", "partial", "error"])
+    names = names_of(_TAGS)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"row_idx": pa.int64(), "length": pa.int64(), "binary": pa.bool_(), "sequence": pa.bool_(), "partial": pa.bool_()}
+        schema = pa.schema([(name, kinds.get(name, pa.string())) for name in names])
+        rows: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            for path, image_id, content in zip(*(batch.column(i) for i in range(3))):
+                start = path.as_py(), image_id.as_py()
+                rows.extend((*start, *row) for row in _one_file(content.as_py(), dictionary))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield packed()
+        if rows:
+            yield packed()
 
     # Tags and warnings come from one reading of the files.
-    parsed = materialise(
-        files.select("path", F.sha2("content", 256).alias("image_id"), F.pandas_udf(parse, _TAGS)("content").alias("t"))
-    )
-    rows = parsed.select("image_id", "path", F.posexplode("t.rows").alias("row_idx", "r"))
-    step = F.transform(
-        "r.steps", lambda s: F.concat(keyword_to_name(s["keyword"]), F.lit(" ["), s["item"].cast("string"), F.lit("]"))
-    )
-    tags = rows.select(
-        "image_id", F.col("path").alias("file"), F.col("row_idx").cast("bigint").alias("row_idx"),
-        format_tag(F.col("r.hex")).alias("tag"), "r.hex", "r.vr",
-        keyword_to_name(F.col("r.keyword")).alias("name"), "r.keyword", "r.value", "r.binary",
-        is_private_tag(F.col("r.hex")).alias("private"), is_identifying_tag(F.col("r.hex")).alias("phi"),
-        "r.sequence", F.array_join(step, " › ").alias("path"), "r.length",
+    hashed = files.select("path", F.sha2("content", 256).alias("image_id"), "content")
+    parsed = materialise(hashed.mapInArrow(parse, _TAGS))
+    tags = parsed.filter(F.col("hex").isNotNull()).select(
+        "image_id", "file", "row_idx", format_tag(F.col("hex")).alias("tag"), "hex", "vr",
+        keyword_to_name(F.col("keyword")).alias("name"), "keyword", "value", "binary",
+        is_private_tag(F.col("hex")).alias("private"), is_identifying_tag(F.col("hex")).alias("phi"), "sequence",
+        keyword_to_name(F.col("steps")).alias("path"), "length",
     )
-    notes = F.concat(F.coalesce("t.warnings", F.array()), F.array_compact(F.array("t.error")))
-    warnings = parsed.select("image_id", F.col("path").alias("file"), "t.partial", F.explode(notes).alias("warning"))
+    warnings = parsed.filter(F.col("warning").isNotNull()).select("image_id", "file", "partial", "warning")
     return tags, warnings
 
 
