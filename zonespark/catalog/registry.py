@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zonespark import fixtures
+from zonespark.plans.ordering import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.view(self._spark, self._dir, name, self._made)
 
+    def write(self, *names: str) -> None:
+        """Write views out before they are used, as the stored tables they stand for."""
+        for name in names:
+            self._made[name] = materialise(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = ""):
     """Register a function of Tables under a name. `sql` follows the views and further CTEs it needs."""

@@ -40,6 +40,7 @@ def _sources(t):
 
 def _copy(t):
     """(source zones by key, targets by key) of copying each layout's first frame to the same-layout files."""
+    t.write("img", "zon")
     sources = _sources(t)
     targets = R.reuse_targets(t.img, sources, "files", same_combo=True)
     zones = R.source_zones(t.zon, t.img).join(sources, FRAME).withColumnRenamed("image_id", "source_key")

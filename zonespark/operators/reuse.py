@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonespark.functions.geometry import clipped, has_area
-from zonespark.plans.ordering import beside_each_other, lookup, with_rank_within
+from zonespark.plans.ordering import beside_each_other, lookup, materialise, with_rank_within
 from zonespark.schemas import FRAME, ZONE
 
 SCOPES = ["frames", "files", "files-all-frames"]
@@ -68,16 +68,17 @@ def plan_copy(
     once = source.groupBy("source_key", *ZONE).agg(F.min("ord").alias("ord"))
     existing = zones.withColumn("note", F.coalesce("note", F.lit("")))
     if mode == "merge":
-        offered = _offered(once, targets, copies)
-        fresh = offered.join(existing.select(*FRAME, *ZONE), [*FRAME, *ZONE], "left_anti")
+        # Everything else hangs from the new zones, so they are written once.
+        fresh = materialise(
+            _offered(once, targets, copies).join(existing.select(*FRAME, *ZONE), [*FRAME, *ZONE], "left_anti")
+        )
         changed = fresh.select(*FRAME, "source_key").distinct()
-        kept = existing.join(changed, FRAME)
-        last = kept.groupBy(*FRAME).agg(F.max("ord").alias("_last"))
+        last = existing.groupBy(*FRAME).agg(F.max("ord").alias("_last"))
         added = fresh.join(last, FRAME, "left").withColumn(
             "ord", F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("ord")
         )
-        return _plan_rows(kept, False).unionByName(_plan_rows(added, True))
-    changed = _replaced_frames(once, targets, existing, copies).select(*FRAME, "source_key")
+        return _plan_rows(existing.join(changed, FRAME), False).unionByName(_plan_rows(added, True))
+    changed = materialise(_replaced_frames(once, targets, existing, copies))
     fresh = _offered(once, targets, copies).join(changed, [*FRAME, "source_key"], "left_semi")
     # A frame emptied by the swap still has to be in the plan: it appears with no zone.
     emptied = changed.join(fresh.select(*FRAME).distinct(), FRAME, "left_anti")
@@ -103,7 +104,7 @@ def _offered(once: DataFrame, targets: DataFrame, copies: int) -> DataFrame:
 
 
 def _replaced_frames(once: DataFrame, targets: DataFrame, existing: DataFrame, copies: int) -> DataFrame:
-    """Target frames whose zones differ from their source's in content or order, with how many they hold.
+    """Target frames whose zones differ from their source's in content or order.
 
     Equal means: as many zones, each of them found on the frame, and every pair of neighbours in the source
     in the same order there. All of it is equality joins; no frame's zones are gathered or sorted in a task.
@@ -112,8 +113,8 @@ def _replaced_frames(once: DataFrame, targets: DataFrame, existing: DataFrame, c
     wanted = placed.groupBy("source_key").agg(F.count("*").alias("_wanted"))
     held = existing.groupBy(*FRAME).agg(F.count("*").alias("held"))
     spots = existing.groupBy(*FRAME, *ZONE).agg(F.min("ord").alias("_spot"))
-    matched = _offered(placed, targets, copies).join(spots, [*FRAME, *ZONE]).select(
-        "source_key", *FRAME, "place", "_spot"
+    matched = materialise(
+        _offered(placed, targets, copies).join(spots, [*FRAME, *ZONE]).select("source_key", *FRAME, "place", "_spot")
     )
     found = matched.groupBy("source_key", *FRAME).agg(F.count("*").alias("_found"))
     later = matched.select("source_key", *FRAME, (F.col("place") - 1).alias("place"), F.col("_spot").alias("_next"))
@@ -132,7 +133,7 @@ def _replaced_frames(once: DataFrame, targets: DataFrame, existing: DataFrame, c
     same = (
         (F.col("_wanted") == F.col("held")) & (F.col("_wanted") == F.col("_found")) & ~F.col("_swapped")
     )
-    return beside.filter(~same).select(*FRAME, "source_key", "held")
+    return beside.filter(~same).select(*FRAME, "source_key")
 
 
 def apply_plan(zones: DataFrame, plan: DataFrame) -> DataFrame:
@@ -170,11 +171,8 @@ def price_plan(
         F.count("*").alias("files"),
     )
     if mode == "replace":
-        once = source.groupBy("source_key", *ZONE).agg(F.min("ord").alias("ord"))
-        existing = zones.withColumn("note", F.coalesce("note", F.lit("")))
-        lost = _replaced_frames(once, targets, existing, copies).agg(
-            F.coalesce(F.sum("held"), F.lit(0)).alias("replaced")
-        )
+        swapped = zones.join(plan.select(*FRAME).distinct(), FRAME, "left_semi")
+        lost = swapped.agg(F.count("*").alias("replaced"))
         price = beside_each_other(totals, written, lost)
         duplicates = F.col("repeated")
     else:

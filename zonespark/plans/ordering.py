@@ -6,6 +6,7 @@ and the number of slices is a setting, not a function of the data.
 """
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +15,28 @@ from pyspark.sql.window import Window
 SLICE = "_slice"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only for a local session without it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for written intermediate results; made up only for a local session."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = context.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-        shared = tempfile.mkdtemp(prefix="zonespark-checkpoint-")
-    context.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="zonespark-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a result to the checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a result to the shared folder and go on from the written table.
+
+    As a table rather than a checkpoint of rows, later steps read only the columns they need and know its size.
+    """
+    spark = df.sparkSession
+    table = f"{shared_folder(spark)}/zonespark-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return spark.read.schema(df.schema).parquet(table)
 
 
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
