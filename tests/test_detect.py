@@ -168,19 +168,19 @@ def test_floor_comes_before_merging(spark):
 
 def test_coverage_needs_one_whole_zone(spark):
     boxes = detections(spark, {(0, 0): [(100, 100, 100, 20, "a", 90), (0, 0, 10, 10, "b", 90), (5, 470, 10, 10, "c", 10)]})
-    pictures = images(spark, {"frame_count": 2})
 
     def left(*listed_zones, scope="frame", frame=0):
-        return listed(K.uncovered(boxes, zones(spark, {(0, frame): list(listed_zones)}), pictures, scope), "text")
+        return listed(K.uncovered(boxes, zones(spark, {(0, frame): list(listed_zones)}), scope), "text")
 
     assert left((90, 90, 120, 40, ""), (0, 0, 20, 20, "")) == ["c"]
     assert left((100, 100, 99, 20, "")) == ["a", "b", "c"]
     assert left((100, 100, 50, 20, ""), (150, 100, 50, 20, "")) == ["a", "b", "c"]
     assert left((100, 100, 100, 20, ""), (0, 400, 640, 80, "")) == ["b"]
     assert left((-50, -50, 900, 900, "")) == []
+    assert left((0, -(2**30), 640, 2**31 - 2, "")) == []
     assert left((0, 0, 640, 480, ""), frame=1) == ["a", "b", "c"]
     assert left((0, 0, 640, 480, ""), frame=1, scope="file") == []
-    report = K.coverage_report(boxes, zones(spark, {(0, 0): [(0, 0, 20, 20, "")]}), pictures, 60)
+    report = K.coverage_report(boxes, zones(spark, {(0, 0): [(0, 0, 20, 20, "")]}), 60)
     assert tuple(report.head()) == (image_id(0), 0, 2, 1, 1)
 
 
@@ -190,7 +190,7 @@ def test_coverage_against_brute_force(spark):
     drawn = {(0, f): [(rng.randrange(-20, 600), rng.randrange(-20, 460), rng.randrange(0, 200), rng.randrange(0, 200), "") for _ in range(60)] for f in range(2)}
     inside = lambda b, z: b[0] >= z[0] and b[1] >= z[1] and b[0] + b[2] <= z[0] + z[2] and b[1] + b[3] <= z[1] + z[3]
     want = sorted((f, i) for (_, f), listed_boxes in boxes.items() for i, b in enumerate(listed_boxes) if not any(inside(b, z) for z in drawn[(0, f)]))
-    got = K.uncovered(detections(spark, boxes), zones(spark, drawn), images(spark, {"frame_count": 2}))
+    got = K.uncovered(detections(spark, boxes), zones(spark, drawn))
     assert sorted((r.frame_index, r.ord) for r in got.collect()) == want
 
 

@@ -24,7 +24,7 @@ def test_coverage_joins_on_keys(spark, scope):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         t = Tables(spark, SF)
-        plan = plan_of(K.uncovered(t.det, t.zon, t.img, scope))
+        plan = plan_of(K.uncovered(t.det, t.zon, scope))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -85,7 +85,7 @@ def test_one_hot_image_gives_the_same_answers(spark):
     drawn = zones(spark, {(0, 0): many, (1, 0): [STRIP]})
     inside = lambda b, z: b[0] >= z[0] and b[1] >= z[1] and b[0] + 8 <= z[0] + z[2] and b[1] + 6 <= z[1] + z[3]
     want = sum(not any(inside(b, z) for z in many) for b in boxes)
-    assert K.uncovered(detections(spark, {(0, 0): boxes}), drawn, pictures).count() == want
+    assert K.uncovered(detections(spark, {(0, 0): boxes}), drawn).count() == want
     union = Z.layout_union(pictures, drawn, with_position=True)
     clipped = {(x, y, min(x + w, 640) - x, min(y + h, 480) - y, n) for x, y, w, h, n in many}
     assert union.count() == len(clipped) + 1

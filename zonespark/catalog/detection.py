@@ -156,7 +156,7 @@ _INSIDE = "d.x >= z.x AND d.y >= z.y AND d.x + d.width <= z.x + z.width AND d.y
     ("det", "zon"),
 )
 def uncovered_frame(t):
-    return K.uncovered(t.det, t.zon, t.img).select(*FRAME, "ord", *RECT)
+    return K.uncovered(t.det, t.zon).select(*FRAME, "ord", *RECT)
 
 
 @query(
@@ -165,7 +165,7 @@ def uncovered_frame(t):
     ("det", "zon"),
 )
 def uncovered_file(t):
-    return K.uncovered(t.det, t.zon, t.img, "file").select(*FRAME, "ord", *RECT)
+    return K.uncovered(t.det, t.zon, "file").select(*FRAME, "ord", *RECT)
 
 
 @query(
@@ -177,7 +177,7 @@ def uncovered_file(t):
     ("det", "zon"),
 )
 def coverage_report(t):
-    return K.coverage_report(t.det, t.zon, t.img, 40)
+    return K.coverage_report(t.det, t.zon, 40)
 
 
 # One recognition run per event: a block with two lines of two words, or, from older engines, flat lines only.

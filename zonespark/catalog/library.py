@@ -149,7 +149,7 @@ FROM boxed b LEFT JOIN bare ON bare.image_id = b.image_id""",
     ("ims", "zon", "det"),
 )
 def review_flags(t):
-    bare = K.uncovered(t.det, t.zon, t.img, "file")
+    bare = K.uncovered(t.det, t.zon, "file")
     flagged = T.review_flags(t.ims, t.zon, bare)
     return flagged.select("image_id", F.array_join("flags", ", ").alias("flags"), (F.size("flags") > 0).alias("flagged"))
 

@@ -280,62 +280,52 @@ def accept_detections(boxes: DataFrame, zones: DataFrame) -> tuple[DataFrame, Da
     return zones.select(*columns).unionByName(added.select(*columns)), boxes.select(*FRAME, *RECT).distinct()
 
 
-STRIPS = 32
+STRIP_HEIGHT = 64
+LAST_STRIP = 1023
 
 
-def uncovered(boxes: DataFrame, zones: DataFrame, images: DataFrame, scope: str = "frame") -> DataFrame:
+def uncovered(boxes: DataFrame, zones: DataFrame, scope: str = "frame") -> DataFrame:
     """Boxes that do not lie wholly inside a single zone of their frame (or, scope="file", of their file).
 
-    The raster is cut into strips and a box meets only the zones reaching the strip its top edge is in, so
-    even one image with a large share of all boxes is divided. Of zones with the same corner and
-    width only the tallest can matter, which drops repeated zones before they travel.
+    Rasters are cut into strips and a box meets only the zones that reach the strip its top edge is in, so even
+    one image with a large share of all boxes is divided. Rows past the last strip share it, which
+    bounds how often a zone is repeated. Of zones with the same corner and width only the tallest can
+    matter, which drops repeated zones before they travel.
     """
     keys = FRAME if scope == "frame" else ["image_id"]
-    raster = images.select("image_id", F.greatest(F.lit(1), F.ceil(F.col("height") / STRIPS)).alias("_strip_h"))
     tallest = zones.groupBy(
         *keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), (F.col("x") + F.col("width")).alias("zx1")
     ).agg(F.max(F.col("y") + F.col("height")).alias("zy1"))
 
     def strip(edge: Column) -> Column:
-        return clamp(F.floor(edge / F.col("_strip_h")), 0, STRIPS - 1)
+        return clamp(F.floor(edge / STRIP_HEIGHT), 0, LAST_STRIP)
 
-    covers = (
-        tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0")))
-        .join(raster, "image_id")
-        .withColumn("_strip", F.explode(F.sequence(strip(F.col("zy0")), strip(F.col("zy1")))))
-        .drop("_strip_h")
+    covers = tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0"))).withColumn(
+        "_strip", F.explode(F.sequence(strip(F.col("zy0")), strip(F.col("zy1"))))
     )
-    placed = boxes.join(raster, "image_id").withColumn("_strip", strip(F.col("y"))).alias("b")
-    c = covers.alias("z")
-    condition = F.col("b._strip") == F.col("z._strip")
-    for key in keys:
-        condition = condition & (F.col(f"b.{key}") == F.col(f"z.{key}"))
+    b, z = boxes.withColumn("_strip", strip(F.col("y"))).alias("b"), covers.alias("z")
     condition = (
-        condition
-        & (F.col("b.x") >= F.col("z.zx0"))
+        (F.col("b.x") >= F.col("z.zx0"))
         & (F.col("b.y") >= F.col("z.zy0"))
         & (F.col("b.x") + F.col("b.width") <= F.col("z.zx1"))
         & (F.col("b.y") + F.col("b.height") <= F.col("z.zy1"))
     )
-    return placed.join(c, condition, "left_anti").select(*boxes.columns)
+    for key in [*keys, "_strip"]:
+        condition = condition & (F.col(f"b.{key}") == F.col(f"z.{key}"))
+    return b.join(z, condition, "left_anti").select(*boxes.columns)
 
 
-def coverage_report(
-    boxes: DataFrame, zones: DataFrame, images: DataFrame, confidence: int = 0
-) -> DataFrame:
+def coverage_report(boxes: DataFrame, zones: DataFrame, confidence: int = 0) -> DataFrame:
     """Per frame: boxes shown, boxes not covered by a zone, and boxes hidden below the floor.
 
     It says what was found. No text found is not the same as no text present.
     """
-    shown = above_confidence(boxes, confidence)
+    shown = F.col("confidence") >= confidence
     zero = F.lit(0)
     tally = boxes.select(
-        *FRAME,
-        F.when(F.col("confidence") >= confidence, 1).otherwise(0).alias("detected"),
-        zero.alias("uncovered"),
-        F.when(F.col("confidence") >= confidence, 0).otherwise(1).alias("below_floor"),
+        *FRAME, shown.cast("int").alias("detected"), zero.alias("uncovered"), (~shown).cast("int").alias("below_floor")
     ).unionByName(
-        uncovered(shown, zones, images).select(
+        uncovered(above_confidence(boxes, confidence), zones).select(
             *FRAME, zero.alias("detected"), F.lit(1).alias("uncovered"), zero.alias("below_floor")
         )
     )
@@ -374,7 +364,7 @@ def profile_sweep(
     if any(s.merge_gap > 0 for _, s in chosen):
         joined = merge_boxes(shown.filter(F.col("settings.merge_gap") > 0), None)
         shown = shown.filter(F.col("settings.merge_gap") == 0).unionByName(joined)
-    bare = uncovered(shown, zones, images)
+    bare = uncovered(shown, zones)
     zero = F.lit(0)
     tally = (
         found.filter(below).select("profile", zero.alias("detected"), zero.alias("uncovered"), F.lit(1).alias("below_floor"))
