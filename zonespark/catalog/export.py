@@ -1,13 +1,16 @@
 """Export groups, conflicts and documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
 from zonespark.catalog.zones import UNION_CTES, UNION_VIEWS
 from zonespark.export_schema import validate_export_schema
 from zonespark.operators import export as X
-from zonespark.plans.ordering import with_global_rank
+from zonespark.plans.ordering import shared_folder, with_global_rank
 from zonespark.schemas import DEVICE, ZONE
+from zonespark.sources import documents as O
 
 NOW = "2026-01-01T00:00:00.000Z"
 _ZONE = "x, y, width, height, note"
@@ -313,6 +316,17 @@ def export_nested(t):
     return X.export_custom(_NESTED, _tables(t), NOW).select("line")
 
 
+@query(
+    "S8_write_export",
+    _PARTS.rstrip() + ", lines AS (" + _V2 + ") SELECT unnest(string_split(line, chr(10))) AS line FROM lines",
+    _VIEWS,
+)
+def write_export(t):
+    folder = f"{shared_folder(t.ims.sparkSession)}/export-{uuid.uuid4().hex}"
+    path = O.write_export(folder, "v2", t.ims, t.zon, NOW, t.lays, t.lay.drop("promoted"))
+    return t.ims.sparkSession.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("E4_export_unknown_format", _PARTS + _V2, _VIEWS)
 def export_unknown_format(t):
     return X.export("nonsense", t.ims, t.zon, NOW, t.lays, t.lay.drop("promoted"))[0].select("line")

@@ -1,11 +1,15 @@
 """Image files, tags and imports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
 from zonespark.operators import imports as I
 from zonespark.operators.tags import with_tag_facts
+from zonespark.plans.ordering import materialise, shared_folder
 from zonespark.sources import images as S
+from zonespark.streaming.imports import import_stream, read_library
 
 _NAME = r"'^(?i)combo([0-9]+)_([0-9]+)x([0-9]+)_s([0-9]+)\.(png|dcm|dicom|ima)$'"
 # Hidden files are left out, broken ones refused; the rest is what the images say.
@@ -148,3 +152,22 @@ def folder_import(t):
     images, rejects = S.inspect_files(_files(t))
     empty = images.select("image_id", "has_source").limit(0)
     return I.import_summary(I.import_outcomes(empty, images.select("image_id", "path")), rejects)
+
+
+@query(
+    "ST1_stream_import",
+    _READ + """SELECT DISTINCT sha256(unhex(hexed)) AS image_id, width, height, kind, model, true AS has_source FROM taken""",
+    ("fil",),
+)
+def stream_import(t):
+    # Every file arrives twice under different names, a few stored parts of the stream per batch.
+    again = t.fil.select(F.concat(F.lit("again/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "hexed")
+    both = t.fil.select("path", "hexed").unionByName(again)
+    arriving = materialise(both.repartition(9, "path").select("path", F.unhex("hexed").alias("content")))
+    spark = arriving.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    files = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 3).parquet(
+        arriving.inputFiles()[0].rsplit("/", 1)[0]
+    )
+    import_stream(files, f"{base}/library", f"{base}/state", once=True).awaitTermination()
+    return read_library(spark, f"{base}/library").select("image_id", "width", "height", "kind", "model", "has_source")

@@ -78,6 +78,7 @@ def plan_copy(
             "ord", F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("ord")
         )
         return _plan_rows(existing.join(changed, FRAME), False).unionByName(_plan_rows(added, True))
+    once, targets = materialise(once), materialise(targets.select("source_key", *FRAME))
     changed = materialise(_replaced_frames(once, targets, existing, copies))
     fresh = _offered(once, targets, copies).join(changed, [*FRAME, "source_key"], "left_semi")
     # A frame emptied by the swap still has to be in the plan: it appears with no zone.

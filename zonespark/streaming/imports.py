@@ -48,6 +48,14 @@ def import_batch(files: DataFrame, batch: int, library_path: str) -> None:
     )
 
 
+def import_stream(files: DataFrame, library_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Import a stream of files (path, content), wherever it comes from."""
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, number: import_batch(batch, number, library_path)
+    )
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def stream_import(
     spark: SparkSession, path: str, library_path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
@@ -60,7 +68,4 @@ def stream_import(
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
         .load(path).select("path", "content")
     )
-    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, number: import_batch(batch, number, library_path)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return import_stream(files, library_path, checkpoint, once)
