@@ -17,6 +17,7 @@ from zonespark.functions.merge import join_boxes
 from zonespark.functions.text import clean_text, readable
 from zonespark.plans.ordering import lookup, materialise
 from zonespark.schemas import FRAME, RECT
+from zonespark.shipping import ship_package
 
 # Levels of the OCR hierarchy, limits of the settings, the note of an accepted box.
 GRANULARITIES = ["word", "line", "paragraph", "block"]
@@ -202,6 +203,7 @@ _PARTS = ("ord", *RECT, "text", "confidence")
 
 def _merge_groups(boxes: DataFrame, groups: list[str], extra: list[str], gap: Column) -> DataFrame:
     """Join the boxes of each group, one after the other; `groups` have to be of bounded size."""
+    ship_package(boxes.sparkSession)
     gathered = boxes.groupBy(*groups, *extra).agg(F.array_sort(F.collect_list(F.struct(*_PARTS))).alias("_boxes"))
     several = F.when(F.size("_boxes") > 1, F.col("_boxes"))
     joined = F.coalesce(F.pandas_udf(_join_groups, _MERGED)(several, gap), F.col("_boxes"))

@@ -13,6 +13,7 @@ from zonespark.functions.tags import format_tag, is_private_tag, keyword_to_name
 from zonespark.functions.text import MAX_SAFE_INTEGER
 from zonespark.plans.ordering import materialise
 from zonespark.schemas import DEVICE, names_of
+from zonespark.shipping import ship_package
 from zonespark.sources.dicom_dictionary import DICTIONARY
 from zonespark.sources.dicom_values import tag_rows
 from zonespark.sources.dicom_walk import PIXEL_DATA, Malformed, read_elements
@@ -85,6 +86,7 @@ def inspect_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     The id is the SHA-256 of the bytes. A PNG's size is read from its header by Spark itself; only DICOM bytes
     go to a Python worker. A file that cannot be used is a row of rejects and stops nothing.
     """
+    ship_package(files.sparkSession)
     is_png = F.substring("content", 1, 8) == F.lit(PNG_MAGIC)
 
     def png_number(start: int) -> Column:
@@ -162,6 +164,7 @@ def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTION
     tags has a row per element, sequence items included, numbered by row_idx in file order. warnings tells of
     text that could not be decoded and of files that could be read in part or not at all.
     """
+    ship_package(files.sparkSession)
     names = names_of(_TAGS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
