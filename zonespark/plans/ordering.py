@@ -5,6 +5,8 @@ same slices. Work inside a slice is an ordinary window; what crosses slices is o
 and the number of slices is a setting, not a function of the data.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
         folder = tempfile.mkdtemp(prefix="zonespark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
