@@ -1,8 +1,12 @@
 """The registered queries of the subpackage and the SQL they are checked against."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from zonespark.llm.mixing import pfair_mix
+from zonespark.llm.packing import pack_documents
 from zonespark.llm.quality_rules import quality_rules
+from zonespark.llm.secrets import scan_secrets
 from zonespark.llm.simhash import near_duplicates
 
 
@@ -10,6 +14,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -18,9 +33,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix(_table(spark, sf_dir, "documents")).rows
+
+
 QUERIES = {
+    "op1_curve_packing": op1_curve_packing,
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pfair_mix": op6_pfair_mix,
 }
 
 ORACLES: dict[str, str] = {}

@@ -74,12 +74,6 @@ def text_fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [_signed(text_fingerprint(t.as_buffer().to_pybytes())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
-
-
 def _pairs_in_small(fp: np.ndarray, run: np.ndarray, size: np.ndarray, bit: np.ndarray) -> Iterator[tuple]:
     """Links inside small files, comparing members 1, 2, 3, … places apart."""
     for apart in range(1, int(size.max(initial=0))):
@@ -179,9 +173,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     texts = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
-    if shingle != 3:
-        raise ValueError("the contract of this operator is three-word shingles")
-    prints = keep(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"))
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_signed(text_fingerprint(t.as_buffer().to_pybytes(), shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+
+    prints = keep(texts.mapInArrow(fingerprints, "doc_id long, fp long"))
     roots = components(fingerprint_links(prints))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = keep(
@@ -195,12 +193,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id, once.
 
     Rows that repeat a doc_id and its text count as one document. All columns of docs are returned.
     """
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, shingle)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     ids, texts = docs[_exact(docs, "doc_id")], _exact(docs, "text")
     return docs.join(keep(stay), ids.eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([_exact(docs, "doc_id"), texts])
