@@ -8,6 +8,8 @@ from zonespark.llm.packing import pack_documents
 from zonespark.llm.quality_rules import quality_rules
 from zonespark.llm.secrets import scan_secrets
 from zonespark.llm.simhash import near_duplicates
+from zonespark.llm.topk import top_k
+from zonespark.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,52 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix(_table(spark, sf_dir, "documents")).rows
 
 
+def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_pfair_mix": op6_pfair_mix,
+    "op7_segment_topk": op7_segment_topk,
+    "op10_warc_archive": op10_warc_archive,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_segment_topk": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), u AS (
+            SELECT r, vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM v
+        ), bad AS (
+            SELECT DISTINCT r FROM u WHERE x IS NULL OR isnan(x) OR isinf(x)
+        ), e AS (
+            SELECT r, vec_id, i, floor(256 * x) AS x FROM u WHERE r NOT IN (SELECT r FROM bad)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.r, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM (SELECT * FROM e WHERE vec_id % 50 = 0) q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id
+            GROUP BY q.vec_id, c.vec_id, c.r
+        ), o AS (
+            SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5
+    """,
+    "op10_warc_archive": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
