@@ -9,6 +9,7 @@ from zonespark.llm.quality_rules import quality_rules
 from zonespark.llm.secrets import scan_secrets
 from zonespark.llm.simhash import near_duplicates
 from zonespark.llm.topk import top_k
+from zonespark.llm.url_filter import filter_urls
 from zonespark.llm.warc import archived
 
 
@@ -43,6 +44,10 @@ def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_segment_topk": op7_segment_topk,
+    "op9_url_filter": op9_url_filter,
     "op10_warc_archive": op10_warc_archive,
 }
 
