@@ -200,10 +200,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> li
     # Broadcast: at most max_labelled rows of two numbers.
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = with_statistics(texts).select(
-        (F.col("quality") == 0).cast("int").alias("reject"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0).alias("held"),
+        "doc_id", (F.col("quality") == 0).cast("int").alias("reject"), (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0).alias("held"),
         base_failed().alias("failed"), *[e.alias(n) for n, e in features().items()],
     )
-    return [r.asDict() for r in rows.collect() if not r["failed"]]
+    # A repeated doc_id counts once, so the sample keeps its bound.
+    return [r.asDict() for r in rows.dropDuplicates(["doc_id"]).collect() if not r["failed"]]
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonespark.llm.cotraining import score_quality
 from zonespark.llm.mixing import pfair_mix
 from zonespark.llm.packing import pack_documents
 from zonespark.llm.quality_rules import quality_rules
@@ -44,6 +45,10 @@ def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).drop("score")
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_segment_topk": op7_segment_topk,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_url_filter": op9_url_filter,
     "op10_warc_archive": op10_warc_archive,
 }
