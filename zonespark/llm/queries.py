@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonespark.llm.cotraining import score_quality
+from zonespark.llm.html_text import extract_text
 from zonespark.llm.mixing import pfair_mix
 from zonespark.llm.packing import pack_documents
 from zonespark.llm.quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_curve_packing": op1_curve_packing,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_template_text": op4_template_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_pfair_mix": op6_pfair_mix,
     "op7_segment_topk": op7_segment_topk,
