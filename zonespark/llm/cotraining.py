@@ -48,7 +48,7 @@ def text_features(text: bytes, table: np.ndarray) -> np.ndarray:
         different.update(map(hash, block))
     lines = [line for line in text.split(b"\n") if line.strip()]
     n = max(words, 1)
-    more = [len(different) / n, again / n, np.log1p(words) / 10, letters / n / 20, 1 - len(set(lines)) / max(len(lines), 1)]
+    more = [len(different) / n, again / n, np.log1p(words) / 10, letters / n / 20, (len(lines) - len(set(lines))) / max(len(lines), 1)]
     return np.concatenate([np.sqrt(pairs / max(pairs.sum(), 1)), more]).astype(np.float32)
 
 

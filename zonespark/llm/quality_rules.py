@@ -170,8 +170,13 @@ def _best_threshold(rows: list[dict], cuts: dict[str, list[float]]) -> Threshold
     return best
 
 
-def learn_rules(rows: list[dict], max_rules: int = 8, max_thresholds: int = 4, min_precision: float = 0.9) -> list[Rule]:
-    """Ordered rules from labelled rows: dicts with the features and reject (1 for low quality, else 0)."""
+def learn_rules(
+    rows: list[dict], max_rules: int = 8, max_thresholds: int = 4, min_precision: float = 0.95, min_covered: int = 3
+) -> list[Rule]:
+    """Ordered rules from labelled rows: dicts with the features, reject (1 for low quality, else 0) and held.
+
+    A rule is accepted if it covers at least min_covered held rows, and min_precision of them are rejects.
+    """
     grow, prune = [r for r in rows if not r["held"]], [r for r in rows if r["held"]]
     cuts = {f: _cuts(grow, f) for f in FEATURES}
     rules: list[Rule] = []
@@ -184,7 +189,8 @@ def learn_rules(rows: list[dict], max_rules: int = 8, max_thresholds: int = 4, m
             break
         shorter = [Rule(rule.thresholds[:n]) for n in range(1, len(rule.thresholds) + 1)]
         rule = max(shorter, key=lambda r: (_precision([x for x in prune if r.covers(x)]), -len(r.thresholds)))
-        if _precision([x for x in prune if rule.covers(x)]) < min_precision:
+        judged = [x for x in prune if rule.covers(x)]
+        if len(judged) < min_covered or _rejects(judged) < min_precision * len(judged):
             break
         rules.append(rule)
         grow, prune = ([r for r in part if not rule.covers(r)] for part in (grow, prune))

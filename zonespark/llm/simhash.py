@@ -161,25 +161,19 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return together.mapInArrow(_link_batches, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the smallest doc_id reachable over links, the document's own included. A null text counts as empty;
-    texts without words have fingerprint zero and link like any other. Repeated rows come out repeated. A null doc_id
-    is never the smallest; a component without any doc_id has a null id. An empty table gives an empty result.
-    Texts of any length are read whole, in blocks. Columns other than doc_id and text are ignored.
-    """
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, fp, root (a fingerprint that stands for the group) and component_id of every row of docs."""
     ship_package(docs.sparkSession)
-    texts = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    )
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    inputs = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [_signed(text_fingerprint(t.as_buffer().to_pybytes(), shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            prints = [_signed(text_fingerprint(t.as_buffer().to_pybytes(), shingle)) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
-    prints = keep(texts.mapInArrow(fingerprints, "doc_id long, fp long"))
+    prints = keep(inputs.mapInArrow(fingerprints, "doc_id long, text_hash long, fp long"))
     roots = components(fingerprint_links(prints))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = keep(
@@ -187,22 +181,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     ids = keep(classes.groupBy("root").agg(F.min("least").alias("component_id")))
-    per_print = keep(classes.select("fp", "root").join(ids, "root").select("fp", "component_id"))
-    return prints.join(per_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    per_print = keep(classes.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"))
+    return prints.join(per_print, "fp")
 
 
-def first_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id, once.
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
-    Rows that repeat a doc_id and its text count as one document. All columns of docs are returned.
+    component_id is the smallest doc_id reachable over links, the document's own included. A null text counts as empty;
+    texts without words have fingerprint zero and link like any other. Repeated rows come out repeated. A null doc_id
+    is never the smallest; a component without any doc_id has a null id. An empty table gives an empty result.
+    Texts of any length are read whole, in blocks. Columns other than doc_id and text are ignored.
     """
-    groups = near_duplicates(docs, shingle)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    ids, texts = docs[_exact(docs, "doc_id")], _exact(docs, "text")
-    return docs.join(keep(stay), ids.eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates([_exact(docs, "doc_id"), texts])
+    return _grouped(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _exact(docs: DataFrame, name: str) -> str:
-    return name if name in docs.columns else next(c for c in docs.columns if c.lower() == name)
+def first_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each group of near-duplicates the document with the smallest doc_id, once.
+
+    Rows that repeat a doc_id and its text count as one document; of several texts under that doc_id the one with the
+    smallest hash stays, and a document without an id only where none of its group has one. All columns are returned.
+    """
+    groups = _grouped(docs, shingle).withColumn("_row", F.struct("doc_id", "text_hash"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = keep(groups.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row.*"))
+    names = docs.columns
+    lowered = [c.lower() for c in names]
+    at, text = (f"_{names.index(n) if n in names else lowered.index(n)}" for n in ("doc_id", "text"))
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    same = F.col(at).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("text_hash"))
+    return rows.join(first, same, "left_semi").dropDuplicates([at, text]).toDF(*names)
