@@ -39,7 +39,7 @@ def dicom(*extra: bytes, syntax=EXPLICIT, width=640, height=480, frames="1", pix
         return element(tag, vr, value, order, implicit)
 
     meta = element(0x00020010, "UI", syntax)
-    facts = {"sop": "1.2.840.10008.5.1.4.1.1.6.1", "maker": "GE Medical Systems", "model": "LOGIQ9", "software": "R9", **text}
+    facts = {"sop": "1.2.840.10008.5.1.4.1.1.6.1", "maker": "Nordlicht Imaging", "model": "NL40", "software": "V4", **text}
     body = [
         e(0x00080016, "UI", facts["sop"]), e(0x00080060, "CS", "US"), e(0x00080070, "LO", facts["maker"]),
         e(0x00081090, "LO", facts["model"]), e(0x00181020, "LO", facts["software"]),

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tables import STRIP, detections, image_id, images, listed, zones
+from tables import BAND, detections, image_id, images, listed, zones
 from zonespark.functions.merge import join_boxes
 from zonespark.functions.text import clean_text, readable
 from zonespark.operators import detect as K
@@ -16,15 +16,15 @@ def box(x0, y0, x1, y1):
     return {"x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1)}
 
 
-def region(edges, text="SMITH JANE", confidence=88.0, **children):
+def region(edges, text="ALDER FOX", confidence=71.0, **children):
     return {"bbox": edges and box(*edges), "text": text, "confidence": confidence, **children}
 
 
 LINES = [
-    region((10, 10, 200, 40), "SMITH JANE", 90.0, words=[region((10, 10, 90, 40), "SMITH", 92.0), region((110, 10, 200, 40), "JANE", 88.0)]),
-    region((10, 90, 300, 120), "DOB 1985", 85.0, words=[region((10, 90, 80, 120), "DOB", 86.0), region((100, 90, 300, 120), "1985", 84.0)]),
+    region((32, 24, 150, 48), "ALDER FOX", 77.0, words=[region((32, 24, 84, 48), "ALDER", 79.0), region((102, 24, 150, 48), "FOX", 75.0)]),
+    region((32, 130, 260, 156), "BED 12", 66.0, words=[region((32, 130, 90, 156), "BED", 68.0), region((112, 130, 260, 156), "12", 64.0)]),
 ]
-BLOCKS = [region((10, 10, 300, 120), paragraphs=[region((10, 10, 300, 120), lines=LINES)])]
+BLOCKS = [region((32, 24, 260, 156), paragraphs=[region((32, 24, 260, 156), lines=LINES)])]
 
 
 def ocr(spark, *runs, scale=1.0):
@@ -44,23 +44,22 @@ def test_levels(spark):
     assert counts == {"word": 4, "line": 2, "paragraph": 1, "block": 1}
     flat = ocr(spark, (None, LINES[:1]), (None, None), ([], LINES))
     assert listed(K.extract_regions(flat), "frame_index", "text", order=["frame_index", "region_ord"]) == [
-        (0, "SMITH JANE"), (2, "SMITH JANE"), (2, "DOB 1985"),
+        (0, "ALDER FOX"), (2, "ALDER FOX"), (2, "BED 12"),
     ]
     assert K.extract_regions(flat, "word").isEmpty()
 
 
 def test_padding_size_and_text_floors(spark):
-    line = lambda *edges, text="PATIENT": (None, [region(edges, text)])
-    assert listed(found(spark, [line(10, 10, 200, 40)]), *RECT) == [(10, 10, 190, 30)]
-    assert listed(found(spark, [line(10, 10, 200, 40)], padding=12), *RECT) == [(0, 0, 212, 52)]
-    corner = listed(found(spark, [line(600, 460, 640, 480)], padding=30), *RECT)
-    assert corner == [(570, 430, 70, 50)]
-    speck = [(None, [region((10, 10, 14, 14), "a7"), region((20, 20, 200, 50), "PATIENT")])]
+    line = lambda *edges, text="WARD": (None, [region(edges, text)])
+    assert listed(found(spark, [line(50, 60, 170, 84)]), *RECT) == [(50, 60, 120, 24)]
+    assert listed(found(spark, [line(50, 6, 170, 30)], padding=9), *RECT) == [(41, 0, 138, 39)]
+    assert listed(found(spark, [line(610, 455, 640, 480)], padding=20), *RECT) == [(590, 435, 50, 45)]
+    speck = [(None, [region((33, 33, 38, 38), "b4"), region((80, 90, 240, 118), "WARD")])]
     assert found(spark, speck, min_width=0, min_height=0).count() == 2
-    assert found(spark, speck, min_width=20).count() == 1
-    assert found(spark, [line(0, 0, 40, 20, text="7")]).isEmpty()
-    assert found(spark, [line(0, 0, 40, 20, text="7")], min_chars=1).count() == 1
-    assert found(spark, [line(0, 0, 40, 20, text="~ ..")], min_chars=1).isEmpty()
+    assert found(spark, speck, min_width=15).count() == 1
+    assert found(spark, [line(5, 5, 60, 30, text="3")]).isEmpty()
+    assert found(spark, [line(5, 5, 60, 30, text="3")], min_chars=1).count() == 1
+    assert found(spark, [line(5, 5, 60, 30, text="-- |")], min_chars=1).isEmpty()
     assert found(spark, [(None, [region(None)])]).isEmpty()
 
 
@@ -88,31 +87,15 @@ def test_settings_and_profiles():
 def test_merging(spark):
     words = found(spark, [(BLOCKS, None)], granularity="word")
     assert K.merge_boxes(words, 0).count() == 4
-    joined = K.merge_boxes(words, 25)
-    assert listed(joined, *RECT, "text", "confidence") == [(10, 10, 190, 30, "SMITH JANE", 88), (10, 90, 290, 30, "DOB 1985", 84)]
-    assert K.merge_boxes(words, 60).count() == 1
+    joined = K.merge_boxes(words, 22)
+    assert listed(joined, *RECT, "text", "confidence") == [(32, 130, 228, 26, "BED 12", 64), (32, 24, 118, 24, "ALDER FOX", 75)]
+    assert K.merge_boxes(words, 90).count() == 1
     assert K.merge_boxes(words.limit(0), 10).isEmpty()
 
 
-def near(a, b, gap):
-    return (
-        a[0] - gap <= b[0] + b[2] and b[0] - gap <= a[0] + a[2] and a[1] - gap <= b[1] + b[3] and b[1] - gap <= a[1] + a[3]
-    )
-
-
-def one_by_one(boxes, gap):
-    """The rule in its plainest form: join the first near pair, begin again."""
-    boxes = list(boxes)
-    while True:
-        pair = next(
-            ((i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)) if near(boxes[i], boxes[j], gap)), None
-        )
-        if pair is None:
-            return boxes
-        a, b = boxes[pair[0]], boxes.pop(pair[1])
-        x, y = min(a[0], b[0]), min(a[1], b[1])
-        right, bottom = max(a[0] + a[2], b[0] + b[2]), max(a[1] + a[3], b[1] + b[3])
-        boxes[pair[0]] = (x, y, right - x, bottom - y, f"{a[4]} {b[4]}"[:80], min(a[5], b[5]))
+def apart(a, b):
+    """Clear space between two boxes on the axis where there is more of it; negative where they overlap on both."""
+    return max(max(a[c], b[c]) - min(a[c] + a[c + 2], b[c] + b[c + 2]) for c in (0, 1))
 
 
 def scattered(seed, count, side):
@@ -123,30 +106,52 @@ def scattered(seed, count, side):
     ]
 
 
+def check_joined(boxes, joined, gap):
+    """What joining promises: nothing near is left, every box is in one result, and results are their members' bounds."""
+    for i, a in enumerate(joined):
+        assert all(apart(a, b) > gap for b in joined[i + 1 :])
+    home = {t: n for n, j in enumerate(joined) for t in j[4].split()}
+    members = [[b for b in boxes if home[b[4]] == n] for n in range(len(joined))]
+    assert sum(map(len, members)) == len(boxes)
+    for j, own in zip(joined, members):
+        x, y = min(b[0] for b in own), min(b[1] for b in own)
+        assert j[:4] == (x, y, max(b[0] + b[2] for b in own) - x, max(b[1] + b[3] for b in own) - y)
+        assert j[5] == min(b[5] for b in own)
+
+
+def joined_locally(boxes, gap):
+    columns = list(zip(*boxes))
+    out = join_boxes(range(len(boxes)), *columns, gap)
+    return [tuple(b[c] for c in ("x", "y", "width", "height", "text", "confidence")) for b in out]
+
+
 @pytest.mark.parametrize("seed", range(40))
-def test_joining_follows_the_plain_rule(seed):
-    boxes = scattered(seed, 30, 300)
-    given = [dict(zip(("x", "y", "width", "height", "text", "confidence"), b), ord=i) for i, b in enumerate(boxes)]
-    got = [tuple(b[c] for c in ("x", "y", "width", "height", "text", "confidence")) for b in join_boxes(given, 5)]
-    assert got == one_by_one(boxes, 5)
+def test_joining_leaves_nothing_near_and_loses_nothing(seed):
+    boxes = scattered(seed, 30, 900)
+    check_joined(boxes, joined_locally(boxes, 5), 5)
 
 
-def test_full_frames_are_cut_without_changing_the_result(spark):
+def test_the_first_near_box_is_taken_first():
+    # The third box is near the first only; the second is near the third once that has grown.
+    boxes = [(0, 0, 10, 10, "a", 50), (60, 0, 10, 10, "b", 40), (14, 0, 40, 10, "c", 60)]
+    assert joined_locally(boxes, 6) == [(0, 0, 70, 10, "a c b", 40)]
+    assert joined_locally([(0, 0, 10, 10, "a", 50), (17, 0, 10, 10, "b", 40)], 6) == [(0, 0, 10, 10, "a", 50), (17, 0, 10, 10, "b", 40)]
+    assert joined_locally([(0, 0, 10, 10, "a", 50), (16, 16, 10, 10, "b", 40)], 6) == [(0, 0, 26, 26, "a b", 40)]
+
+
+def test_frames_are_cut_into_islands_without_changing_the_result(spark):
     frames = {(0, f): scattered(f, 60, 400 + 200 * f) for f in range(4)}
     frames[(1, 0)] = scattered(9, 5, 300)
-    boxes = detections(spark, frames)
-    plain = listed(K.merge_boxes(boxes, 4), "image_id", "frame_index", *RECT, "text", "confidence")
-    assert plain == sorted(
-        ((image_id(i), f, *b) for (i, f), listed_boxes in frames.items() for b in one_by_one(listed_boxes, 4)),
-        key=lambda v: (str(type(v)), str(v)),
-    )
-    # Every frame counts as full, islands fit: even the text is the same.
-    assert listed(K.merge_boxes(boxes, 4, frame_limit=59), "image_id", "frame_index", *RECT, "text", "confidence") == plain
-    # Islands are dealt into parts as well: rectangles and confidences are the same.
-    rects = lambda rows: [r[:6] + r[7:] for r in rows]
-    for limit in (3, 7):
-        dealt = listed(K.merge_boxes(boxes, 4, frame_limit=limit), "image_id", "frame_index", *RECT, "text", "confidence")
-        assert sorted(rects(dealt)) == sorted(rects(plain))
+    got = listed(K.merge_boxes(detections(spark, frames), 4), "image_id", "frame_index", *RECT, "text", "confidence")
+    want = [(image_id(i), f, *b) for (i, f), boxes in frames.items() for b in joined_locally(boxes, 4)]
+    assert got == sorted(want, key=lambda v: (str(type(v)), str(v)))
+
+
+@pytest.mark.parametrize("count, side", [(10, 100), (5_000, 4_000), (20_000, 9_000)])
+def test_one_frame_of_any_size_is_joined_alike(spark, count, side):
+    boxes = list({b[:4]: b for b in scattered(7, count, side)}.values())
+    got = listed(K.merge_boxes(detections(spark, {(0, 0): boxes}), 1), *RECT, "text", "confidence", order=["ord"])
+    assert got == joined_locally(boxes, 1)
 
 
 def test_order_of_input_does_not_change_rectangles(spark):
@@ -159,10 +164,10 @@ def test_order_of_input_does_not_change_rectangles(spark):
 
 def test_floor_comes_before_merging(spark):
     boxes = detections(
-        spark, {(0, 0): [(10, 10, 190, 30, "LEFT", 93), (210, 10, 190, 30, "RADIAL", 91), (10, 45, 590, 30, "wmm", 18)]}
+        spark, {(0, 0): [(40, 20, 110, 22, "EAST", 70), (165, 20, 90, 22, "WING", 81), (40, 48, 400, 22, "~~~", 12)]}
     )
-    shown = K.visible_detections(boxes, K.Settings(merge_gap=20))
-    assert listed(shown, *RECT) == [(10, 10, 390, 30)]
+    shown = K.visible_detections(boxes, K.Settings(merge_gap=18))
+    assert listed(shown, *RECT) == [(40, 20, 215, 22)]
     assert K.visible_detections(boxes, K.Settings()).count() == 2
 
 
@@ -195,14 +200,19 @@ def test_coverage_against_brute_force(spark):
 
 
 def test_accepting_never_carries_text(spark):
-    boxes = detections(spark, {(0, 0): [(100, 50, 200, 20, "SMITH^JANE 1985", 90)], (0, 1): [(1, 1, 20, 20, "DOE", 90)]})
-    drawn = zones(spark, {(0, 0): [STRIP]})
+    boxes = detections(spark, {(0, 0): [(72, 90, 150, 24, "ALDER^FOX 12", 74)], (0, 1): [(3, 3, 30, 18, "ELM", 80)]})
+    drawn = zones(spark, {(0, 0): [BAND]})
     after, resolved = K.accept_detections(boxes, drawn)
     assert after.columns == drawn.columns
-    assert listed(after, *ZONE) == [STRIP, (1, 1, 20, 20, "detected text"), (100, 50, 200, 20, "detected text")]
-    assert listed(after.filter("frame_index = 0"), "note", order=["ord"]) == ["name strip", "detected text"]
+    assert listed(after, *ZONE) == [BAND, (3, 3, 30, 18, "detected text"), (72, 90, 150, 24, "detected text")]
+    assert listed(after.filter("frame_index = 0"), "note", order=["ord"]) == ["headline", "detected text"]
     assert K.drop_resolved(boxes, resolved).isEmpty()
-    assert "SMITH" not in str(after.collect())
+    assert "ALDER" not in str(after.collect())
+    marked = found(spark, [(BLOCKS, None)]).select("image_id", "frame_index", "ord", *RECT, F.col("text").alias("note"))
+    for hidden in (marked, marked.withColumnRenamed("note", "label"), K.merge_boxes(found(spark, [(BLOCKS, None)]), 30).withColumnRenamed("text", "note")):
+        with pytest.raises(ValueError, match="recognised text"):
+            O.refuse_text(hidden)
+    O.refuse_text(after, K.to_zones(boxes), None)
     for write in (
         lambda: O.write_export("/tmp/none", "v2", images(spark, {}), boxes, "now"),
         lambda: O.write_backup("/tmp/none", images(spark, {}), boxes, "now"),
@@ -217,9 +227,9 @@ def test_profile_sweep(spark):
     profiles = [
         {"name": "words", "settings": {"granularity": "word", "padding": 0}},
         {"name": "joined", "settings": {"granularity": "word", "padding": 0, "merge_gap": 25}},
-        {"name": "strict", "settings": {"confidence": 88}},
+        {"name": "strict", "settings": {"confidence": 70}},
     ]
     sweep = K.profile_sweep(ocr(spark, (BLOCKS, None)), images(spark, {}), zones(spark, {(0, 0): [(0, 0, 640, 60, "")]}), profiles)
     assert listed(sweep, "profile", "detected", "uncovered", "below_floor") == [("joined", 2, 1, 0), ("strict", 1, 0, 1), ("words", 4, 2, 0)]
     with pytest.raises(ValueError):
-        K.profile_sweep(ocr(spark, (BLOCKS, None)), images(spark, {}), zones(spark, {(0, 0): [STRIP]}), [])
+        K.profile_sweep(ocr(spark, (BLOCKS, None)), images(spark, {}), zones(spark, {(0, 0): [BAND]}), [])

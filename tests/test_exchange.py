@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-from tables import DOB, STRIP, image_id, images, listed, zones
+from tables import LABEL, BAND, image_id, images, listed, zones
+from zonespark import schemas as S
 from zonespark.operators import templates as M
 from zonespark.schemas import ZONE
 from zonespark.sources import documents as O
@@ -24,7 +25,7 @@ def files(spark, **texts):
     return spark.createDataFrame(rows, "path string, text string")
 
 
-def zone(z=STRIP, **change):
+def zone(z=BAND, **change):
     return {**dict(zip(("x", "y", "width", "height", "note"), z)), **change}
 
 
@@ -33,14 +34,14 @@ def layout(*listed_zones, combo="16", size="640x480", **change):
 
 
 def test_layouts_keep_order_and_read_whole_floats(spark):
-    text = '{"annotations":{"016":{"640x480":{"ref_width":640.0,"ref_height":480,"zones":[{"x":0,"y":0,"width":4.2e2,"height":40,"note":"a"}]}},' \
+    text = '{"annotations":{"016":{"640x480":{"ref_width":640.0,"ref_height":480,"zones":[{"x":16,"y":4,"width":3.52e2,"height":36,"note":"a"}]}},' \
         '"9":{"640x480":{"ref_width":640,"ref_height":480,"zones":[]},"10x10":{"ref_width":10,"ref_height":10,"zones":[{"x":0,"y":0,"width":1,"height":1,"note":""}]}},' \
         '"10":{"640x480":{"ref_width":1,"ref_height":1,"zones":[]}},"10":{"8x8":{"ref_width":8,"ref_height":8,"zones":[{"x":1,"y":1,"width":1,"height":1,"note":""}]}}}}'
     heads, inner, rejects = E.parse_layouts(files(spark, a=text))
     assert rejects.isEmpty()
     # Integer keys first; of a repeated key the last value counts; rasters without zones are left out.
     assert listed(heads, "combo", "ref_width", order=["layout_idx"]) == [("9", 10), ("10", 8), ("016", 640)]
-    assert listed(inner.filter("combo = '016'"), *ZONE) == [(0, 0, 420, 40, "a")]
+    assert listed(inner.filter("combo = '016'"), *ZONE) == [(16, 4, 352, 36, "a")]
     assert listed(heads, "promoted") == [False] * 3
 
 
@@ -54,19 +55,22 @@ def test_layouts_keep_order_and_read_whole_floats(spark):
         (layout(zone(), zones={"a": 1}), "Missing zones"), (layout(zone(width=900)), "outside"), (layout(zone(x=-1)), "outside"),
         (layout(zone(width=0)), "outside"), (layout(zone(x=1.5)), "Invalid rectangle"), (layout(zone(x="1")), "Invalid rectangle"),
         (layout(zone(note=5)), "Invalid rectangle"), (layout({"x": 0, "y": 0, "width": 1, "height": 1}), "Invalid rectangle"),
+        (json.dumps(layout(zone())) + " junk", "Not an annotations file"), (json.dumps(layout(zone())) * 2, "Not an annotations file"),
+        (json.dumps(layout(zone())) + "," + json.dumps(layout(zone())), "Not an annotations file"),
+        (json.dumps(layout(zone())) + "] [{", "Not an annotations file"), (json.dumps(layout(zone())) + "} {", "Not an annotations file"),
         (layout(7), "Invalid rectangle"), (layout(None), "Invalid rectangle"), (layout(), "no zones"), ('{"annotations":{}}', "no zones"),
     ],
 )
 def test_bad_layout_files_are_refused_whole(spark, bad, reason):
-    heads, inner, rejects = E.parse_layouts(files(spark, bad=bad, good=layout(zone(DOB), combo="7")))
+    heads, inner, rejects = E.parse_layouts(files(spark, bad=bad, good=layout(zone(LABEL), combo="7")))
     assert [(r.path, reason in r.reason) for r in rejects.collect()] == [("bad", True)]
-    assert listed(heads, "combo") == ["7"] and listed(inner, "note") == ["DOB"]
+    assert listed(heads, "combo") == ["7"] and listed(inner, "note") == ["corner"]
 
 
 def image(**change):
     return {
         "id": "a" * 64, "name": "s.dcm", "kind": "DICOM", "combo": "016", "width": 640, "height": 480, "frameCount": 2,
-        "frames": {"1": [zone(DOB)], "0": [zone(), zone(DOB)]}, **change,
+        "frames": {"1": [zone(LABEL)], "0": [zone(), zone(LABEL)]}, **change,
     }
 
 
@@ -76,7 +80,7 @@ def backup(*listed_images, **change):
 
 def test_backup(spark):
     rich = image(
-        id="b" * 64, path="p/s.dcm", frameIndex=1, sample="4", filenameWidth=800, metadata={"manufacturer": "GE", "sopClass": "1.2", "bits": 16},
+        id="b" * 64, path="p/s.dcm", frameIndex=1, sample="4", filenameWidth=800, metadata={"manufacturer": "MAKER", "sopClass": "1.2", "bits": 16},
         display={"windowWidth": 0.5, "windowCenter": -3.5, "invert": 1}, combo="", frames={},
     )
     sources = spark.createDataFrame([("b" * 64,)], "image_id string")
@@ -86,7 +90,7 @@ def test_backup(spark):
     assert (a.combo, a.path, a.open_frame, a.has_source, a.invert, a.manufacturer) == ("016", "s.dcm", 0, False, False, "")
     assert (b.path, b.open_frame, b.has_source, b.invert, b.window_width, b.window_center) == ("p/s.dcm", 1, True, True, None, -3.5)
     assert (b.filename_width, b.sop_class, b.bits, b.sample) == (800, "1.2", 16, "4")
-    assert listed(drawn, "frame_index", "ord", "note", order=["frame_index", "ord"]) == [(0, 0, "name strip"), (0, 1, "DOB"), (1, 0, "DOB")]
+    assert listed(drawn, "frame_index", "ord", "note", order=["frame_index", "ord"]) == [(0, 0, "headline"), (0, 1, "corner"), (1, 0, "corner")]
 
 
 @pytest.mark.parametrize(
@@ -97,6 +101,8 @@ def test_backup(spark):
         (backup(image(kind="JPG")), "image information"), (backup(image(name=5)), "image information"), (backup(image(width=0)), "image information"),
         (backup(image(frameCount=1.5)), "image information"), (backup(image(combo="x")), "combo"), (backup(image(combo=None)), "combo"),
         (backup(image(frames=[])), "Missing frame"), (backup(image(frames={"01": []})), "frame index"), (backup(image(frames={"2": []})), "frame index"),
+        (json.dumps(backup(image())) + "x", "supported"), (json.dumps(backup(image())) * 2, "supported"),
+        (json.dumps(backup(image())) + "] [", "supported"), (json.dumps(backup(image())) + "," + json.dumps(backup(image())), "supported"),
         (backup(image(frames={"0": 5})), "frame index"), (backup(image(frames={"0": [zone(width=1000)]})), "outside"),
         (backup(image(frames={"0": [zone(x=0.5)]})), "rectangle"),
     ],
@@ -109,8 +115,8 @@ def test_bad_backups_are_refused_whole(spark, bad, reason):
 
 def test_backup_round_trip(spark, tmp_path):
     pictures = images(spark, {"frame_count": 2, "open_frame": 1, "filename_width": 5}, {"name": 'q"\\é', "kind": "PNG"})
-    drawn = zones(spark, {(0, 0): [STRIP, DOB], (0, 1): [DOB]})
-    O.write_backup(str(tmp_path / "out"), pictures, drawn, NOW)
+    drawn = zones(spark, {(0, 0): [BAND, LABEL], (0, 1): [LABEL]})
+    O.write_backup_document(str(tmp_path / "out"), pictures, drawn, NOW)
     value = whole(tmp_path / "out")
     assert value["format"] == "zonespark-project" and [list(i["frames"]) for i in value["images"]] == [["0", "1"], []]
     (tmp_path / "in.json").write_text(json.dumps(value))
@@ -121,6 +127,37 @@ def test_backup_round_trip(spark, tmp_path):
     assert listed(again, "image_id", "frame_index", "ord", *ZONE) == listed(drawn, "image_id", "frame_index", "ord", *ZONE)
 
 
+def test_records_of_many_files_read_back(spark, tmp_path):
+    many = [{"frame_count": 2, "name": f'n"{i}é\n', "filename_width": i or None, "combo": str(i % 3)} for i in range(40)]
+    pictures = images(spark, *many)
+    drawn = zones(spark, {(i, i % 2): [BAND, LABEL][: i % 3] for i in range(40)})
+    # Small tables end in one part otherwise.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        O.write_backup(str(tmp_path / "out"), pictures, drawn, NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    found, again, rejects = E.read_backup(spark, str(tmp_path / "out"), pictures.select("image_id"))
+    assert rejects.isEmpty()
+    columns = ["image_id", "import_idx", "name", "path", "combo", "width", "frame_count", "filename_width", "open_frame", "kind", "has_source", "software", "modality", "bits"]
+    assert listed(found, *columns) == listed(pictures, *columns)
+    assert listed(again, "image_id", "frame_index", "ord", *ZONE) == listed(drawn, "image_id", "frame_index", "ord", *ZONE)
+    heads = spark.createDataFrame([(f"t{i}", f"name {i:02}", "16", 640, 480, "2026") for i in range(30)], S.TEMPLATES)
+    inner = spark.createDataFrame([(f"t{i}", 0, *BAND) for i in range(30)], S.TEMPLATE_ZONES)
+    O.write_templates(str(tmp_path / "templates"), heads, inner, NOW)
+    back, back_zones, rejects = E.read_templates(spark, str(tmp_path / "templates"))
+    assert rejects.isEmpty() and listed(back, *heads.columns) == listed(heads, *heads.columns)
+    assert listed(back_zones, *inner.columns) == listed(inner, *inner.columns)
+
+
+def test_products_can_be_named(spark):
+    given = files(spark, a=backup(image()), b=backup(image(id="d" * 64), format="zonespark-project"))
+    assert E.parse_backup(given)[0].count() == 2
+    found, _, rejects = E.parse_backup(given, products=["zonespark"])
+    assert listed(found, "image_id") == ["d" * 64] and listed(rejects, "path") == ["a"]
+
+
 def template(**change):
     return {"id": "t1", "name": " Head  er ", "combo": "16", "width": 640, "height": 480, "zones": [zone()], "createdAt": "2025", **change}
 
@@ -139,7 +176,7 @@ def test_templates(spark, tmp_path):
     assert inner.count() == 3
     # Ids given to duplicates are the same when the job runs again.
     assert listed(E.parse_templates(given)[0], "template_id") == listed(E.parse_templates(given)[0], "template_id")
-    O.write_templates(str(tmp_path / "out"), found, inner, NOW)
+    O.write_templates_document(str(tmp_path / "out"), found, inner, NOW)
     value = whole(tmp_path / "out")
     assert [t["name"] for t in value["templates"]] == ["Head er", "n" * 80, "two"]
     (tmp_path / "in.json").write_text(json.dumps(value))
@@ -151,6 +188,7 @@ def test_templates(spark, tmp_path):
 @pytest.mark.parametrize(
     "bad, reason",
     [
+        (json.dumps(templates(template())) + "}", "Not a template"), (json.dumps(templates(template())) * 2, "Not a template"),
         (templates(format="other"), "Not a template"), (templates(version=2), "Not a template"), (templates(template(name="  ")), "name"),
         (templates(template(width=0)), "raster"), (templates(template(combo="abc")), "combo"), (templates(template(zones=[])), "no zones"),
         (templates(template(zones=[zone(width=900)])), "outside"), (templates(template(zones=[zone(note=None)])), "rectangle"), (templates(4), "name"),
@@ -166,6 +204,6 @@ def test_template_from_a_frame_reads_back(spark, tmp_path):
     pictures = images(spark, {})
     chosen = spark.createDataFrame([(image_id(0), 0, "One")], "image_id string, frame_index int, name string")
     made, inner, _ = M.make_templates(zones(spark, {(0, 0): [(-5, 0, 20, 9, "clip")]}), pictures, chosen, NOW)
-    O.write_templates(str(tmp_path / "out"), made, inner, NOW)
+    O.write_templates_document(str(tmp_path / "out"), made, inner, NOW)
     value = whole(tmp_path / "out")["templates"][0]
     assert value["zones"] == [zone((0, 0, 15, 9, "clip"))] and value["createdAt"] == NOW

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tables import STRIP, detections, image_id, images, listed, zones
+from tables import BAND, detections, image_id, images, listed, zones
 from zonespark.catalog.registry import Tables
 from zonespark.operators import detect as K
 from zonespark.operators import triage as T
@@ -82,7 +82,7 @@ def test_one_hot_image_gives_the_same_answers(spark):
     many = [(i % 600, i * 7 % 460, 20 + i % 30, 10, "n" if i % 2 else "") for i in range(900)]
     boxes = [(x + 2, y + 2, 8, 6, f"t{i}", 50) for i, (x, y, _, _, _) in enumerate(many)]
     pictures = images(spark, {}, {})
-    drawn = zones(spark, {(0, 0): many, (1, 0): [STRIP]})
+    drawn = zones(spark, {(0, 0): many, (1, 0): [BAND]})
     inside = lambda b, z: b[0] >= z[0] and b[1] >= z[1] and b[0] + 8 <= z[0] + z[2] and b[1] + 6 <= z[1] + z[3]
     want = sum(not any(inside(b, z) for z in many) for b in boxes)
     assert K.uncovered(detections(spark, {(0, 0): boxes}), drawn).count() == want

@@ -1,6 +1,6 @@
 import pytest
 
-from tables import DOB, STRIP, image_id, images, layouts, listed, zones
+from tables import LABEL, BAND, image_id, images, layouts, listed, zones
 from zonespark.operators import layouts as L
 from zonespark.operators import reuse as R
 from zonespark.operators import templates as M
@@ -26,8 +26,8 @@ def source_of(spark, *listed_zones):
 
 
 def test_source_zones_stay_raw(spark):
-    given = zones(spark, {(0, 0): [(*DOB[:4], None), (0, 0, 0, 9, ""), (900, 9, 40, 9, ""), (-5, 0, 20, 9, "edge")]})
-    assert listed(R.source_zones(given, images(spark, {})), *ZONE) == [(-5, 0, 20, 9, "edge"), (*DOB[:4], "")]
+    given = zones(spark, {(0, 0): [(*LABEL[:4], None), (0, 0, 0, 9, ""), (900, 9, 40, 9, ""), (-5, 0, 20, 9, "edge")]})
+    assert listed(R.source_zones(given, images(spark, {})), *ZONE) == [(-5, 0, 20, 9, "edge"), (*LABEL[:4], "")]
 
 
 def test_targets(spark):
@@ -48,33 +48,33 @@ def test_targets(spark):
 
 
 def test_merge_plan(spark):
-    drawn = zones(spark, {(0, 0): [STRIP], (0, 1): [STRIP], (0, 2): [DOB]})
+    drawn = zones(spark, {(0, 0): [BAND], (0, 1): [BAND], (0, 2): [LABEL]})
     targets = targets_of(spark, (0, 1), (0, 2))
-    source = source_of(spark, STRIP)
+    source = source_of(spark, BAND)
     plan = R.plan_copy(source, targets, drawn)
-    assert listed(plan, "frame_index", "note", "is_new", order=["ord"]) == [(2, "DOB", False), (2, "name strip", True)]
+    assert listed(plan, "frame_index", "note", "is_new", order=["ord"]) == [(2, "corner", False), (2, "headline", True)]
     assert tuple(R.price_plan(source, targets, drawn, plan).head()) == (1, 1, 1, 0, 1, 2)
     written = R.apply_plan(drawn, plan)
-    assert listed(written, "frame_index", "note") == [(0, "name strip"), (1, "name strip"), (2, "DOB"), (2, "name strip")]
+    assert listed(written, "frame_index", "note") == [(0, "headline"), (1, "headline"), (2, "corner"), (2, "headline")]
     # Once written, the same plan changes nothing.
     assert R.plan_copy(source, targets, written).isEmpty()
-    renamed = R.plan_copy(source_of(spark, (*STRIP[:4], "name")), targets_of(spark, (0, 1)), drawn)
+    renamed = R.plan_copy(source_of(spark, (*BAND[:4], "name")), targets_of(spark, (0, 1)), drawn)
     assert renamed.filter("is_new").count() == 1
-    twice = source_of(spark, DOB, DOB)
+    twice = source_of(spark, LABEL, LABEL)
     price = R.price_plan(twice, targets_of(spark, (0, 1)), drawn, R.plan_copy(twice, targets_of(spark, (0, 1)), drawn))
     assert (price.head().added, price.head().duplicates) == (1, 1)
 
 
 def test_replace_plan(spark):
-    drawn = zones(spark, {(0, 0): [STRIP], (0, 1): [DOB, STRIP], (1, 0): [STRIP, DOB], (1, 1): [STRIP, DOB, DOB], (1, 2): [DOB]})
-    source, everywhere = source_of(spark, STRIP, DOB), targets_of(spark, (0, 1), (0, 2), (1, 0), (1, 1), (1, 2))
+    drawn = zones(spark, {(0, 0): [BAND], (0, 1): [LABEL, BAND], (1, 0): [BAND, LABEL], (1, 1): [BAND, LABEL, LABEL], (1, 2): [LABEL]})
+    source, everywhere = source_of(spark, BAND, LABEL), targets_of(spark, (0, 1), (0, 2), (1, 0), (1, 1), (1, 2))
     plan = R.plan_copy(source, everywhere, drawn, "replace")
     # Only the frame that holds the same zones in the same order is left out; order and repeats count.
     changed = listed(plan.select(*FRAME).distinct(), *FRAME)
     assert changed == [(image_id(0), 1), (image_id(0), 2), (image_id(1), 1), (image_id(1), 2)]
     assert tuple(R.price_plan(source, everywhere, drawn, plan, "replace").head()) == (8, 4, 2, 6, 0, 10)
     written = R.apply_plan(drawn, plan)
-    assert listed(written.filter("frame_index = 2"), "note") == ["DOB", "DOB", "name strip", "name strip"]
+    assert listed(written.filter("frame_index = 2"), "note") == ["corner", "corner", "headline", "headline"]
     nothing = R.plan_copy(source_of(spark).limit(0), targets_of(spark, (0, 1), (0, 2)), drawn, "replace")
     assert listed(nothing, "frame_index", "x") == [(1, None)]
     assert R.apply_plan(drawn, nothing).filter(f"image_id = '{KEY}' and frame_index = 1").isEmpty()
@@ -92,21 +92,21 @@ def test_plan_text(spark):
 
 
 def test_copy_previous_frame(spark):
-    drawn = zones(spark, {(0, 0): [STRIP, (0, 0, 0, 5, "flat")], (0, 1): [DOB], (0, 2): [DOB]})
+    drawn = zones(spark, {(0, 0): [BAND, (0, 0, 0, 5, "flat")], (0, 1): [LABEL], (0, 2): [LABEL]})
     plan = R.copy_previous_frame(drawn, images(spark, {"frame_count": 3}))
-    assert listed(plan, "frame_index", "note", "is_new") == [(1, "DOB", False), (1, "name strip", True)]
+    assert listed(plan, "frame_index", "note", "is_new") == [(1, "corner", False), (1, "headline", True)]
 
 
 def test_templates(spark):
     pictures = images(spark, {"frame_count": 2}, {"combo": "x"}, {"width": 1024, "height": 768})
-    drawn = zones(spark, {(0, 0): [STRIP, (5, 5, 0, 9, "")], (1, 0): [DOB]})
+    drawn = zones(spark, {(0, 0): [BAND, (5, 5, 0, 9, "")], (1, 0): [LABEL]})
     chosen = spark.createDataFrame(
-        [(image_id(0), 0, "  iU22  header+DOB  "), (image_id(0), 1, "empty"), (image_id(1), 0, "odd"), (image_id(2), 0, " ")],
+        [(image_id(0), 0, "  Kelvin  header+corner  "), (image_id(0), 1, "empty"), (image_id(1), 0, "odd"), (image_id(2), 0, " ")],
         "image_id string, frame_index int, name string",
     )
     templates, inner, rejects = M.make_templates(drawn, pictures, chosen, "now")
-    assert listed(templates, "name", "combo", "width") == [("iU22 header+DOB", "16", 640), ("odd", "", 640)]
-    assert listed(inner, *ZONE) == [STRIP, DOB]
+    assert listed(templates, "name", "combo", "width") == [("Kelvin header+corner", "16", 640), ("odd", "", 640)]
+    assert listed(inner, *ZONE) == [BAND, LABEL]
     assert listed(rejects, "reason") == ["Give the template a name.", "This frame has no zones to save."]
     again = M.make_templates(drawn, pictures, chosen, "now")[0]
     assert listed(again, "template_id") == listed(templates, "template_id")
@@ -128,22 +128,22 @@ def test_template_order(spark):
 
 
 def test_layouts_merge_and_review(spark):
-    heads, inner = layouts(spark, ("16", 640, 480, True, [STRIP]))
-    same = L.merge_layouts(heads, inner, *layouts(spark, ("16", 640, 480, False, [STRIP])))
+    heads, inner = layouts(spark, ("16", 640, 480, True, [BAND]))
+    same = L.merge_layouts(heads, inner, *layouts(spark, ("16", 640, 480, False, [BAND])))
     assert listed(same[0], "combo", "promoted") == [("16", True)] and same[2].head().outcome == "unchanged"
-    grown = L.merge_layouts(heads, inner, *layouts(spark, ("16", 640, 480, False, [STRIP, DOB, DOB]), ("22", 640, 480, False, [STRIP, STRIP])))
+    grown = L.merge_layouts(heads, inner, *layouts(spark, ("16", 640, 480, False, [BAND, LABEL, LABEL]), ("22", 640, 480, False, [BAND, BAND])))
     assert listed(grown[0], "combo", "promoted", "layout_idx") == [("16", False, 0), ("22", False, 2)]
-    assert listed(grown[1].filter("combo = '16'"), "note", order=["ord"]) == ["name strip", "DOB"]
+    assert listed(grown[1].filter("combo = '16'"), "note", order=["ord"]) == ["headline", "corner"]
     assert grown[1].filter("combo = '22'").count() == 2
     assert listed(grown[2], "combo", "outcome", "fresh_zones") == [("16", "merged", 1), ("22", "added", 0)]
 
 
 def test_layout_review_steps(spark):
-    heads, inner = layouts(spark, ("16", 640, 480, True, [STRIP, DOB]), ("22", 640, 480, True, [STRIP]), ("9", 640, 480, True, [STRIP]))
+    heads, inner = layouts(spark, ("16", 640, 480, True, [BAND, LABEL]), ("22", 640, 480, True, [BAND]), ("9", 640, 480, True, [BAND]))
     gone = spark.createDataFrame([("16", 640, 480, 1), ("22", 640, 480, 0)], "combo string, ref_width int, ref_height int, ord bigint")
     left, rest = L.remove_layout_zones(heads, inner, gone)
     assert listed(left, "combo", "promoted") == [("16", False), ("9", True)]
-    assert listed(rest, "combo", "note") == [("16", "name strip"), ("9", "name strip")]
+    assert listed(rest, "combo", "note") == [("16", "headline"), ("9", "headline")]
     held = L.set_promotion(heads, gone, False)
     assert listed(L.promoted(held), "combo") == ["9"]
     assert listed(L.discard_layouts(heads, inner, gone)[1], "combo") == ["9"]
@@ -151,15 +151,15 @@ def test_layout_review_steps(spark):
 
 def test_preview(spark):
     pictures = images(spark, {"frame_count": 2, "open_frame": 1}, {}, {"combo": ""})
-    drawn = zones(spark, {(0, 0): [STRIP], (0, 1): [DOB, (-5, 0, 20, 9, "raw")], (1, 0): [STRIP], (2, 0): [DOB, DOB]})
+    drawn = zones(spark, {(0, 0): [BAND], (0, 1): [LABEL, (-5, 0, 20, 9, "raw")], (1, 0): [BAND], (2, 0): [LABEL, LABEL]})
     empty = spark.createDataFrame([], LAYOUT_ZONES)
     union = Z.layout_union(pictures, drawn)
     counts = listed(L.preview_counts(pictures, drawn, union), "scope", "zones", "extra", order=["image_id"])
     assert counts == [("union", 3, 2), ("union", 3, 2), ("frame", 2, 0)]
     shown = L.preview_layout(pictures.filter("import_idx = 0"), drawn, union)
-    assert listed(shown, "note", "extra") == [("DOB", False), ("name strip", True), ("raw", True)]
+    assert listed(shown, "note", "extra") == [("corner", False), ("headline", True), ("raw", True)]
     alone = L.preview_layout(pictures.filter("import_idx = 2"), drawn, union)
-    assert listed(alone, "note", "extra") == [("DOB", False), ("DOB", False)]
+    assert listed(alone, "note", "extra") == [("corner", False), ("corner", False)]
     assert empty.isEmpty()
-    matched = L.matching_layouts(pictures, layouts(spark, ("16", 640, 480, True, [STRIP]))[0])
+    matched = L.matching_layouts(pictures, layouts(spark, ("16", 640, 480, True, [BAND]))[0])
     assert listed(matched, "import_idx") == [0, 1]

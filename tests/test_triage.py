@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tables import GE, STRIP, image_id, images, listed, zones
+from tables import MAKER, BAND, image_id, images, listed, zones
 from zonespark.functions import device as D
 from zonespark.operators import triage as T
 
@@ -14,7 +14,7 @@ def library(spark):
         {"name": "nocombo.dcm", "path": "batch-a/nocombo.dcm", "combo": ""},
         {"name": "gone.dcm", "path": "batch-b/gone.dcm", "has_source": False}, {"name": "odd.dcm", "combo": "abc", "path": None},
     )
-    drawn = zones(spark, {(1, 0): [STRIP], (1, 1): [STRIP, STRIP], (2, 0): [STRIP], (3, 0): [STRIP], (4, 0): [STRIP]})
+    drawn = zones(spark, {(1, 0): [BAND], (1, 1): [BAND, BAND], (2, 0): [BAND], (3, 0): [BAND], (4, 0): [BAND]})
     return pictures, drawn
 
 
@@ -55,12 +55,12 @@ def test_groups(spark):
         spark, {"combo": "22"}, {"combo": ""}, {"combo": "16", "manufacturer": "", "model": "", "sop_class": "", "software": ""},
         {"combo": "16", "width": 1024, "height": 768}, {"combo": "2"}, {"combo": "16", "software": "other"},
     )
-    groups = T.group_library(pictures, zones(spark, {(2, 0): [STRIP], (3, 0): [STRIP, STRIP]}))
+    groups = T.group_library(pictures, zones(spark, {(2, 0): [BAND], (3, 0): [BAND, BAND]}))
     assert listed(T.sort_groups(groups), "combo", "total", "annotated", "size_count", "device_count", "mixed_devices", order=T.library_order()) == [
         ("", 1, 0, 1, 1, False), ("2", 1, 0, 1, 1, False), ("16", 3, 2, 2, 2, True), ("22", 1, 0, 1, 1, False),
     ]
     # The first file that states a device gives the group's device, not the first file.
-    assert groups.filter("combo = '16'").head().software == GE["software"]
+    assert groups.filter("combo = '16'").head().software == MAKER["software"]
     outline = T.library_rollup(pictures)
     assert [r.row_type for r in T.sort_outline(outline).collect()] == [
         "group", "file", "group", "file", "group", "size", "file", "file", "size", "file", "group", "file",
@@ -105,13 +105,13 @@ def test_combo_assignment(spark):
 
 def test_device_text(spark):
     cases = [
-        ({**GE, "software": "LOGIQ9:R9.0.0"}, "GE Medical Systems · LOGIQ9 · R9.0.0"),
-        ({**GE, "software": "logiq9 - R9.0.0"}, "GE Medical Systems · LOGIQ9 · R9.0.0"),
-        ({**GE, "software": "LOGIQ9"}, "GE Medical Systems · LOGIQ9 · LOGIQ9"),
-        ({**GE, "software": "LOGIQ9:"}, "GE Medical Systems · LOGIQ9 · LOGIQ9:"),
-        ({**GE, "model": "EPIQ (7)", "software": "EPIQ (7):1.2"}, "GE Medical Systems · EPIQ (7) · 1.2"),
-        ({**GE, "model": "", "software": "R9"}, "GE Medical Systems · R9"),
-        ({**GE, "manufacturer": None, "model": "", "software": "", "sop_class": ""}, ""),
+        ({**MAKER, "software": "NL40:V4.0"}, "Nordlicht Imaging · NL40 · V4.0"),
+        ({**MAKER, "software": "nl40 - V4.0"}, "Nordlicht Imaging · NL40 · V4.0"),
+        ({**MAKER, "software": "NL40"}, "Nordlicht Imaging · NL40 · NL40"),
+        ({**MAKER, "software": "NL40:"}, "Nordlicht Imaging · NL40 · NL40:"),
+        ({**MAKER, "model": "Sonar (7)", "software": "Sonar (7):1.2"}, "Nordlicht Imaging · Sonar (7) · 1.2"),
+        ({**MAKER, "model": "", "software": "V4"}, "Nordlicht Imaging · V4"),
+        ({**MAKER, "manufacturer": None, "model": "", "software": "", "sop_class": ""}, ""),
     ]
     pictures = images(spark, *[c for c, _ in cases])
     assert listed(pictures.withColumn("l", D.device_label()), "l", order=["import_idx"]) == [want for _, want in cases]
@@ -122,7 +122,7 @@ def test_device_text(spark):
 
 
 def test_exact_device_values(spark):
-    pictures = images(spark, {"model": " LOGIQ9 "}, {"model": None})
-    assert listed(T.with_device(pictures), "model", order=["import_idx"]) == [" LOGIQ9 ", ""]
+    pictures = images(spark, {"model": " NL40 "}, {"model": None})
+    assert listed(T.with_device(pictures), "model", order=["import_idx"]) == [" NL40 ", ""]
     assert pictures.select(D.sop_class_name(F.lit(" 1.2.3 ")).alias("n")).head().n == "1.2.3"
     assert "has_source" not in T.image_record(pictures).columns

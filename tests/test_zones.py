@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tables import DOB, STRIP, images, layouts, listed, zones
+from tables import LABEL, BAND, images, layouts, listed, zones
 from zonespark.functions import geometry as G
 from zonespark.functions.filenames import parse_filename, size_mismatch
 from zonespark.operators import zones as Z
@@ -29,7 +29,7 @@ def test_clip_drops_what_has_no_area_and_defaults_the_note(spark):
 
 
 def test_shift_slides_without_resizing(spark):
-    box = zones(spark, {(0, 0): [(10, 10, 420, 40, "DOB"), (0, 0, 640, 480, "")]})
+    box = zones(spark, {(0, 0): [(10, 10, 420, 40, "corner"), (0, 0, 640, 480, "")]})
     for (dx, dy), want in {(1, -1): (11, 9), (-10, 10): (0, 20), (-99, -99): (0, 0), (999, 999): (220, 440)}.items():
         moved = Z.shift_zones(box, images(spark, {}), dx, dy)
         assert listed(moved, *RECT, order=["ord"]) == [(*want, 420, 40), (0, 0, 640, 480)]
@@ -59,34 +59,34 @@ def test_layout_union_over_frames_files_and_promoted_layouts(spark):
     drawn = zones(
         spark,
         {
-            (0, 0): [STRIP], (0, 1): [DOB, STRIP], (1, 0): [(*STRIP[:4], "other note"), DOB, (5, 5, 0, 9, "flat")],
-            (2, 0): [STRIP], (3, 0): [DOB], (4, 0): [STRIP],
+            (0, 0): [BAND], (0, 1): [LABEL, BAND], (1, 0): [(*BAND[:4], "other note"), LABEL, (5, 5, 0, 9, "flat")],
+            (2, 0): [BAND], (3, 0): [LABEL], (4, 0): [BAND],
         },
     )
-    heads, inner = layouts(spark, ("16", 640, 480, True, [DOB, (1, 1, 9, 9, "new")]), ("16", 1024, 768, False, [DOB]))
+    heads, inner = layouts(spark, ("16", 640, 480, True, [LABEL, (1, 1, 9, 9, "new")]), ("16", 1024, 768, False, [LABEL]))
     union = Z.layout_union(pictures, drawn, heads, inner, with_position=True)
     of = union.filter("combo = '16' and ref_width = 640")
     assert listed(of, "position", "note", order=["position"]) == [
-        (0, "name strip"), (1, "DOB"), (2, "other note"), (3, "new"),
+        (0, "headline"), (1, "corner"), (2, "other note"), (3, "new"),
     ]
     lazily = Z.layout_union(pictures, drawn, heads, inner)
-    assert listed(Z.layout_for(lazily, "16", 1024, 768), "note") == ["name strip"]
+    assert listed(Z.layout_for(lazily, "16", 1024, 768), "note") == ["headline"]
     assert Z.layout_for(lazily, "", 640, 480) is None
     assert lazily.filter("combo = ''").isEmpty()
 
 
 def test_summary_counts_raw_zones(spark):
     pictures = images(spark, {}, {"combo": ""})
-    drawn = zones(spark, {(0, 0): [STRIP, (5, 5, 0, 9, "")], (1, 0): [DOB]})
-    heads, inner = layouts(spark, ("7", 640, 480, True, [DOB]), ("8", 640, 480, False, [DOB]))
+    drawn = zones(spark, {(0, 0): [BAND, (5, 5, 0, 9, "")], (1, 0): [LABEL]})
+    heads, inner = layouts(spark, ("7", 640, 480, True, [LABEL]), ("8", 640, 480, False, [LABEL]))
     summary = Z.zone_summary(pictures, drawn, heads, inner)
     assert listed(summary, "combo", "zones") == [("", 1), ("16", 2), ("7", 1)]
     assert tuple(Z.summary_totals(summary).head()) == (4, 1, True)
 
 
 def test_clearing_notes_keeps_geometry(spark):
-    drawn = zones(spark, {(0, 0): [STRIP, (1, 1, 2, 2, "")]})
+    drawn = zones(spark, {(0, 0): [BAND, (1, 1, 2, 2, "")]})
     assert Z.count_notes(drawn, drawn).head().notes == 2
     cleared = Z.clear_notes(drawn)
-    assert listed(cleared, *ZONE) == [(0, 0, 420, 40, ""), (1, 1, 2, 2, "")]
+    assert listed(cleared, *ZONE) == [(1, 1, 2, 2, ""), (*BAND[:4], "")]
     assert Z.count_notes(cleared).head().notes == 0

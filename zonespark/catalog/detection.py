@@ -12,6 +12,7 @@ from zonespark.functions.text import clean_text, readable, readable_count
 from zonespark.operators import detect as K
 from zonespark.operators import tags as T
 from zonespark.schemas import FRAME, RECT
+from zonespark.sources.documents import refuse_text
 
 _WHITE = r"[\t\n\v\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
@@ -135,9 +136,23 @@ def tag_counts_per_image(t):
     return T.tag_counts(T.with_tag_facts(t.tag), per_image=True)
 
 
-@query("O5_tag_page", "SELECT image_id, row_idx, hex FROM tag ORDER BY image_id, row_idx LIMIT 150 OFFSET 150", ("tag",))
+@query(
+    "O5_tag_page",
+    """SELECT image_id, row_idx, hex FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_idx) AS place FROM tag) p
+WHERE place > 1 AND place <= 2""",
+    ("tag",),
+)
 def tag_page(t):
-    return T.tag_page(t.tag.select("image_id", "row_idx", "hex"), 1)
+    return T.tag_page(t.tag.select("image_id", "row_idx", "hex"), 1, 1)
+
+
+@query(
+    "O5_tag_page_of_one_file",
+    """SELECT image_id, row_idx, hex FROM tag WHERE image_id = lpad('7', 64, '0') ORDER BY row_idx LIMIT 150""",
+    ("tag",),
+)
+def tag_page_of_one_file(t):
+    return T.tag_page(t.tag.select("image_id", "row_idx", "hex"), 0, image_id="7".rjust(64, "0"))
 
 
 @query("F5_above_confidence", "SELECT image_id, frame_index, ord, confidence FROM det WHERE confidence >= 60", ("det",))
@@ -239,8 +254,8 @@ _register_levels()
 _SETTINGS = K.Settings(padding=3, min_width=8, min_height=10, min_chars=3)
 
 
-def _detections(settings: dict, name: str = "") -> str:
-    """SQL for the boxes the settings leave, as CTEs `edged{name}` and `found{name}`."""
+def _detections(settings: dict, name: str = "", source: str = "reg") -> str:
+    """SQL for the boxes the settings leave of the regions in `source`, as CTEs `edged{name}` and `found{name}`."""
     s = settings
     edge = "CAST(greatest(0, least({limit}, floor(r.{c} / r.scale + 0.5) {sign} {padding})) AS INT)"
 
@@ -251,7 +266,7 @@ def _detections(settings: dict, name: str = "") -> str:
  SELECT r.image_id, r.frame_index, r.region_ord AS ord, {cut('x0', '-', 'i.width')} AS x, {cut('y0', '-', 'i.height')} AS y,
   {cut('x1', '+', 'i.width')} AS x2, {cut('y1', '+', 'i.height')} AS y2, {_clean('r.text')} AS text,
   CAST(floor(r.confidence + 0.5) AS INT) AS confidence
- FROM reg r JOIN img i ON i.image_id = r.image_id
+ FROM {source} r JOIN img i ON i.image_id = r.image_id
  WHERE length(regexp_replace(r.text, '[^A-Za-z0-9]', '', 'g')) >= {s['min_chars']}),
 found{name} AS (
  SELECT image_id, frame_index, ord, x, y, x2 - x AS width, y2 - y AS height, text, confidence FROM (
@@ -268,14 +283,46 @@ def detections(t):
     return K.detections(t.reg, t.img, _SETTINGS)
 
 
-@query("D3_merge_boxes")
+def _joining(boxes: str, gap: int, name: str = "joined") -> str:
+    """CTEs that join the boxes of every frame as the rule says: the first near pair, and again, one list per frame."""
+    near = (
+        f"b[i].x - {gap} <= b[j].x + b[j].width AND b[j].x - {gap} <= b[i].x + b[i].width"
+        f" AND b[i].y - {gap} <= b[j].y + b[j].height AND b[j].y - {gap} <= b[i].y + b[i].height"
+    )
+    return f""", {name}_steps AS (
+ SELECT image_id, frame_index, 0 AS step,
+  list({{'ord': CAST(ord AS BIGINT), 'x': x, 'y': y, 'width': width, 'height': height, 'text': text, 'confidence': confidence}} ORDER BY ord) AS b
+ FROM {boxes} GROUP BY image_id, frame_index
+ UNION ALL
+ SELECT image_id, frame_index, step + 1, list_transform(list_filter(range(1, len(b) + 1), lambda k: k <> j), lambda k: CASE WHEN k <> i THEN b[k] ELSE
+  {{'ord': b[i].ord, 'x': least(b[i].x, b[j].x), 'y': least(b[i].y, b[j].y),
+   'width': greatest(b[i].x + b[i].width, b[j].x + b[j].width) - least(b[i].x, b[j].x),
+   'height': greatest(b[i].y + b[i].height, b[j].y + b[j].height) - least(b[i].y, b[j].y),
+   'text': {_clean("(b[i].text || ' ' || b[j].text)")}, 'confidence': least(b[i].confidence, b[j].confidence)}} END)
+ FROM (SELECT image_id, frame_index, step, b, pair // 1000000 AS i, pair % 1000000 AS j FROM (
+  SELECT *, list_min(flatten(list_transform(range(1, len(b) + 1), lambda i: list_transform(
+   list_filter(range(i + 1, len(b) + 1), lambda j: {near}), lambda j: i * 1000000 + j)))) AS pair FROM {name}_steps) found
+  WHERE pair IS NOT NULL) chosen
+),
+{name} AS (
+ SELECT image_id, frame_index, box.* FROM (
+  SELECT image_id, frame_index, unnest(b) AS box FROM (
+   SELECT *, row_number() OVER (PARTITION BY image_id, frame_index ORDER BY step DESC) AS back FROM {name}_steps) s WHERE back = 1) u
+)"""
+
+
+@query("D3_merge_boxes", _joining("tight", 6) + f"\nSELECT {_BOX}, text, confidence FROM joined", ("tight",), recursive=True)
 def merge_boxes(t):
-    return K.merge_boxes(t.det, 6)
+    return K.merge_boxes(t.tight, 6)
 
 
-@query("D4_visible_detections")
+@query(
+    "D4_visible_detections",
+    ", shown AS (SELECT * FROM tight WHERE confidence >= 20)" + _joining("shown", 9) + f"\nSELECT {_BOX}, text, confidence FROM joined",
+    ("tight",), recursive=True,
+)
 def visible_detections(t):
-    return K.visible_detections(K.detections(t.reg, t.img, _SETTINGS), K.Settings(confidence=20, merge_gap=9))
+    return K.visible_detections(t.tight, K.Settings(confidence=20, merge_gap=9))
 
 
 @query(
@@ -311,12 +358,43 @@ def accept_detections(t):
 
 
 @query(
-    "D7_settings_in_range",
-    "SELECT event_id, greatest(0, least(40, CAST(floor(value + 0.5) AS INT))) AS padding FROM events",
+    "D7_validate_settings",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'word' WHEN 1 THEN 'line' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'block' ELSE 'line' END AS granularity,
+ CAST(greatest(0, least(40, floor(value + 0.5))) AS INT) AS padding,
+ CASE WHEN event_id % 3 = 0 THEN 60 ELSE CAST(greatest(0, least(100, floor(value * 2 - 20 + 0.5))) AS INT) END AS confidence,
+ CAST(greatest(1, least(20, floor(value / 4 + 0.5))) AS INT) AS min_chars, 0 AS merge_gap FROM events""",
+)
+def validate_settings(t):
+    level = F.element_at(F.array(*[F.lit(g) for g in (*K.GRANULARITIES, "sentence")]), (F.col("event_id") % 5 + 1).cast("int"))
+    given = t.events.select(
+        "event_id", level.alias("granularity"), F.col("value").alias("padding"),
+        F.when(F.col("event_id") % 3 != 0, F.col("value") * 2 - 20).alias("confidence"), (F.col("value") / 4).alias("min_chars"),
+        F.lit(float("nan")).alias("merge_gap"),
+    )
+    return K.with_valid_settings(given).select("event_id", "settings.granularity", *[f"settings.{c}" for c in ("padding", "confidence", "min_chars", "merge_gap")])
+
+
+@query(
+    "D0_quarantine",
+    """SELECT image_id, frame_index, CAST(ord AS BIGINT) AS ord, x, y, width, height, 'detected text' AS note FROM det
+UNION ALL SELECT image_id, frame_index, -1, 0, 0, 0, 0, 'refused: ' || name FROM (
+ SELECT min(image_id) AS image_id, 0 AS frame_index FROM det) one, (SELECT 'text' AS name UNION ALL SELECT 'note' UNION ALL SELECT 'label') names""",
+    ("det",),
 )
-def settings_in_range(t):
-    low, high = K.LIMITS["padding"]
-    return t.events.select("event_id", clamp(js_round(F.col("value")), low, high).alias("padding"))
+def quarantine(t):
+    """What may leave, and per name of the column with recognised text that the writers refuse it."""
+    boxes = t.det.withColumn("text", K.recognised(F.col("text")))
+    out = K.to_zones(boxes).withColumn("ord", F.col("ord").cast("long"))
+    refuse_text(out)
+    for name in ("text", "note", "label"):
+        try:
+            refuse_text(boxes.withColumnRenamed("text", name))
+        except ValueError:
+            out = out.unionByName(boxes.agg(F.min("image_id").alias("image_id")).select(
+                "image_id", F.lit(0).alias("frame_index"), F.lit(-1).cast("long").alias("ord"), *[F.lit(0).alias(c) for c in RECT],
+                F.lit(f"refused: {name}").alias("note"),
+            ))
+    return out
 
 
 _PROFILES = [
@@ -327,21 +405,33 @@ _PROFILES = [
 ]
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(profiles: dict[str, dict], source: str = "reg") -> str:
+    """SQL of a sweep over profiles whose settings are spelled out in full."""
     ctes, selects = "", []
-    for i, (name, settings) in enumerate(K.validate_profiles(_PROFILES)):
-        s = asdict(settings)
-        ctes += _detections(s, str(i))
+    for i, (name, s) in enumerate(profiles.items()):
+        ctes += _detections(s, str(i), source) + f", shown{i} AS (SELECT * FROM found{i} WHERE confidence >= {s['confidence']})"
+        shown = f"shown{i}"
+        if s["merge_gap"]:
+            ctes += _joining(shown, s["merge_gap"], f"joined{i}")
+            shown = f"joined{i}"
         selects.append(
-            f"""SELECT '{name}' AS profile, count(*) FILTER (confidence >= {s['confidence']}) AS detected,
- count(*) FILTER (confidence >= {s['confidence']} AND NOT covered) AS uncovered,
- count(*) FILTER (confidence < {s['confidence']}) AS below_floor FROM (
+            f"""SELECT '{name}' AS profile, count(*) AS detected, count(*) FILTER (NOT covered) AS uncovered,
+ (SELECT count(*) FROM found{i} WHERE confidence < {s['confidence']}) AS below_floor FROM (
  SELECT d.*, EXISTS (SELECT 1 FROM zon z WHERE z.image_id = d.image_id AND z.frame_index = d.frame_index AND {_INSIDE}) AS covered
- FROM found{i} d) c"""
+ FROM {shown} d) c"""
         )
     return ctes + "\n" + "\nUNION ALL ".join(selects)
 
 
+# What _PROFILES come to, spelled out for the SQL: known settings, rounded and in range, and the defaults of the rest.
+_DEFAULTS = {"granularity": "line", "padding": 4, "confidence": 60, "min_width": 6, "min_height": 6, "min_chars": 2, "merge_gap": 0, "scale": 1}
+_SPELLED = {
+    "Tight": _DEFAULTS | {"padding": 0, "confidence": 70, "min_width": 10},
+    "Wide": _DEFAULTS | {"padding": 12, "confidence": 25, "min_chars": 1},
+    "Defaults": _DEFAULTS,
+}
+
+
 def _recognised(t):
     """reg as OCR output: each region is a run's only line."""
     box = F.struct("x0", "y0", "x1", "y1")
@@ -353,12 +443,28 @@ def _recognised(t):
     return t.reg.select(*FRAME, "scale", F.col("region_ord").alias("run"), F.array(block).alias("blocks"), F.array(line).alias("lines"))
 
 
-@query("D8_profile_sweep", _sweep_sql(), ("reg", "zon"))
+@query("D8_profile_sweep", _sweep_sql(_SPELLED), ("reg", "zon"))
 def profile_sweep(t):
     return K.profile_sweep(_recognised(t), t.img, t.zon, _PROFILES, ["run", "region_ord"])
 
 
-@query("D8_profile_sweep_merged")
+_WORDS = """, words AS (
+ SELECT image_id, frame_index, ord AS region_ord, 1.0 AS scale, x AS x0, y AS y0, x + width AS x1, y + height AS y1, text,
+  CAST(confidence AS DOUBLE) AS confidence FROM tight)"""
+
+
+@query(
+    "D8_profile_sweep_merged",
+    _WORDS + _sweep_sql(_SPELLED | {"Joined": _DEFAULTS | {"merge_gap": 10, "confidence": 10}}, "words"), ("tight", "zon"), recursive=True,
+)
 def profile_sweep_merged(t):
     profiles = [*_PROFILES, {"name": "Joined", "settings": {"merge_gap": 10, "confidence": 10}}]
-    return K.profile_sweep(_recognised(t), t.img, t.zon, profiles, ["run", "region_ord"])
+    number = lambda c: c.cast("double")
+    box = F.struct(
+        number(F.col("x")).alias("x0"), number(F.col("y")).alias("y0"), number(F.col("x") + F.col("width")).alias("x1"),
+        number(F.col("y") + F.col("height")).alias("y1"),
+    )
+    line = F.struct(box.alias("bbox"), "text", number(F.col("confidence")).alias("confidence"), F.lit(None).cast("array<struct<bbox:struct<x0:double,y0:double,x1:double,y1:double>,text:string,confidence:double>>").alias("words"))
+    nothing = F.lit(None).cast(_recognised(t).schema["blocks"].dataType).alias("blocks")
+    runs = t.tight.select(*FRAME, F.lit(1.0).alias("scale"), F.col("ord").alias("run"), nothing, F.array(line).alias("lines"))
+    return K.profile_sweep(runs, t.img, t.zon, profiles, ["run", "region_ord"])

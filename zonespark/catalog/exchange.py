@@ -1,8 +1,13 @@
-"""Exchange files (S4-S6, S9, W4), built as text from the tables and read back."""
+"""Exchange files (S4-S7, S9, W4, E5), built as text from the tables or written to files, and read back."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
+from zonespark.export_schema import SchemaDefects, validate_export_schema
+from zonespark.plans.ordering import shared_folder
+from zonespark.shipping import ship_package
 from zonespark.schemas import ZONE
 from zonespark.sources import documents as O
 from zonespark.sources import exchange as E
@@ -281,3 +286,107 @@ def templates_document(t):
         F.col("ref_height").alias("height"), F.lit("2026").alias("created_at"),
     )
     return O.templates_document(templates, t.lay2.select(key, "ord", *ZONE), _NOW).select("line")
+
+
+def _folder(t, name: str) -> str:
+    return f"{shared_folder(t.ims.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+# A backup is refused with any zone off its raster, as every record is a backup of one image.
+_WHOLE = """, bad AS (SELECT DISTINCT z.image_id FROM zon z JOIN ims i ON i.image_id = z.image_id
+ WHERE z.x < 0 OR z.y < 0 OR z.width <= 0 OR z.height <= 0 OR z.x + z.width > i.width OR z.y + z.height > i.height)"""
+
+
+@query(
+    "S9_backup_round_trip",
+    _WHOLE + """ SELECT i.image_id, i.name, i.path, i.combo, i.width, i.height, i.frame_count, i.open_frame, i.kind, i.manufacturer, i.model, i.sop_class,
+ i.software, row_number() OVER (ORDER BY i.import_idx) - 1 AS import_idx FROM ims i WHERE i.image_id NOT IN (SELECT image_id FROM bad)""",
+    ("ims", "zon"),
+)
+def backup_round_trip(t):
+    folder = _folder(t, "backup")
+    O.write_backup(folder, t.ims, t.zon, _NOW)
+    return E.read_backup(t.ims.sparkSession, folder)[0].select(
+        "image_id", "name", "path", "combo", "width", "height", "frame_count", "open_frame", "kind", "manufacturer", "model", "sop_class", "software",
+        "import_idx",
+    )
+
+
+@query(
+    "S9_backup_zones_round_trip",
+    _WHOLE + """ SELECT image_id, frame_index, CAST(row_number() OVER (PARTITION BY image_id, frame_index ORDER BY ord) - 1 AS BIGINT) AS ord,
+ x, y, width, height, note FROM zon WHERE image_id NOT IN (SELECT image_id FROM bad)""",
+    ("ims", "zon"),
+)
+def backup_zones_round_trip(t):
+    folder = _folder(t, "backup")
+    O.write_backup(folder, t.ims, t.zon, _NOW)
+    return E.read_backup(t.ims.sparkSession, folder)[1].drop("file")
+
+
+@query(
+    "S9_templates_round_trip",
+    """, bad AS (SELECT DISTINCT combo, ref_width, ref_height FROM lay2 WHERE x + width > ref_width OR y + height > ref_height)
+SELECT 'Layout ' || l.combo AS name, l.combo, l.ref_width AS width, l.ref_height AS height, '2026' AS created_at, count(*) AS zones
+FROM lay2 l WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.combo = l.combo AND b.ref_width = l.ref_width AND b.ref_height = l.ref_height)
+GROUP BY l.combo, l.ref_width, l.ref_height""",
+    ("lays2",),
+)
+def templates_round_trip(t):
+    folder = _folder(t, "templates")
+    key = F.concat_ws("/", "combo", "ref_width").alias("template_id")
+    templates = t.lays2.select(
+        key, F.concat(F.lit("Layout "), "combo").alias("name"), "combo", F.col("ref_width").alias("width"),
+        F.col("ref_height").alias("height"), F.lit("2026").alias("created_at"),
+    )
+    O.write_templates(folder, templates, t.lay2.select(key, "ord", *ZONE), _NOW)
+    found, zones, _ = E.read_templates(t.ims.sparkSession, folder)
+    return found.join(zones.groupBy("template_id").agg(F.count("*").alias("zones")), "template_id").drop("template_id", "file")
+
+
+# One definition per supplier; by turns they lack a name or zones, read an unknown source, or name a taken key.
+def _definition(key: int) -> dict:
+    return {
+        "id": f"s{key // 2 * 2}", "name": "" if key % 5 == 0 else f"Schema {key}", "zone": {} if key % 7 == 0 else {"left": "x"},
+        "entry": {"make": "patient" if key % 11 == 0 else "manufacturer"}, "root": {"annotations": 1} if key % 13 == 0 else {},
+        "shape": "flat" if key % 3 == 0 else "nested",
+    }
+
+
+@query(
+    "E5_validate_schemas",
+    """SELECT CAST(s_suppkey AS BIGINT) AS key, CAST((s_suppkey % 5 = 0)::INT + (s_suppkey % 7 = 0)::INT + (s_suppkey % 11 = 0)::INT
+ + (s_suppkey % 13 = 0)::INT AS BIGINT) AS defects,
+ CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0
+  THEN CASE WHEN s_suppkey % 3 = 0 THEN 'flat' ELSE 'nested' END END AS shape FROM supplier""",
+)
+def validate_schemas(t):
+    def judge(batches):
+        for batch in batches:
+            out = []
+            for key in batch["key"]:
+                try:
+                    out.append((0, validate_export_schema(_definition(int(key))).shape))
+                except SchemaDefects as error:
+                    out.append((len(error.defects), None))
+            yield batch.assign(defects=[n for n, _ in out], shape=[s for _, s in out])
+
+    ship_package(t.supplier.sparkSession)
+    return t.supplier.select(F.col("s_suppkey").cast("long").alias("key")).mapInPandas(judge, "key long, defects long, shape string")
+
+
+@query(
+    "S7_read_schemas",
+    """SELECT 's' || CAST(n_nationkey // 2 * 2 AS STRING) || CASE WHEN n_nationkey % 2 = 1 THEN '-' || CAST(n_nationkey AS STRING) ELSE '' END AS id,
+ n_name AS name FROM nation""",
+)
+def read_schemas(t):
+    spark, folder = t.nation.sparkSession, f"{shared_folder(t.nation.sparkSession)}/schemas-{uuid.uuid4().hex}"
+    entry = F.struct(
+        F.concat(F.lit("s"), F.expr("n_nationkey div 2 * 2").cast("string")).alias("id"), F.col("n_name").alias("name"),
+        F.struct(F.lit("x").alias("left")).alias("zone"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))), lambda r: r["e"])
+    body = F.to_json(F.struct(F.lit("any-schema").alias("format"), F.lit(1).alias("version"), F.col("schemas")))
+    t.nation.agg(listed.alias("schemas")).select(body.alias("value")).coalesce(1).write.text(folder)
+    return spark.createDataFrame([(s.id, s.name) for s in E.read_export_schemas(spark, folder)], "id string, name string")

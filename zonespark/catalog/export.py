@@ -227,6 +227,15 @@ def export_v1(t):
     return X.export_v1(labelled, t.zon, NOW, t.lays, t.lay.drop("promoted")).select("line")
 
 
+@query(
+    "E1_blockers",
+    """SELECT import_idx, name FROM ims WHERE NOT regexp_full_match(combo, '[0-9]+') AND image_id IN (SELECT image_id FROM zon)""",
+    ("ims", "zon"),
+)
+def blockers(t):
+    return X.export_blockers(t.ims, t.zon).select("import_idx", "name")
+
+
 def _pair(indent: int, key: str, value: str) -> str:
     return f"'{' ' * indent}\"{key}\": ' || {value}"
 

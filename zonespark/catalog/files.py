@@ -9,7 +9,7 @@ from zonespark.operators import imports as I
 from zonespark.operators.tags import with_tag_facts
 from zonespark.plans.ordering import materialise, shared_folder
 from zonespark.sources import images as S
-from zonespark.streaming.imports import import_stream, read_library
+from zonespark.streaming.imports import import_stream, read_library, read_rejects
 
 _NAME = r"'^(?i)combo([0-9]+)_([0-9]+)x([0-9]+)_s([0-9]+)\.(png|dcm|dicom|ima)$'"
 # Hidden files are left out, broken ones refused; the rest is what the images say.
@@ -154,13 +154,8 @@ def folder_import(t):
     return I.import_summary(I.import_outcomes(empty, images.select("image_id", "path")), rejects)
 
 
-@query(
-    "ST1_stream_import",
-    _READ + """SELECT DISTINCT sha256(unhex(hexed)) AS image_id, width, height, kind, model, true AS has_source FROM taken""",
-    ("fil",),
-)
-def stream_import(t):
-    # Every file arrives twice under different names, a few stored parts of the stream per batch.
+def _streamed(t) -> tuple:
+    """A library imported by a stream: every file arrives twice under different names, a few parts per batch."""
     again = t.fil.select(F.concat(F.lit("again/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "hexed")
     both = t.fil.select("path", "hexed").unionByName(again)
     arriving = materialise(both.repartition(9, "path").select("path", F.unhex("hexed").alias("content")))
@@ -170,4 +165,24 @@ def stream_import(t):
         arriving.inputFiles()[0].rsplit("/", 1)[0]
     )
     import_stream(files, f"{base}/library", f"{base}/state", once=True).awaitTermination()
-    return read_library(spark, f"{base}/library").select("image_id", "width", "height", "kind", "model", "has_source")
+    return spark, f"{base}/library"
+
+
+@query(
+    "ST1_stream_import",
+    _READ + """SELECT DISTINCT sha256(unhex(hexed)) AS image_id, width, height, kind, model, true AS has_source FROM taken""",
+    ("fil",),
+)
+def stream_import(t):
+    return read_library(*_streamed(t)).select("image_id", "width", "height", "kind", "model", "has_source")
+
+
+@query(
+    "ST1_stream_rejects",
+    _READ + """, broken AS (SELECT path FROM listed WHERE import_idx % 37 = 0)
+SELECT path, 'Not a readable DICOM Part 10 file or PNG.' AS error FROM broken
+UNION ALL SELECT 'again/' || list_extract(string_split(path, '/'), -1), 'Not a readable DICOM Part 10 file or PNG.' FROM broken""",
+    ("fil",),
+)
+def stream_rejects(t):
+    return read_rejects(*_streamed(t)).select("path", "error")

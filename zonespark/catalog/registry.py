@@ -27,7 +27,7 @@ class Tables:
             self._made[name] = materialise(getattr(self, name))
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = ""):
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = "", recursive: bool = False):
     """Register a function of Tables under a name. `sql` follows the views and further CTEs it needs."""
 
     def register(build: Callable[[Tables], DataFrame]):
@@ -37,6 +37,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes:
                 ORACLES[name] = fixtures.with_views(*views) + (f",{ctes}\n" if ctes else "") + sql
             else:
                 ORACLES[name] = (f"WITH {ctes}\n" if ctes else "") + sql
+            if recursive:
+                ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
         return build
 
     return register

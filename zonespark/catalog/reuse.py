@@ -183,6 +183,16 @@ def describe_plan(t):
     return R.describe_plan(R.price_plan(source, targets, t.zon, R.plan_copy(source, targets, t.zon)))
 
 
+@query(
+    "A14_describe_empty_source",
+    "SELECT 'This frame has no boxes to copy.' AS text FROM (SELECT count(*) FROM img) one", ("img",),
+)
+def describe_empty_source(t):
+    source, targets = _copy(t)
+    none = source.filter("width < 0")
+    return R.describe_plan(R.price_plan(none, targets, t.zon, R.plan_copy(none, targets, t.zon)), none)
+
+
 _PREVIOUS = _USABLE.split(",\nsrcz")[0] + """, fresh AS (
  SELECT u.image_id, u.frame_index + 1 AS frame_index, min(u.ord) AS ord, u.x, u.y, u.width, u.height, u.note
  FROM usable u JOIN img i ON i.image_id = u.image_id WHERE u.frame_index + 1 < i.frame_count

@@ -62,6 +62,15 @@ FROM lineitem l JOIN img i ON i.import_idx = l.l_orderkey""",
  CAST(least(i.width, e.event_id % 10 * 64 + e.user_id % 30 + 20 + e.user_id % 50) - (e.event_id % 10 * 64 + e.user_id % 30) AS INT) AS width,
  18 AS height, e.event_type AS text, CAST(floor(e.value) AS INT) % 101 AS confidence
 FROM events e JOIN img i ON i.import_idx = e.event_id % 1500""",
+    ),
+    # Crowded frames: a dozen words each at every scale, many of them near enough to join.
+    "tight": (
+        ["events", "img"],
+        """SELECT i.image_id, CAST(0 AS INT) AS frame_index, e.event_id AS ord,
+ CAST(e.user_id * 37 % 560 AS INT) AS x, CAST(e.event_id % 4 * 60 + e.user_id % 7 AS INT) AS y,
+ CAST(20 + e.user_id % 50 AS INT) AS width, CAST(12 + e.event_id % 9 AS INT) AS height,
+ e.event_type || ' ' || CAST(e.event_id % 10 AS STRING) AS text, CAST(floor(e.value) AS INT) % 101 AS confidence
+FROM events e JOIN img i ON i.import_idx = CAST(floor(e.event_id / 12) AS BIGINT) + 1""",
     ),
     # Recognition results before any padding or clamping: fractional edges, two scales, short and long text.
     "reg": (

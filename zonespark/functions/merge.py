@@ -7,20 +7,17 @@ from zonespark.functions.words import collapse_text
 _BLOCK = 2048
 
 
-def join_boxes(boxes, gap: int) -> list[dict]:
-    """Boxes (in detection order) joined until no two are within `gap` of each other on both axes.
+def join_boxes(ord, x, y, width, height, text, confidence, gap: int) -> list[dict]:
+    """Boxes (one array per column, in detection order) joined until no two are within `gap` on both axes.
 
     The earliest box that has a near neighbour takes in the first such neighbour and keeps its place; the
     weaker confidence stays. Until a box grows, the ones before it are known to have no neighbour left, so
-    after a join only the grown box is compared again.
+    after a join only the grown box is compared again. Comparing runs over whole arrays, a block at a time.
     """
-    left = np.array([b["x"] for b in boxes], dtype=np.int64)
-    top = np.array([b["y"] for b in boxes], dtype=np.int64)
-    right = left + np.array([b["width"] for b in boxes], dtype=np.int64)
-    bottom = top + np.array([b["height"] for b in boxes], dtype=np.int64)
-    confidence = [int(b["confidence"]) for b in boxes]
-    texts = [b["text"] for b in boxes]
-    alive = np.ones(len(boxes), dtype=bool)
+    left, top = np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
+    right, bottom = left + np.asarray(width, dtype=np.int64), top + np.asarray(height, dtype=np.int64)
+    confidence, texts = [int(c) for c in confidence], list(text)
+    alive = np.ones(len(left), dtype=bool)
 
     def first_near(box: int, start: int, stop: int) -> int:
         for low in range(start, stop, _BLOCK):
@@ -41,19 +38,23 @@ def join_boxes(boxes, gap: int) -> list[dict]:
         texts[keeper] = collapse_text(f"{texts[keeper]} {texts[other]}")
         alive[other] = False
 
-    at = 0
-    while at < len(boxes):
-        other = first_near(at, at + 1, len(boxes)) if alive[at] else -1
-        if other < 0:
-            at += 1
-            continue
-        absorb(at, other)
-        while (earlier := first_near(at, 0, at)) >= 0:
-            absorb(earlier, at)
-            at = earlier
+    for box in range(len(left)):
+        # Boxes before this one have no neighbour left. A box that grows is settled at once, so that goes on to hold.
+        has_grown = False
+        while alive[box]:
+            earlier = first_near(box, 0, box) if has_grown else -1
+            if earlier >= 0:
+                absorb(earlier, box)
+                box = earlier
+                continue
+            later = first_near(box, box + 1, len(left))
+            if later < 0:
+                break
+            absorb(box, later)
+            has_grown = True
     return [
         {
-            "ord": int(boxes[i]["ord"]), "x": int(left[i]), "y": int(top[i]),
+            "ord": int(ord[i]), "x": int(left[i]), "y": int(top[i]),
             "width": int(right[i] - left[i]), "height": int(bottom[i] - top[i]),
             "text": texts[i], "confidence": confidence[i],
         }

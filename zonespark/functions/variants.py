@@ -42,3 +42,15 @@ def number(value: Column) -> Column:
 def elements(value: Column) -> Column:
     """The members of a JSON array as ARRAY<VARIANT>, NULL for anything else."""
     return F.try_variant_get(value, "$", "array<variant>")
+
+
+def is_one_value(document: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    Spark's parsers stop at the end of the first value. Inside brackets a second value or a tail shows as another
+    element or an error; inside an object so does a text that closes the brackets itself.
+    """
+    # Read as text, which bears repeated keys; a variant does not.
+    listed = F.from_json(F.concat(F.lit("["), document, F.lit("]")), "array<string>")
+    named = F.from_json(F.concat(F.lit('{"value":'), document, F.lit("}")), "struct<value: string>")
+    return F.coalesce((F.size(listed) == 1) & named["value"].isNotNull(), F.lit(False))

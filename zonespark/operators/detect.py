@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 from zonespark.functions.geometry import clamp, js_round
 from zonespark.functions.merge import join_boxes
 from zonespark.functions.text import clean_text, readable
-from zonespark.plans.ordering import lookup, materialise
-from zonespark.schemas import FRAME, RECT
+from zonespark.plans.ordering import materialise
+from zonespark.schemas import FRAME, RECOGNISED, RECT
 from zonespark.shipping import ship_package
 
 # Levels of the OCR hierarchy, limits of the settings, the note of an accepted box.
@@ -57,6 +57,23 @@ def validate_settings(given: dict | Settings | None = None) -> Settings:
     return Settings(**kept)
 
 
+def with_valid_settings(table: DataFrame) -> DataFrame:
+    """validate_settings per row: columns named like settings become one `settings` column, as sweeps read it."""
+    fallback = asdict(Settings())
+
+    def valid(name: str) -> Column:
+        if name not in table.columns:
+            return F.lit(fallback[name])
+        if name == "granularity":
+            return F.when(F.col(name).isin(GRANULARITIES), F.col(name)).otherwise(fallback[name])
+        value, (low, high) = F.col(name).cast("double"), LIMITS[name]
+        known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+        return F.when(known, clamp(js_round(value), low, high)).otherwise(fallback[name]).cast("int")
+
+    others = [c for c in table.columns if c not in fallback]
+    return table.select(*others, F.struct(*[valid(name).alias(name) for name in fallback]).alias("settings"))
+
+
 def same_settings(a, b) -> bool:
     return validate_settings(a) == validate_settings(b)
 
@@ -79,6 +96,11 @@ def _config(settings: Settings | None) -> dict[str, Column]:
     return {name: F.lit(value) for name, value in asdict(validate_settings(settings)).items()}
 
 
+def recognised(text: Column, name: str = "text") -> Column:
+    """A column of recognised text. Its mark follows it through renaming and joins, and no writer takes it."""
+    return text.alias(name, metadata={RECOGNISED: True})
+
+
 _BOX_FIELDS = ("bbox", "text", "confidence")
 
 
@@ -115,7 +137,7 @@ def extract_regions(ocr_raw: DataFrame, granularity: str | None = "line") -> Dat
     return ocr_raw.select(*others, F.posexplode(regions_at(level)).alias("region_ord", "region")).select(
         *others, "region_ord",
         *[F.col(f"region.bbox.{edge}").alias(edge) for edge in ("x0", "y0", "x1", "y1")],
-        "region.text", "region.confidence",
+        recognised(F.col("region.text")), "region.confidence",
     )
 
 
@@ -164,7 +186,7 @@ def detections(
         F.col("_w").alias("width"), F.col("_h").alias("height"),
     ).agg(first.alias("first"))
     return distinct.select(
-        *keys, *carried, F.col("first._0").alias("ord"), *RECT, "first.text", "first.confidence"
+        *keys, *carried, F.col("first._0").alias("ord"), *RECT, recognised(F.col("first.text")), "first.confidence"
     )
 
 
@@ -175,9 +197,9 @@ def above_confidence(boxes: DataFrame, threshold) -> DataFrame:
 _MERGED = "array<struct<ord: bigint, x: int, y: int, width: int, height: int, text: string, confidence: int>>"
 
 
-def _join_groups(groups: pd.Series, gaps: pd.Series) -> pd.Series:
-    # A NULL group has a single box and nothing to join; it passes by.
-    return pd.Series([None if boxes is None else join_boxes(boxes, gap) for boxes, gap in zip(groups, gaps)])
+def _join_islands(*columns: pd.Series) -> pd.Series:
+    # An island of one box has nothing to join; its columns are NULL and it passes by.
+    return pd.Series([None if island[0] is None else join_boxes(*island) for island in zip(*columns)])
 
 
 def _cut_along(boxes: DataFrame, keys: list[str], start: str, length: str, gap: Column, name: str) -> DataFrame:
@@ -201,58 +223,32 @@ def _cut_along(boxes: DataFrame, keys: list[str], start: str, length: str, gap:
 _PARTS = ("ord", *RECT, "text", "confidence")
 
 
-def _merge_groups(boxes: DataFrame, groups: list[str], extra: list[str], gap: Column) -> DataFrame:
-    """Join the boxes of each group, one after the other; `groups` have to be of bounded size."""
-    ship_package(boxes.sparkSession)
-    gathered = boxes.groupBy(*groups, *extra).agg(F.array_sort(F.collect_list(F.struct(*_PARTS))).alias("_boxes"))
-    several = F.when(F.size("_boxes") > 1, F.col("_boxes"))
-    joined = F.coalesce(F.pandas_udf(_join_groups, _MERGED)(several, gap), F.col("_boxes"))
-    return gathered.select(*groups, *extra, F.explode(joined).alias("_box")).select(
-        *groups, *extra, *[F.col("_box")[c].alias(c) for c in _PARTS]
-    )
-
-
-def _merge_dense(boxes: DataFrame, frame: list[str], extra: list[str], gap: Column, limit: int) -> DataFrame:
-    """merge_boxes for frames too full for one task."""
-    cut = _cut_along(boxes, frame, "y", "height", gap, "_a")
-    cut = _cut_along(cut, [*frame, "_a"], "x", "width", gap, "_b")
-    island = [*frame, "_a", "_b"]
-    parts = cut.groupBy(*island).agg(F.ceil(F.count("*") / F.lit(limit)).alias("_parts"))
-    dealt = lookup(cut, parts, island, ["ord", *RECT]).withColumn(
-        "_part", F.pmod(F.xxhash64("ord", *RECT), F.col("_parts"))
-    ).drop("_parts")
-    once = _merge_groups(dealt, [*island, "_part"], extra, gap)
-    return _merge_groups(once.drop("_part"), island, extra, gap).drop("_a", "_b")
-
-
-def merge_boxes(boxes: DataFrame, gap=None, frame_limit: int = 5_000) -> DataFrame:
+def merge_boxes(boxes: DataFrame, gap=None) -> DataFrame:
     """Join boxes of a frame whose distance is within `gap` on both axes, until none are left to join.
 
     gap=None reads it from settings.merge_gap; a gap of 0 joins nothing.
 
-    A frame of up to `frame_limit` boxes is joined in one go. A fuller one is first cut into islands along y
-    and x, and an island beyond the limit is dealt into random parts, each joined on its own and their results once
-    more. Rectangles and confidences come out the same whatever the order of joining, and what a part leaves is
-    bounded by the raster, since no two boxes left are near each other. Only in such an island may `text`
-    be put together in another order than one box after the other.
+    Frames are cut into islands along y and then x. Boxes of different islands never come near each other, so every
+    island is joined on its own, one box after the other, with the same result as the whole frame in one go. An island
+    lies in one frame of distinct rectangles: it does not grow with the library.
     """
     if gap is not None and not gap > 0:
         return boxes
+    ship_package(boxes.sparkSession)
     width = F.lit(gap) if gap is not None else F.col("settings.merge_gap")
     columns = boxes.columns
     extra = [c for c in columns if c == "settings"]
     frame = [c for c in columns if c not in (*_PARTS, *extra)]
-    written = materialise(boxes)
-    full = written.groupBy(*frame).agg(F.count("*").alias("_n")).filter(F.col("_n") > frame_limit).select(*frame)
-    if full.isEmpty():
-        return _merge_groups(written, frame, extra, width).select(*columns)
-    spread = ["ord", *RECT]
-    rest = lookup(written, full, frame, spread, "left_anti")
-    dense = lookup(written, full, frame, spread, "left_semi")
-    return (
-        _merge_groups(rest, frame, extra, width).select(*columns)
-        .unionByName(_merge_dense(dense, frame, extra, width, frame_limit).select(*columns))
-    )
+    cut = _cut_along(materialise(boxes), frame, "y", "height", width, "_a")
+    cut = _cut_along(cut, [*frame, "_a"], "x", "width", width, "_b")
+    gathered = cut.groupBy(*frame, "_a", "_b", *extra).agg(F.array_sort(F.collect_list(F.struct(*_PARTS))).alias("_boxes"))
+    several = F.when(F.size("_boxes") > 1, F.col("_boxes"))
+    islands = [several[c] for c in _PARTS]
+    joined = F.coalesce(F.pandas_udf(_join_islands, _MERGED)(*islands, width), F.col("_boxes"))
+    parts = gathered.select(*frame, *extra, F.explode(joined).alias("_box"))
+    return parts.select(*[
+        recognised(F.col("_box")[c]) if c == "text" else F.col("_box")[c].alias(c) if c in _PARTS else F.col(c) for c in columns
+    ])
 
 
 def visible_detections(boxes: DataFrame, settings: Settings | None = Settings()) -> DataFrame:
@@ -282,37 +278,45 @@ def accept_detections(boxes: DataFrame, zones: DataFrame) -> tuple[DataFrame, Da
     return zones.select(*columns).unionByName(added.select(*columns)), boxes.select(*FRAME, *RECT).distinct()
 
 
-STRIP_HEIGHT = 64
-LAST_STRIP = 1023
+#: Cells per axis that the extent of an image's boxes is cut into.
+CELLS = 16
 
 
 def uncovered(boxes: DataFrame, zones: DataFrame, scope: str = "frame") -> DataFrame:
     """Boxes that do not lie wholly inside a single zone of their frame (or, scope="file", of their file).
 
-    Rasters are cut into strips and a box meets only the zones that reach the strip its top edge is in, so even
-    one image with a large share of all boxes is divided. Rows past the last strip share it, which
-    bounds how often a zone is repeated. Of zones with the same corner and width only the tallest can
-    matter, which drops repeated zones before they travel.
+    The extent of each key's boxes is cut into cells on both axes, whatever its size, and a box meets only the zones
+    that reach the cell of its top left corner; a zone is repeated at most once per cell. So even one image with a large
+    share of all boxes is divided. Of zones with the same corner and width only the tallest can matter, which
+    drops repeated zones before they travel.
     """
     keys = FRAME if scope == "frame" else ["image_id"]
     tallest = zones.groupBy(
         *keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), (F.col("x") + F.col("width")).alias("zx1")
     ).agg(F.max(F.col("y") + F.col("height")).alias("zy1"))
-
-    def strip(edge: Column) -> Column:
-        return clamp(F.floor(edge / STRIP_HEIGHT), 0, LAST_STRIP)
-
-    covers = tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0"))).withColumn(
-        "_strip", F.explode(F.sequence(strip(F.col("zy0")), strip(F.col("zy1"))))
+    extent = materialise(boxes.groupBy(*keys).agg(
+        *[f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]
+    ))
+
+    def cell(edge: Column, axis: str) -> Column:
+        low, high = F.col(f"_low{axis}"), F.col(f"_high{axis}")
+        share = (edge.cast("double") - low) / (high.cast("double") - low + 1)
+        return clamp(F.floor(share * CELLS), 0, CELLS - 1).cast("int")
+
+    covers = (
+        tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0"))).join(extent, keys)
+        .withColumn("_across", F.explode(F.sequence(cell(F.col("zx0"), "x"), cell(F.col("zx1"), "x"))))
+        .withColumn("_down", F.explode(F.sequence(cell(F.col("zy0"), "y"), cell(F.col("zy1"), "y"))))
     )
-    b, z = boxes.withColumn("_strip", strip(F.col("y"))).alias("b"), covers.alias("z")
+    placed = boxes.join(extent, keys).withColumns({"_across": cell(F.col("x"), "x"), "_down": cell(F.col("y"), "y")})
+    b, z = placed.alias("b"), covers.alias("z")
     condition = (
         (F.col("b.x") >= F.col("z.zx0"))
         & (F.col("b.y") >= F.col("z.zy0"))
         & (F.col("b.x") + F.col("b.width") <= F.col("z.zx1"))
         & (F.col("b.y") + F.col("b.height") <= F.col("z.zy1"))
     )
-    for key in [*keys, "_strip"]:
+    for key in [*keys, "_across", "_down"]:
         condition = condition & (F.col(f"b.{key}") == F.col(f"z.{key}"))
     return b.join(z, condition, "left_anti").select(*boxes.columns)
 

@@ -291,9 +291,9 @@ def export_v1(
 ) -> DataFrame:
     """The document keyed by combo and raster. Every annotated image needs a digit combo."""
     if check:
-        blocker = export_blockers(images, zones).select("name").head(1)
-        if blocker:
-            raise ValueError(f"{blocker[0]['name']} has zones but no digit combo to export them under.")
+        blocker = export_blockers(images, zones).agg(F.min_by("name", "import_idx").alias("name"), F.count("*").alias("n")).first()
+        if blocker["n"]:
+            raise ValueError(f"{blocker['name']} has zones but no digit combo to export them under.")
     union = materialise(layout_union(images, zones, layouts, layout_zones))
     # JavaScript lists keys that are plain integers first, in ascending order, then the rest as first seen.
     plain = F.col("combo").rlike(r"^(0|[1-9][0-9]{0,9})\z") & (F.col("combo").try_cast("bigint") < 2**32 - 1)

@@ -124,7 +124,8 @@ def preview_counts(images: DataFrame, zones: DataFrame, union: DataFrame) -> Dat
     identity = [*LAYOUT_KEY, *ZONE]
     distinct_own = own.select("image_id", *identity).distinct()
     shared = (
-        lookup(distinct_own, union.select(*identity), identity, ["image_id"])
+        # A whole zone is no hot key, so the union is not repeated.
+        distinct_own.join(union.select(*identity), identity)
         .groupBy("image_id").agg(F.count("*").alias("_shared"))
     )
     own_counts = own.groupBy("image_id").agg(F.count("*").alias("_own"))

@@ -182,8 +182,8 @@ def price_plan(
     return price.select("added", "frames", "files", "replaced", duplicates.alias("duplicates"), "offered")
 
 
-def describe_plan(price: DataFrame) -> DataFrame:
-    """The price as a sentence."""
+def describe_plan(price: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """The price as a sentence. With the source's zones given, a source without any is named as the reason."""
 
     def boxes(c: str) -> Column:
         return F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, " box").otherwise(" boxes"))
@@ -199,8 +199,12 @@ def describe_plan(price: DataFrame) -> DataFrame:
     nothing = F.when(F.col("duplicates") > 0, "Every eligible frame already has these boxes.").otherwise(
         "No eligible destination frames."
     )
-    return price.select(
-        F.when(F.col("frames") == 0, nothing).otherwise(F.array_join(F.array_compact(parts), " · ")).alias("text")
+    held = price.withColumn("_held", F.lit(1))
+    if source is not None:
+        held = beside_each_other(price, source.agg(F.count("*").alias("_held")))
+    return held.select(
+        F.when(F.col("_held") == 0, "This frame has no boxes to copy.").when(F.col("frames") == 0, nothing)
+        .otherwise(F.array_join(F.array_compact(parts), " · ")).alias("text")
     )
 
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonespark.functions.identifying import is_identifying_tag
 from zonespark.functions.tags import format_tag, is_private_tag
@@ -52,9 +53,16 @@ def search_tags(tags: DataFrame, query: str = "", filter: str = "all") -> DataFr
     return kept.filter(hit)
 
 
-def tag_page(tags: DataFrame, page: int, size: int = PAGE) -> DataFrame:
-    """One page of the tags of an image, in file order."""
-    return tags.orderBy("image_id", "row_idx").offset(page * size).limit(size)
+def tag_page(tags: DataFrame, page: int, size: int = PAGE, image_id: str | None = None) -> DataFrame:
+    """One page of the tags of a file, in file order; without image_id that page of every file.
+
+    Tags are numbered within their file, so a page costs the same wherever the file stands.
+    """
+    chosen = tags if image_id is None else tags.filter(F.col("image_id") == image_id)
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("row_idx"))
+    first = page * size
+    ranked = chosen.withColumn("_place", place).filter((F.col("_place") > first) & (F.col("_place") <= first + size))
+    return ranked.orderBy("image_id", "_place").drop("_place")
 
 
 def tag_counts(tags: DataFrame, per_image: bool = False) -> DataFrame:

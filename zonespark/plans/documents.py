@@ -19,11 +19,13 @@ from zonespark.plans.ordering import lookup, materialise
 class Level:
     """Rows of one nesting depth: key columns (the parent's first), `order`, `open`, `close`.
 
-    `order` has to be unique among the rows of one parent. A row without `close` is closed already.
+    `order` has to be unique among the rows of one parent. A row without `close` is closed already. `few_parents` says
+    that the level above has few rows with many below each, so that it is repeated to divide them.
     """
 
     rows: DataFrame
     keys: list[str]
+    few_parents: bool = True
 
 
 def literal(value) -> str:
@@ -69,7 +71,7 @@ def document(head: str, levels: list[Level], tail: str, comma: str = ",") -> Dat
         else:
             parent = levels[i - 1].keys
             ends = rows.groupBy(*parent).agg(F.max("order").alias("_max"))
-            rows = lookup(rows, above.join(ends, parent), parent, ["order"])
+            rows = lookup(rows, above.join(ends, parent), parent, ["order"], copies=16 if level.few_parents else 1)
             rows = rows.withColumn("_last", F.col("order") == F.col("_max"))
         path = [(F.col(f"_o{j}"), 1) for j in range(i)]
         here = F.col("order")

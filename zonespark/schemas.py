@@ -34,3 +34,6 @@ OCR_RAW = f"image_id STRING, frame_index INT, scale DOUBLE, blocks ARRAY<{_BLOCK
 
 # Columns an image table keeps when it is persisted; anything else a caller added is dropped.
 IMAGE_RECORD = [name for name in names_of(IMAGES) if name != "has_source"]
+
+#: Metadata mark of a column that holds text recognised on an image.
+RECOGNISED = "recognised_text"

@@ -5,7 +5,7 @@ Recognised text must not leave the detection tables: every writer refuses a tabl
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonespark.export_schema import ExportSchema
@@ -13,16 +13,21 @@ from zonespark.functions.text import json_quote
 from zonespark.operators import export as X
 from zonespark.operators.templates import template_order
 from zonespark.plans.documents import Level, document, literal, members, write_document
-from zonespark.schemas import DEVICE, FRAME, RECT, ZONE
+from zonespark.schemas import DEVICE, FRAME, RECOGNISED, RECT, ZONE
 
 PRODUCT = "zonespark"
 
 
 def refuse_text(*tables: DataFrame | None) -> None:
-    """Stop a table with recognised text from being written."""
+    """Stop a table with recognised text from being written, under whatever name the text goes.
+
+    Columns of recognised text carry a mark in their metadata, which renaming and joins keep; one called text is refused
+    in any case.
+    """
     for table in tables:
-        if table is not None and "text" in table.columns:
-            raise ValueError("A table with recognised text cannot be exported.")
+        for column in table.schema if table is not None else ():
+            if column.metadata.get(RECOGNISED) or column.name.lower() == "text":
+                raise ValueError(f"The column {column.name} holds recognised text and cannot be exported.")
 
 
 def write_export(
@@ -31,7 +36,7 @@ def write_export(
     schemas: list[ExportSchema] = (), locale: bool = False,
 ) -> str:
     """Write an export below `path`, in a folder named like the document; the folder's name is returned."""
-    refuse_text(zones, layout_zones)
+    refuse_text(images, zones, layouts, layout_zones)
     fragments, name = X.export(format, images, zones, generated_at, layouts, layout_zones, schemas, locale)
     write_document(fragments, f"{path}/{name}")
     return f"{path}/{name}"
@@ -39,7 +44,7 @@ def write_export(
 
 def write_export_tables(path: str, tables: X.ExportTables, format: str = "parquet") -> None:
     """The same groups as three tables, for corpora read by machines: rows, sizes and zones."""
-    refuse_text(tables.zones)
+    refuse_text(tables.rows, tables.sizes, tables.zones)
     for name in ("rows", "sizes", "zones"):
         getattr(tables, name).write.mode("errorifexists").format(format).save(f"{path}/{name}")
 
@@ -53,7 +58,7 @@ def _zone_leaves(zones: DataFrame, keys: list[str], indent: int) -> Level:
             *keys, F.struct("ord", *ZONE).alias("order"), text.alias("open"),
             F.lit(None).cast("string").alias("close"),
         ),
-        [*keys, "order"],
+        [*keys, "order"], few_parents=False,
     )
 
 
@@ -99,11 +104,54 @@ def backup_document(images: DataFrame, zones: DataFrame, generated_at: str, form
         "{\n" + f'  "format": {literal(format)},\n  "version": 1,\n  "generated_at": {literal(generated_at)},\n'
         + '  "images": ['
     )
-    levels = [Level(entries, ["image_id"]), Level(lists, FRAME), _zone_leaves(zones, FRAME, 10)]
+    levels = [Level(entries, ["image_id"]), Level(lists, FRAME, False), _zone_leaves(zones, FRAME, 10)]
     return document(start, levels, "  ]\n}")
 
 
+def _listed_zones(zones: DataFrame, keys: list[str]) -> DataFrame:
+    """The zones of each key as one array in their order. A key is a frame or a template, never a whole library."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", *[F.coalesce(c, F.lit("")).alias(c) if c == "note" else c for c in ZONE])))
+    return zones.groupBy(*keys).agg(F.transform(ordered, lambda z: F.struct(*[z[c].alias(c) for c in ZONE])).alias("zones"))
+
+
+def _records(kind: str, items: str, entry, generated_at: str, format: str | None):
+    """A document with a single entry, as one line of JSON."""
+    head = (F.lit(format or f"{PRODUCT}-{kind}").alias("format"), F.lit(1).alias("version"), F.lit(generated_at).alias("generated_at"))
+    return F.to_json(F.struct(*head, F.array(entry).alias(items))).alias("value")
+
+
+def backup_records(images: DataFrame, zones: DataFrame, generated_at: str, format: str | None = None) -> DataFrame:
+    """A backup as records: every row is an annotation backup of one image, so any number of files is still a backup."""
+    refuse_text(images, zones)
+    lists = _listed_zones(zones, FRAME).groupBy("image_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("frame_index").cast("string"), "zones"))).alias("frames")
+    )
+    have = images.columns
+    names = {"id": "image_id", "filenameWidth": "filename_width", "filenameHeight": "filename_height", "frameCount": "frame_count",
+             "frameIndex": "open_frame", **{c: c for c in ("name", "path", "combo", "width", "height", "sample", "kind")}}
+    metadata = {"sopClass": "sop_class", "transferSyntax": "transfer_syntax", "bits": "bits",
+                **{c: c for c in (*DEVICE, "modality", "photometric") if c != "sop_class"}}
+    display = {"windowWidth": "window_width", "windowCenter": "window_center", "invert": "invert"}
+
+    def part(fields: dict[str, str]) -> list:
+        return [F.col(c).alias(k) for k, c in fields.items() if c in have]
+
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(lists.schema["frames"].dataType.valueType.simpleString().join(["array<", ">"])))
+    entry = F.struct(
+        *part(names), F.struct(*part(metadata)).alias("metadata"), *([F.struct(*part(display)).alias("display")] if part(display) else []),
+        F.coalesce("frames", empty).alias("frames"),
+    )
+    return images.join(lists, "image_id", "left").select("import_idx", "image_id", _records("project", "images", entry, generated_at, format))
+
+
 def write_backup(path: str, images: DataFrame, zones: DataFrame, generated_at: str) -> None:
+    """Write a backup as records, sorted as the library is."""
+    rows = backup_records(images, zones, generated_at)
+    rows.orderBy("import_idx", "image_id").select("value").write.mode("errorifexists").text(path)
+
+
+def write_backup_document(path: str, images: DataFrame, zones: DataFrame, generated_at: str) -> None:
+    """Write a backup as the single document other tools read; the part files put one after the other are it."""
     write_document(backup_document(images, zones, generated_at), path)
 
 
@@ -131,15 +179,31 @@ def templates_document(
     return document(start, levels, "  ]\n}")
 
 
+def template_records(templates: DataFrame, template_zones: DataFrame, generated_at: str, format: str | None = None) -> DataFrame:
+    """Templates as records: every row is a template file of one template."""
+    refuse_text(templates, template_zones)
+    lists = _listed_zones(template_zones, ["template_id"])
+    entry = F.struct(F.col("template_id").alias("id"), "name", "combo", "width", "height", "zones", F.col("created_at").alias("createdAt"))
+    record = _records("templates", "templates", entry, generated_at, format)
+    return templates.join(lists, "template_id", "left").select(*templates.columns, record)
+
+
 def write_templates(path: str, templates: DataFrame, template_zones: DataFrame, generated_at: str) -> None:
+    """Write templates as records in their listing order."""
+    rows = template_records(templates, template_zones, generated_at)
+    rows.orderBy(*template_order(), "template_id").select("value").write.mode("errorifexists").text(path)
+
+
+def write_templates_document(path: str, templates: DataFrame, template_zones: DataFrame, generated_at: str) -> None:
+    """Write templates as the single document other tools read."""
     write_document(templates_document(templates, template_zones, generated_at), path)
 
 
-def write_export_schemas(path: str, schemas: list[ExportSchema], generated_at: str) -> None:
-    """Export schemas as one small exchange file."""
+def write_export_schemas(spark: SparkSession, path: str, schemas: list[ExportSchema], generated_at: str) -> None:
+    """Export schemas as one small exchange file in a folder, on whatever storage Spark writes to."""
     body = {
         "format": f"{PRODUCT}-schema", "version": 1, "generated_at": generated_at,
         "schemas": [schema.as_dict() for schema in schemas],
     }
-    with open(path, "x", encoding="utf-8") as file:
-        json.dump(body, file, ensure_ascii=False, indent=2)
+    text = json.dumps(body, ensure_ascii=False, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)

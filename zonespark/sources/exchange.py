@@ -27,6 +27,25 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def documents_in(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a file or folder as rows (path, text): whole files, or the records of files written as such.
+
+    A folder holds either one or the other. Records are lines that are documents of their own, so files of any size are
+    read in parts; whether a folder has them shows in its first line. Records are named so that they sort as they stand.
+    """
+    first = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "").limit(1)
+    if first.filter(V.is_one_value(F.col("value"))).isEmpty():
+        return text_files(spark, path)
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.concat_ws(
+            "#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+            F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
+        ).alias("path"),
+        F.col("value").alias("text"),
+    )
+    return lines.filter(F.trim("text") != "")
+
+
 def _zone_columns(zone: Column) -> list[Column]:
     numbers = [V.integer(V.member(zone, c)).alias(c) for c in ZONE[:-1]]
     return [*numbers, V.text(V.member(zone, "note")).alias("note")]
@@ -54,9 +73,10 @@ def _ints(*names: str) -> list[Column]:
 
 def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(layouts, layout_zones, rejects) of files keyed by combo and raster. Nothing arrives promoted."""
+    whole = F.when(V.is_one_value(F.col("text")), F.col("text"))
     top = materialise(
         files.select(
-            "path", F.from_json("text", "struct<annotations: map<string, string>>")["annotations"].alias("annotations")
+            "path", F.from_json(whole, "struct<annotations: map<string, string>>")["annotations"].alias("annotations")
         )
     )
     # A repeated key stands where it came first and means what it says last.
@@ -133,16 +153,19 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_layouts(text_files(spark, path))
+    return parse_layouts(documents_in(spark, path))
 
 
-def _envelope(files: DataFrame, items: str, kind: str) -> DataFrame:
-    """Files as (path, items); items is NULL unless the envelope is of the kind and version read here.
+def _envelope(files: DataFrame, items: str, kind: str, products: list[str] | None) -> DataFrame:
+    """Files as (path, items); items is NULL unless the envelope is of the kind, version and product read here.
 
-    The kind is the last part of the format name, so files keep loading whatever product wrote them.
+    A format is the name of a product and the kind. Files of any product load unless `products` lists the ones to accept.
     """
-    body = F.from_json("text", f"struct<format: variant, version: variant, {items}: array<variant>>")
-    known = V.text(F.col("body.format")).endswith(f"-{kind}") & (V.integer(F.col("body.version")) == 1)
+    whole = F.when(V.is_one_value(F.col("text")), F.col("text"))
+    body = F.from_json(whole, f"struct<format: variant, version: variant, {items}: array<variant>>")
+    format = V.text(F.col("body.format"))
+    accepted = format.endswith(f"-{kind}") if products is None else format.isin([f"{p}-{kind}" for p in products])
+    known = accepted & (V.integer(F.col("body.version")) == 1)
     parsed = files.select("path", body.alias("body")).select("path", F.when(known, F.col(f"body.{items}")).alias("items"))
     return materialise(parsed)
 
@@ -151,9 +174,11 @@ def _positive(name: str) -> Column:
     return F.coalesce(F.col(name) > 0, F.lit(False))
 
 
-def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_backup(
+    files: DataFrame, sources: DataFrame | None = None, products: list[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, zones, rejects) of annotation backups. `sources` lists the image_id of files at hand."""
-    top = _envelope(files, "images", "project")
+    top = _envelope(files, "images", "project", products)
     entries = top.select("path", F.posexplode("items").alias("pos", "image"))
 
     def text(name: str) -> Column:
@@ -249,9 +274,9 @@ def parse_backup(files: DataFrame, sources: DataFrame | None = None) -> tuple[Da
 
 
 def read_backup(
-    spark: SparkSession, path: str, sources: DataFrame | None = None
+    spark: SparkSession, path: str, sources: DataFrame | None = None, products: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_backup(text_files(spark, path), sources)
+    return parse_backup(documents_in(spark, path), sources, products)
 
 
 def rekey(rows: DataFrame, keys: list[str], id_column: str, place: list[str]) -> DataFrame:
@@ -270,10 +295,10 @@ def rekey(rows: DataFrame, keys: list[str], id_column: str, place: list[str]) ->
 
 
 def parse_templates(
-    files: DataFrame, known: DataFrame | None = None, created_at: str = ""
+    files: DataFrame, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(templates, template_zones, rejects). Ids in `known` are skipped; `created_at` fills a missing time."""
-    top = _envelope(files, "templates", "templates")
+    top = _envelope(files, "templates", "templates", products)
     entries = top.select("path", F.posexplode("items").alias("pos", "t"))
 
     def text(name: str) -> Column:
@@ -328,14 +353,19 @@ def parse_templates(
 
 
 def read_templates(
-    spark: SparkSession, path: str, known: DataFrame | None = None, created_at: str = ""
+    spark: SparkSession, path: str, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_templates(text_files(spark, path), known, created_at)
-
-
-def read_export_schemas(path: str, known: list[ExportSchema] = ()) -> list[ExportSchema]:
-    """The schemas of one exchange file that are not known yet: a handful of settings, read by the driver."""
-    with open(path, encoding="utf-8") as file:
-        schemas = validate_schema_file(json.load(file))
+    return parse_templates(documents_in(spark, path), known, created_at, products)
+
+
+def read_export_schemas(spark: SparkSession, path: str, known: list[ExportSchema] = ()) -> list[ExportSchema]:
+    """The schemas of one exchange file that are not known yet: a handful of settings, wherever Spark can read them."""
+    files = text_files(spark, path).limit(2).collect()
+    if len(files) != 1:
+        raise ValueError("A schema file is one file.")
+    try:
+        given = json.loads(files[0]["text"])
+    except json.JSONDecodeError as error:
+        raise ValueError("Not a schema file.") from error
     ids = {schema.id for schema in known}
-    return [schema for schema in schemas if schema.id not in ids]
+    return [schema for schema in validate_schema_file(given) if schema.id not in ids]

@@ -15,13 +15,17 @@ from zonespark.schemas import IMAGES
 from zonespark.sources.images import importable, inspect_files
 
 _RECONNECTED = "image_id STRING"
+_REJECTS = "path STRING, error STRING"
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     with_batch = f"{schema}, batch BIGINT"
     try:
         return spark.read.schema(with_batch).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Only a table that no batch has written yet is empty; any other failure must not pass for one.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], with_batch)
 
 
@@ -34,10 +38,16 @@ def read_library(spark: SparkSession, library_path: str, before: int | None = No
     return reconnect(added.drop("batch"), back)
 
 
+def read_rejects(spark: SparkSession, library_path: str) -> DataFrame:
+    """Files that could not be imported, with the reason and the batch that met them."""
+    return _table(spark, f"{library_path}/rejects", _REJECTS)
+
+
 def import_batch(files: DataFrame, batch: int, library_path: str) -> None:
     """Add the new contents of one batch of files to the library."""
     library = read_library(files.sparkSession, library_path, batch)
-    images, _ = inspect_files(importable(files))
+    images, rejects = inspect_files(importable(files))
+    rejects.select("path", "error").write.mode("overwrite").parquet(f"{library_path}/rejects/batch={batch}")
     outcomes = import_outcomes(library, images)
     columns = [F.col(c).cast(kind).alias(c) for c, kind in (column.split() for column in IMAGES.split(","))]
     added_images(library, outcomes).select(*columns).write.mode("overwrite").parquet(
@@ -61,7 +71,7 @@ def stream_import(
 ) -> StreamingQuery:
     """Watch a folder and import what appears. once=True takes what is there and stops.
 
-    A file that cannot be read as an image is left out and does not stop the stream.
+    A file that cannot be read as an image does not stop the stream; read_rejects lists it.
     """
     files = (
         spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
