@@ -6,7 +6,9 @@ point on a Hilbert curve orders the corpus. Range partitions of the curve are cu
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from zonespark.shipping import ship_package
 DIMENSIONS, BITS = 4, 15
 #: Dimensions of a hashed document vector.
 HASHED = 256
-#: Words whose tokens a task remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Entries of each of the two halves of a worker's memory of words, and of runs inside words.
+REMEMBERED = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,11 +85,24 @@ def _shown_bytes() -> dict[int, int]:
     return {b: b for b in visible} | {b: 256 + n for n, b in enumerate(hidden)}
 
 
+class _Remembered:
+    """A bounded memory: what was used among the last REMEMBERED new entries, or the REMEMBERED before, is known."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def put(self, key, value):
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+        return value
+
+
 class _Words:
     """Token ids of words as little-endian unsigned 32-bit bytes, remembered from their first use on."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.known, self.runs = tokenizer, tokenizer.model, {}, {}
+        self.tokenizer, self.model, self.known, self.runs = tokenizer, tokenizer.model, _Remembered(), _Remembered()
         form = json.loads(tokenizer.to_str())
         steps = [x["type"] for x in (form.get("normalizer") or {}).get("normalizers", [])]
         first = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -96,12 +111,13 @@ class _Words:
 
     def _run(self, run: str) -> bytes:
         """Ids of one run of letters or of marks, straight from the vocabulary's merges."""
-        found = self.runs.get(run)
+        found = self.runs.young.get(run)
         if found is None:
-            if len(self.runs) >= REMEMBERED:
-                self.runs.clear()
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
-            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.runs.old.get(run)
+            if found is None:
+                shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.runs.put(run, found)
         return found
 
     def _read(self, word: bytes) -> bytes:
@@ -112,16 +128,26 @@ class _Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, words: list[bytes]) -> bytes:
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            for n, (word, ids) in enumerate(zip(words, found)):
-                if ids is None:
-                    found[n] = self.known[word] = self._read(word)
+        found = list(map(self.known.young.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            word = words[at]
+            # The word may have come up a moment ago in the same list.
+            ids = self.known.young.get(word)
+            if ids is None:
+                ids = self.known.old.get(word)
+                ids = self.known.put(word, self._read(word) if ids is None else ids)
+            found[at] = ids
         return b"".join(found)
 
 
+@lru_cache(maxsize=2)
+def _words(name: str) -> _Words:
+    """One memory per Python worker, so that a later task goes on with what an earlier one has read."""
+    return _Words(_tokenizer(name))
+
+
 def _tokenizer(name: str):
     import os
 
@@ -144,7 +170,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, row, key (place on the curve), doc_tokens and ids (little-endian unsigned 32-bit) of every row, written."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, directions = _Words(_tokenizer(tokenizer)), _directions()
+        words, directions = _words(tokenizer), _directions()
         hashed = _mix(np.arange(max(words.tokenizer.get_vocab_size(), end_id + 1)))
         buckets, signs = (hashed % np.uint64(HASHED)).astype(np.int64), np.where(hashed >> np.uint64(63), 1.0, -1.0)
         for batch in batches:
