@@ -35,6 +35,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(table)
 
 
+def smallest_hashes(ids: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most `bound` rows of ids, those whose key has the smallest hashes: a fixed sample that grows with nothing.
+
+    Hashes far beyond the bound are left out before the sort, so that what tasks hand on does not grow with their number.
+    """
+    hashed = F.xxhash64(key)
+    share = min(1.0, 1.25 * bound / max(ids.count(), 1))
+    near = ids.filter(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    return near.orderBy(F.pmod(hashed, F.lit(1 << 30)), key).limit(bound)
+
+
 def split_blocks(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """A text in blocks of about `size` bytes, cut only at a gap between words, so long texts take bounded memory."""
     start = 0

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.llm.common import pick, word_blocks
+from zonespark.llm.common import pick, smallest_hashes, word_blocks
 from zonespark.shipping import ship_package
 
 #: Kinds of bytes that the text view counts in pairs; the last two are the bytes of characters beyond ASCII.
@@ -165,11 +165,11 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_unlabelled: int = 6000) -> Classifier | None:
     """Co-train on at most max_labelled labelled and max_unlabelled other documents, those with the smallest hashed ids."""
-    order = [F.xxhash64("doc_id"), "doc_id"]
     rated = pick(labels, "doc_id", "quality").dropna().groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = rated.orderBy(*order).limit(max_labelled)
+    known = smallest_hashes(rated, "doc_id", max_labelled)
     ids = pick(docs, "doc_id").select(F.col("doc_id").cast("long")).dropna()
-    other = ids.join(rated, "doc_id", "left_anti").distinct().orderBy(*order).limit(max_unlabelled).withColumn("quality", F.lit(-1))
+    unrated = ids.join(rated, "doc_id", "left_anti").distinct()
+    other = smallest_hashes(unrated, "doc_id", max_unlabelled).withColumn("quality", F.lit(-1))
     # Broadcast: both samples have a bound.
     chosen = F.broadcast(known.unionByName(other.withColumn("quality", F.col("quality").cast(known.schema["quality"].dataType))))
     rows = _feature_rows(_inputs(docs).join(chosen.select("doc_id"), "doc_id", "left_semi")).groupBy("doc_id").agg(

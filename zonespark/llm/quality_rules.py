@@ -12,7 +12,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.llm.common import GAP, pick
+from zonespark.llm.common import GAP, pick, smallest_hashes
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -199,10 +199,8 @@ def learn_rules(
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list[dict]:
     """Features of at most max_labelled labelled documents, those with the smallest hashed ids, a third held for pruning."""
-    chosen = (
-        pick(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    )
+    rated = pick(labels, "doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = smallest_hashes(rated, "doc_id", max_labelled)
     # Broadcast: at most max_labelled rows of two numbers.
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = with_statistics(texts).select(

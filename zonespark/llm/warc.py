@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonespark.llm.common import keep, pick
+from zonespark.llm.common import keep, pick, smallest_hashes
 from zonespark.plans.ordering import shared_folder
 from zonespark.shipping import ship_package
 
@@ -157,10 +157,13 @@ def write_archives(
     rows = pick(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    samples = (
-        pick(pages, "page_id", "html").select(F.substring("html", 1, max_sample_chars).alias("html"), F.xxhash64("page_id").alias("h"))
-        .filter("length(html) > 0").orderBy("h", "html").limit(max_samples).collect()
+    ids = pick(pages, "page_id").dropna().distinct()
+    # Broadcast: at most max_samples ids.
+    chosen = F.broadcast(smallest_hashes(ids, "page_id", max_samples))
+    sampled = pick(pages, "page_id", "html").join(chosen, "page_id").groupBy("page_id").agg(
+        F.min(F.substring("html", 1, max_sample_chars)).alias("html")
     )
+    samples = sampled.filter("length(html) > 0").orderBy("page_id").collect()
     dictionary = train_dictionary([r["html"].encode() for r in samples], dictionary_bytes)
     light = rows.select("page_id", "digest", F.octet_length("payload").alias("size"))
     shared = keep(
