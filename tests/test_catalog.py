@@ -4,10 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from zonespark.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-WITHOUT_SQL = {"D3_merge_boxes", "D4_visible_detections", "D8_profile_sweep_merged"}
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +14,9 @@ def con():
     return connect(SF)
 
 
-def test_only_iterative_merging_goes_without_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

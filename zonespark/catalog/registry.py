@@ -9,6 +9,8 @@ from zonespark.plans.ordering import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The same queries as functions of Tables, for callers that have the views stored already.
+BUILDERS: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -31,6 +33,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes:
     """Register a function of Tables under a name. `sql` follows the views and further CTEs it needs."""
 
     def register(build: Callable[[Tables], DataFrame]):
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
             if views:
