@@ -5,13 +5,12 @@ point on a Hilbert curve orders the corpus. Range partitions of the curve are cu
 """
 
 import json
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ DIMENSIONS, BITS = 4, 15
 HASHED = 256
 #: Entries of each of the two halves of a worker's memory of words, and of runs inside words.
 REMEMBERED = 200_000
+#: Texts read at once.
+GROUP_BYTES = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,8 +75,10 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 # The shape of vocabularies that lower-case a text and split letters from marks, as their files state it.
 _LOWERING = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that such a vocabulary reads as one run of letters and then one of marks. In Latin-1, case and form are plain.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Marks that may end a word and form one run; an apostrophe may not, as it starts runs of its own.
+_MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Letters of Latin-1 that have no plain case or are written as compatibility forms.
+_ODD_LETTERS = "ªµº"
 
 
 def _shown_bytes() -> dict[int, int]:
@@ -109,25 +112,37 @@ class _Words:
         self.lowering = steps == _LOWERING and (first.get("pattern") or {}).get("Regex") == _SPLIT
         self.shown = _shown_bytes()
 
-    def _run(self, run: str) -> bytes:
-        """Ids of one run of letters or of marks, straight from the vocabulary's merges."""
+    def _run(self, run: bytes) -> bytes:
+        """Ids of one run of lower-case letters or of marks, straight from the vocabulary's merges."""
         found = self.runs.young.get(run)
         if found is None:
             found = self.runs.old.get(run)
             if found is None:
-                shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
-                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                shown = run.decode("latin-1")
+                shown = shown if run.isascii() else shown.translate(self.shown)
+                found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
             self.runs.put(run, found)
         return found
 
+    def _split(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word as letters, in lower case, and marks, if it is plainly that and the vocabulary reads it so."""
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha():
+            return letters.lower(), word[len(letters) :]
+        text = letters.decode("utf-8", "replace")
+        # Letters of Latin-1 are single characters whatever the normal form, and have single lower-case ones.
+        if text.isalpha() and max(text) <= "ÿ" and not any(c in text for c in _ODD_LETTERS):
+            return text.lower().encode(), word[len(letters) :]
+        return None
+
     def _read(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text) if self.lowering else None
-        if plain:
-            return self._run(plain[1].lower()) + (self._run(plain[2]) if plain[2] else b"")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self._split(word) if self.lowering else None
+        if parts:
+            return self._run(parts[0]) + self._run(parts[1]) if parts[1] else self._run(parts[0])
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, words: list[bytes]) -> bytes:
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
         found = list(map(self.known.young.get, words))
         at = -1
         for _ in range(found.count(None)):
@@ -139,7 +154,7 @@ class _Words:
                 ids = self.known.old.get(word)
                 ids = self.known.put(word, self._read(word) if ids is None else ids)
             found[at] = ids
-        return b"".join(found)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -162,10 +177,40 @@ def _tokenizer(name: str):
 
 def document_ids(text: bytes, words: _Words, end_id: int) -> bytes:
     """The ids of a whole document, its end id last. The vocabulary drops white space, so words are read one by one."""
-    parts = [words.ids(block) for block in word_blocks(text)]
+    parts = [b"".join(words.ids(block)) for block in word_blocks(text)]
     return b"".join([*parts, np.array([end_id], "<u4").tobytes()])
 
 
+def documents_ids(texts: pa.StringArray, words: _Words, end_id: int) -> list[bytes]:
+    """document_ids of many texts at once: every different word is read once, and its ids are laid out by index."""
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    read = words.ids(coded.dictionary.cast(pa.binary()).to_pylist())
+    pool = np.frombuffer(b"".join([*read, np.array([end_id], "<u4").tobytes()]), "<u4")
+    sizes = np.array([*(len(r) // 4 for r in read), 1])
+    # An end id follows the words of each document.
+    counts = split.value_lengths().to_numpy()
+    ends = np.cumsum(counts)
+    order = np.insert(coded.indices.to_numpy(), ends, len(read))
+    lengths = sizes[order]
+    last = np.cumsum(lengths)
+    first = (np.cumsum(sizes) - sizes)[order]
+    laid = pool[np.repeat(first - (last - lengths), lengths) + np.arange(last[-1])]
+    stops = last[ends + np.arange(len(counts))]
+    return [part.tobytes() for part in np.split(laid, stops[:-1])]
+
+
+def _grouped(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive rows in groups of up to GROUP_BYTES of text; a longer text is a group of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + GROUP_BYTES, "right")), start + 1)
+        yield start, stop
+        start = stop
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, row, key (place on the curve), doc_tokens and ids (little-endian unsigned 32-bit) of every row, written."""
 
@@ -174,9 +219,12 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         hashed = _mix(np.arange(max(words.tokenizer.get_vocab_size(), end_id + 1)))
         buckets, signs = (hashed % np.uint64(HASHED)).astype(np.int64), np.where(hashed >> np.uint64(63), 1.0, -1.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [document_ids(t.as_buffer().to_pybytes(), words, end_id) for t in part.column(2)]
+            for start, stop in _grouped(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                if stop - start == 1:
+                    ids = [document_ids(part.column(2)[0].as_buffer().to_pybytes(), words, end_id)]
+                else:
+                    ids = documents_ids(part.column(2), words, end_id)
                 vectors = np.zeros((len(ids), HASHED))
                 for n, found in enumerate(ids):
                     places = np.frombuffer(found, "<u4")
@@ -189,7 +237,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     texts = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"),
-        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
     return keep(texts.mapInArrow(tokenise, "doc_id long, row long, key long, doc_tokens long, ids binary"))
 
