@@ -22,8 +22,8 @@ from zonespark.shipping import ship_package
 DIMENSIONS, BITS = 4, 15
 #: Dimensions of a hashed document vector.
 HASHED = 256
-#: Entries of each of the two halves of a worker's memory of words, and of runs inside words.
-REMEMBERED = 200_000
+#: Entries of each of the two halves of a worker's memory of runs.
+REMEMBERED = 400_000
 #: Texts read at once.
 GROUP_BYTES = 8 << 20
 
@@ -102,28 +102,36 @@ class _Remembered:
 
 
 class _Words:
-    """Token ids of words as little-endian unsigned 32-bit bytes, remembered from their first use on."""
+    """Token ids of words as little-endian unsigned 32-bit bytes; the runs that words are made of are remembered."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.known, self.runs = tokenizer, tokenizer.model, _Remembered(), _Remembered()
+        self.tokenizer, self.model, self.runs = tokenizer, tokenizer.model, _Remembered()
         form = json.loads(tokenizer.to_str())
         steps = [x["type"] for x in (form.get("normalizer") or {}).get("normalizers", [])]
         first = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.lowering = steps == _LOWERING and (first.get("pattern") or {}).get("Regex") == _SPLIT
         self.shown = _shown_bytes()
 
-    def _run(self, run: bytes) -> bytes:
-        """Ids of one run of lower-case letters or of marks, straight from the vocabulary's merges."""
+    def _run(self, run: bytes, read) -> bytes:
+        """The ids of a run, from memory or by reading it; very long ones are not worth the memory."""
+        if len(run) > 64:
+            return read(run)
         found = self.runs.young.get(run)
         if found is None:
             found = self.runs.old.get(run)
-            if found is None:
-                shown = run.decode("latin-1")
-                shown = shown if run.isascii() else shown.translate(self.shown)
-                found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.runs.put(run, found)
+            found = self.runs.put(run, read(run) if found is None else found)
         return found
 
+    def _merged(self, run: bytes) -> bytes:
+        """Ids of one run of lower-case letters or of marks, straight from the vocabulary's merges."""
+        shown = run.decode("latin-1")
+        shown = shown if run.isascii() else shown.translate(self.shown)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
+    def _encoded(self, word: bytes) -> bytes:
+        """Ids of a word as the tokenizer gives them."""
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def _split(self, word: bytes) -> tuple[bytes, bytes] | None:
         """A word as letters, in lower case, and marks, if it is plainly that and the vocabulary reads it so."""
         letters = word.rstrip(_MARKS)
@@ -135,25 +143,17 @@ class _Words:
             return text.lower().encode(), word[len(letters) :]
         return None
 
-    def _read(self, word: bytes) -> bytes:
-        parts = self._split(word) if self.lowering else None
-        if parts:
-            return self._run(parts[0]) + self._run(parts[1]) if parts[1] else self._run(parts[0])
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
     def ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word."""
-        found = list(map(self.known.young.get, words))
-        at = -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            word = words[at]
-            # The word may have come up a moment ago in the same list.
-            ids = self.known.young.get(word)
-            if ids is None:
-                ids = self.known.old.get(word)
-                ids = self.known.put(word, self._read(word) if ids is None else ids)
-            found[at] = ids
+        found = []
+        for word in words:
+            parts = self._split(word) if self.lowering else None
+            if parts is None:
+                found.append(self._run(word, self._encoded))
+            elif parts[1]:
+                found.append(self._run(parts[0], self._merged) + self._run(parts[1], self._merged))
+            else:
+                found.append(self._run(parts[0], self._merged))
         return found
 
 
