@@ -2,7 +2,6 @@
 
 import json
 import os
-import re
 import sys
 import time
 from pathlib import Path
@@ -12,11 +11,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-import __spark_entry__  # noqa: E402
 from zonespark.catalog.registry import BUILDERS, Tables  # noqa: E402
 
 VIEWS = ["img", "ims", "zon", "nz", "det", "reg", "tight", "lay", "lays", "lay2", "lays2", "tag", "fil"]
-RUNS = 3
+#: Runs per query, of which the median counts.
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 HEADLINES = [
     "F2_search_images", "A2_filter_counts", "A3_group_library", "A6_layout_union", "A8_export_rows", "A11_combo_conflicts",
@@ -50,10 +49,6 @@ def main() -> None:
     seconds = {
         name: round(median(timed(lambda name=name: BUILDERS[name](tables)) for _ in range(RUNS)), 3) for name in HEADLINES
     }
-    # The training-data queries read the driver's tables as they are; one run each.
-    for name, build in __spark_entry__.queries().items():
-        if name == "pipeline" or re.match(r"op\d+_", name):
-            seconds[name] = round(timed(lambda build=build: build(spark, sf_dir)), 3)
     spark.stop()
     print(
         json.dumps(
