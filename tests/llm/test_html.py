@@ -73,6 +73,27 @@ def test_marked_pages_need_no_template(spark):
     assert deduce_templates(pages).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><p>x</p></body></html>", "x"),
+    ("<head><title>t</title><script>s</script><p>x<p>y", "x\ny"), ("<head><title>t</title>x<p>y", "x\ny"), ("<head><title>t<body><p>x", "x"),
+    ("<head>\n<title>a <b>c</title>\n<style>p{}</style></head><p>x", "x"),
+])
+def test_a_head_without_its_end_stops_at_the_body(page, text):
+    assert main_text(read_page(page), None, set()) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><form id=form1><nav>n</nav><article><h1>t</h1><p>x</p></article><input><button>b</button></form></body>", "t\nx"),
+    ("<body><form id=aspnetForm><p>some text</p><label>l</label><select><option>o</select></form><p>c</p></body>", "some text\nc"),
+    ("<main><form><p>some text</p><button>b</button></form></main>", "some text"),
+    ("<p>a long enough text</p><form><p>your name</p><input></form>", "a long enough text"),
+    ("<main><p>a long enough text</p><form><p>your name</p></form></main>", "a long enough text"),
+    ("<p>x</p><form class=newsletter-form><p>all the news by mail</p></form>", "x"),
+])
+def test_a_form_around_the_page_is_not_left_out(page, text):
+    assert main_text(read_page(page), None, set()) == text
+
+
 def test_odd_pages(spark):
     pages = odd_pages(spark)
     rows = extract_text(pages).collect()

@@ -49,8 +49,12 @@ MARKS = set(
 _ROLE_OF_HEADERS = {"header", "masthead"}
 _COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 MAIN = {"article", "main"}
+#: Elements that may stand in a head; any other one ends it, as does a text.
+IN_HEAD = {"head", "title", "base", "basefont", "bgsound", "link", "meta"} | RAW
 
-EXCLUDED, IN_MAIN, OPEN = range(3)
+EXCLUDED, IN_MAIN, OPEN, FORM_IN_MAIN, FORM = range(5)
+#: What a form makes of the state around it. Whether it wraps the page or is a part of it shows when the page is read.
+FORMS = {IN_MAIN: FORM_IN_MAIN, OPEN: FORM}
 #: Elements below this depth share the path of the one at it, so paths stay short on any page.
 DEEPEST = 48
 
@@ -68,7 +72,7 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 def _state(name: str, attributes: dict[str, str], outer: int) -> int:
-    if outer == EXCLUDED or name in DROPPED:
+    if outer == EXCLUDED or name in DROPPED and name != "form":
         return EXCLUDED
     words = set()
     if attributes:
@@ -77,8 +81,10 @@ def _state(name: str, attributes: dict[str, str], outer: int) -> int:
         named = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
         words = {w.lower() for w in _WORDS.findall(named)} & MARKS
     if name in MAIN:
-        return EXCLUDED if words & _COMMENTS else IN_MAIN
-    if outer == IN_MAIN:
+        return EXCLUDED if words & _COMMENTS else FORM_IN_MAIN if outer == FORM_IN_MAIN else IN_MAIN
+    if name == "form":
+        return EXCLUDED if words - {"form"} else FORMS.get(outer, outer)
+    if outer in (IN_MAIN, FORM_IN_MAIN):
         words -= _ROLE_OF_HEADERS
     elif name == "header":
         return EXCLUDED
@@ -142,6 +148,18 @@ def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
     yield "text", "", html[at:]
 
 
+def _settled(blocks: list[tuple[str, int, str]]) -> list[tuple[str, int, str]]:
+    """Blocks with the texts of forms kept where forms hold more text than stands beside them, and left out elsewhere."""
+    if not any(state in (FORM_IN_MAIN, FORM) for _, state, _ in blocks):
+        return blocks
+    chars = Counter()
+    for _, state, text in blocks:
+        chars[state] += len(text)
+    become = {formed: plain if chars[formed] > chars[plain] else EXCLUDED for plain, formed in FORMS.items()}
+    settled = ((path, become.get(state, state), text) for path, state, text in blocks)
+    return [b for b in settled if b[1] != EXCLUDED]
+
+
 def read_page(html: str) -> Page:
     """Blocks and tags of a page; unclosed, stray and nested tags are tolerated as browsers do in common cases."""
     page, stack, parts, opened = Page(), [("", "", OPEN)], [], Counter()
@@ -156,10 +174,18 @@ def read_page(html: str) -> Page:
         opened.subtract(s[0] for s in stack[depth:])
         del stack[depth:]
 
+    def end_head() -> None:
+        flush()
+        close_from(next(depth for depth, s in enumerate(stack) if s[0] == "head"))
+
     for kind, name, rest in _tokens(html):
         if kind == "text":
             if rest:
-                parts.append(rest)
+                if stack[-1][0] == "head" and rest.strip():
+                    end_head()
+                # Labels and the like stand in the line of a form's texts, so they are left out where they are read.
+                if not (opened["form"] > 0 and stack[-1][2] == EXCLUDED):
+                    parts.append(rest)
         elif name == "br":
             parts.append(" ")
         elif kind == "close":
@@ -171,6 +197,8 @@ def read_page(html: str) -> Page:
                     depth -= 1
                 close_from(depth)
         else:
+            if opened["head"] > 0 and (name == "body" or name not in IN_HEAD and not opened["title"]):
+                end_head()
             if name in BLOCK:
                 flush()
                 # A new block ends an open paragraph, and a list item or cell ends the one before it.
@@ -192,6 +220,7 @@ def read_page(html: str) -> Page:
                 stack.append((name, here, _state(name, attributes, outer)))
                 opened[name] += 1
     flush()
+    page.blocks = _settled(page.blocks)
     return page
 
 
