@@ -66,6 +66,26 @@ def test_texts_shared_by_articles_stay(spark):
     assert all(r["text"] == f"The same passage stands in every article of this host.\n{r['page_id']}" for r in extract_text(pages).collect())
 
 
+def test_cards_do_not_replace_the_text_beside_them(spark):
+    page = (
+        "<html><body><div class=top>Welcome to our site</div><div class=story><p>Story {0} of {1} and a good deal more to be told</p></div>"
+        "<div class=more><article><h3>Card {0}</h3></article><article><h3>Other {0}</h3></article></div></body></html>"
+    )
+    rows = [(i, f"http://a.com/{i}", page.format(i, i * i)) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extract_text(pages).collect():
+        i = r["page_id"]
+        assert r["text"].split("\n")[0] == f"Story {i} of {i * i} and a good deal more to be told" and "Welcome" not in r["text"]
+
+
+def test_texts_are_counted_over_marked_and_other_pages(spark):
+    other = "<html><body><div class=top>Welcome to our site</div><div class=story><p>Story {0} of {1}</p></div><div class=end>All rights are ours</div></body></html>"
+    marked = other.replace("<div class=story>", "<article>").replace("</p></div>", "</p></article>")
+    rows = [(i, f"http://a.com/{i}", (marked if i % 2 else other).format(i, i * i)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_text(pages).collect()} == {i: f"Story {i} of {i * i}" for i in range(20)}
+
+
 def test_marked_pages_need_no_template(spark):
     from pyspark.sql import functions as F
 

@@ -5,8 +5,10 @@ one host that occur equally often on each of its pages form an equivalence class
 their paths, are the host's template; what the template does not fix are slots. The main slot is the deepest container
 that holds nearly all of the text left in slots; texts that belong to the template are not part of it.
 
-Pages that mark their article name the slot themselves, so a template row is only needed for the other hosts, and
-documents never move: the template of a host is joined to the pages where they are read.
+A marked article is evidence for the slot: its text counts where the slot is sought, and it is the page's text unless
+more is left in the slot beside it than it holds, as on pages with teaser cards. Texts inside it are never taken for
+template. Hosts whose pages have text in articles only need no template row, and documents never move: the template of
+a host is joined to the pages where they are read.
 """
 
 import html as references
@@ -229,17 +231,26 @@ def block_token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
-def main_text(page: Page, slot: str | None, fixed: set[int]) -> str:
-    """The article if the page marks one; else what its host's main slot holds beside the template's own texts."""
-    chosen = [b for b in page.blocks if b[1] == IN_MAIN]
-    if not chosen:
-        inside = [b for b in page.blocks if slot is None or b[0] == slot or b[0].startswith(slot + "/")]
-        chosen = [b for b in inside or page.blocks if block_token(b[0], b[2]) not in fixed]
+def main_text(page: Page, slot: str | None, fixed: set[int], judged: bool = False) -> str:
+    """What the host's main slot holds beside the template's own texts, or the article if the page marks one.
+
+    With `judged` the host has pages enough to judge by, and an article only counts if it holds as much as is left beside it.
+    """
+    marked = [b for b in page.blocks if b[1] == IN_MAIN]
+    if marked and not judged:
+        return "\n".join(text for _, _, text in marked)
+    inside = [b for b in page.blocks if slot is None or b[0] == slot or b[0].startswith(slot + "/")]
+    chosen = [b for b in inside or page.blocks if b[1] == IN_MAIN or block_token(b[0], b[2]) not in fixed]
+    if marked and sum(len(text) for _, state, text in chosen if state != IN_MAIN) <= sum(len(text) for _, _, text in marked):
+        chosen = marked
     return "\n".join(text for _, _, text in chosen)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row per host, page and token: host, row, token, path, kind (tag or text), times, chars."""
+    """One row per host, page and token: host, row, token, path, kind, times, chars.
+
+    The kind is tag, text (outside marked articles) or main (all texts inside marked articles at one path).
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +258,14 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for host, row, html in zip(*(batch.slice(at, 512).column(n).to_pylist() for n in range(3))):
                     page = read_page(html)
-                    marked = any(state == IN_MAIN for _, state, _ in page.blocks)
                     out += [(host, row, block_token(p, ""), p, "tag", n, 0) for p, n in page.tags.items()]
-                    texts = Counter() if marked else Counter((p, t) for p, _, t in page.blocks)
+                    texts = Counter((p, t) for p, state, t in page.blocks if state == OPEN)
                     out += [(host, row, block_token(p, t), p, "text", n, n * len(t)) for (p, t), n in texts.items()]
+                    held = Counter()
+                    for p, state, t in page.blocks:
+                        if state == IN_MAIN:
+                            held[p] += len(t)
+                    out += [(host, row, block_token(p, "\n"), p, "main", 1, n) for p, n in held.items()]
                 if out:
                     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
@@ -260,12 +275,17 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("host", "row", "html").mapInArrow(read, schema)
 
 
-def deduce_templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.8, slot_share: float = 0.85) -> DataFrame:
-    """host, slot, fixed for hosts with pages that mark no article: the main slot's path and the tokens of template texts.
+def deduce_templates(
+    pages: DataFrame, least_pages: int = 5, least_share: float = 0.8, slot_share: float = 0.85, least_group: float = 0.2
+) -> DataFrame:
+    """host, slot, fixed, judged for hosts with text outside marked articles: the main slot's path, the tokens of
+    template texts, and whether the host has `least_pages`.
 
-    A class counts if its tokens stand on `least_share` of the host's pages and on `least_pages` at least, and it has a
-    tag and a text or two texts, as a single coinciding text proves nothing; it nests in the template where its paths
-    continue the path of a tag of a counting class. The slot is the deepest container with `slot_share` of the other text.
+    Texts and pages are counted over all pages, marked or not. A class counts if its tokens stand on `least_pages` at
+    least and on `least_share` of the pages with the same container tag, which is on `least_group` of the host's pages,
+    and if it has a tag and a text or two texts, as a single coinciding text proves nothing; it nests in the template
+    where its paths continue the path of a tag of a counting class. The slot is the deepest container with `slot_share`
+    of the other text, that of articles included.
     """
     hashed = F.xxhash64("row", "times")
     tokens = keep(
@@ -279,13 +299,19 @@ def deduce_templates(pages: DataFrame, least_pages: int = 5, least_share: float
     sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages")).join(keep(unmarked), "host")
     sizes = keep(sizes)
     known = tokens.join(sizes, "host")
-    frequent = known.filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("host_pages")))
+    groups = known.filter("kind = 'tag'").select("host", "path", F.col("pages").alias("group_pages"))
+    # A text outside all containers has the host's pages for its group.
+    grouped = known.filter("kind <> 'main'").join(groups, ["host", "path"], "left").withColumn("group_pages", F.coalesce("group_pages", "host_pages"))
+    frequent = grouped.filter(
+        (F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("group_pages"))
+        & (F.col("group_pages") >= least_group * F.col("host_pages"))
+    )
     classes = frequent.groupBy("host", "pages", "v1", "v2").agg(F.count("*").alias("size"))
     valid = keep(frequent.join(classes.filter("size >= 2"), ["host", "pages", "v1", "v2"]).select("host", "token", "path", "kind"))
     # A text nests in the template if the tag it stands in belongs to it as well.
     tags = valid.filter("kind = 'tag'").select("host", "path").distinct()
     fixed = keep(valid.filter("kind = 'text'").join(tags, ["host", "path"], "left_semi").select("host", "token"))
-    left = known.filter("kind = 'text'").join(fixed, ["host", "token"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    left = known.filter("kind <> 'tag'").join(fixed, ["host", "token"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     held = (
@@ -298,7 +324,7 @@ def deduce_templates(pages: DataFrame, least_pages: int = 5, least_share: float
     )
     # Template texts stand on most pages of a host, so a host has no more of them than a page or two have texts.
     texts = fixed.groupBy("host").agg(F.collect_set("token").alias("fixed"))
-    return keep(sizes.select("host").join(slots, "host", "left").join(texts, "host", "left"))
+    return keep(sizes.select("host", (F.col("host_pages") >= least_pages).alias("judged")).join(slots, "host", "left").join(texts, "host", "left"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -320,11 +346,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                columns = (part.column(n).to_pylist() for n in ("html", "slot", "fixed"))
-                texts = [main_text(read_page(html), slot, set(fixed or ())) for html, slot, fixed in zip(*columns)]
+                columns = (part.column(n).to_pylist() for n in ("html", "slot", "fixed", "judged"))
+                texts = [main_text(read_page(html), slot, set(fixed or ()), bool(judged)) for html, slot, fixed, judged in zip(*columns)]
                 found = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(found, ["page_id", "url", "text", "n_chars"])
 
     # Spark broadcasts the templates if it finds them small, and otherwise splits hosts with many pages.
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "slot", "fixed")
+    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "slot", "fixed", "judged")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
