@@ -78,6 +78,23 @@ def test_values_in_context_are_added_and_others_are_not():
     ]
 
 
+def test_letters_that_make_no_word_cost_brute_force():
+    for value in ["xkqzvbnmwrtypsdf", "xkqzvbn7w", "qzxkvjwbnmt", "QZXKVJWBNMT"]:
+        assert guess_cost(value) >= 9
+    text = "pwd=xkqzvbnmwrtypsdf passphrase: xkqzvbn7w password: qzxkvjwbnmt"
+    assert [text[s:e] for s, k, e in find_spans(text, 9) if k == 3] == ["xkqzvbnmwrtypsdf", "xkqzvbn7w", "qzxkvjwbnmt"]
+
+
+def test_words_are_those_of_the_documents(spark):
+    texts = [f"the thermodynamics of {i} and pwd: xkqzvbnmwrtypsdf" for i in range(6)] + ["passphrase: thermodynamics", "passphrase: qzxkvjwbnmt"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in scan_secrets(docs).collect()}
+    # A word of many documents is easy to guess; a value that stands after a credential word only is none, however often.
+    at = texts[0].index("xkq")
+    assert spans == {i: f"guess:{at}:{at + 16}" for i in range(6)} | {6: "", 7: "guess:12:23"}
+    assert rows_of(without_secrets(docs.filter("doc_id = 7"))) == [(7, "passphrase: [secret]")]
+
+
 def test_masking_keeps_rows_and_the_rest_of_the_text(spark):
     docs = spark.createDataFrame(
         [(1, 'a token = "0123456789abcdef0123" b', 34, "x"), (2, "clean", 5, "y"), (3, None, None, None)],

@@ -3,14 +3,17 @@
 The value that stands after a credential word is cut into words, dates, repeats, sequences, keyboard walks and
 brute-force characters so that the product of their guesses is smallest. A value that even the cheapest cut leaves
 hard to guess is a secret, whatever characters it is made of; a placeholder or an ordinary word is not.
+
+Ordinary words are those of a ranked list counted over all documents; any other letters cost what brute force costs.
 """
 
 import hashlib
 import re
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log10
+from math import inf, isfinite, log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +51,8 @@ WORDS = (
     "family father mother brother sister friend forever game garden green black white yellow purple silver golden "
     "happy house island jackson jessica justin lovely magic matrix mustang nothing pass office phone placeholder "
     "please private public random redacted river school security service star starwars street temp thunder tiger "
-    "value whatever your yankees here null none true false insert replace dein passwort geheim mot contrasena clave"
+    "value whatever your yankees here null none true false insert replace dein passwort geheim mot contrasena clave "
+    "everything something anything everyone someone always never"
 ).split()
 _KEYBOARDS = ["`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p"]
 _LEET = str.maketrans("4@8(3610!|7$52", "aabcegloiitssz"[:14])
@@ -57,6 +61,8 @@ _DATE = re.compile(
     r"[-/._]?(?:19|20)\d\d|(?:19|20)\d\d"
 )
 _LETTERS = re.compile(r"[a-z]{3,16}|[A-Z][a-z]{2,15}|[A-Z]{3,16}")
+#: The words that are counted: whole runs of letters, read in lower case.
+_COUNTED = re.compile(r"(?<![a-z])[a-z]{3,16}(?![a-z])")
 
 
 @dataclass(frozen=True)
@@ -64,8 +70,8 @@ class GuessCosts:
     """Guesses, as powers of ten, per kind of segment."""
 
     words: dict[str, float]
-    #: Any other run of letters written like a word; about the size of a large dictionary.
-    unknown_word: float = 5.0
+    #: Any other run of letters written like a word, if such runs are to have a price of their own and not brute force.
+    unknown_word: float = inf
     date: float = 4.2
     #: Each further segment also has to be found.
     joint: float = 0.3
@@ -139,8 +145,9 @@ def guess_cost(value: str, costs: GuessCosts = DEFAULT_COSTS) -> float:
                     cased = 0.0 if value[start:end] == lowered[start:end] else 0.3
                     ends[end].append((start, cost + extra + cased))
                     break
-    for match in _LETTERS.finditer(value):
-        ends[match.end()].append((match.start(), costs.unknown_word))
+    if isfinite(costs.unknown_word):
+        for match in _LETTERS.finditer(value):
+            ends[match.end()].append((match.start(), costs.unknown_word))
     for match in _DATE.finditer(value):
         ends[match.end()].append((match.start(), costs.date))
     for start, end, cost in _runs(value):
@@ -154,6 +161,40 @@ def guess_cost(value: str, costs: GuessCosts = DEFAULT_COSTS) -> float:
     return best[n]
 
 
+def counted_words(docs: DataFrame, least_docs: int = 5, most_words: int = 100_000) -> list[str]:
+    """Words of the column text by the number of documents they stand in, the most frequent first.
+
+    All documents are counted. Values in a credential context do not count, so a secret that is often repeated there
+    makes no word of itself, and neither do words of fewer than `least_docs` documents. The list is as long as a large
+    dictionary at most, since a word of a higher rank costs about as much as its letters.
+    """
+    ship_package(docs.sparkSession)
+    texts = pick(docs, "text").filter("text is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "docs"])
+
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(set(_COUNTED.findall(_CONTEXT.sub(" ", text.as_py()).lower())))
+                if len(found) > 500_000:
+                    yield counted()
+                    found.clear()
+        yield counted()
+
+    words = texts.mapInArrow(count, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    return [r["word"] for r in words.filter(F.col("docs") >= least_docs).orderBy(F.desc("docs"), "word").limit(most_words).collect()]
+
+
+def document_costs(docs: DataFrame) -> GuessCosts:
+    """Guess costs by the words of the documents and those that passwords are made of, each by its better rank."""
+    ranked = GuessCosts.ranked(counted_words(docs)).words
+    both = {w: min(c for c in (ranked.get(w), DEFAULT_COSTS.words.get(w)) if c is not None) for w in ranked | DEFAULT_COSTS.words}
+    return GuessCosts(both, longest=max(map(len, both)))
+
+
 def find_spans(text: str, min_cost: float, costs: GuessCosts = DEFAULT_COSTS) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets of a text, in order; kind is a place in KINDS, ends are exclusive."""
     spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -178,12 +219,12 @@ def scan_secrets(docs: DataFrame, min_cost: float = 9.0, words: list[str] | None
 
     Spans are kind:start:end in code points of the whole text, by start and then by kind. The first three kinds are
     fixed patterns; `guess` marks a value in a credential context that takes at least 10**min_cost guesses and lies in
-    no span of the other kinds. `words` replaces the ranked words of the segmentation. A null text counts as empty and
+    no span of the other kinds. `words` replaces the ranked words of the segmentation, which are counted over docs. A null text counts as empty and
     has no spans; repeated rows come out repeated; an empty table gives an empty result; columns other than doc_id and
     text are ignored.
     """
     ship_package(docs.sparkSession)
-    costs = DEFAULT_COSTS if words is None else GuessCosts.ranked(words)
+    costs = document_costs(docs) if words is None else GuessCosts.ranked(words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +263,12 @@ def without_secrets(docs: DataFrame, min_cost: float = 9.0, mark: str = "[secret
     names = docs.columns
     at = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
     length = names.index("n_chars") if "n_chars" in names else None
+    costs = document_costs(docs)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
-            spans = [find_spans(t, min_cost) if t else [] for t in texts]
+            spans = [find_spans(t, min_cost, costs) if t else [] for t in texts]
             texts = [masked(t, s, mark) if s else t for t, s in zip(texts, spans)]
             columns[at] = pa.array(texts, pa.string())
             if length is not None:
