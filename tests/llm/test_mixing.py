@@ -1,10 +1,11 @@
 from collections import Counter, defaultdict
+from fractions import Fraction
 from math import ceil
 
 import pytest
 from odd import odd_documents, rows_of
 
-from zonespark.llm.mixing import mixed_documents, parts_of, pfair_mix, pfair_round
+from zonespark.llm.mixing import exact_parts, mixed_documents, parts_of, pfair_mix, pfair_round, pfair_slots
 from zonespark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -79,6 +80,35 @@ def test_sources_that_fall_short_are_read_again(spark):
     assert rows_of(mixed_documents(docs, max_epochs=1)) == rows_of(docs)
 
 
+def test_target_weights_hold_however_long_the_input_is():
+    shares = {"a": 0.6180339, "b": 0.3819, "c": 1e-5, "d": 0.0000561}
+    parts = exact_parts(shares)
+    total, read = sum(parts.values()), Counter()
+    assert all(p * sum(map(Fraction, shares.values())) == total * Fraction(shares[s]) for s, p in parts.items())
+    at = dict.fromkeys(parts, 0)
+    for first in range(0, 200_000, 50_000):
+        for source, block, release, deadline, slot in pfair_slots(parts, at, first, first + 50_000):
+            assert block == read[source] and release <= slot < deadline
+            read[source] += 1
+            assert all(abs(read[s] * total - (slot + 1) * p) < total for s, p in parts.items())
+    assert read["c"] in (1, 2, 3)
+    assert [(s, j) for s, j, *_ in pfair_slots({"a": 5, "b": 3, "c": 1}, {"a": 0, "b": 0, "c": 0}, 0, 9)] == pfair_round({"a": 5, "b": 3, "c": 1})
+
+
+def test_slots_and_epochs_follow_the_targets(spark, monkeypatch):
+    import zonespark.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "STRETCH", 64)
+    docs = spark.createDataFrame([(i, "big" if i < 4000 else "small") for i in range(4010)], "doc_id long, source string")
+    mix = pfair_mix(docs, weights={"big": 0.9876, "small": 0.0124}, block_docs=2, max_epochs=None)
+    slots = {(r["source"], r["epoch"], r["block"]): r["slot"] for r in mix.rows.collect()}
+    # What is due by the horizon is read, in slots of its own; so the small source of 5 blocks is read as its weight asks.
+    assert len(set(slots.values())) == len(slots) >= mix.horizon - 1 and max(slots.values()) < mix.horizon
+    assert sum(s == "small" for s, _, _ in slots) == int(mix.horizon * 0.0124)
+    times = Counter(r["doc_id"] for r in mixed_documents(docs, weights={"big": 0.9876, "small": 0.0124}, block_docs=2).collect())
+    assert all(times[i] == 1 for i in range(4000)) and all(times[i] == 5 for i in range(4000, 4010))
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     rows = pfair_mix(docs).rows.collect()
