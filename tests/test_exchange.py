@@ -207,3 +207,14 @@ def test_template_from_a_frame_reads_back(spark, tmp_path):
     O.write_templates_document(str(tmp_path / "out"), made, inner, NOW)
     value = whole(tmp_path / "out")["templates"][0]
     assert value["zones"] == [zone((0, 0, 15, 9, "clip"))] and value["createdAt"] == NOW
+
+
+def test_a_folder_may_mix_records_and_documents(spark, tmp_path):
+    from zonespark.sources.exchange import documents_in
+
+    (tmp_path / "a b.json").write_text('{"r": 1}\n\n{"r": 2}\n')
+    (tmp_path / "c.json").write_text('\n{\n  "d": 3\n}\n')
+    (tmp_path / "d[1].json").write_text('{"r": 4}')
+    (tmp_path / "e.json").write_text("")
+    found = [r["text"] for r in documents_in(spark, str(tmp_path)).orderBy("path").collect()]
+    assert found == ['{"r": 1}', '{"r": 2}', '\n{\n  "d": 3\n}\n', '{"r": 4}']

@@ -30,20 +30,30 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 def documents_in(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file or folder as rows (path, text): whole files, or the records of files written as such.
 
-    A folder holds either one or the other. Records are lines that are documents of their own, so files of any size are
-    read in parts; whether a folder has them shows in its first line. Records are named so that they sort as they stand.
+    A folder may hold both. Records are lines that are documents of their own, so files of any size are read in parts;
+    whether a file has them shows in its first line. Records are named so that they sort as they stand.
     """
-    first = spark.read.text(path, recursiveFileLookup=True).filter(F.trim("value") != "").limit(1)
-    if first.filter(V.is_one_value(F.col("value"))).isEmpty():
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    first = (
+        spark.read.text(path, recursiveFileLookup=True)
+        .select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").filter(F.trim("value") != "")
+        .groupBy("path").agg(F.min_by("value", "place").alias("value"))
+    )
+    # One row per file, as in Spark's own list of the folder.
+    kinds = first.select("path", F.coalesce(V.is_one_value(F.col("value")), F.lit(False)).alias("records")).collect()
+    records, whole = ([k["path"] for k in kinds if k["records"] == wanted] for wanted in (True, False))
+    if not records:
         return text_files(spark, path)
-    lines = spark.read.text(path, recursiveFileLookup=True).select(
+    # The filters by path leave files out before they are opened.
+    lines = spark.read.text(path, recursiveFileLookup=True).filter(F.col("_metadata.file_path").isin(records)).select(
         F.concat_ws(
             "#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
             F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
         ).alias("path"),
         F.col("value").alias("text"),
     )
-    return lines.filter(F.trim("text") != "")
+    lines = lines.filter(F.trim("text") != "")
+    return lines.unionByName(text_files(spark, path).filter(F.col("path").isin(whole))) if whole else lines
 
 
 def _zone_columns(zone: Column) -> list[Column]:
