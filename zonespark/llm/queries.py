@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonespark.llm.collocations import collocations
 from zonespark.llm.cotraining import score_quality
 from zonespark.llm.html_text import extract_text
 from zonespark.llm.mixing import pfair_mix
@@ -62,6 +63,10 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_curve_packing": op1_curve_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_cotrained_quality": op8_cotrained_quality,
     "op9_url_filter": op9_url_filter,
     "op10_warc_archive": op10_warc_archive,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +111,37 @@ ORACLES: dict[str, str] = {
                CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op13_phrase_mining": """
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+        ), p AS (
+            SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+        ), s AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM p
+        ), g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM s, (VALUES (1), (2), (3), (4)) AS lengths(k)
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+        ), n AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30
+        ), held AS (
+            SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c l ON l.lang = s.lang AND l.m > s.m
+            AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * l.a >= 80 * s.a
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, k.k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+            FROM c ANTI JOIN held ON c.lang = held.lang AND c.phrase = held.phrase
+            JOIN (VALUES (1), (2), (3)) AS k(k) ON k.k < c.m
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k.k], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k.k + 1:], ' ')
+        ), lowest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) JOIN n USING (lang)
+        WHERE rank <= 2000
+    """,
 }
