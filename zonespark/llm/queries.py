@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and the SQL they are checked against."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonespark.llm.collocations import collocations
@@ -8,7 +8,9 @@ from zonespark.llm.cotraining import score_quality
 from zonespark.llm.html_text import extract_text
 from zonespark.llm.mixing import pfair_mix
 from zonespark.llm.packing import pack_documents
+from zonespark.llm.private_data import BASE, private_data
 from zonespark.llm.quality_rules import quality_rules
+from zonespark.llm.ranked_search import ranked_search
 from zonespark.llm.secrets import scan_secrets
 from zonespark.llm.simhash import near_duplicates
 from zonespark.llm.topk import top_k
@@ -63,6 +65,25 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data(_table(spark, sf_dir, "documents"))
+
+    def written(spans: Column) -> Column:
+        each = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(each, ",")
+
+    base = F.filter("found", lambda s: s["kind"].isin(BASE))
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select(
+        "doc_id", *counts, (F.size("found") - F.size(base)).cast("long").alias("n_added"),
+        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"),
+    )
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +99,8 @@ QUERIES = {
     "op8_cotrained_quality": op8_cotrained_quality,
     "op9_url_filter": op9_url_filter,
     "op10_warc_archive": op10_warc_archive,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_private_data": op12_private_data,
     "op13_phrase_mining": op13_phrase_mining,
 }
 
@@ -111,6 +134,36 @@ ORACLES: dict[str, str] = {
                CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op11_ranked_search": """
+        WITH t AS (
+            SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), tf AS (
+            SELECT d, doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+        ), docs AS (
+            SELECT d, sum(tf) AS n FROM tf GROUP BY d
+        ), total AS (
+            SELECT count(*) AS N, sum(n) AS L FROM docs
+        ), m AS (
+            SELECT d, 100 - 75 + CAST((75 * docs.n * total.N) // total.L AS BIGINT) AS m FROM docs, total
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(total.N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term
+        ), q AS (
+            SELECT item_id, term, count(*) AS c FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark
+            ) GROUP BY ALL
+        ), s AS (
+            SELECT item_id, d, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (d) GROUP BY ALL
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+    """,
     "op13_phrase_mining": """
         WITH t AS (
             SELECT coalesce(lang, 'und') AS lang,
