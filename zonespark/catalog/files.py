@@ -4,11 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from zonespark.catalog.registry import query
+from zonespark.catalog.registry import ORACLES, query
 from zonespark.operators import imports as I
 from zonespark.operators.tags import with_tag_facts
 from zonespark.plans.ordering import materialise, shared_folder
 from zonespark.sources import images as S
+from zonespark.sources.ranged import write_files
 from zonespark.streaming.imports import import_stream, read_library, read_rejects
 
 _NAME = r"'^(?i)combo([0-9]+)_([0-9]+)x([0-9]+)_s([0-9]+)\.(png|dcm|dicom|ima)$'"
@@ -97,6 +98,34 @@ def tag_warnings(t):
     return S.read_tags(_files(t))[1].select("file", "partial", "warning")
 
 
+def _folder(t) -> tuple:
+    """The files as files: a folder written by tasks, and the column that gives a file's path below it."""
+    spark = t.fil.sparkSession
+    name = f"files-{uuid.uuid4().hex}"
+    fil = t.fil.select("path", F.unhex("hexed").alias("content"))
+    write_files(fil.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), f"{shared_folder(spark)}/{name}")
+    return spark, f"{shared_folder(spark)}/{name}", lambda column: F.element_at(F.split(column, f"/{name}/"), 2).alias(column)
+
+
+@query("S1_scan_folder", ORACLES["S1_scan_images"])
+def scan_folder(t):
+    spark, path, below = _folder(t)
+    images = S.scan_images(spark, path)[0]
+    return images.select(*[below(c) if c == "path" else c for c in images.columns])
+
+
+@query("S1_scan_folder_rejects", ORACLES["S1_scan_rejects"])
+def scan_folder_rejects(t):
+    spark, path, below = _folder(t)
+    return S.scan_images(spark, path)[1].select(below("path"), "error")
+
+
+@query("S3_scan_folder_tags", ORACLES["S3_scan_dicom_tags"])
+def scan_folder_tags(t):
+    spark, path, below = _folder(t)
+    return S.scan_dicom_tags(spark, path)[0].select(below("file"), "row_idx", "tag", "hex", "vr", "name", "value", "binary", "phi", "length")
+
+
 @query("P14_tag_facts", """SELECT row_idx, hex = '00111001' AS private, vr = 'SQ' AS sequence FROM tag""", ("tag",))
 def tag_facts(t):
     return with_tag_facts(t.tag).select("row_idx", "private", "sequence")

@@ -28,9 +28,9 @@ class Element:
 
 
 class DataSet:
-    """The elements of a file or of a sequence item, by tag."""
+    """The elements of a file or of a sequence item, by tag. `data` are bytes or anything with a length and slices."""
 
-    def __init__(self, data: bytes, big: bool = False):
+    def __init__(self, data, big: bool = False):
         self.data, self.order, self.elements = data, ">" if big else "<", {}
 
     def value(self, hex_digits: str) -> bytes:
@@ -55,13 +55,13 @@ def lookup_tag(dictionary: dict, hex_digits: str):
 
 
 class _Walk:
-    def __init__(self, data: bytes, dictionary: dict, big: bool, explicit: bool, until: str | None):
+    def __init__(self, data, dictionary: dict, big: bool, explicit: bool, until: str | None):
         self.data, self.dictionary, self.big = data, dictionary, big
         self.order, self.explicit, self.until = ">" if big else "<", explicit, until
 
     def numbers(self, layout: str, at: int):
         try:
-            return struct.unpack_from(self.order + layout, self.data, at)
+            return struct.unpack(self.order + layout, self.data[at:at + struct.calcsize("=" + layout)])
         except struct.error as error:
             raise Malformed("The data ends inside an element") from error
 
@@ -142,7 +142,24 @@ class _Walk:
         return at
 
 
-def read_elements(data: bytes, dictionary: dict, until: str | None = None) -> tuple[DataSet, str | None]:
+#: Bytes a deflated data set may have once it is inflated: it cannot be read by range.
+INFLATED = 1 << 30
+
+
+def _inflated(data, at: int) -> bytes:
+    """Everything up to `at` as it is and the rest inflated, a piece at a time."""
+    inflate, parts, size = zlib.decompressobj(-15), [data[:at]], 0
+    while at < len(data) and not inflate.eof:
+        piece = inflate.decompress(data[at:at + (1 << 20)], INFLATED)
+        size += len(piece)
+        if size > INFLATED or inflate.unconsumed_tail:
+            raise Malformed("Too much deflated data")
+        parts.append(piece)
+        at += 1 << 20
+    return b"".join(parts)
+
+
+def read_elements(data, dictionary: dict, until: str | None = None) -> tuple[DataSet, str | None]:
     """(data set, what went wrong after the elements it holds). Malformed if there is nothing to hold."""
     if data[128:132] != b"DICM":
         raise Malformed("Not a DICOM Part 10 file")
@@ -158,7 +175,7 @@ def read_elements(data: bytes, dictionary: dict, until: str | None = None) -> tu
         raise Malformed("No transfer syntax")
     if syntax == DEFLATED:
         try:
-            data = data[:at] + zlib.decompressobj(-15).decompress(data[at:])
+            data = _inflated(data, at)
         except zlib.error as error:
             raise Malformed("Broken deflated data") from error
         found.data = data

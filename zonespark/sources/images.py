@@ -1,5 +1,6 @@
 """Image files as tables: what each file is, and every DICOM tag it carries."""
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from zonespark.shipping import ship_package
 from zonespark.sources.dicom_dictionary import DICTIONARY
 from zonespark.sources.dicom_values import tag_rows
 from zonespark.sources.dicom_walk import PIXEL_DATA, Malformed, read_elements
+from zonespark.sources.ranged import DicomTags, ImageHeaders, RangedFile, in_batches, load, map_files, open_file, reachable
 
 PNG_MAGIC = bytearray([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A])
 
@@ -24,11 +26,22 @@ _HEADER = (
     "width BIGINT, height BIGINT, frame_count DOUBLE, manufacturer STRING, model STRING, sop_class STRING,"
     " software STRING, modality STRING, photometric STRING, transfer_syntax STRING, bits INT, error STRING"
 )
-_TAGS = (
+#: What a file is, before it is judged: its path, hash, whether it is a PNG, and the facts of its header.
+FILE_HEADER = f"path STRING, image_id STRING, png BOOLEAN, {_HEADER}"
+TAGS = (
     "file STRING, image_id STRING, row_idx BIGINT, hex STRING, vr STRING, keyword STRING, value STRING,"
     " binary BOOLEAN, sequence BOOLEAN, length BIGINT, steps STRING, partial BOOLEAN, warning STRING"
 )
-_ROWS_PER_BATCH = 4096
+_ARROW = {
+    "STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "DOUBLE": pa.float64(), "BOOLEAN": pa.bool_(),
+}
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (column.split() for column in ddl.split(","))])
+
+
+HEADER_ARROW, TAGS_ARROW = _arrow_schema(FILE_HEADER), _arrow_schema(TAGS)
 # Where the four device attributes and the other header facts are stored.
 HEADER_TAGS = {
     "sop_class": "00080016", "modality": "00080060", "manufacturer": "00080070", "model": "00081090",
@@ -51,12 +64,11 @@ def importable(files: DataFrame) -> DataFrame:
     return files.filter(~name.startswith(".") & (name != "DICOMDIR"))
 
 
-def _one_header(content) -> dict:
+def _dicom_facts(data) -> dict:
+    """The header of a DICOM file given as bytes or as a file read by range."""
     empty = dict.fromkeys(names_of(_HEADER))
-    if content is None:
-        return empty
     try:
-        found, problem = read_elements(bytes(content), DICTIONARY, until=PIXEL_DATA)
+        found, problem = read_elements(data, DICTIONARY, until=PIXEL_DATA)
     except Malformed:
         problem = "unreadable"
     if problem:
@@ -77,7 +89,30 @@ def _one_header(content) -> dict:
 
 
 def _dicom_header(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_one_header(c) for c in contents], columns=names_of(_HEADER))
+    empty = dict.fromkeys(names_of(_HEADER))
+    return pd.DataFrame([empty if c is None else _dicom_facts(bytes(c)) for c in contents], columns=names_of(_HEADER))
+
+
+UNREADABLE = "The file could not be read."
+
+
+def header_rows(path: str) -> Iterator[tuple]:
+    """The row of one file, read by range. A file that cannot be read is a row with an error."""
+    facts, image_id, png = dict.fromkeys(names_of(_HEADER)), None, False
+    try:
+        with open_file(path) as handle:
+            data = RangedFile(handle)
+            image_id, png = data.sha256(), data[:8] == bytes(PNG_MAGIC)
+            if png:
+                # What follows the length and name of the first chunk; a shorter file has no size.
+                sizes = [data[at:at + 4] for at in (16, 20)]
+                width, height = (int.from_bytes(raw, "big") if raw else None for raw in sizes)
+                facts = {**facts, "width": width, "height": height, "frame_count": 1.0}
+            else:
+                facts = _dicom_facts(data)
+    except OSError:
+        facts["error"] = UNREADABLE
+    yield path, image_id, png, *facts.values()
 
 
 def inspect_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,6 +136,21 @@ def inspect_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.pandas_udf(_dicom_header, _HEADER)("_dicom").alias("h"),
         )
     )
+    return _judged(read)
+
+
+def inspect_paths(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, rejects) of a table of files given by their path alone. They are read by range, whatever their length."""
+    return _judged(_as_read(map_files(paths, FILE_HEADER, HEADER_ARROW, header_rows)))
+
+
+def _as_read(headers: DataFrame) -> DataFrame:
+    facts = [F.col(c) for c in names_of(_HEADER)]
+    nothing = F.lit(None).cast("bigint")
+    return headers.select("path", "image_id", F.col("png").alias("_png"), nothing.alias("_pw"), nothing.alias("_ph"), F.struct(*facts).alias("h"))
+
+
+def _judged(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     width, height = F.coalesce("_pw", "h.width"), F.coalesce("_ph", "h.height")
     frames = F.when(F.col("_png"), F.lit(1.0)).otherwise(F.col("h.frame_count"))
     # Rasters and frame counts are INT columns from here on; the format's own fields are narrower still.
@@ -136,9 +186,39 @@ def inspect_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return images, rejects
 
 
+#: Longest file that Spark's own source gives as a value.
+_LONGEST_VALUE = 2**31 - 1
+TOO_LONG = "The file is too long for a store that only Spark reads."
+
+
+def _too_long(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") > _LONGEST_VALUE)
+    return importable(files.select("path")).withColumn("error", F.lit(TOO_LONG))
+
+
 def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, rejects) of every file below a folder."""
-    return inspect_files(list_files(spark, path))
+    """(images, rejects) of every file below a folder.
+
+    Files are read by range, however long they are, and a file that cannot be read is a row of rejects. Where Python cannot open
+    the store, Spark reads whole files, and those too long for a value are rejects as well.
+    """
+    if reachable(path):
+        return _judged(_as_read(load(spark, ImageHeaders, path)))
+    images, rejects = inspect_files(list_files(spark, path))
+    return images, rejects.unionByName(_too_long(spark, path))
+
+
+def file_tags(path: str, dictionary: dict | None) -> Iterator[tuple]:
+    """The tag rows and warnings of one DICOM file, read by range; a PNG has none."""
+    try:
+        with open_file(path) as handle:
+            data = RangedFile(handle)
+            if data[:8] == bytes(PNG_MAGIC):
+                return
+            start = path, data.sha256()
+            yield from ((*start, *row) for row in _one_file(data, DICTIONARY if dictionary is None else dictionary))
+    except OSError:
+        yield path, None, *(None,) * 9, False, UNREADABLE
 
 
 def _one_file(content, dictionary: dict) -> Iterator[tuple]:
@@ -165,30 +245,23 @@ def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTION
     text that could not be decoded and of files that could be read in part or not at all.
     """
     ship_package(files.sparkSession)
-    names = names_of(_TAGS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"row_idx": pa.int64(), "length": pa.int64(), "binary": pa.bool_(), "sequence": pa.bool_(), "partial": pa.bool_()}
-        schema = pa.schema([(name, kinds.get(name, pa.string())) for name in names])
-        rows: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            columns = [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-        for batch in batches:
-            for path, image_id, content in zip(*(batch.column(i) for i in range(3))):
-                start = path.as_py(), image_id.as_py()
-                rows.extend((*start, *row) for row in _one_file(content.as_py(), dictionary))
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield packed()
-        if rows:
-            yield packed()
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for path, image_id, content in zip(*(batch.column(i) for i in range(3))):
+                    start = path.as_py(), image_id.as_py()
+                    yield from ((*start, *row) for row in _one_file(content.as_py(), dictionary))
+
+        yield from in_batches(rows(), TAGS_ARROW)
 
     # Tags and warnings come from one reading of the files.
     hashed = files.select("path", F.sha2("content", 256).alias("image_id"), "content")
-    parsed = materialise(hashed.mapInArrow(parse, _TAGS))
+    return _tags_and_warnings(hashed.mapInArrow(parse, TAGS))
+
+
+def _tags_and_warnings(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    parsed = materialise(read)
     tags = parsed.filter(F.col("hex").isNotNull()).select(
         "image_id", "file", "row_idx", format_tag(F.col("hex")).alias("tag"), "hex", "vr",
         keyword_to_name(F.col("keyword")).alias("name"), "keyword", "value", "binary",
@@ -202,6 +275,16 @@ def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTION
 def scan_dicom_tags(
     spark: SparkSession, path: str, dictionary: dict[str, tuple[str, str]] = DICTIONARY
 ) -> tuple[DataFrame, DataFrame]:
-    """(tags, warnings) of every DICOM file below a folder; PNG files have none."""
+    """(tags, warnings) of every DICOM file below a folder; PNG files have none.
+
+    Files are read by range, however long they are. Where Python cannot open the store, Spark reads whole files.
+    """
+    if reachable(path):
+        given = {} if dictionary is DICTIONARY else {"dictionary": json.dumps(dictionary)}
+        return _tags_and_warnings(load(spark, DicomTags, path, **given))
     files = list_files(spark, path).filter(F.substring("content", 1, 8) != F.lit(PNG_MAGIC))
-    return read_tags(files, dictionary)
+    tags, warnings = read_tags(files, dictionary)
+    long = _too_long(spark, path).select(
+        F.lit(None).cast("string").alias("image_id"), F.col("path").alias("file"), F.lit(False).alias("partial"), F.col("error").alias("warning")
+    )
+    return tags, warnings.unionByName(long)

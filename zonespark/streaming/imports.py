@@ -1,65 +1,49 @@
 """Continuous import: new files in a folder join the library once per content.
 
 Content hashes of the whole past have to be known, so streaming de-duplication would keep its state for ever.
-The library table is that state instead: every micro-batch meets it and appends what it adds, under the
-number of the batch. A batch that runs again after a failure overwrites its own rows and no others.
+The library on disk is that state instead: every micro-batch asks it for its own hashes and writes what it adds as a run
+under the number of the batch. A batch that runs again after a failure overwrites its own run and no others.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from zonespark.operators.imports import added_images, import_outcomes, reconnect
-from zonespark.schemas import IMAGES
-from zonespark.sources.images import importable, inspect_files
+from zonespark.operators.imports import import_outcomes, numbered
+from zonespark.plans.ordering import materialise
+from zonespark.sources.images import importable, inspect_files, inspect_paths
+from zonespark.sources.ranged import reachable
+from zonespark.streaming.library import Library, Run, table
 
-_RECONNECTED = "image_id STRING"
 _REJECTS = "path STRING, error STRING"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    with_batch = f"{schema}, batch BIGINT"
-    try:
-        return spark.read.schema(with_batch).parquet(path)
-    except AnalysisException as error:
-        # Only a table that no batch has written yet is empty; any other failure must not pass for one.
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], with_batch)
-
-
 def read_library(spark: SparkSession, library_path: str, before: int | None = None) -> DataFrame:
     """The library as the batches wrote it, or as it was before one of them."""
-    added = _table(spark, f"{library_path}/images", IMAGES)
-    back = _table(spark, f"{library_path}/reconnected", _RECONNECTED)
-    if before is not None:
-        added, back = added.filter(F.col("batch") < before), back.filter(F.col("batch") < before)
-    return reconnect(added.drop("batch"), back)
+    return Library(spark, library_path, before).images()
 
 
 def read_rejects(spark: SparkSession, library_path: str) -> DataFrame:
     """Files that could not be imported, with the reason and the batch that met them."""
-    return _table(spark, f"{library_path}/rejects", _REJECTS)
+    return table(spark, f"{library_path}/rejects", f"{_REJECTS}, batch BIGINT")
 
 
 def import_batch(files: DataFrame, batch: int, library_path: str) -> None:
-    """Add the new contents of one batch of files to the library."""
-    library = read_library(files.sparkSession, library_path, batch)
-    images, rejects = inspect_files(importable(files))
+    """Add the new contents of one batch of files to the library. Files have a path and, if need be, their content."""
+    library = Library(files.sparkSession, library_path, batch).merge_runs()
+    inspect = inspect_files if "content" in files.columns else inspect_paths
+    images, rejects = inspect(importable(files))
     rejects.select("path", "error").write.mode("overwrite").parquet(f"{library_path}/rejects/batch={batch}")
-    outcomes = import_outcomes(library, images)
-    columns = [F.col(c).cast(kind).alias(c) for c, kind in (column.split() for column in IMAGES.split(","))]
-    added_images(library, outcomes).select(*columns).write.mode("overwrite").parquet(
-        f"{library_path}/images/batch={batch}"
-    )
-    outcomes.filter(F.col("outcome") == "reconnected").select("image_id").write.mode("overwrite").parquet(
-        f"{library_path}/reconnected/batch={batch}"
-    )
+    known = library.known(images.select("image_id").distinct())
+    outcomes = materialise(import_outcomes(known, images))
+    added, last = numbered(outcomes.filter("outcome = 'added'").drop("outcome"), library.next_idx)
+    back = outcomes.filter("outcome = 'reconnected'").drop("outcome").withColumn("import_idx", F.lit(None).cast("bigint"))
+    rows = added.withColumn("again", F.lit(False)).unionByName(back.withColumn("again", F.lit(True)))
+    library.write_run(rows.withColumn("has_source", F.lit(True)), Run(0, batch, batch), last)
 
 
 def import_stream(files: DataFrame, library_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Import a stream of files (path, content), wherever it comes from."""
+    """Import a stream of files (path, and content where Spark has to read it), wherever it comes from."""
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, number: import_batch(batch, number, library_path)
     )
@@ -71,11 +55,11 @@ def stream_import(
 ) -> StreamingQuery:
     """Watch a folder and import what appears. once=True takes what is there and stops.
 
-    A file that cannot be read as an image does not stop the stream; read_rejects lists it.
+    A file that cannot be read as an image does not stop the stream; read_rejects lists it. Files are read by range, so
+    the stream itself carries only their paths, unless Spark alone can open the store.
     """
     files = (
         spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
-        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-        .load(path).select("path", "content")
+        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY").load(path)
     )
-    return import_stream(files, library_path, checkpoint, once)
+    return import_stream(files.select("path") if reachable(path) else files.select("path", "content"), library_path, checkpoint, once)
