@@ -1,10 +1,13 @@
 import re
 from collections import Counter
+from functools import partial
 
+import numpy as np
 import pytest
 from odd import odd_documents, rows_of
 
 from zonespark.llm import collocations as C
+from zonespark.llm.common import pick
 
 
 def plain_counts(rows):
@@ -74,23 +77,31 @@ def _blocks(text, size):
 
 
 def _counts(texts):
-    stream, total = C._Stream([1, 2, 3, 4], {}, False), Counter()
-    for lang, text in texts:
-        for batch in stream.add(0, lang, text):
-            total.update({(r["lang"], r["phrase"]): 0 for r in batch.to_pylist()})
-            for r in batch.to_pylist():
-                total[r["lang"], r["phrase"]] += r["times"]
-    for batch in stream.count():
-        for r in batch.to_pylist():
-            total[r["lang"], r["phrase"]] += r["times"]
+    """What each of the three passes counts, with every phrase sought."""
+    total, everything = Counter(), {n: np.full(1 << 10, 255, np.uint8) for n in (1, 2, 3)}
+    for count in (C._pairs, partial(C._longer, everything), partial(C._exact, everything, 2)):
+        stream = C.Texts()
+        for step in stream.steps(((i, lang), text) for i, (lang, text) in enumerate(texts)):
+            for batch in count(stream, *step):
+                for r in batch.to_pylist():
+                    total[r.get("word"), r.get("h"), r.get("lang"), r.get("phrase")] += r["times"]
     return total
 
 
-def test_a_bitmap_holds_what_was_put_in(spark):
-    rows = [(i % 5, "en" if i % 2 else "", f"word{i} é") for i in range(2000)]
-    bits = C.bitmap(spark.createDataFrame(rows, "shard int, lang string, phrase string"), ["shard", "lang", "phrase"])
-    assert bits.holds([f"{s}\x1f{l}\x1f{p}".encode() for s, l, p in rows]).all()
-    assert bits.holds([f"other{i}".encode() for i in range(2000)]).sum() < 60
+def test_bits_are_those_of_the_hashes(spark):
+    hashes = np.random.default_rng(1).integers(0, 2**64, 3000, np.uint64)
+    bits = C.bitmap(spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "h long"))
+    assert C.held(bits, hashes).all()
+    assert C.held(bits, np.random.default_rng(2).integers(0, 2**64, 3000, np.uint64)).sum() < 60
+
+
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    # A bitmap too small to tell anything: every phrase passes, and the exact count decides.
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(TEXTS * 2)], "doc_id long, lang string, text string")
+    whole = sorted(map(tuple, C.collocations(docs, 2, 3, 100).collect()))
+    smaller = C.bitmap
+    monkeypatch.setattr(C, "bitmap", lambda hashes: smaller(hashes) | 255)
+    assert sorted(map(tuple, C.collocations(docs, 2, 3, 100).collect())) == whole
 
 
 def test_every_phrase_reaches_the_support_of_some_shard(spark):
@@ -102,6 +113,6 @@ def test_every_phrase_reaches_the_support_of_some_shard(spark):
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     found = rows_of(C.collocations(docs, 2, 4, 50))
-    plain = plain_collocations([(r["lang"], r["text"]) for r in docs.select("lang", "text").collect()], 2, 50)
+    plain = plain_collocations([(r["lang"], r["text"]) for r in pick(docs, "lang", "text").collect()], 2, 50)
     assert found == sorted(plain, key=repr)
     assert C.collocations(docs.limit(0), 2).collect() == []

@@ -6,6 +6,7 @@ import numpy as np
 from odd import odd_documents, rows_of
 
 from zonespark.llm import ranked_search as R
+from zonespark.llm.common import pick
 
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -107,7 +108,7 @@ def test_odd_documents_and_items(spark):
         [(1, "Two four LOREM nowhere"), (1, "Two four LOREM nowhere"), (2, None), (3, ""), (None, "id x x"), (4, "dolor " * 3000), (5, "漢字 É é"), (1, "two")],
         "item_id long, text string",
     )
-    plain = plain_search([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
+    plain = plain_search([(r[0], r[1]) for r in pick(docs, "doc_id", "text").collect()], [tuple(r) for r in items.collect()])
     assert rows_of(R.ranked_search(docs, items)) == plain and any(r[0] is None for r in plain)
     assert R.ranked_search(docs.limit(0), items).collect() == [] == R.ranked_search(docs, items.limit(0)).collect()
 
