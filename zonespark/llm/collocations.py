@@ -29,7 +29,7 @@ _BREAK = b"."
 # The characters that end a piece become a full stop, which no word can hold; a tab separates words like a space.
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".........." + b" ")
 #: Words a task counts at a time, and different words it remembers.
-_STEP, _REMEMBERED = 1 << 20, 1 << 19
+_STEP, _REMEMBERED = 1 << 19, 1 << 18
 #: Bits of a word's number and of a group's in a key.
 _WORD_BITS, _GROUP_BITS = 26, 11
 # Odd constants that mix 64-bit numbers.
