@@ -324,6 +324,36 @@ def backup_zones_round_trip(t):
     return E.read_backup(t.ims.sparkSession, folder)[1].drop("file")
 
 
+@query(
+    "S5_read_document",
+    """ SELECT i.image_id, i.name, i.path, i.combo, i.width, i.height, i.frame_count, i.open_frame, i.kind, i.manufacturer, i.model, i.sop_class, i.software,
+ row_number() OVER (ORDER BY i.import_idx) - 1 AS import_idx, CAST(count(z.image_id) AS BIGINT) AS zones
+FROM ims i LEFT JOIN nz z ON z.image_id = i.image_id GROUP BY ALL""",
+    ("ims", "nz"),
+)
+def read_document(t):
+    """One document over the whole library, written in parts and read back as one, in splits."""
+    folder = _folder(t, "document")
+    O.write_backup_document(folder, t.ims, t.nz, _NOW)
+    found, zones, _ = E.read_backup(t.ims.sparkSession, folder, one_document=True)
+    counts = zones.groupBy("image_id").agg(F.count("*").alias("zones"))
+    return found.join(counts, "image_id", "left").select(
+        "image_id", "name", "path", "combo", "width", "height", "frame_count", "open_frame", "kind", "manufacturer", "model", "sop_class", "software",
+        "import_idx", F.coalesce("zones", F.lit(0)).alias("zones"),
+    )
+
+
+@query(
+    "S5_read_document_zones",
+    "SELECT image_id, frame_index, CAST(row_number() OVER (PARTITION BY image_id, frame_index ORDER BY ord) - 1 AS BIGINT) AS ord, x, y, width, height, note FROM nz",
+    ("nz",),
+)
+def read_document_zones(t):
+    folder = _folder(t, "document")
+    O.write_backup_document(folder, t.ims, t.nz, _NOW)
+    return E.read_backup(t.ims.sparkSession, folder, one_document=True)[1].drop("file")
+
+
 @query(
     "S9_templates_round_trip",
     """, bad AS (SELECT DISTINCT combo, ref_width, ref_height FROM lay2 WHERE x + width > ref_width OR y + height > ref_height)

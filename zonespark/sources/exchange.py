@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonespark.export_schema import ExportSchema, validate_schema_file
 from zonespark.functions import variants as V
@@ -18,6 +19,8 @@ from zonespark.functions.text import is_digits, js_trim
 from zonespark.operators.templates import derived_id, template_name
 from zonespark.plans.ordering import materialise, with_global_rank
 from zonespark.schemas import DEVICE, LAYOUT_KEY, ZONE
+from zonespark.sources import json_scan as J
+from zonespark.sources.ranged import reachable
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,33 +30,61 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def documents_in(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a file or folder as rows (path, text): whole files, or the records of files written as such.
+class Read:
+    """What the readers start from: texts that are whole documents (path, text), and documents that were cut while they were read.
 
-    A folder may hold both. Records are lines that are documents of their own, so files of any size are read in parts;
-    whether a file has them shows in its first line. Records are named so that they sort as they stand.
+    Of the latter, skeletons has path and text, elements path, container, at and text (see json_scan).
     """
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    first = (
-        spark.read.text(path, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").filter(F.trim("value") != "")
-        .groupBy("path").agg(F.min_by("value", "place").alias("value"))
-    )
-    # One row per file, as in Spark's own list of the folder.
-    kinds = first.select("path", F.coalesce(V.is_one_value(F.col("value")), F.lit(False)).alias("records")).collect()
-    records, whole = ([k["path"] for k in kinds if k["records"] == wanted] for wanted in (True, False))
-    if not records:
+
+    def __init__(self, texts: DataFrame, skeletons: DataFrame | None = None, elements: DataFrame | None = None):
+        self.texts = texts
+        self.skeletons = None if skeletons is None else skeletons.withColumnRenamed("document", "path")
+        self.elements = None if elements is None else elements.withColumnRenamed("document", "path")
+
+
+def read_documents(spark: SparkSession, path: str, one_document: bool = False) -> Read:
+    """The documents of a file or folder. A folder may hold files of one document each and files written as records.
+
+    Records are lines that are documents of their own; whether a file has them shows in its first line that is not blank, and they are
+    named so that they sort as they stand. Other files are documents, cut into parts while they are read. With `one_document`
+    the files of the folder, in order of their names, are the parts of a single document, as Spark writes one. Every file is read in parts,
+    whatever its length. Where Python cannot open the store, Spark reads files that are documents whole.
+    """
+    if not reachable(path):
+        return Read(documents_in(spark, path))
+    files = J.listed(spark, path)
+    if one_document:
+        # As many rows as the document has parts.
+        before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+        base = F.coalesce(F.sum("length").over(before), F.lit(0))
+        parts = files.select(F.lit(path).alias("document"), "path", base.alias("base"), "length")
+        nothing = spark.createDataFrame([], "path string, text string")
+        return Read(nothing, *J.documents(materialise(parts)))
+    kinds = J.with_kinds(files)
+    whole = kinds.filter(~F.col("records"))
+    if not kinds.filter("records").isEmpty():
+        # A file of nothing but blanks is no record, and beside records no document either.
+        whole = whole.filter(~F.col("blank"))
+    whole = whole.select(F.col("path").alias("document"), "path", F.lit(0).cast("long").alias("base"), "length")
+    return Read(J.records(kinds.filter("records")), *J.documents(whole))
+
+
+def documents_in(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a file or folder as rows (path, text), by Spark's text source: lines of files with records, and other files whole."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value")
+    filled = lines.filter(F.trim("value") != "")
+    # Only the part of a file that begins it can hold its first line.
+    first = filled.filter("place.block = 0").groupBy("path").agg(F.min_by("value", "place").alias("value"))
+    kinds = materialise(first.select("path", F.coalesce(V.is_one_value(F.col("value")), F.lit(False)).alias("records")))
+    if kinds.filter("records").isEmpty():
         return text_files(spark, path)
-    # The filters by path leave files out before they are opened.
-    lines = spark.read.text(path, recursiveFileLookup=True).filter(F.col("_metadata.file_path").isin(records)).select(
-        F.concat_ws(
-            "#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
-            F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
-        ).alias("path"),
+    # The kinds have a row per file; the files themselves are never listed here.
+    records = filled.join(kinds.filter("records"), "path", "left_semi").select(
+        F.concat_ws("#", "path", *[F.lpad(F.col(f"place.{c}").cast("string"), 20, "0") for c in ("block", "line")]).alias("path"),
         F.col("value").alias("text"),
     )
-    lines = lines.filter(F.trim("text") != "")
-    return lines.unionByName(text_files(spark, path).filter(F.col("path").isin(whole))) if whole else lines
+    return records.unionByName(text_files(spark, path).join(kinds.filter("NOT records"), "path", "left_semi"))
 
 
 def _zone_columns(zone: Column) -> list[Column]:
@@ -81,17 +112,38 @@ def _ints(*names: str) -> list[Column]:
     return [F.col(c).cast("int").alias(c) for c in names]
 
 
-def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(layouts, layout_zones, rejects) of files keyed by combo and raster. Nothing arrives promoted."""
-    whole = F.when(V.is_one_value(F.col("text")), F.col("text"))
-    top = materialise(
-        files.select(
-            "path", F.from_json(whole, "struct<annotations: map<string, string>>")["annotations"].alias("annotations")
-        )
+def _annotations(read: Read) -> tuple[DataFrame, DataFrame]:
+    """(path and whether the file has annotations, path, pos, combo and raw of each of them)."""
+
+    def annotations(text: Column) -> Column:
+        whole = F.when(V.is_one_value(text), text)
+        return F.from_json(whole, "struct<annotations: map<string, string>>")["annotations"]
+
+    top = materialise(read.texts.select("path", annotations(F.col("text")).alias("annotations")))
+    known = top.select("path", F.col("annotations").isNotNull().alias("known"))
+    combos = top.select("path", F.posexplode("annotations").alias("pos", "combo", "raw")).withColumn("pos", F.col("pos").cast("long"))
+    if read.skeletons is None:
+        return known, combos
+    # In a skeleton an object holds its number only, as a key and as its value.
+    held = materialise(read.skeletons.select("path", annotations(F.col("text")).alias("held")))
+    numbers = held.select("path", F.map_keys("held")[0].try_cast("long").alias("container"))
+    member = F.concat(F.lit("{"), "text", F.lit("}"))
+    parsed = read.elements.join(numbers.filter("container IS NOT NULL"), ["path", "container"]).select(
+        "path", F.col("at").alias("pos"), F.from_json(F.when(V.is_one_value(member), member), "map<string, string>").alias("one")
     )
+    parsed = materialise(parsed)
+    broken = parsed.filter(F.col("one").isNull() | (F.size("one") != 1)).select("path").distinct().withColumn("_broken", F.lit(True))
+    cut = held.join(broken, "path", "left").select("path", (F.col("held").isNotNull() & F.col("_broken").isNull()).alias("known"))
+    members = parsed.join(broken, "path", "left_anti").select("path", "pos", F.explode("one").alias("combo", "raw"))
+    return known.unionByName(cut), combos.unionByName(members)
+
+
+def parse_layouts(files: DataFrame | Read) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(layouts, layout_zones, rejects) of files keyed by combo and raster. Nothing arrives promoted."""
+    top, entries = _annotations(files if isinstance(files, Read) else Read(files))
     # A repeated key stands where it came first and means what it says last.
     combos = (
-        top.select("path", F.posexplode("annotations").alias("pos", "combo", "raw"))
+        entries
         .groupBy("path", "combo").agg(F.min("pos").alias("combo_pos"), F.max_by("raw", "pos").alias("raw"))
         .withColumn("sizes", F.from_json("raw", "map<string, variant>"))
     )
@@ -121,7 +173,7 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     some = zones.select("path").distinct().withColumn("_some", F.lit(True))
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("annotations").isNull(), "Not an annotations file.")),
+            _defects(top, F.when(~F.col("known"), "Not an annotations file.")),
             _defects(
                 combos,
                 F.when(~is_digits(F.col("combo")), F.concat(F.lit("Invalid combo ID: "), "combo"))
@@ -140,7 +192,7 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             ),
             _defects(
                 top.join(some, "path", "left"),
-                F.when(F.col("annotations").isNotNull() & F.col("_some").isNull(), "The file contains no zones."),
+                F.when(F.col("known") & F.col("_some").isNull(), "The file contains no zones."),
             ),
         ]
     )
@@ -162,22 +214,41 @@ def parse_layouts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return layouts, layout_zones, rejects
 
 
-def read_layouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_layouts(documents_in(spark, path))
+def read_layouts(spark: SparkSession, path: str, one_document: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return parse_layouts(read_documents(spark, path, one_document))
 
 
-def _envelope(files: DataFrame, items: str, kind: str, products: list[str] | None) -> DataFrame:
-    """Files as (path, items); items is NULL unless the envelope is of the kind, version and product read here.
+def _envelope(read: Read, items: str, kind: str, products: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(path and whether the file is known, path, pos and item of each of its items).
 
-    A format is the name of a product and the kind. Files of any product load unless `products` lists the ones to accept.
+    A file is known if its envelope is of the kind, version and product read here. A format is the name of a product and the kind.
+    Files of any product load unless `products` lists the ones to accept.
     """
-    whole = F.when(V.is_one_value(F.col("text")), F.col("text"))
-    body = F.from_json(whole, f"struct<format: variant, version: variant, {items}: array<variant>>")
-    format = V.text(F.col("body.format"))
-    accepted = format.endswith(f"-{kind}") if products is None else format.isin([f"{p}-{kind}" for p in products])
-    known = accepted & (V.integer(F.col("body.version")) == 1)
-    parsed = files.select("path", body.alias("body")).select("path", F.when(known, F.col(f"body.{items}")).alias("items"))
-    return materialise(parsed)
+
+    def parsed(files: DataFrame, item: str) -> DataFrame:
+        whole = F.when(V.is_one_value(F.col("text")), F.col("text"))
+        body = F.from_json(whole, f"struct<format: variant, version: variant, {items}: array<{item}>>")
+        format = V.text(F.col("body.format"))
+        accepted = format.endswith(f"-{kind}") if products is None else format.isin([f"{p}-{kind}" for p in products])
+        known = accepted & (V.integer(F.col("body.version")) == 1)
+        opened = files.select("path", body.alias("body")).select("path", F.when(known, F.col(f"body.{items}")).alias("items"))
+        return materialise(opened)
+
+    top = parsed(read.texts, "variant")
+    known = top.select("path", F.col("items").isNotNull().alias("known"))
+    entries = top.select("path", F.posexplode("items").alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
+    if read.skeletons is None:
+        return known, entries
+    # In a skeleton an array holds its number only.
+    held = parsed(read.skeletons, "bigint")
+    one = F.when(V.is_one_value(F.col("text")), F.try_parse_json("text"))
+    members = read.elements.join(held.select("path", F.col("items")[0].alias("container")), ["path", "container"]).select(
+        "path", F.col("at").alias("pos"), one.alias("item")
+    )
+    members = materialise(members)
+    broken = members.filter(F.col("item").isNull()).select("path").distinct().withColumn("_broken", F.lit(True))
+    cut = held.join(broken, "path", "left").select("path", (F.col("items").isNotNull() & F.col("_broken").isNull()).alias("known"))
+    return known.unionByName(cut), entries.unionByName(members.join(broken, "path", "left_anti"))
 
 
 def _positive(name: str) -> Column:
@@ -185,11 +256,11 @@ def _positive(name: str) -> Column:
 
 
 def parse_backup(
-    files: DataFrame, sources: DataFrame | None = None, products: list[str] | None = None
+    files: DataFrame | Read, sources: DataFrame | None = None, products: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, zones, rejects) of annotation backups. `sources` lists the image_id of files at hand."""
-    top = _envelope(files, "images", "project", products)
-    entries = top.select("path", F.posexplode("items").alias("pos", "image"))
+    top, entries = _envelope(files if isinstance(files, Read) else Read(files), "images", "project", products)
+    entries = entries.withColumnRenamed("item", "image")
 
     def text(name: str) -> Column:
         return V.text(V.member(F.col("image"), name))
@@ -225,7 +296,7 @@ def parse_backup(
     )
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("items").isNull(), "Not a supported annotation backup.")),
+            _defects(top, F.when(~F.col("known"), "Not a supported annotation backup.")),
             _defects(
                 images,
                 F.when(~valid_id, "Invalid or duplicate image identifier.")
@@ -284,9 +355,9 @@ def parse_backup(
 
 
 def read_backup(
-    spark: SparkSession, path: str, sources: DataFrame | None = None, products: list[str] | None = None
+    spark: SparkSession, path: str, sources: DataFrame | None = None, products: list[str] | None = None, one_document: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_backup(documents_in(spark, path), sources, products)
+    return parse_backup(read_documents(spark, path, one_document), sources, products)
 
 
 def rekey(rows: DataFrame, keys: list[str], id_column: str, place: list[str]) -> DataFrame:
@@ -305,11 +376,11 @@ def rekey(rows: DataFrame, keys: list[str], id_column: str, place: list[str]) ->
 
 
 def parse_templates(
-    files: DataFrame, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None
+    files: DataFrame | Read, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(templates, template_zones, rejects). Ids in `known` are skipped; `created_at` fills a missing time."""
-    top = _envelope(files, "templates", "templates", products)
-    entries = top.select("path", F.posexplode("items").alias("pos", "t"))
+    top, entries = _envelope(files if isinstance(files, Read) else Read(files), "templates", "templates", products)
+    entries = entries.withColumnRenamed("item", "t")
 
     def text(name: str) -> Column:
         return V.text(V.member(F.col("t"), name))
@@ -333,7 +404,7 @@ def parse_templates(
     combo_ok = F.coalesce((F.col("combo") == "") | is_digits(F.col("combo")), F.lit(False))
     rejects = _first_reason(
         [
-            _defects(top, F.when(F.col("items").isNull(), "Not a template file.")),
+            _defects(top, F.when(~F.col("known"), "Not a template file.")),
             _defects(
                 rows,
                 F.when(~named, "A template is missing its name.")
@@ -363,9 +434,10 @@ def parse_templates(
 
 
 def read_templates(
-    spark: SparkSession, path: str, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None
+    spark: SparkSession, path: str, known: DataFrame | None = None, created_at: str = "", products: list[str] | None = None,
+    one_document: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_templates(documents_in(spark, path), known, created_at, products)
+    return parse_templates(read_documents(spark, path, one_document), known, created_at, products)
 
 
 def read_export_schemas(spark: SparkSession, path: str, known: list[ExportSchema] = ()) -> list[ExportSchema]:
