@@ -5,6 +5,7 @@ note, and no sink accepts a table that has it.
 """
 
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 from math import floor, isfinite
 
 import pandas as pd
@@ -151,6 +152,21 @@ def detections(
     from a `settings` column, as profile_sweep does.
     """
     cfg = _config(settings)
+    found = _distinct_boxes(regions, images, settings, order, {"": readable(F.col("text"), cfg["min_chars"])})
+    return found.select(
+        *[c for c in found.columns if c not in (*RECT, "first_")], F.col("first_._0").alias("ord"), *RECT,
+        recognised(F.col("first_.text")), "first_.confidence",
+    )
+
+
+def _distinct_boxes(
+    regions: DataFrame, images: DataFrame, settings: Settings | None, order: list[str] | None, passing: dict[str, Column]
+) -> DataFrame:
+    """Distinct boxes per frame, and for each condition that regions may pass the first of the box that does (first_ and its name).
+
+    A box is there if any of its regions passes any condition.
+    """
+    cfg = _config(settings)
     order = order or ["region_ord"]
     keys = [*FRAME, "profile"] if settings is None else list(FRAME)
     scale = F.coalesce(F.col("scale"), F.lit(1.0)) if "scale" in regions.columns else F.lit(1.0)
@@ -166,7 +182,7 @@ def detections(
     x, y = edge("x0", -1, "ref_width"), edge("y0", -1, "ref_height")
     right, bottom = edge("x1", 1, "ref_width"), edge("y1", 1, "ref_height")
     boxes = (
-        regions.filter(has_box & readable(F.col("text"), cfg["min_chars"]))
+        regions.filter(has_box & reduce(lambda a, b: a | b, passing.values()))
         .join(raster, "image_id")
         .withColumns({"_x": x, "_y": y, "_w": right - x, "_h": bottom - y})
         .filter((F.col("_w") >= F.greatest(F.lit(1), cfg["min_width"])))
@@ -175,19 +191,14 @@ def detections(
     confidence = js_round(F.coalesce(F.nanvl(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0)))
     carried = ["settings"] if settings is None else []
     # The smallest place in the order wins, by partial aggregation: copies never travel.
-    first = F.min(
-        F.struct(
-            *[F.col(c).cast("bigint").alias(f"_{i}") for i, c in enumerate(order)],
-            clean_text(F.col("text")).alias("text"), confidence.alias("confidence"),
-        )
+    first = F.struct(
+        *[F.col(c).cast("bigint").alias(f"_{i}") for i, c in enumerate(order)],
+        clean_text(F.col("text")).alias("text"), confidence.alias("confidence"),
     )
-    distinct = boxes.groupBy(
+    return boxes.groupBy(
         *keys, *carried, F.col("_x").alias("x"), F.col("_y").alias("y"),
         F.col("_w").alias("width"), F.col("_h").alias("height"),
-    ).agg(first.alias("first"))
-    return distinct.select(
-        *keys, *carried, F.col("first._0").alias("ord"), *RECT, recognised(F.col("first.text")), "first.confidence"
-    )
+    ).agg(*[F.min(F.when(condition, first)).alias(f"first_{name}") for name, condition in passing.items()])
 
 
 def above_confidence(boxes: DataFrame, threshold) -> DataFrame:
@@ -356,27 +367,103 @@ def with_profiles(table: DataFrame, profiles: list[tuple[str, Settings]]) -> Dat
     )
 
 
+def _placements(profiles: list[tuple[str, Settings]]) -> dict[tuple[str, int], list[tuple[str, Settings]]]:
+    """Profiles by what decides where their boxes lie: the level and the padding."""
+    placed: dict[tuple[str, int], list[tuple[str, Settings]]] = {}
+    for name, settings in profiles:
+        placed.setdefault((settings.granularity, settings.padding), []).append((name, settings))
+    return placed
+
+
+def _placed_boxes(ocr_raw: DataFrame, images: DataFrame, profiles: list[tuple[str, Settings]], order: list[str] | None) -> DataFrame:
+    """Every distinct box once per level and padding (column profile names the placement), whatever the other settings.
+
+    `winners` has, per least number of characters that some profile asks for, the first region of the box with as many.
+    """
+    wide = [
+        (str(i), Settings(granularity=level, padding=padding, confidence=0, min_width=0, min_height=0, min_chars=1))
+        for i, (level, padding) in enumerate(_placements(profiles))
+    ]
+    least = sorted({s.min_chars for _, s in profiles})
+    regions = extract_regions(with_profiles(ocr_raw, wide), None)
+    return _distinct_boxes(regions, images, None, order, {str(n): readable(F.col("text"), n) for n in least}).withColumn(
+        "winners", F.array(*[F.struct(F.lit(n).alias("min_chars"), F.col(f"first_{n}").alias("first")) for n in least])
+    ).drop(*[f"first_{n}" for n in least])
+
+
 def profile_sweep(
     ocr_raw: DataFrame, images: DataFrame, zones: DataFrame, profiles, order: list[str] | None = None
 ) -> DataFrame:
-    """What each named settings profile would show on the same recognition run: counts per profile."""
+    """What each named settings profile would show on the same recognition run: counts per profile.
+
+    Regions are read and placed once per level and padding. All profiles of a placement are then counted in one
+    pass over its boxes; only profiles that join boxes get rows of their own, once for those that join alike.
+    """
     chosen = validate_profiles(profiles)
     if not chosen:
         raise ValueError("A sweep needs at least one profile with a name.")
-    regions = extract_regions(with_profiles(ocr_raw, chosen), None)
-    found = detections(regions, images, None, order)
-    below = F.col("confidence") < F.col("settings.confidence")
-    shown = above_confidence(found, F.col("settings.confidence"))
-    if any(s.merge_gap > 0 for _, s in chosen):
-        joined = merge_boxes(shown.filter(F.col("settings.merge_gap") > 0), None)
-        shown = shown.filter(F.col("settings.merge_gap") == 0).unionByName(joined)
-    bare = uncovered(shown, zones)
-    zero = F.lit(0)
-    tally = (
-        found.filter(below).select("profile", zero.alias("detected"), zero.alias("uncovered"), F.lit(1).alias("below_floor"))
-        .unionByName(shown.select("profile", F.lit(1).alias("detected"), zero.alias("uncovered"), zero.alias("below_floor")))
-        .unionByName(bare.select("profile", zero.alias("detected"), F.lit(1).alias("uncovered"), zero.alias("below_floor")))
-    )
-    return tally.groupBy("profile").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("detected", "uncovered", "below_floor")]
+    boxes = materialise(_placed_boxes(ocr_raw, images, chosen, order))
+    keys = [*FRAME, "profile", *RECT]
+    bare = uncovered(boxes.select(*keys), zones).withColumn("_bare", F.lit(True))
+    marked = boxes.join(bare, keys, "left")
+    numbers = {place: str(i) for i, place in enumerate(_placements(chosen))}
+
+    def wanted(s: Settings) -> Column:
+        """The confidence of the box as a profile sees it, NULL if it does not."""
+        first = F.filter("winners", lambda w: w["min_chars"] == s.min_chars)[0]["first"]
+        fits = (
+            (F.col("profile") == numbers[s.granularity, s.padding])
+            & (F.col("width") >= max(1, s.min_width)) & (F.col("height") >= max(1, s.min_height))
+        )
+        return F.when(fits, first["confidence"])
+
+    counts = []
+    for i, (_, s) in enumerate(chosen):
+        seen = wanted(s)
+        shown = seen >= s.confidence
+        counts += [
+            F.count_if(shown).alias(f"detected_{i}"), F.count_if(shown & F.coalesce("_bare", F.lit(False))).alias(f"uncovered_{i}"),
+            F.count_if(seen < s.confidence).alias(f"below_floor_{i}"),
+        ]
+    tally = marked.agg(*counts).select(
+        F.explode(F.array(*[
+            F.struct(F.lit(name).alias("profile"), *[F.col(f"{c}_{i}").alias(c) for c in ("detected", "uncovered", "below_floor")])
+            for i, (name, _) in enumerate(chosen)
+        ])).alias("t")
+    ).select("t.*")
+    joining = {s: [] for _, s in chosen if s.merge_gap > 0}
+    for name, s in chosen:
+        if s.merge_gap > 0:
+            joining[s].append(name)
+    if not joining:
+        return tally
+    # Settings that differ in nothing are joined once.
+    settings = F.array(*[
+        F.when(wanted(s) >= s.confidence, F.struct(F.lit(str(i)).alias("number"), F.lit(s.min_chars).alias("min_chars"), F.struct(*[F.lit(v).alias(k) for k, v in asdict(s).items()]).alias("settings")))
+        for i, s in enumerate(joining)
+    ])
+    shown = boxes.withColumn("_one", F.explode(F.array_compact(settings))).withColumn(
+        "_first", F.filter("winners", lambda w: w["min_chars"] == F.col("_one.min_chars"))[0]["first"]
+    ).select(
+        *FRAME, F.col("_one.number").alias("profile"), "_one.settings", F.col("_first._0").alias("ord"), *RECT,
+        recognised(F.col("_first.text")), "_first.confidence",
     )
+    joined = materialise(merge_boxes(shown, None))
+    left = uncovered(joined, zones)
+    zero = F.lit(0)
+    again = joined.select("profile", F.lit(1).alias("detected"), zero.alias("uncovered")).unionByName(
+        left.select("profile", zero.alias("detected"), F.lit(1).alias("uncovered"))
+    ).groupBy("profile").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("detected", "uncovered")])
+    told = again.select(F.explode(F.element_at(_names_of(joining), F.col("profile"))).alias("profile"), "detected", "uncovered")
+    joins = [name for names in joining.values() for name in names]
+    apart = tally.filter(~F.col("profile").isin(joins))
+    floors = tally.filter(F.col("profile").isin(joins)).select("profile", "below_floor").join(told, "profile", "left")
+    return apart.unionByName(floors.select(
+        "profile", F.coalesce("detected", F.lit(0)).alias("detected"), F.coalesce("uncovered", F.lit(0)).alias("uncovered"), "below_floor"
+    ))
+
+
+def _names_of(joining: dict[Settings, list[str]]) -> Column:
+    """The names of the profiles that join alike, by their number."""
+    entries = [(F.lit(str(i)), F.array(*[F.lit(n) for n in names])) for i, names in enumerate(joining.values())]
+    return F.create_map(*[c for entry in entries for c in entry])
