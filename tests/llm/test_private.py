@@ -41,7 +41,7 @@ def test_base_spans_are_those_of_the_patterns(text):
 
 
 def test_long_runs_are_looked_at_once():
-    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 200_000, "1 " * 200_000, "a@" * 200_000, "a@b" * 100_000, "+1" + "-" * 400_000):
+    for text in ("a" * 400_000, "1" * 400_000, "999." * 100_000, "+1" * 200_000, "1 " * 200_000, "a@" * 200_000, "a@b" * 100_000, "+1" + "-" * 400_000):
         assert P.base_spans(text) == []
     tail = "x" * 300_000 + "@y.z " + "9" * 200_000 + " 1.2.3.4"
     assert [s[0] for s in P.base_spans(tail)] == [0, 1]

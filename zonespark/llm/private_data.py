@@ -136,27 +136,42 @@ def rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
     return (country + gap if country else "") + one(f"({area}) ", area + gap) + rest[:3] + gap + rest[3:]
 
 
-def _examples(rows: list, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags of labelled pieces of text (text, spans), each also with its spans rewritten."""
+def _renamed(text: str, rng: np.random.Generator) -> str:
+    """A text with other letters and digits in the same places."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    return "".join(
+        letters[rng.integers(26)] if "a" <= c <= "z" else digits[rng.integers(10)] if "0" <= c <= "9" else c for c in text
+    )
+
+
+def _examples(rows: list, examples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """About as many windows with their tags, from labelled pieces of text (text, spans): as they stand, renamed, and rewritten."""
     rng = np.random.default_rng(seed)
     x, y = [], []
 
-    def add(text: str, spans: list[Span], start: int) -> None:
+    def add(text: str, spans: list[Span], near: int) -> None:
+        # Windows are cut anywhere around a place, through spans as well.
+        start = int(rng.integers(max(0, near - WINDOW + 8), max(near - 7, 1)))
+        start = max(0, min(start, len(text) - WINDOW // 2))
         x.append(tagger.symbols(text[start : start + WINDOW], WINDOW))
         y.append(_tags(WINDOW, spans, start))
 
-    for row in rows:
-        text, spans = row["text"], [(s["kind"], s["start"], s["end"]) for s in row["spans"]]
-        add(text, spans, int(rng.integers(0, max(len(text) - WINDOW, 0) + 1)))
-        for kind, a, b in spans:
-            for _ in range(2):
-                new = rewritten(kind, text[a:b], rng)
-                changed = text[:a] + new + text[b:]
-                first = max(0, min(a - int(rng.integers(0, WINDOW // 2)), len(changed) - WINDOW))
-                add(changed, [(kind, a, a + len(new))], first) if len(spans) == 1 else None
-            first = max(0, min(a - int(rng.integers(0, WINDOW // 2)), len(text) - WINDOW))
-            add(text, spans, first)
-    return (np.stack(x), np.stack(y)) if x else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64))
+    labelled = [(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in rows]
+    with_span, plain = [r for r in labelled if r[1]], [r for r in labelled if not r[1]]
+    for i in range(examples):
+        if plain and i % 4 == 0:
+            text, _ = plain[i // 4 % len(plain)]
+            add(_renamed(text, rng) if i % 8 else text, [], int(rng.integers(0, len(text) + 1)))
+            continue
+        text, spans = with_span[i % len(with_span)]
+        k, a, b = spans[rng.integers(len(spans))]
+        if i % 4 == 1 or len(spans) > 1:
+            add(text, spans, (a + b) // 2)
+            continue
+        new = _renamed(text[a:b], rng) if k != 1 else text[a:b]
+        new = rewritten(k, new, rng) if i % 4 == 2 else new
+        add(text[:a] + new + text[b:], [(k, a, a + len(new))], a + len(new) // 2)
+    return np.stack(x), np.stack(y)
 
 
 def labelled_pieces(docs: DataFrame, max_documents: int, max_pieces: int) -> list:
@@ -187,13 +202,13 @@ def labelled_pieces(docs: DataFrame, max_documents: int, max_pieces: int) -> lis
     return [row for part in some for row in part.orderBy("text").collect()]
 
 
-def train(docs: DataFrame, max_documents: int = 20_000, max_pieces: int = 600, seed: int = 7) -> tagger.Model | None:
+def train(docs: DataFrame, max_documents: int = 20_000, max_pieces: int = 600, examples: int = 1800, seed: int = 7) -> tagger.Model | None:
     """The network, trained on the labelled spans of a bounded sample of docs (text); None if the sample has no span."""
     ship_package(docs.sparkSession)
     rows = labelled_pieces(docs, max_documents, max_pieces)
     if not any(r["spans"] for r in rows):
         return None
-    return tagger.train(*_examples(rows, seed), _TAGS, seed=seed)
+    return tagger.train(*_examples(rows, examples, seed), _TAGS, seed=seed)
 
 
 def _plausible(kind: int, text: str) -> bool:

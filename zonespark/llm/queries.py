@@ -76,8 +76,11 @@ def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         each = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
         return F.array_join(each, ",")
 
-    base = F.filter("found", lambda s: s["kind"].isin(BASE))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def of(*kinds: str) -> Column:
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    base = of(*BASE)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(
         "doc_id", *counts, (F.size("found") - F.size(base)).cast("long").alias("n_added"),
         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"),
