@@ -191,8 +191,10 @@ def labelled_pieces(docs: DataFrame, max_documents: int, max_pieces: int) -> lis
                     pieces, found = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(found, kind)], ["text", "spans"])
 
-    texts = pick(docs, "text").filter("text is not null").select("text", F.xxhash64("text").alias("h")).distinct()
-    sample = keep(smallest_hashes(texts, "h", max_documents)).select("text").repartition(8, "text")
+    texts = pick(docs, "text").filter("text is not null").select("text", F.xxhash64("text").alias("h"))
+    # Only hashes are sorted; the texts of the sample, at most max_documents, are all that travels.
+    few = keep(smallest_hashes(texts.select("h").distinct(), "h", max_documents))
+    sample = texts.join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"]).select("text")
     pieces = keep(sample.mapInArrow(cut, "text string, spans array<struct<kind: long, start: long, `end`: long>>"))
     numbered = pieces.withColumn("h", F.xxhash64("text"))
     some = [
