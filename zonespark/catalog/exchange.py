@@ -5,9 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
-from zonespark.export_schema import SchemaDefects, validate_export_schema
 from zonespark.plans.ordering import shared_folder
-from zonespark.shipping import ship_package
 from zonespark.schemas import ZONE
 from zonespark.sources import documents as O
 from zonespark.sources import exchange as E
@@ -327,8 +325,7 @@ def backup_zones_round_trip(t):
 @query(
     "S5_read_document",
     """ SELECT i.image_id, i.name, i.path, i.combo, i.width, i.height, i.frame_count, i.open_frame, i.kind, i.manufacturer, i.model, i.sop_class, i.software,
- row_number() OVER (ORDER BY i.import_idx) - 1 AS import_idx, CAST(count(z.image_id) AS BIGINT) AS zones
-FROM ims i LEFT JOIN nz z ON z.image_id = i.image_id GROUP BY ALL""",
+ row_number() OVER (ORDER BY i.import_idx) - 1 AS import_idx, (SELECT count(*) FROM nz z WHERE z.image_id = i.image_id) AS zones FROM ims i""",
     ("ims", "nz"),
 )
 def read_document(t):
@@ -375,48 +372,64 @@ def templates_round_trip(t):
 
 
 # One definition per supplier; by turns they lack a name or zones, read an unknown source, or name a taken key.
-def _definition(key: int) -> dict:
-    return {
-        "id": f"s{key // 2 * 2}", "name": "" if key % 5 == 0 else f"Schema {key}", "zone": {} if key % 7 == 0 else {"left": "x"},
-        "entry": {"make": "patient" if key % 11 == 0 else "manufacturer"}, "root": {"annotations": 1} if key % 13 == 0 else {},
-        "shape": "flat" if key % 3 == 0 else "nested",
-    }
+def _definitions(t):
+    key = F.col("s_suppkey")
+
+    def by_turns(n: int, bad: str, good: str):
+        return F.when(key % n == 0, bad).otherwise(good)
+
+    text = F.concat(
+        F.lit('{"id":"s'), F.expr("s_suppkey div 2 * 2").cast("string"), F.lit('","name":"'),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("Schema "), key.cast("string"))),
+        F.lit('","zone":'), by_turns(7, "{}", '{"left":"x"}'), F.lit(',"entry":{"make":"'), by_turns(11, "patient", "manufacturer"),
+        F.lit('"},"root":'), by_turns(13, '{"annotations":1}', "{}"), F.lit(',"shape":"'), by_turns(3, "flat", "nested"), F.lit('"}'),
+    )
+    return t.supplier.select(key.cast("long").alias("key"), text.alias("definition"))
+
+
+_ORDERLY = "s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0"
 
 
 @query(
     "E5_validate_schemas",
-    """SELECT CAST(s_suppkey AS BIGINT) AS key, CAST((s_suppkey % 5 = 0)::INT + (s_suppkey % 7 = 0)::INT + (s_suppkey % 11 = 0)::INT
+    f"""SELECT CAST(s_suppkey AS BIGINT) AS key, CAST((s_suppkey % 5 = 0)::INT + (s_suppkey % 7 = 0)::INT + (s_suppkey % 11 = 0)::INT
  + (s_suppkey % 13 = 0)::INT AS BIGINT) AS defects,
- CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0
-  THEN CASE WHEN s_suppkey % 3 = 0 THEN 'flat' ELSE 'nested' END END AS shape FROM supplier""",
+ CASE WHEN {_ORDERLY} THEN CASE WHEN s_suppkey % 3 = 0 THEN 'flat' ELSE 'nested' END END AS shape FROM supplier""",
 )
 def validate_schemas(t):
-    def judge(batches):
-        for batch in batches:
-            out = []
-            for key in batch["key"]:
-                try:
-                    out.append((0, validate_export_schema(_definition(int(key))).shape))
-                except SchemaDefects as error:
-                    out.append((len(error.defects), None))
-            yield batch.assign(defects=[n for n, _ in out], shape=[s for _, s in out])
+    schemas, defects = E.judge_definitions(_definitions(t))
+    nothing = F.lit(None).cast("string")
+    return schemas.select("key", F.lit(0).cast("long").alias("defects"), "shape").unionByName(
+        defects.select("key", F.size("defects").cast("long").alias("defects"), nothing.alias("shape"))
+    )
 
-    ship_package(t.supplier.sparkSession)
-    return t.supplier.select(F.col("s_suppkey").cast("long").alias("key")).mapInPandas(judge, "key long, defects long, shape string")
+
+def _schema_records(t) -> str:
+    """A folder of schema files written as records, one schema each, in order of their keys."""
+    folder = f"{shared_folder(t.supplier.sparkSession)}/schemas-{uuid.uuid4().hex}"
+    record = F.concat(F.lit('{"format":"any-schema","version":1,"schemas":['), "definition", F.lit("]}"))
+    _definitions(t).orderBy("key").select(record.alias("value")).write.text(folder)
+    return folder
 
 
 @query(
     "S7_read_schemas",
-    """SELECT 's' || CAST(n_nationkey // 2 * 2 AS STRING) || CASE WHEN n_nationkey % 2 = 1 THEN '-' || CAST(n_nationkey AS STRING) ELSE '' END AS id,
- n_name AS name FROM nation""",
+    f"""SELECT 'Schema ' || CAST(s_suppkey AS STRING) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'flat' ELSE 'nested' END AS shape,
+ CASE WHEN row_number() OVER (PARTITION BY s_suppkey // 2 ORDER BY s_suppkey) = 1 THEN 's' || CAST(s_suppkey // 2 * 2 AS STRING) END AS kept_id,
+ '{{"left":"x"}}' AS zone FROM supplier WHERE {_ORDERLY}""",
 )
 def read_schemas(t):
-    spark, folder = t.nation.sparkSession, f"{shared_folder(t.nation.sparkSession)}/schemas-{uuid.uuid4().hex}"
-    entry = F.struct(
-        F.concat(F.lit("s"), F.expr("n_nationkey div 2 * 2").cast("string")).alias("id"), F.col("n_name").alias("name"),
-        F.struct(F.lit("x").alias("left")).alias("zone"),
-    )
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))), lambda r: r["e"])
-    body = F.to_json(F.struct(F.lit("any-schema").alias("format"), F.lit(1).alias("version"), F.col("schemas")))
-    t.nation.agg(listed.alias("schemas")).select(body.alias("value")).coalesce(1).write.text(folder)
-    return spark.createDataFrame([(s.id, s.name) for s in E.read_export_schemas(spark, folder)], "id string, name string")
+    found, _ = E.read_schemas(t.supplier.sparkSession, _schema_records(t))
+    # Ids made for later copies are 32 hexadecimal digits.
+    kept = F.when(F.col("schema_id").rlike("^s[0-9]+$"), F.col("schema_id"))
+    return found.select("name", "shape", kept.alias("kept_id"), "zone")
+
+
+@query(
+    "S7_rejected_schemas",
+    f"""SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'entry' WHEN s_suppkey % 5 = 0 THEN 'name' WHEN s_suppkey % 7 = 0 THEN 'zone' ELSE 'root' END AS part,
+ count(*) AS files FROM supplier WHERE NOT ({_ORDERLY}) GROUP BY ALL""",
+)
+def rejected_schemas(t):
+    _, rejects = E.read_schemas(t.supplier.sparkSession, _schema_records(t))
+    return rejects.groupBy(F.regexp_extract("reason", "^([a-z]+):", 1).alias("part")).agg(F.count("*").alias("files"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from zonespark.export_schema import ExportSchema, validate_schema_file
 from zonespark.functions import variants as V
+from zonespark.functions.definitions import definition_columns, definition_defects
 from zonespark.functions.geometry import inside
 from zonespark.functions.text import is_digits, js_trim
 from zonespark.operators.templates import derived_id, template_name
@@ -451,3 +452,47 @@ def read_export_schemas(spark: SparkSession, path: str, known: list[ExportSchema
         raise ValueError("Not a schema file.") from error
     ids = {schema.id for schema in known}
     return [schema for schema in validate_schema_file(given) if schema.id not in ids]
+
+
+def judge_definitions(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(schemas, defects) of a table of definitions: its own columns, and `definition`, the JSON of a schema.
+
+    schemas has the parts of each definition in order (see definition_columns) beside its own columns; defects has a row per
+    definition that is not, with everything wrong with it.
+    """
+    own = [c for c in definitions.columns if c != "definition"]
+    one = F.when(V.is_one_value(F.col("definition")), F.try_parse_json("definition"))
+    read = definitions.select(*own, one.alias("_d")).select("*", definition_defects(F.col("_d")).alias("defects"))
+    # Judged once, for both.
+    judged = materialise(read.select(*own, "defects", F.struct(*definition_columns(F.col("_d"))).alias("_s"), V.text(V.member(F.col("_d"), "id")).alias("_id")))
+    schemas = judged.filter(F.size("defects") == 0).select(*own, F.nullif("_id", F.lit("")).alias("own_id"), "_s.*")
+    return schemas, judged.filter(F.size("defects") > 0).select(*own, "defects")
+
+
+def parse_schemas(
+    files: DataFrame | Read, known: DataFrame | None = None, products: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(schemas, rejects) of schema files or records. A file with any definition out of order is refused as a whole.
+
+    Of equal ids the first in order of file and place keeps it, and every later one gets an id of its own that follows from
+    where it stands; so does a schema without one. Ids in `known` are skipped.
+    """
+    top, entries = _envelope(files if isinstance(files, Read) else Read(files), "schemas", "schema", products)
+    schemas, wrong = judge_definitions(entries.select("path", "pos", F.to_json("item").alias("definition")))
+    rejects = _first_reason(
+        [_defects(top, F.when(~F.col("known"), "Not a schema file.")), _defects(wrong, F.col("defects")[0])]
+    )
+    good = schemas.join(rejects, "path", "left_anti").withColumn(
+        "schema_id", F.coalesce("own_id", derived_id(F.col("path"), F.col("pos").cast("string")))
+    ).drop("own_id")
+    keyed = rekey(good, [], "schema_id", ["path", "pos"])
+    if known is not None:
+        keyed = keyed.join(known.select("schema_id").distinct(), "schema_id", "left_anti")
+    return keyed.withColumnRenamed("path", "file"), rejects
+
+
+def read_schemas(
+    spark: SparkSession, path: str, known: DataFrame | None = None, products: list[str] | None = None, one_document: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """parse_schemas of a file or folder, however many schemas it holds."""
+    return parse_schemas(read_documents(spark, path, one_document), known, products)
