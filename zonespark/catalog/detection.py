@@ -1,16 +1,19 @@
 """Text boxes, coverage and tags."""
 
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from zonespark.catalog.registry import query
+from zonespark.catalog.registry import ORACLES, query
 from zonespark.functions import tags as G
 from zonespark.functions.geometry import clamp, js_round
 from zonespark.functions.identifying import IDENTIFYING_TAGS, is_identifying_tag
 from zonespark.functions.text import clean_text, readable, readable_count
 from zonespark.operators import detect as K
 from zonespark.operators import tags as T
+from zonespark.operators.search_index import index_tags, search_tags_indexed
+from zonespark.plans.ordering import shared_folder
 from zonespark.schemas import FRAME, RECT
 from zonespark.sources.documents import refuse_text
 
@@ -122,6 +125,12 @@ def search_tag_text(t):
     return T.search_tags(T.with_tag_facts(t.tag), "SEQUENCE [2]").select("image_id", "row_idx", "value")
 
 
+@query("F3_search_indexed", ORACLES["F3_search_tags"], ())
+def search_tags_by_index(t):
+    index = index_tags(T.with_tag_facts(t.tag), f"{shared_folder(t.tag.sparkSession)}/index-{uuid.uuid4().hex}")
+    return search_tags_indexed(index, " (0008,11", "phi").select("image_id", "row_idx", "hex")
+
+
 _COUNTS = f"""count(*) AS "all", count(*) FILTER ({_PHI_SQL}) AS phi, count(*) FILTER (hex <> '00111001') AS standard,
  count(*) FILTER (hex = '00111001') AS private, count(*) FILTER (vr = 'SQ') AS sequences"""
 

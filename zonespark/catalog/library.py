@@ -1,5 +1,7 @@
 """Files, devices and triage."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
@@ -7,7 +9,8 @@ from zonespark.functions import device as D
 from zonespark.functions.filenames import parse_filename, size_mismatch
 from zonespark.operators import detect as K
 from zonespark.operators import triage as T
-from zonespark.plans.ordering import with_global_rank, with_rank_within
+from zonespark.operators.search_index import index_images, search_images_indexed
+from zonespark.plans.ordering import shared_folder, with_global_rank, with_rank_within
 from zonespark.schemas import DEVICE
 
 _NAME = r"'^(?i)combo([0-9]+)_([0-9]+)x([0-9]+)_s([0-9]+)\.(png|dcm|dicom|ima)$'"
@@ -181,6 +184,16 @@ def search_images(t):
     return T.search_images(T.triage_filter(t.ims, t.zon, "annotated"), "  Combo1_102").select(*_IMG.split(", "))
 
 
+@query(
+    "F2_search_indexed",
+    "SELECT image_id, import_idx, name FROM ims WHERE contains(lower(name || ' ' || path || ' ' || combo), 'combo1_102')",
+    ("ims",),
+)
+def search_indexed(t):
+    index = index_images(t.ims, f"{shared_folder(t.ims.sparkSession)}/index-{uuid.uuid4().hex}")
+    return search_images_indexed(index, "  Combo1_102").select("image_id", "import_idx", "name")
+
+
 @query(
     "F4_review_scope_combo",
     "SELECT image_id, import_idx FROM img WHERE combo = ''",
@@ -325,6 +338,18 @@ def review_queue(t):
     return T.review_queue(t.img)
 
 
+@query(
+    "W1_queue_page",
+    f"""SELECT * FROM (SELECT image_id, import_idx, row_number() OVER (ORDER BY {_DISPLAY}) AS position, count(*) OVER () AS total FROM img)
+WHERE position > 700 AND position <= 800""",
+    ("img",),
+)
+def queue_page(t):
+    """The eighth page of a hundred files. Writing the queue sorts all files once; the page then reads the slices it lies in."""
+    queue = T.write_queue(t.img, f"{shared_folder(t.img.sparkSession)}/queue-{uuid.uuid4().hex}")
+    return T.queue_page(queue, 7, 100).select("image_id", "import_idx", "position", "total")
+
+
 _QUEUE = _BOXES + f""", queue AS (
  SELECT image_id, import_idx, row_number() OVER (ORDER BY {_DISPLAY}) AS position FROM boxed WHERE boxes > 0 AND combo = ''),
 every AS (

@@ -1,5 +1,7 @@
 """Geometry, notes and layouts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
@@ -7,7 +9,8 @@ from zonespark.functions import geometry as G
 from zonespark.operators import layouts as L
 from zonespark.operators import triage as T
 from zonespark.operators import zones as Z
-from zonespark.plans.ordering import beside_each_other
+from zonespark.operators.layout_store import LayoutStore, occurrences
+from zonespark.plans.ordering import beside_each_other, shared_folder
 from zonespark.schemas import ZONE
 
 _ZONE = "x, y, width, height, note"
@@ -190,6 +193,23 @@ def layout_positions(t):
     return _union(t, with_position=True)
 
 
+@query(
+    "A6_union_after_batch",
+    f"""SELECT i.combo, i.width AS ref_width, i.height AS ref_height, z.x, z.y, z.width, z.height, z.note, min(i.import_idx) AS first_idx
+FROM nz z JOIN img i ON i.image_id = z.image_id WHERE i.combo <> '' AND (i.import_idx % 5 = 0 OR i.import_idx % 3 <> 0) GROUP BY ALL""",
+    ("nz",),
+)
+def union_after_batch(t):
+    """A stored union after a batch: of the images it held first a third goes, others come."""
+    spark, early = t.img.sparkSession, F.col("import_idx") % 5 != 0
+    path = f"{shared_folder(spark)}/layouts-{uuid.uuid4().hex}"
+    store = LayoutStore.create(spark, path, occurrences(t.img.filter(early), t.zon))
+    gone = t.img.filter(early & (F.col("import_idx") % 3 == 0))
+    return store.update(occurrences(t.img.filter(~early), t.zon), occurrences(gone, t.zon)).union().select(
+        "combo", "ref_width", "ref_height", *ZONE, F.col("first.import_idx").alias("first_idx")
+    )
+
+
 @query(
     "A7_layout_for_key",
     f"SELECT combo, ref_width, ref_height, {_ZONE} FROM uni WHERE combo = '5' AND ref_width = 1024 AND ref_height = 768",

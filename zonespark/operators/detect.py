@@ -289,47 +289,63 @@ def accept_detections(boxes: DataFrame, zones: DataFrame) -> tuple[DataFrame, Da
     return zones.select(*columns).unionByName(added.select(*columns)), boxes.select(*FRAME, *RECT).distinct()
 
 
-#: Cells per axis that the extent of an image's boxes is cut into.
-CELLS = 16
+#: Sizes of the cells a zone may lie in, as powers of two; beyond the last there is one cell for everything.
+_CELLS = (5, 7, 9, 11, 13)
+_EVERYWHERE = 31
+#: Added to coordinates before they are cut into cells, so that a raster's edge lies on no cell's.
+_SHIFT = (1 << 30) + 4096
+
+
+def _cell_size(low: Column, high: Column) -> Column:
+    """The power of two from which on both edges lie in one cell."""
+    differ = (low.cast("bigint") + _SHIFT).bitwiseXOR(high.cast("bigint") + _SHIFT)
+    return F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+
+
+def _smallest_cell(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The smallest of the cell sizes at which a rectangle lies in a single cell."""
+    size = F.greatest(_cell_size(x0, x1), _cell_size(y0, y1))
+    return reduce(lambda rest, c: F.when(size <= c, c).otherwise(rest), reversed(_CELLS), F.lit(_EVERYWHERE))
+
+
+def _cell(edge: Column, size: Column) -> Column:
+    return F.when(size == _EVERYWHERE, 0).otherwise(F.floor((edge.cast("bigint") + _SHIFT) / F.pow(F.lit(2.0), size)).cast("bigint"))
 
 
 def uncovered(boxes: DataFrame, zones: DataFrame, scope: str = "frame") -> DataFrame:
     """Boxes that do not lie wholly inside a single zone of their frame (or, scope="file", of their file).
 
-    The extent of each key's boxes is cut into cells on both axes, whatever its size, and a box meets only the zones
-    that reach the cell of its top left corner; a zone is repeated at most once per cell. So even one image with a large
-    share of all boxes is divided. Of zones with the same corner and width only the tallest can matter, which
-    drops repeated zones before they travel.
+    Every zone lies in one cell, the smallest of a few sizes that holds it whole; a zone around a box lies in a cell around the box, so
+    a distinct box looks into the one cell of each size that holds it. No zone is repeated, and one image with a large share of all boxes
+    is divided by its cells. Of zones with the same corner and width only the tallest can matter, which drops repeated zones before they travel.
     """
     keys = FRAME if scope == "frame" else ["image_id"]
-    tallest = zones.groupBy(
-        *keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), (F.col("x") + F.col("width")).alias("zx1")
-    ).agg(F.max(F.col("y") + F.col("height")).alias("zy1"))
-    extent = materialise(boxes.groupBy(*keys).agg(
-        *[f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]
-    ))
-
-    def cell(edge: Column, axis: str) -> Column:
-        low, high = F.col(f"_low{axis}"), F.col(f"_high{axis}")
-        share = (edge.cast("double") - low) / (high.cast("double") - low + 1)
-        return clamp(F.floor(share * CELLS), 0, CELLS - 1).cast("int")
-
-    covers = (
-        tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0"))).join(extent, keys)
-        .withColumn("_across", F.explode(F.sequence(cell(F.col("zx0"), "x"), cell(F.col("zx1"), "x"))))
-        .withColumn("_down", F.explode(F.sequence(cell(F.col("zy0"), "y"), cell(F.col("zy1"), "y"))))
+    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    tallest = zones.groupBy(*keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), right.alias("zx1")).agg(F.max(bottom).alias("zy1"))
+    edges = [F.col(c) for c in ("zx0", "zy0", "zx1", "zy1")]
+    placed = (
+        tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0")))
+        .withColumn("_size", _smallest_cell(*edges))
+        .withColumns({"_across": _cell(F.col("zx0"), F.col("_size")), "_down": _cell(F.col("zy0"), F.col("_size"))})
+    )
+    own = _smallest_cell(F.col("x"), F.col("y"), right, bottom)
+    sizes = F.array(*[F.lit(s) for s in (*_CELLS, _EVERYWHERE)])
+    asking = (
+        boxes.select(*keys, *RECT).distinct().withColumn("_own", own)
+        .withColumn("_size", F.explode(F.filter(sizes, lambda s: s >= F.col("_own"))))
+        .withColumns({"_across": _cell(F.col("x"), F.col("_size")), "_down": _cell(F.col("y"), F.col("_size"))})
     )
-    placed = boxes.join(extent, keys).withColumns({"_across": cell(F.col("x"), "x"), "_down": cell(F.col("y"), "y")})
-    b, z = placed.alias("b"), covers.alias("z")
+    b, z = asking.alias("b"), placed.alias("z")
     condition = (
         (F.col("b.x") >= F.col("z.zx0"))
         & (F.col("b.y") >= F.col("z.zy0"))
         & (F.col("b.x") + F.col("b.width") <= F.col("z.zx1"))
         & (F.col("b.y") + F.col("b.height") <= F.col("z.zy1"))
     )
-    for key in [*keys, "_across", "_down"]:
+    for key in [*keys, "_size", "_across", "_down"]:
         condition = condition & (F.col(f"b.{key}") == F.col(f"z.{key}"))
-    return b.join(z, condition, "left_anti").select(*boxes.columns)
+    covered = b.join(z, condition, "left_semi").select(*keys, *RECT).distinct()
+    return boxes.join(covered, [*keys, *RECT], "left_anti").select(*boxes.columns)
 
 
 def coverage_report(boxes: DataFrame, zones: DataFrame, confidence: int = 0) -> DataFrame:

@@ -36,19 +36,29 @@ def in_filter(name: str) -> Column:
     return F.lit(True)
 
 
+def tag_text(columns: list[str]) -> Column:
+    """What a tag row is searched in, in lower case."""
+    searched = [c for c in ("tag", "name", "keyword", "vr", "value", "path") if c in columns]
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in searched]))
+
+
+def tag_digits(query: str) -> str | None:
+    """The digits of a query that may be a tag number."""
+    digits = re.sub(r"[(),\s]", "", re.sub(r"^(0x|x)", "", query.strip().lower()))
+    return digits if re.fullmatch(r"[0-9a-f]{4,}", digits) else None
+
+
 def search_tags(tags: DataFrame, query: str = "", filter: str = "all") -> DataFrame:
     """Rows of one filter whose number, name, keyword, VR, value or path contains the query.
 
     A query of four or more hexadecimal digits, however it is punctuated, is also looked up as a number.
     """
     kept = tags.filter(in_filter(filter))
-    needle = query.strip().lower()
+    needle, digits = query.strip().lower(), tag_digits(query)
     if not needle:
         return kept
-    columns = [c for c in ("tag", "name", "keyword", "vr", "value", "path") if c in tags.columns]
-    hit = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])).contains(needle)
-    digits = re.sub(r"[(),\s]", "", re.sub(r"^(0x|x)", "", needle))
-    if re.fullmatch(r"[0-9a-f]{4,}", digits):
+    hit = tag_text(tags.columns).contains(needle)
+    if digits:
         hit = hit | F.col("hex").contains(digits)
     return kept.filter(hit)
 

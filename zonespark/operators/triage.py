@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from zonespark.functions.device import device_attributes, device_signature
 from zonespark.functions.text import is_digits
 from zonespark.plans.ordering import SLICE, across_slices, range_slices, slice_summary
+from zonespark.plans.paged import PagedTable
 from zonespark.schemas import DEVICE, IMAGE_RECORD
 
 STATES = ["all", "unannotated", "annotated", "needs-combo", "source-needed"]
@@ -59,8 +60,12 @@ def search_images(images: DataFrame, query: str) -> DataFrame:
     needle = query.strip().lower()
     if not needle:
         return images
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("name", "path", "combo")]
-    return images.filter(F.lower(F.concat_ws(" ", *fields)).contains(needle))
+    return images.filter(image_text().contains(needle))
+
+
+def image_text() -> Column:
+    """What an image is searched in, in lower case."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "path", "combo")]))
 
 
 def review_scope(images: DataFrame, anchor: dict | None, scope: str) -> DataFrame:
@@ -246,6 +251,16 @@ def review_queue(view: DataFrame, order: list[str] | None = None) -> DataFrame:
     )
 
 
+def write_queue(view: DataFrame, path: str) -> PagedTable:
+    """A view stored in the order the grouped library is drawn in: its pages and the neighbours of a file are read without sorting again."""
+    return PagedTable.write(display_order(view), DISPLAY_ORDER, path)
+
+
+def queue_page(queue: PagedTable, page: int, size: int) -> DataFrame:
+    """One page of a stored queue: each file with its 1-based position and the total."""
+    return queue.page(page, size).withColumn("position", F.col("position") + 1).withColumn("total", F.lit(queue.total).cast("long"))
+
+
 def queue_neighbours(queue: DataFrame, outside: DataFrame) -> DataFrame:
     """For files outside a queue, where to step to from them; their own position is NULL.
 
