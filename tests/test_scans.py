@@ -6,6 +6,7 @@ import pytest
 import dicom_files as D
 from tables import listed
 from test_files import tag_file, write
+from zonespark.functions.identifying import IDENTIFYING_TAGS
 from zonespark.sources import images as S
 from zonespark.sources import ranged as R
 from zonespark.sources.dicom_dictionary import DICTIONARY
@@ -113,3 +114,13 @@ def test_a_brought_dictionary_reaches_the_tasks(spark, tmp_path):
     path = write(tmp_path, a_dot_dcm=data)
     tags, _ = S.scan_dicom_tags(spark, path, {"00181041": ("DS", "ContrastBolusVolume")})
     assert {r.hex: (r.vr, r.name) for r in tags.collect()}["00181041"] == ("DS", "Contrast Bolus Volume")
+
+
+def test_the_dictionary_knows_every_identifying_tag():
+    assert not [t for t in IDENTIFYING_TAGS if t not in DICTIONARY] and len(IDENTIFYING_TAGS) == 216
+    assert all(len(vr) == 2 and (vr.isupper() or vr in ("xs", "ox")) and keyword.isalnum() for vr, keyword in DICTIONARY.values())
+    assert len({keyword for _, keyword in DICTIONARY.values()}) == len(DICTIONARY)
+    texts = [t for t in IDENTIFYING_TAGS if DICTIONARY[t][0] in ("LO", "PN", "SH", "LT", "ST")]
+    data = D.dicom(*[D.element(int(t, 16), "", b"ab", implicit=True) for t in texts], syntax=D.IMPLICIT)
+    found = {r[1]: (r[2], r[3], r[4]) for r in S._one_file(data, DICTIONARY)}
+    assert all(found[t] == (*DICTIONARY[t], "ab") for t in texts)

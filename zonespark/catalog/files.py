@@ -5,10 +5,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import ORACLES, query
+from zonespark.functions.identifying import IDENTIFYING_TAGS
 from zonespark.operators import imports as I
 from zonespark.operators.tags import with_tag_facts
 from zonespark.plans.ordering import materialise, shared_folder
 from zonespark.sources import images as S
+from zonespark.sources.dicom_dictionary import DICTIONARY
 from zonespark.sources.ranged import write_files
 from zonespark.streaming.imports import import_stream, read_library, read_rejects
 
@@ -126,6 +128,25 @@ def scan_folder_tags(t):
     return S.scan_dicom_tags(spark, path)[0].select(below("file"), "row_idx", "tag", "hex", "vr", "name", "value", "binary", "phi", "length")
 
 
+# Identifying attributes that hold text, by turns in one file each.
+_TEXT_TAGS = [t for t in IDENTIFYING_TAGS if DICTIONARY[t][0] in ("AE", "DA", "DT", "LO", "LT", "PN", "SH", "ST", "TM", "CS") and not t.startswith("0008")]
+_TURN = "[" + ", ".join(f"'{t}'" for t in _TEXT_TAGS) + f"][CAST(import_idx % {len(_TEXT_TAGS)} AS INT) + 1]"
+
+
+@query("S3_implicit_vr", f"SELECT path AS file, {_TURN} AS hex, name AS value, true AS known, true AS phi FROM ims", ("ims",))
+def implicit_vr(t):
+    """Files without VRs, whose tags only the dictionary can tell."""
+    turn = F.element_at(F.array(*[F.lit(tag) for tag in _TEXT_TAGS]), (F.col("import_idx") % len(_TEXT_TAGS) + 1).cast("int"))
+    files = t.ims.select("path", "name", turn.alias("tag"))
+    order = "concat(substring(tag, 3, 2), substring(tag, 1, 2), substring(tag, 7, 2), substring(tag, 5, 2))"
+    even = "concat(hex(name), repeat('20', length(name) % 2))"
+    length = "rpad(lpad(hex(length(name) + length(name) % 2), 2, '0'), 8, '0')"
+    syntax = "312E322E3834302E31303030382E312E3200"
+    text = F.expr(f"concat(repeat('00', 128), '4449434D', '0200100055491200', '{syntax}', {order}, {length}, {even})")
+    read = S.read_tags(files.select("path", F.unhex(text).alias("content")).repartition("path"))[0]
+    return read.filter("hex <> '00020010'").select("file", "hex", "value", (F.col("keyword") != "UnknownTag").alias("known"), "phi")
+
+
 @query("P14_tag_facts", """SELECT row_idx, hex = '00111001' AS private, vr = 'SQ' AS sequence FROM tag""", ("tag",))
 def tag_facts(t):
     return with_tag_facts(t.tag).select("row_idx", "private", "sequence")
