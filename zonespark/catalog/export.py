@@ -4,13 +4,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from zonespark.catalog.registry import query
+from zonespark.catalog.registry import ORACLES, query
 from zonespark.catalog.zones import UNION_CTES, UNION_VIEWS
 from zonespark.export_schema import validate_export_schema
 from zonespark.operators import export as X
+from zonespark.plans.documents import write_document_parts
 from zonespark.plans.ordering import shared_folder, with_global_rank
 from zonespark.schemas import DEVICE, ZONE
 from zonespark.sources import documents as O
+from zonespark.sources.ranged import document_parts
 
 NOW = "2026-01-01T00:00:00.000Z"
 _ZONE = "x, y, width, height, note"
@@ -265,6 +267,15 @@ def export_v2(t):
     return X.export_v2(_tables(t), NOW).select("line")
 
 
+@query("E2_document_file", f"SELECT unnest(string_split(line, chr(10))) AS line FROM ({ORACLES['E2_export_v2']})")
+def document_file(t):
+    """The export as one committed document, and its lines as they stand in the parts that the manifest lists."""
+    spark = t.img.sparkSession
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_document_parts(X.export_v2(_tables(t), NOW), path)
+    return spark.read.text([part for part, _, _ in document_parts(path)]).select(F.col("value").alias("line"))
+
+
 _FLAT = validate_export_schema(
     {
         "name": "Rows", "shape": "flat", "root": {"schema_version": 3, "reviewed": False, "owner": None},

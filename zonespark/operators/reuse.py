@@ -1,5 +1,7 @@
 """Copying zones between frames and files of exactly the same raster: targets, a priced plan, the write."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,37 +106,33 @@ def _offered(once: DataFrame, targets: DataFrame, copies: int) -> DataFrame:
     return lookup(targets.select("source_key", *FRAME), once, ["source_key"], FRAME, "inner", copies)
 
 
+def _fingerprints(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key how many zones it lists (n) and two hashes of which zone stands where: equal lists have equal ones."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "place", *ZONE)).alias(f"h{seed}") for seed in (1, 2)]
+    return placed.groupBy(*keys).agg(F.count("*").alias("n"), *hashes)
+
+
 def _replaced_frames(once: DataFrame, targets: DataFrame, existing: DataFrame, copies: int) -> DataFrame:
     """Target frames whose zones differ from their source's in content or order.
 
-    Equal means: as many zones, each of them found on the frame, and every pair of neighbours in the source
-    in the same order there. All of it is equality joins; no frame's zones are gathered or sorted in a task.
+    A list of zones is told by one fingerprint, added up from its zones in any order, so a target meets two rows: that of its
+    source and that of its frame. Only lists with equal fingerprints are compared zone by zone. No frame's zones are gathered in a task.
     """
     placed = with_rank_within(once, ["source_key"], ["ord", *ZONE], "place").drop("ord")
-    wanted = placed.groupBy("source_key").agg(F.count("*").alias("_wanted"))
-    held = existing.groupBy(*FRAME).agg(F.count("*").alias("held"))
-    spots = existing.groupBy(*FRAME, *ZONE).agg(F.min("ord").alias("_spot"))
-    matched = materialise(
-        _offered(placed, targets, copies).join(spots, [*FRAME, *ZONE]).select("source_key", *FRAME, "place", "_spot")
-    )
-    found = matched.groupBy("source_key", *FRAME).agg(F.count("*").alias("_found"))
-    later = matched.select("source_key", *FRAME, (F.col("place") - 1).alias("place"), F.col("_spot").alias("_next"))
-    swapped = (
-        matched.join(later, ["source_key", *FRAME, "place"]).filter(F.col("_spot") >= F.col("_next"))
-        .select("source_key", *FRAME).distinct().withColumn("_swapped", F.lit(True))
-    )
-    beside = (
-        lookup(targets.select("source_key", *FRAME), wanted, ["source_key"], FRAME, "left", copies)
-        .join(held, FRAME, "left")
-        .join(found, ["source_key", *FRAME], "left")
-        .join(swapped, ["source_key", *FRAME], "left")
-        .fillna(0, ["_wanted", "held", "_found"])
-        .fillna(False, ["_swapped"])
-    )
-    same = (
-        (F.col("_wanted") == F.col("held")) & (F.col("_wanted") == F.col("_found")) & ~F.col("_swapped")
-    )
-    return beside.filter(~same).select(*FRAME, "source_key")
+    aimed_at = existing.join(targets.select(*FRAME).distinct(), FRAME, "left_semi").select(*FRAME, "ord", *ZONE)
+    standing = with_rank_within(aimed_at, FRAME, ["ord", *ZONE], "place").drop("ord")
+    names = ("n", "h1", "h2")
+    wanted = _fingerprints(placed, ["source_key"])
+    held = _fingerprints(standing, FRAME).withColumnsRenamed({c: f"{c}_held" for c in names})
+    beside = lookup(targets.select("source_key", *FRAME), wanted, ["source_key"], FRAME, "left", copies).join(held, FRAME, "left")
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_held")) for c in names])
+    judged = materialise(beside.select("source_key", *FRAME, "n", alike.alias("alike")))
+    # Hashes only tell where it is worth looking.
+    equal = judged.filter(F.col("alike") & F.col("n").isNotNull())
+    met = _offered(placed, equal, copies).join(standing, [*FRAME, "place", *ZONE]).groupBy("source_key", *FRAME).agg(F.count("*").alias("met"))
+    same = equal.join(met, ["source_key", *FRAME]).filter("met = n").select("source_key", *FRAME)
+    nothing = judged.filter(F.col("alike") & F.col("n").isNull()).select("source_key", *FRAME)
+    return judged.select("source_key", *FRAME).join(same.unionByName(nothing), ["source_key", *FRAME], "left_anti").select(*FRAME, "source_key")
 
 
 def apply_plan(zones: DataFrame, plan: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonespark.plans.ordering import lookup, materialise
+from zonespark.sources.ranged import write_parts
 
 
 @dataclass
@@ -97,3 +98,8 @@ def in_order(fragments: DataFrame) -> DataFrame:
 def write_document(fragments: DataFrame, path: str) -> None:
     """Write the fragments in order; the part files put one after the other are the document."""
     in_order(fragments).write.mode("errorifexists").text(path)
+
+
+def write_document_parts(fragments: DataFrame, path: str) -> None:
+    """Write the fragments in order as one document: parts, and a manifest with the place of each. All of it or nothing is there."""
+    write_parts(in_order(fragments), path)

@@ -21,7 +21,7 @@ from zonespark.operators.templates import derived_id, template_name
 from zonespark.plans.ordering import materialise, with_global_rank
 from zonespark.schemas import DEVICE, LAYOUT_KEY, ZONE
 from zonespark.sources import json_scan as J
-from zonespark.sources.ranged import reachable
+from zonespark.sources.ranged import MANIFEST, document_parts, path_exists, reachable
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -48,11 +48,15 @@ def read_documents(spark: SparkSession, path: str, one_document: bool = False) -
 
     Records are lines that are documents of their own; whether a file has them shows in its first line that is not blank, and they are
     named so that they sort as they stand. Other files are documents, cut into parts while they are read. With `one_document`
-    the files of the folder, in order of their names, are the parts of a single document, as Spark writes one. Every file is read in parts,
+    the files of the folder, in the order of its manifest or else of their names, are the parts of a single document. Every file is read in parts,
     whatever its length. Where Python cannot open the store, Spark reads files that are documents whole.
     """
     if not reachable(path):
         return Read(documents_in(spark, path))
+    if one_document and path_exists(f"{path}/{MANIFEST}"):
+        listed = [(path, part, at, size) for part, at, size in document_parts(path)]
+        nothing = spark.createDataFrame([], "path string, text string")
+        return Read(nothing, *J.documents(spark.createDataFrame(listed, "document string, path string, base long, length long")))
     files = J.listed(spark, path)
     if one_document:
         # As many rows as the document has parts.

@@ -10,6 +10,7 @@ import re
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import quote
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from zonespark.shipping import ship_package
 
@@ -204,6 +205,105 @@ class DicomTags(DataSource):
         return _FileReader(self.options, TAGS_ARROW, lambda path: file_tags(path, dictionary))
 
 
+MANIFEST = "manifest.json"
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    number: int
+    name: str
+    size: int
+
+
+class _DocumentWriter(DataSourceWriter):
+    """Writes each partition's lines as a part; the document is there once the manifest is, which lists the parts in order."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> _Part:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        scheme, authority, rest = _split(self.path)
+        store, base = _store(scheme, authority)
+        store.create_dir(base + rest, recursive=True)
+        # A task that runs again writes a part of its own, and only the committed one is listed.
+        name, size = f"part-{number:06d}-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{base}{rest}/{name}") as out:
+            for row in rows:
+                line = row[0].encode() + b"\n"
+                out.write(line)
+                size += len(line)
+        return _Part(number, name, size)
+
+    def commit(self, messages: list) -> None:
+        scheme, authority, rest = _split(self.path)
+        store, base = _store(scheme, authority)
+        parts, at = [], 0
+        for m in sorted((m for m in messages if m is not None), key=lambda m: m.number):
+            parts.append({"name": m.name, "at": at, "size": m.size})
+            at += m.size
+        passing = f"{base}{rest}/{MANIFEST}.{uuid.uuid4().hex}"
+        with store.open_output_stream(passing) as out:
+            out.write(json.dumps({"size": at, "parts": parts}).encode())
+        store.move(passing, f"{base}{rest}/{MANIFEST}")
+
+    def abort(self, messages: list) -> None:
+        scheme, authority, rest = _split(self.path)
+        store, base = _store(scheme, authority)
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{base}{rest}/{m.name}")
+
+
+class DocumentParts(DataSource):
+    """A sink of text lines that are one document, in the order of the partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zonespark_document"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _DocumentWriter(self.options["path"])
+
+
+def write_parts(lines: DataFrame, path: str) -> None:
+    """Write sorted lines (one text column) as the parts of one document, with a manifest that has the place of each in bytes.
+
+    Nothing is committed unless every task succeeds. A path that holds a document already is refused.
+    """
+    if path_exists(f"{path}/{MANIFEST}"):
+        raise FileExistsError(f"{path} holds a document already.")
+    ship_package(lines.sparkSession)
+    lines.sparkSession.dataSource.register(DocumentParts)
+    lines.write.format(DocumentParts.name()).mode("append").save(path)
+
+
+def path_exists(path: str) -> bool:
+    scheme, authority, rest = _split(path)
+    store, base = _store(scheme, authority)
+    return store.get_file_info(base + rest).type != fs.FileType.NotFound
+
+
+def document_parts(path: str) -> list[tuple[str, int, int]]:
+    """(path, place, size) of the parts of a document written by write_parts: one per partition it was written in."""
+    with open_file(f"{path}/{MANIFEST}") as handle:
+        listed = json.loads(handle.read())
+    return [(f"{path}/{p['name']}", p["at"], p["size"]) for p in listed["parts"] if p["size"]]
+
+
+def document_bytes(path: str, start: int, stop: int) -> bytes:
+    """A range of bytes of a document in parts, wherever the parts end."""
+    found = []
+    for part, at, size in document_parts(path):
+        low, high = max(start, at), min(stop, at + size)
+        if low < high:
+            with open_file(part) as handle:
+                found.append(handle.read_at(high - low, low - at))
+    return b"".join(found)
+
+
 def load(spark: SparkSession, source: type[DataSource], path: str, **options: str) -> DataFrame:
     ship_package(spark)
     spark.dataSource.register(source)
