@@ -79,7 +79,7 @@ def _blocks(text, size):
 def _counts(texts):
     """What each of the three passes counts, with every phrase sought."""
     total, everything = Counter(), {n: np.full(1 << 10, 255, np.uint8) for n in (1, 2, 3)}
-    for count in (C._pairs, partial(C._longer, everything), partial(C._exact, everything, 2)):
+    for count in (C._pairs, partial(C._longer, everything), partial(C._exact, everything)):
         stream = C.Texts()
         for step in stream.steps(((i, lang), text) for i, (lang, text) in enumerate(texts)):
             for batch in count(stream, *step):

@@ -10,7 +10,6 @@ size. Phrases that share a hash or a bit can only be counted in vain: the last c
 """
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ _BREAK = b"."
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".........." + b" ")
 #: Words a task counts at a time, and different words it remembers.
 _STEP, _REMEMBERED = 1 << 19, 1 << 18
-#: Bits of a word's number and of a group's in a key.
-_WORD_BITS, _GROUP_BITS = 26, 11
+#: Bits of a word's number, a group's and a shard's in a key.
+_WORD_BITS, _GROUP_BITS, _SHARD_BITS = 26, 11, 8
 # Odd constants that mix 64-bit numbers.
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -61,8 +60,14 @@ def bitmap(hashes: DataFrame, largest: int = 1 << 28) -> np.ndarray:
     return bits
 
 
+def _key(hashes: np.ndarray, shards: np.ndarray | None = None) -> np.ndarray:
+    """What a phrase is counted by: its hash, with the shard in the highest bits. Bitmaps go by the lowest, whatever the shard."""
+    short = hashes >> np.uint64(_SHARD_BITS)
+    return short if shards is None else short | shards << np.uint64(64 - _SHARD_BITS)
+
+
 def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash is set."""
+    """Whether the bit of each key is set."""
     at = hashes & np.uint64(len(bits) * 8 - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
@@ -125,9 +130,8 @@ class Texts:
             if len(self.ids.words) > _REMEMBERED:
                 self.ids = _Ids()
 
-    def group_hashes(self, shard: int | None = None) -> np.ndarray:
-        """A hash of each group (shard, language), or of its language in another shard."""
-        return np.array([_hash(f"{s if shard is None else shard}\x1f{lang}".encode()) for s, lang in self.groups], np.uint64)
+    def shards(self) -> np.ndarray:
+        return np.array([s for s, _ in self.groups], np.uint64)
 
     def language_hashes(self) -> np.ndarray:
         return np.array([_hash(lang.encode()) for _, lang in self.groups], np.uint64)
@@ -140,16 +144,16 @@ def _counts(words: bool, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatc
 
 def _pairs(stream: Texts, tokens: np.ndarray, g: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Words by language and pairs by shard and language, as hashes with their counts."""
-    word_hash, of_group, of_language = stream.ids.hashes(), stream.group_hashes(), stream.language_hashes()
+    word_hash, of_language = stream.ids.hashes(), stream.language_hashes()
     real = (tokens > 0) & new
     key, times = np.unique(tokens[real] << _GROUP_BITS | g[real], return_counts=True)
-    yield _counts(True, _with(of_language[key & (1 << _GROUP_BITS) - 1], word_hash[key >> _GROUP_BITS]), times)
+    yield _counts(True, _key(_with(of_language[key & (1 << _GROUP_BITS) - 1], word_hash[key >> _GROUP_BITS])), times)
     pair = (tokens[:-1] > 0) & (tokens[1:] > 0) & new[1:]
     key = (tokens[:-1][pair] << _WORD_BITS | tokens[1:][pair]) << _GROUP_BITS | g[1:][pair]
     key, times = np.unique(key, return_counts=True)
-    both = key >> _GROUP_BITS
-    first = _with(of_group[key & (1 << _GROUP_BITS) - 1], word_hash[both >> _WORD_BITS])
-    yield _counts(False, _with(first, word_hash[both & (1 << _WORD_BITS) - 1]), times)
+    both, of = key >> _GROUP_BITS, key & (1 << _GROUP_BITS) - 1
+    h = _with(_with(of_language[of], word_hash[both >> _WORD_BITS]), word_hash[both & (1 << _WORD_BITS) - 1])
+    yield _counts(False, _key(h, stream.shards()[of]), times)
 
 
 def _numbered(dense: np.ndarray, last: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +164,11 @@ def _numbered(dense: np.ndarray, last: np.ndarray, g: np.ndarray | None) -> tupl
 
 
 def _longer(known: Bitmaps, stream: Texts, tokens: np.ndarray, g: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Phrases of 3 and 4 words of which every pair is frequent in the shard, as hashes with their counts."""
-    word_hash, of_group = stream.ids.hashes(), stream.group_hashes()
+    """Phrases of 3 and 4 words of which every pair is frequent in some shard, as hashes with their counts."""
+    word_hash = stream.ids.hashes()
     at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
-    h = _with(_with(of_group[g[at]], word_hash[tokens[at]]), word_hash[tokens[at + 1]])
-    good = held(known[2], h)
+    h = _with(_with(stream.language_hashes()[g[at]], word_hash[tokens[at]]), word_hash[tokens[at + 1]])
+    good = held(known[2], _key(h))
     at, h = at[good], h[good]
     dense = _numbered(tokens[at], tokens[at + 1], g[at])[1]
     pair = np.zeros(len(tokens) + LONGEST, bool)
@@ -177,10 +181,11 @@ def _longer(known: Bitmaps, stream: Texts, tokens: np.ndarray, g: np.ndarray, ne
         h = _with(h, word_hash[tokens[at + n - 1]])
         first, dense = _numbered(dense, tokens[at + n - 1], None)
         times = np.bincount(dense[new[at + n - 1]], minlength=len(first))
-        yield _counts(False, h[first][times > 0], times[times > 0])
+        out = first[times > 0]
+        yield _counts(False, _key(h[out], stream.shards()[g[at[out]]]), times[times > 0])
 
 
-def _exact(known: Bitmaps, shards: int, stream: Texts, tokens: np.ndarray, g: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _exact(known: Bitmaps, stream: Texts, tokens: np.ndarray, g: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Words and phrases that may be frequent, by language, with their counts; and a row without a phrase that counts all words."""
     word_hash = stream.ids.hashes()
     words, langs = pa.array(stream.ids.words, pa.string()), pa.array([lang for _, lang in stream.groups], pa.string())
@@ -195,18 +200,17 @@ def _exact(known: Bitmaps, shards: int, stream: Texts, tokens: np.ndarray, g: np
     yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.array(totals)], ["lang", "phrase", "times"])
     key, times = np.unique(tokens[real] << _GROUP_BITS | g[real], return_counts=True)
     of, word = key & (1 << _GROUP_BITS) - 1, key >> _GROUP_BITS
-    good = held(known[1], _with(stream.language_hashes()[of], word_hash[word]))
+    good = held(known[1], _key(_with(stream.language_hashes()[of], word_hash[word])))
     yield rows(of[good], [word[good]], times[good])
 
     at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
     # A phrase is sought if it was frequent in any shard, whichever shard it stands in here.
-    each = [_with(stream.group_hashes(s)[g[at]], word_hash[tokens[at]]) for s in range(shards)]
-    dense, with_group = tokens[at], g[at]
+    h, dense = _with(stream.language_hashes()[g[at]], word_hash[tokens[at]]), tokens[at]
     for n in range(2, LONGEST + 1):
-        each = [_with(h, word_hash[tokens[at + n - 1]]) for h in each]
-        good = np.any([held(known[min(n, 3)], h) for h in each], axis=0)
-        at, each, dense = at[good], [h[good] for h in each], dense[good]
-        first, dense = _numbered(dense, tokens[at + n - 1], with_group[good] if n == 2 else None)
+        h = _with(h, word_hash[tokens[at + n - 1]])
+        good = held(known[min(n, 3)], _key(h))
+        at, h, dense = at[good], h[good], dense[good]
+        first, dense = _numbered(dense, tokens[at + n - 1], g[at] if n == 2 else None)
         times = np.bincount(dense[new[at + n - 1]], minlength=len(first))
         out = np.flatnonzero(times)
         start = at[first[out]]
@@ -215,7 +219,7 @@ def _exact(known: Bitmaps, shards: int, stream: Texts, tokens: np.ndarray, g: np
         on = np.zeros(len(tokens) + 1, bool)
         on[at] = True
         more = on[at + 1]
-        at, each, dense = at[more], [h[more] for h in each], dense[more]
+        at, h, dense = at[more], h[more], dense[more]
         if not len(at):
             return
 
@@ -241,6 +245,8 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shards: int = 4) -> tup
 
     phrases holds exactly those of 2 to 4 words that occur `support` times or more in their language, words at least all words in them.
     """
+    if not 0 < shards <= 1 << _SHARD_BITS:
+        raise ValueError("There can be up to 256 shards.")
     ship_package(docs.sparkSession)
     texts = pick(docs, "doc_id", "lang", "text").select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"),
@@ -253,17 +259,13 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shards: int = 4) -> tup
     known = {1: bitmap(short.filter("word")), 2: bitmap(short.filter("NOT word"))}
     longer = keep(_counted(texts, _longer, {2: known[2]}, hashed, ["word", "h"]).filter(f"times >= {local}"))
     known[3] = bitmap(longer)
-    exact = keep(_counted(texts, partial(_exact_of, shards), known, "lang string, phrase string, times long", ["lang", "phrase"]))
+    exact = keep(_counted(texts, _exact, known, "lang string, phrase string, times long", ["lang", "phrase"]))
     found = exact.filter(F.col("phrase").isNotNull() & (F.col("times") >= support))
     several = F.instr("phrase", " ") > 0
     totals = exact.filter("phrase IS NULL").select("lang", F.col("times").alias("n"))
     return found.filter(several), found.filter(~several), totals
 
 
-def _exact_of(shards: int, known: Bitmaps, stream: Texts, *step) -> Iterator[pa.RecordBatch]:
-    return _exact(known, shards, stream, *step)
-
-
 def collocations(docs: DataFrame, support: int = 30, shards: int = 4, top: int = 2000) -> DataFrame:
     """The `top` phrases of 2 to 4 words of each language: lang, rank, phrase, a, l, r, n, score.
 
