@@ -31,18 +31,18 @@ def numbers(spark, path):
 def test_a_batch_opens_only_buckets_that_may_hold_its_contents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "_BUCKET", 3)  # So that runs have buckets by one or two digits.
     path = str(tmp_path)
-    import_batch(files(spark, *range(40)), 0, path)
-    import_batch(files(spark, *range(40, 60)), 1, path)
+    import_batch(files(spark, *range(20)), 0, path)
+    import_batch(files(spark, *range(20, 28)), 1, path)
     library = L.Library(spark, path)
-    assert len(library.buckets) > 20 and all(r["bucket"].startswith("x") for r in library.buckets)
+    assert len(library.buckets) > 10 and all(r["bucket"].startswith("x") for r in library.buckets)
     assert library.may_hold(ids(spark, *range(1000, 1040))) == []  # New contents: no bucket is opened.
-    for n in (3, 39, 41):
-        run = "0-0-0" if n < 40 else "0-1-1"
+    for n in (3, 21):
+        run = "0-0-0" if n < 20 else "0-1-1"
         (found,) = library.may_hold(ids(spark, n))
         assert found[0] == run and image_id(n).startswith(found[1][1:])
-    some = library.may_hold(ids(spark, 1, 2, 45, 2000))
+    some = library.may_hold(ids(spark, 1, 2, 25, 2000))
     assert {r for r, _ in some} == {"0-0-0", "0-1-1"} and len(some) <= 3
-    assert listed(library.known(ids(spark, 1, 2, 45, 2000)), "image_id") == sorted(image_id(n) for n in (1, 2, 45))
+    assert listed(library.known(ids(spark, 1, 2, 25, 2000)), "image_id") == sorted(image_id(n) for n in (1, 2, 25))
     # Of all directories of the library only that one is read.
     ((run, bucket),) = library.may_hold(ids(spark, 1))
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
@@ -57,7 +57,7 @@ def test_no_known_content_is_ever_missed(spark, tmp_path):
     rows = spark.range(20_000).selectExpr("sha2(cast(id as string), 256) AS image_id", "id AS import_idx")
     columns = [c.split() for c in L._IMAGES.split(",")]
     whole = rows.selectExpr(*[c if c in rows.columns else f"cast({'true' if c == 'has_source' else 'false' if c == 'again' else 'null'} as {k}) AS {c}" for c, k in columns])
-    library.write_run(whole, L.Run(0, 0, 0), 19_999)
+    library.write_run(whole, L.Run(0, 0, 0), 19_999, 20_000)
     library = L.Library(spark, path)
     assert library.next_idx == 20_000 and library.known(rows.select("image_id")).count() == 20_000
     strangers = spark.range(20_000).selectExpr("sha2(concat('s', id), 256) AS image_id")
@@ -69,17 +69,17 @@ def test_batches_merge_and_nothing_changes(spark, tmp_path, monkeypatch, merged)
     monkeypatch.setattr(L, "MERGED", merged)
     path = str(tmp_path)
     expected = []
-    for batch in range(6):
+    for batch in range(4):
         import_batch(files(spark, *range(batch * 3, batch * 3 + 5)), batch, path)  # Two contents of each batch are known.
         fresh = [n for n in range(batch * 3, batch * 3 + 5) if image_id(n) not in {i for _, i, _ in expected}]
         expected += [(len(expected) + k, image_id(n), True) for k, n in enumerate(sorted(fresh, key=lambda n: f"/in/f{n}.png"))]
-        assert numbers(spark, path) == expected
+    assert numbers(spark, path) == expected
     library = L.Library(spark, path)
-    assert (len(library.live) < 6) == (merged == 2)
+    assert (len(library.live) < 4) == (merged == 2)
     # A batch that runs again changes nothing, and a batch does not see those after it.
-    import_batch(files(spark, *range(15, 20)), 5, path)
+    import_batch(files(spark, *range(9, 14)), 3, path)
     assert numbers(spark, path) == expected
-    assert len(listed(read_library(spark, path, 3), "image_id")) == 11
+    assert len(listed(read_library(spark, path, 2), "image_id")) == 8
     gone = L.Library(spark, path).remove_covered()
     assert bool(gone) == (merged == 2) and numbers(spark, path) == expected and L.Library(spark, path).covered == []
 
@@ -91,7 +91,7 @@ def test_lost_sources_come_back_in_later_runs(spark, tmp_path, monkeypatch):
     # The library has lost the files of both images.
     held = L.Library(spark, path)._rows().drop("run", "bucket").collect()
     lost = spark.createDataFrame([{**r.asDict(), "has_source": False} for r in held], L._IMAGES)
-    L.Library(spark, path).write_run(lost, L.Run(0, 0, 0), 1)
+    L.Library(spark, path).write_run(lost, L.Run(0, 0, 0), 1, 2)
     assert [s for _, _, s in numbers(spark, path)] == [False, False]
     import_batch(files(spark, 2, 3, name="g"), 1, path)
     assert numbers(spark, path) == [(0, image_id(1), False), (1, image_id(2), True), (2, image_id(3), True)]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.plans.ordering import materialise, with_global_rank
+from zonespark.plans.ordering import with_global_rank
 
 
 def import_outcomes(library: DataFrame, incoming: DataFrame, order: str = "path") -> DataFrame:
@@ -31,15 +31,13 @@ def added_images(library: DataFrame, outcomes: DataFrame, order: str = "path") -
     )
 
 
-def numbered(added: DataFrame, start: int, order: str = "path") -> tuple[DataFrame, int]:
-    """(new images numbered from `start` in `order`, the last number given, start - 1 if there are none).
+def numbered(added: DataFrame, start: int, order: str = "path") -> DataFrame:
+    """New images numbered from `start` in `order`.
 
     Only the order column is sorted and ranked; the images meet their numbers in a join that splits like any other.
     """
-    ranks = materialise(with_global_rank(added.select("image_id", order), [order], "_rank"))
-    last = start - 1 + ranks.count()
-    rows = added.join(ranks.select("image_id", "_rank"), "image_id").withColumn("import_idx", F.col("_rank") + F.lit(start)).drop("_rank")
-    return rows, last
+    ranks = with_global_rank(added.select("image_id", order), [order], "_rank").select("image_id", "_rank")
+    return added.join(ranks, "image_id").withColumn("import_idx", F.col("_rank") + F.lit(start)).drop("_rank")
 
 
 def reconnect(library: DataFrame, back: DataFrame) -> DataFrame:

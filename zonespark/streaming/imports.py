@@ -36,10 +36,15 @@ def import_batch(files: DataFrame, batch: int, library_path: str) -> None:
     rejects.select("path", "error").write.mode("overwrite").parquet(f"{library_path}/rejects/batch={batch}")
     known = library.known(images.select("image_id").distinct())
     outcomes = materialise(import_outcomes(known, images))
-    added, last = numbered(outcomes.filter("outcome = 'added'").drop("outcome"), library.next_idx)
-    back = outcomes.filter("outcome = 'reconnected'").drop("outcome").withColumn("import_idx", F.lit(None).cast("bigint"))
-    rows = added.withColumn("again", F.lit(False)).unionByName(back.withColumn("again", F.lit(True)))
-    library.write_run(rows.withColumn("has_source", F.lit(True)), Run(0, batch, batch), last)
+    counts = {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    new, back = (outcomes.filter(F.col("outcome") == o).drop("outcome") for o in ("added", "reconnected"))
+    rows = numbered(new, library.next_idx).withColumn("again", F.lit(False)).unionByName(
+        back.withColumn("import_idx", F.lit(None).cast("bigint")).withColumn("again", F.lit(True))
+    )
+    added = counts.get("added", 0)
+    library.write_run(
+        rows.withColumn("has_source", F.lit(True)), Run(0, batch, batch), library.next_idx + added - 1, added + counts.get("reconnected", 0)
+    )
 
 
 def import_stream(files: DataFrame, library_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -114,10 +114,13 @@ class Library:
         rows = self._rows().filter(reduce(lambda a, b: a | b, here)).select("image_id", "has_source")
         return rows.join(ids.select("image_id").distinct(), "image_id", "left_semi").groupBy("image_id").agg(F.max("has_source").alias("has_source"))
 
-    def write_run(self, rows: DataFrame, run: Run, last_idx: int | None) -> None:
-        """Write images (with `again`) as a run and commit it. Writing a run again replaces it."""
+    def write_run(self, rows: DataFrame, run: Run, last_idx: int | None, n: int) -> None:
+        """Write n images (with `again`) as a run and commit it. Writing a run again replaces it."""
         columns = [F.col(c).cast(kind).alias(c) for c, kind in (column.split() for column in _IMAGES.split(","))]
-        n = rows.count()
+        if not n:
+            # A batch that adds nothing is committed all the same, with the last number so far.
+            self._commit([(run.level, run.first, run.last, "none", 0, _ROW, last_idx)], run)
+            return
         digits = next((d for d in range(_DIGITS) if n <= _BUCKET * 16**d), _DIGITS)
         at = f"{self.path}/images/run={run.name}"
         bucketed = rows.select(*columns, _bucket(digits).alias("bucket"))
@@ -125,7 +128,7 @@ class Library:
             bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", "image_id")
         bucketed.write.mode("overwrite").partitionBy("bucket").parquet(at)
 
-        written = self.spark.read.schema(f"{_IMAGES}, bucket STRING").parquet(at) if n else bucketed.limit(0)
+        written = self.spark.read.schema(f"{_IMAGES}, bucket STRING").parquet(at)
         power = F.expr(f"shiftleft(cast(1 as bigint), cast(greatest(15, ceil(log2({_BITS} * count(*)))) as int))")
         sizes = written.groupBy("bucket").agg(F.count("*").alias("images"), power.alias("size"))
         commit = [(run.level, run.first, run.last, r["bucket"], r["images"], r["size"], last_idx) for r in sizes.collect()]
@@ -134,10 +137,10 @@ class Library:
         bits = written.select("bucket", "image_id").join(places, "bucket").select("bucket", F.explode(_positions(F.col("size"))).alias("at"))
         parts = bits.groupBy("bucket", F.expr(f"at div {_ROW}").alias("part")).agg(F.expr(f"bitmap_construct_agg(at % {_ROW})").alias("bits"))
         parts.write.mode("overwrite").parquet(f"{self.path}/filters/run={run.name}")
-        if not commit:
-            # A batch that adds nothing is committed all the same, with the last number so far.
-            commit = [(run.level, run.first, run.last, "none", 0, _ROW, last_idx)]
-        self.spark.createDataFrame(commit, _COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/run={run.name}")
+        self._commit(commit, run)
+
+    def _commit(self, buckets: list[tuple], run: Run) -> None:
+        self.spark.createDataFrame(buckets, _COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/run={run.name}")
 
     def merge_runs(self) -> "Library":
         """Merge the runs of every level that has become full; the library is returned as it is afterwards."""
@@ -150,7 +153,8 @@ class Library:
         runs = sorted(by_level[full], key=lambda r: r.first)
         merged = Run(full + 1, runs[0].first, runs[-1].last)
         rows = self._rows().filter(F.col("run").isin([r.name for r in runs])).drop("run", "bucket")
-        self.write_run(_folded(rows), merged, self.next_idx - 1)
+        n = sum(r["images"] for r in self.buckets if r["run"] in {m.name for m in runs})
+        self.write_run(_folded(rows), merged, self.next_idx - 1, n)
         return Library(self.spark, self.path, merged.last + 1).merge_runs()
 
     def remove_covered(self) -> list[str]:
