@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tables import BAND, detections, image_id, images, listed, zones
 from zonespark.catalog.registry import Tables
 from zonespark.operators import detect as K
+from zonespark.operators import reuse as R
 from zonespark.operators import triage as T
 from zonespark.operators import zones as Z
 from zonespark.plans import ordering as O
+from zonespark.schemas import ZONE
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +115,31 @@ def test_intermediate_tables_go_to_the_folder_the_session_names(spark, monkeypat
         O.shared_folder(Session())
     Conf.get = lambda self, key, default=None: "hdfs://cluster/shared/" if key == "spark.checkpoint.dir" else default
     assert O.shared_folder(Session()) == "hdfs://cluster/shared"
+
+
+def test_ranks_within_keys_repeat_no_key(spark):
+    """A key per row: what is carried between slices is a row per slice, never one per key on the driver."""
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1700).alias("k"), F.col("id").alias("v"))
+    within = O.with_rank_within(rows, ["k"], ["v"], "r")
+    assert "_salt" not in plan_of(within)
+    wrong = within.groupBy("k").agg(F.count("*").alias("n"), F.max("r").alias("hi"), F.count_distinct("r").alias("d"))
+    assert wrong.filter("hi <> n - 1 or d <> n").isEmpty() and within.count() == 5000
+
+
+def test_copies_are_planned_without_broadcasts_of_frames(spark, monkeypatch):
+    """Stored tables look small by their files; frames and zones are joined by sorting, and no offered zone is shuffled."""
+    written = []
+    keep = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    zone = [(i, i, 9, 9, "") for i in range(40)]
+    pictures = images(spark, *[{}] * 30)
+    drawn = zones(spark, {(0, 0): zone, (1, 0): zone[:3], (2, 0): zone, (3, 0): [BAND]})
+    source = drawn.filter(F.col("image_id") == image_id(0)).select(F.lit("s").alias("source_key"), "ord", *ZONE)
+    targets = pictures.filter("import_idx > 0").select(F.lit("s").alias("source_key"), "image_id", F.lit(0).alias("frame_index"))
+    plan = R.plan_copy(source, targets, drawn)
+    # 29 frames and 40 zones make 1,160 offers: what is written is what frames hold of them, and the frames that change.
+    assert sorted(w.count() for w in written) == [28, 43]
+    new = plan.filter("is_new").groupBy("image_id").agg(F.count("*").alias("n"), F.min("ord").alias("lo"))
+    assert {(r.n, r.lo): r["count"] for r in new.groupBy("n", "lo").count().collect()} == {(37, 6): 1, (40, 0): 26, (40, 1): 1}
+    assert plan.filter("NOT is_new").count() == 4
+    assert "BroadcastHashJoin" not in re.sub(r"_salt|_n\b", "", plan_of(O.join_large(drawn, pictures.select("image_id"), ["image_id"])))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from zonespark.catalog.registry import query
 from zonespark.operators import reuse as R
 from zonespark.operators import templates as M
-from zonespark.plans.ordering import with_global_rank
+from zonespark.plans.ordering import join_large, with_global_rank
 from zonespark.schemas import FRAME, ZONE
 
 _ZONE = "x, y, width, height, note"
@@ -33,7 +33,7 @@ def _sources(t):
     )
     first = F.min(F.struct("import_idx", "frame_index", "ord", "image_id"))
     return (
-        t.zon.join(raster, "image_id").groupBy("combo", "rw", "rh").agg(first.alias("first"))
+        join_large(t.zon, raster, ["image_id"]).groupBy("combo", "rw", "rh").agg(first.alias("first"))
         .select("first.image_id", "first.frame_index")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonespark.functions.geometry import clipped, has_area
-from zonespark.plans.ordering import beside_each_other, lookup, materialise, with_rank_within
+from zonespark.plans.ordering import beside_each_other, join_large, lookup, materialise, with_rank_within
 from zonespark.schemas import FRAME, ZONE
 
 SCOPES = ["frames", "files", "files-all-frames"]
@@ -15,7 +15,7 @@ SCOPES = ["frames", "files", "files-all-frames"]
 def source_zones(zones: DataFrame, images: DataFrame) -> DataFrame:
     """Zones fit to be copied: some of their area is on the raster. Coordinates stay as they are."""
     raster = images.select("image_id", F.col("width").alias("_rw"), F.col("height").alias("_rh"))
-    usable = zones.join(raster, "image_id").filter(has_area(clipped(F.col("_rw"), F.col("_rh"))))
+    usable = join_large(zones, raster, ["image_id"]).filter(has_area(clipped(F.col("_rw"), F.col("_rh"))))
     return usable.withColumn("note", F.coalesce("note", F.lit(""))).select(*FRAME, "ord", *ZONE)
 
 
@@ -70,21 +70,13 @@ def plan_copy(
     once = source.groupBy("source_key", *ZONE).agg(F.min("ord").alias("ord"))
     existing = zones.withColumn("note", F.coalesce("note", F.lit("")))
     if mode == "merge":
-        # Everything else hangs from the new zones, so they are written once.
-        fresh = materialise(
-            _offered(once, targets, copies).join(existing.select(*FRAME, *ZONE), [*FRAME, *ZONE], "left_anti")
-        )
-        changed = fresh.select(*FRAME, "source_key").distinct()
-        last = existing.groupBy(*FRAME).agg(F.max("ord").alias("_last"))
-        added = fresh.join(last, FRAME, "left").withColumn(
-            "ord", F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("ord")
-        )
-        return _plan_rows(existing.join(changed, FRAME), False).unionByName(_plan_rows(added, True))
+        return _merged(once, targets.select("source_key", *FRAME).distinct(), existing, copies)
     once, targets = materialise(once), materialise(targets.select("source_key", *FRAME))
     changed = materialise(_replaced_frames(once, targets, existing, copies))
-    fresh = _offered(once, targets, copies).join(changed, [*FRAME, "source_key"], "left_semi")
+    # Not one zone more than the plan has is written or shuffled: changed frames meet their source's zones at the end.
+    fresh = _offered(once, changed, copies)
     # A frame emptied by the swap still has to be in the plan: it appears with no zone.
-    emptied = changed.join(fresh.select(*FRAME).distinct(), FRAME, "left_anti")
+    emptied = lookup(changed, once.select("source_key").distinct(), ["source_key"], FRAME, "left_anti", copies)
     nothing = [F.lit(None).cast("string" if c == "note" else "int").alias(c) for c in ZONE]
     blank = emptied.select(*FRAME, "source_key", F.lit(None).cast("bigint").alias("ord"), *nothing)
     return _plan_rows(fresh, True).unionByName(_plan_rows(blank, False))
@@ -102,8 +94,29 @@ def _plan_rows(rows: DataFrame, is_new: bool) -> DataFrame:
 
 
 def _offered(once: DataFrame, targets: DataFrame, copies: int) -> DataFrame:
-    """Each target frame beside the distinct zones of its source."""
-    return lookup(targets.select("source_key", *FRAME), once, ["source_key"], FRAME, "inner", copies)
+    """Each target frame, with whatever it carries, beside the distinct zones of its source."""
+    return lookup(targets, once, ["source_key"], FRAME, "inner", copies)
+
+
+def _merged(once: DataFrame, targets: DataFrame, existing: DataFrame, copies: int) -> DataFrame:
+    """The plan of a merge. What a source offers is not compared with every frame's zones: the zones that frames hold look for their
+    equals among those offered, so what is shuffled and written grows with frames and zones, not with their product."""
+    frame = ["source_key", *FRAME]
+    standing = join_large(existing.select(*FRAME, *ZONE), targets, FRAME)
+    held = materialise(lookup(standing, once.drop("ord"), ["source_key", *ZONE], FRAME, "inner", copies).distinct())
+    met = held.groupBy(*frame).agg(F.count("*").alias("_met"))
+    last = existing.groupBy(*FRAME).agg(F.max("ord").alias("_last"))
+    sizes = once.groupBy("source_key").agg(F.count("*").alias("_n"))
+    judged = lookup(targets.join(met, frame, "left"), sizes, ["source_key"], FRAME, "inner", copies)
+    lacking = judged.filter(F.coalesce("_met", F.lit(0)) < F.col("_n")).join(last, FRAME, "left")
+    changed = materialise(lacking.select(*frame, F.col("_met").isNotNull().alias("_some"), "_last"))
+    # Only frames that hold some of the zones are compared zone by zone.
+    offered = _offered(once, changed, copies)
+    some = join_large(offered.filter("_some"), held, [*frame, *ZONE], "left_anti")
+    added = offered.filter("NOT _some").unionByName(some).withColumn(
+        "ord", F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("ord")
+    )
+    return _plan_rows(join_large(existing, changed.select(*frame), FRAME), False).unionByName(_plan_rows(added, True))
 
 
 def _fingerprints(placed: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,20 +132,23 @@ def _replaced_frames(once: DataFrame, targets: DataFrame, existing: DataFrame, c
     source and that of its frame. Only lists with equal fingerprints are compared zone by zone. No frame's zones are gathered in a task.
     """
     placed = with_rank_within(once, ["source_key"], ["ord", *ZONE], "place").drop("ord")
-    aimed_at = existing.join(targets.select(*FRAME).distinct(), FRAME, "left_semi").select(*FRAME, "ord", *ZONE)
+    aimed_at = join_large(existing, targets.select(*FRAME), FRAME, "left_semi").select(*FRAME, "ord", *ZONE)
     standing = with_rank_within(aimed_at, FRAME, ["ord", *ZONE], "place").drop("ord")
     names = ("n", "h1", "h2")
     wanted = _fingerprints(placed, ["source_key"])
     held = _fingerprints(standing, FRAME).withColumnsRenamed({c: f"{c}_held" for c in names})
-    beside = lookup(targets.select("source_key", *FRAME), wanted, ["source_key"], FRAME, "left", copies).join(held, FRAME, "left")
+    beside = lookup(targets.select("source_key", *FRAME), wanted, ["source_key"], FRAME, "left", copies)
+    beside = join_large(beside, held, FRAME, "left")
     alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_held")) for c in names])
     judged = materialise(beside.select("source_key", *FRAME, "n", alike.alias("alike")))
     # Hashes only tell where it is worth looking.
     equal = judged.filter(F.col("alike") & F.col("n").isNotNull())
-    met = _offered(placed, equal, copies).join(standing, [*FRAME, "place", *ZONE]).groupBy("source_key", *FRAME).agg(F.count("*").alias("met"))
-    same = equal.join(met, ["source_key", *FRAME]).filter("met = n").select("source_key", *FRAME)
+    both = join_large(_offered(placed, equal, copies), standing, [*FRAME, "place", *ZONE])
+    met = both.groupBy("source_key", *FRAME).agg(F.count("*").alias("met"))
+    same = join_large(equal, met, ["source_key", *FRAME]).filter("met = n").select("source_key", *FRAME)
     nothing = judged.filter(F.col("alike") & F.col("n").isNull()).select("source_key", *FRAME)
-    return judged.select("source_key", *FRAME).join(same.unionByName(nothing), ["source_key", *FRAME], "left_anti").select(*FRAME, "source_key")
+    kept = join_large(judged.select("source_key", *FRAME), same.unionByName(nothing), ["source_key", *FRAME], "left_anti")
+    return kept.select(*FRAME, "source_key")
 
 
 def apply_plan(zones: DataFrame, plan: DataFrame) -> DataFrame:

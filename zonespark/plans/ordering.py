@@ -78,14 +78,25 @@ def with_global_rank(df: DataFrame, order: list[str], name: str = "rank") -> Dat
 
 
 def with_rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """A dense 0-based position inside each key. A key may hold any share of the table."""
-    ranked = with_global_rank(df, keys + order, "_rank")
-    first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    return (
-        lookup(ranked, first, keys, spread_by=["_rank"])
-        .withColumn(name, F.col("_rank") - F.col("_first"))
-        .drop("_rank", "_first")
-    )
+    """A dense 0-based position inside each key. A key may hold any share of the table.
+
+    Keys lie in consecutive slices, so only the first key of a slice can have begun in slices before it: what is carried
+    over is one row per slice, however many keys there are.
+    """
+    sliced = range_slices(df, keys + order)
+    key = F.struct(*keys)
+    ends = F.broadcast(slice_summary(sliced, F.min(key).alias("_low"), F.max(key).alias("_high")))
+    last = sliced.select(SLICE, key.alias("_key")).join(ends, SLICE).filter(F.col("_key").eqNullSafe(F.col("_high")))
+    held = last.groupBy(SLICE, "_key").agg(F.count("*").alias("_n"))
+    begun = ends.select(SLICE, F.col("_low").alias("_key"), F.lit(0).cast("bigint").alias("_n"))
+    # At most two rows per slice from here on.
+    marks = held.unionByName(begun).groupBy(SLICE, "_key").agg(F.sum("_n").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0").select(SLICE, "_key", "_before")
+    inside = Window.partitionBy(SLICE, *keys).orderBy(*order)
+    ranked = sliced.withColumn("_local", F.row_number().over(inside)).join(F.broadcast(carried), SLICE, "left")
+    before = F.when(key.eqNullSafe(F.col("_key")), F.col("_before")).otherwise(0)
+    return ranked.withColumn(name, before + F.col("_local") - 1).drop(SLICE, "_local", "_key", "_before")
 
 
 def lookup(
@@ -103,6 +114,15 @@ def lookup(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_large(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join two tables that both grow with the library, by sorting and never by a broadcast.
+
+    A stored table counts as large as its files, which hold many times their size in rows: a table of a million image ids passes
+    for one to broadcast, and the driver would have to hold it. AQE still splits keys that hold a large share.
+    """
+    return rows.join(others.hint("merge"), keys, how)
+
+
 def beside_each_other(*single_rows: DataFrame) -> DataFrame:
     """Tables of one row each as one row with all their columns, without a join."""
     stacked = single_rows[0]
