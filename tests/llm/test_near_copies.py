@@ -142,6 +142,30 @@ def test_a_crowd_of_near_copies_leaves_one(spark, monkeypatch):
     assert {d for d in kept if d >= 1000} == set(range(1000, 1050)) and 0 in kept and len(kept) <= 52
 
 
+def test_full_files_lose_no_pair(spark):
+    """A member of a full file meets all others of other groups, not only the nearest of those before it."""
+    ring = N.Ring.of(10**6, 0.8)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, dtype=np.uint64)
+    # 1,200 members around one chain, two blocks of them, and a small file.
+    flips = [np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False))) for _ in range(1200)]
+    rows = [(0, 7, int((base ^ f).view(np.int64)), i) for i, f in enumerate(flips)]
+    rows += [(1, 9, int((base ^ f).view(np.int64)), 5000 + i) for i, f in enumerate(flips[:20])]
+    filed = spark.createDataFrame(rows, "segment int, value long, chain long, node long").repartition(3)
+    found = N._candidates(filed, ring).collect()
+    full = [(r["segment"], r["value"]) for r in found if r["u"] is None]
+    assert full == [(0, 7)]
+    roots = spark.createDataFrame([(i, i % 2) for i in range(2, 1200)], "node long, root long")
+    across = N._across(filed, spark.createDataFrame(full, "segment int, value long"), roots, ring)
+    chains = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    good = N._within(chains[:, None] ^ chains, ring)
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(good[:1200, :1200]))) if i > j and i % 2 != j % 2}
+    nearest = {(r["u"], r["v"]) for r in found if r["u"] is not None}
+    assert {(r["u"], r["v"]) for r in across.collect()} == want and len(want - nearest) > 1000
+    small = {(5000 + i, 5000 + j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(good[1200:, 1200:]))) if i > j}
+    assert {p for p in nearest if p[0] >= 5000} == small
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     found = N.first_of_near_copies(docs)

@@ -21,8 +21,10 @@ from zonespark.llm.components import components
 from zonespark.shipping import ship_package
 
 _SEED = 42
-#: Words a task remembers the hash of, shingles added up at a time, and members of a file compared with one.
+#: Words a task remembers the hash of, shingles added up at a time, and members of a file that the first look compares with one.
 _REMEMBERED, _TOGETHER, _NEAR = 500_000, 1 << 15, 2048
+#: Members up to which a file gives all its pairs at once, and those of a block of a fuller file.
+_FEW, _MEMBERS = 32, 1024
 # Odd constants that mix 64-bit words.
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -167,35 +169,45 @@ def _filed(prints: DataFrame, ring: Ring) -> DataFrame:
     return prints.select("node", "print").mapInArrow(file, "segment int, value long, chain long, node long")
 
 
-def _nearest(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the nearest of the members before it in its file whose chain stays within its budgets.
+def _within(differ: np.ndarray, ring: Ring) -> np.ndarray:
+    """Whether chains that differ in these bits stay within their budgets."""
+    good = np.ones(differ.shape, bool)
+    for i, budget in enumerate(ring.budgets()):
+        good &= np.bitwise_count(differ & np.uint64((1 << 64) - (1 << 64 - (i + 1) * ring.length))) <= budget
+    return good
+
+
+def _first_look(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of a file whose chains stay within their budgets: all of a small file, of others for each row the nearest before it.
 
     Rows are sorted by file (run) and chain. All files are gone through at once: rows 1, 2, 3, … places apart, as long as there are any in one file.
     """
-    steps = [(np.uint64((1 << 64) - (1 << 64 - (i + 1) * ring.length)), budget) for i, budget in enumerate(ring.budgets())]
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    before = np.arange(len(run)) - first[np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))]
+    new = np.concatenate([[True], run[1:] != run[:-1]])
+    number = np.cumsum(new) - 1
+    before = np.arange(len(run)) - np.flatnonzero(new)[number]
+    small = (np.bincount(number) <= _FEW)[number]
     least, nearest = np.full(len(node), 65, np.int64), np.full(len(node), -1, np.int64)
+    one, other = [], []
     here = np.flatnonzero(before >= 1)
     for apart in range(1, _NEAR + 1):
         here = here[before[here] >= apart]
         if not len(here):
             break
         differ = chain[here] ^ chain[here - apart]
-        good = np.ones(len(here), bool)
-        for mask, budget in steps:
-            good &= np.bitwise_count(differ & mask) <= budget
-        at = here[good]
-        far = np.bitwise_count(differ[good]).astype(np.int64)
-        better = far < least[at]
+        good = _within(differ, ring)
+        at, far = here[good], np.bitwise_count(differ[good]).astype(np.int64)
+        one.append(at[small[at]])
+        other.append(at[small[at]] - apart)
+        better = ~small[at] & (far < least[at])
         least[at[better]] = far[better]
         nearest[at[better]] = at[better] - apart
     found = np.flatnonzero(nearest >= 0)
-    return node[found], node[nearest[found]]
+    return node[np.concatenate([*one, found])], node[np.concatenate([*other, nearest[found]])]
 
 
 def _candidates(filed: DataFrame, ring: Ring) -> DataFrame:
-    """(u, v) of nodes whose chains agree, u above v, and a row of nulls for every file with more members than are compared with one."""
+    """u and v of nodes whose chains agree, u above v, and in rows without them the segment and value of files that gave only their nearest pairs."""
+    names = ["u", "v", "segment", "value"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -204,14 +216,16 @@ def _candidates(filed: DataFrame, ring: Ring) -> DataFrame:
             segment, value, chain, node = (np.concatenate(c) for c in zip(*held))
             new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])])
             run = np.cumsum(new)
-            one, other = _nearest(chain.view(np.uint64), node, run, ring)
+            one, other = _first_look(chain.view(np.uint64), node, run, ring)
             # A pair that agrees in several segments is told once per batch.
             pairs = np.unique(np.stack([np.maximum(one, other), np.minimum(one, other)], 1), axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-            crowded = int((np.bincount(run) > _NEAR + 1).sum())
-            if crowded:
-                yield pa.RecordBatch.from_arrays([pa.nulls(crowded, pa.int64())] * 2, ["u", "v"])
+                nothing = [pa.nulls(len(pairs), kind) for kind in (pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nothing], names)
+            full = np.flatnonzero(new)[np.bincount(run)[1:] > _FEW]
+            if len(full):
+                nothing = pa.nulls(len(full), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(segment[full]), pa.array(value[full])], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -233,7 +247,38 @@ def _candidates(filed: DataFrame, ring: Ring) -> DataFrame:
 
     parts = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = filed.repartition(parts, "segment", "value").sortWithinPartitions("segment", "value", "chain", "node")
-    return together.mapInArrow(compare, "u long, v long").distinct()
+    return together.mapInArrow(compare, "u long, v long, segment int, value long").distinct()
+
+
+def _across(filed: DataFrame, full: DataFrame, roots: DataFrame, ring: Ring) -> DataFrame:
+    """(u, v) of nodes of different groups whose chains agree, of all members of the full files (segment, value).
+
+    Members that links join already need no further link. The others are dealt to blocks, and every two blocks meet in a group of
+    their own, so no task holds a file.
+    """
+    members = filed.join(full, ["segment", "value"], "left_semi").join(roots, "node", "left")
+    members = keep(members.withColumn("root", F.coalesce("root", "node")))
+    mixed = members.groupBy("segment", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = mixed.filter("low <> high").select("segment", "value", F.ceil(F.col("n") / _MEMBERS).cast("int").alias("blocks"))
+    dealt = members.join(blocks, ["segment", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    met = met.select("segment", "value", low, high, "block", "chain", "node", "root")
+
+    def compare(group: pa.Table) -> pa.Table:
+        low, high, block, chain, node, root = (group.column(c).to_numpy() for c in ("low", "high", "block", "chain", "node", "root"))
+        chain, one, other = chain.view(np.uint64), np.flatnonzero(block == low), np.flatnonzero(block == high)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for start in range(0, len(one), 256):
+            part = one[start : start + 256]
+            good = (root[part][:, None] != root[other]) & _within(chain[part][:, None] ^ chain[other], ring)
+            at, to = np.nonzero(good)
+            u, v = node[part[at]], node[other[to]]
+            pairs.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0))
+        pairs = np.concatenate(pairs)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return met.groupBy("segment", "value", "low", "high").applyInArrow(compare, "u long, v long").distinct()
 
 
 def _near(pairs: DataFrame, prints: DataFrame, ring: Ring) -> DataFrame:
@@ -282,18 +327,37 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return both.select("u", "v", "one", "other").mapInArrow(compare, "u long, v long")
 
 
-def near_copy_links(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int, similarity: float) -> tuple[DataFrame, bool]:
-    """((u, v) of similar texts, whether a file was too full to compare all its members). Nodes have node and print.
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) that no links join yet."""
+    both = pairs
+    for c in ("u", "v"):
+        both = both.join(roots.withColumnsRenamed({"node": c, "root": f"_{c}"}), c, "left")
+    return both.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
 
-    Every text is linked to the nearest candidate that is similar enough, and to all others only if the nearest is not.
+
+def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of texts that links of similar texts join; roots and texts without a link are not listed. Nodes have node and print.
+
+    Every text is first held against its nearest candidate. Of all other candidates, those that the links found join already
+    can change nothing; the rest are compared each.
     """
-    found = keep(_candidates(_filed(nodes, ring), ring))
-    crowded = not found.filter("u IS NULL").isEmpty()
-    near = keep(_near(found.filter("u IS NOT NULL"), nodes, ring))
+    filed = _filed(nodes, ring)
+    found = keep(_candidates(filed, ring))
+    near = keep(_near(found.filter("u IS NOT NULL").select("u", "v"), nodes, ring))
     first = near.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
-    linked = keep(_similar(first, docs, shingle, similarity))
-    rest = near.select("u", "v").join(linked.select("u"), "u", "left_anti").join(first, ["u", "v"], "left_anti")
-    return keep(linked.unionByName(_similar(keep(rest), docs, shingle, similarity))), crowded
+    links = keep(_similar(first, docs, shingle, similarity))
+    roots = components(links)
+    rest = keep(_apart(near.select("u", "v").join(first, ["u", "v"], "left_anti"), roots))
+    more = keep(_similar(rest, docs, shingle, similarity))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    full = found.filter("u IS NULL").select("segment", "value")
+    if full.isEmpty():
+        return roots
+    others = keep(_near(_across(filed, full, roots, ring), nodes, ring).select("u", "v"))
+    more = keep(_similar(others, docs, shingle, similarity))
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -303,24 +367,18 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     the documents connected by links found. A null text counts as empty; texts without words are copies of each other; a text
     shorter than a shingle is one shingle. Rows that repeat a doc_id and its text count as one document; of several texts under
     one doc_id the one with the smallest hash stays, and a document without an id only where none of its group has one. All columns are
-    returned; an empty table stays empty. Texts of any length are read whole. Candidates meet within files of equal segments, where each is
-    compared with several hundred neighbours; while a file is fuller than that, the first of each group are compared again.
+    returned; an empty table stays empty. Texts of any length are read whole. Candidates meet within files of equal segments. Files of many members
+    give their nearest pairs first; then all their members that are not in one group by then are compared with each other.
     """
     ship_package(docs.sparkSession)
     ring = Ring.of(docs.count(), similarity)
     prints = keep(_fingerprints(docs, shingle, ring.words))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     nodes = keep(prints.groupBy(F.col("text_hash").alias("node")).agg(F.min(order).alias("first"), F.first("print").alias("print")))
-    while True:
-        links, crowded = near_copy_links(docs, nodes, ring, shingle, similarity)
-        if links.isEmpty():
-            break
-        roots = components(links)
-        grouped = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-        stay = grouped.groupBy("root").agg(F.min_by("node", F.struct("first", "node")).alias("node")).select("node")
-        nodes = keep(nodes.join(stay, "node", "left_semi"))
-        if not crowded:
-            break
+    roots = near_copy_groups(docs, nodes, ring, shingle, similarity)
+    grouped = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    stay = grouped.groupBy("root").agg(F.min_by("node", F.struct("first", "node")).alias("node")).select("node")
+    nodes = keep(nodes.join(stay, "node", "left_semi"))
     first = nodes.select(F.col("first.doc_id").alias("doc_id"), F.col("node").alias("text_hash"))
     names = docs.columns
     lowered = [c.lower() for c in names]
