@@ -108,3 +108,20 @@ def test_an_empty_batch_is_committed(spark, tmp_path):
     assert read_library(spark, path).count() == 0 and listed(read_rejects(spark, path), "path") == ["/in/x.dcm"]
     import_batch(files(spark, 1), 1, path)
     assert numbers(spark, path) == [(0, image_id(1), True)]
+
+
+def test_arriving_files_are_spread_over_all_tasks(spark, monkeypatch):
+    """The parts a stream reads follow the session's partitions, in three batches whatever their number."""
+    from zonespark.catalog import files as C
+    from zonespark.catalog.registry import Tables
+
+    seen = []
+    keep = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df: seen.append(df.rdd.getNumPartitions()) or keep(df))
+    monkeypatch.setattr(C, "import_stream", lambda files, *_, **__: type("Q", (), {"awaitTermination": lambda self: None})())
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        C._streamed(Tables(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert seen == [30]
