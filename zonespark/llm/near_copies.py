@@ -22,7 +22,7 @@ from zonespark.shipping import ship_package
 
 _SEED = 42
 #: Words a task remembers the hash of, shingles added up at a time, and members of a file that the first look compares with one.
-_REMEMBERED, _TOGETHER, _NEAR = 500_000, 1 << 15, 2048
+_REMEMBERED, _TOGETHER, _NEAR = 200_000, 1 << 13, 2048
 #: Members up to which a file gives all its pairs at once, and those of a block of a fuller file.
 _FEW, _MEMBERS = 32, 1024
 # Odd constants that mix 64-bit words.

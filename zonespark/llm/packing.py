@@ -23,9 +23,9 @@ DIMENSIONS, BITS = 4, 15
 #: Dimensions of a hashed document vector.
 HASHED = 256
 #: Entries of each of the two halves of a worker's memory of runs.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Texts read at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
