@@ -86,6 +86,14 @@ def test_queue_and_neighbours(spark, slices):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+def test_neighbours_go_through_a_slice_once(spark):
+    # A frame that ends with the slice is gone through again for every row.
+    pictures = images(spark, {}, {}, {})
+    near = T.queue_neighbours(T.review_queue(pictures.filter("import_idx = 1")), pictures)
+    assert "currentrow$(), unboundedfollowing$()" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert listed(near, "import_idx", "previous", "next") == [(0, None, 1), (2, 1, None)]
+
+
 def test_combo_assignment(spark):
     pictures = images(spark, {}, {}, {"combo": ""}, {"combo": "22"})
     plan = T.plan_combo_assignment(pictures, " 16 ")

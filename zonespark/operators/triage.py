@@ -276,7 +276,9 @@ def queue_neighbours(queue: DataFrame, outside: DataFrame) -> DataFrame:
     sliced = range_slices(both, ["import_idx", "image_id"])
     inside = Window.partitionBy(SLICE).orderBy("import_idx", "image_id")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Extremes of what follows, as what precedes in reverse: Spark would go through the rest of a slice again for every row.
+    reverse = Window.partitionBy(SLICE).orderBy(F.desc("import_idx"), F.desc("image_id"))
+    onward = reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walk = across_slices()
     carried = slice_summary(
         sliced, F.max("entry").alias("_max"), F.min("entry").alias("_min"), F.count("entry").alias("_n")
