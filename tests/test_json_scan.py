@@ -166,3 +166,20 @@ def test_stores_only_spark_reads_give_the_same(spark, tmp_path, monkeypatch):
     ranged = listed(E.read_backup(spark, str(tmp_path))[0], "image_id", order=["import_idx"])
     monkeypatch.setattr(E, "reachable", lambda path: False)
     assert listed(E.read_backup(spark, str(tmp_path))[0], "image_id", order=["import_idx"]) == ranged and len(ranged) == 4
+
+
+def test_splits_keep_all_tasks_busy(spark, tmp_path, monkeypatch):
+    # Splits are rows of a few bytes, which AQE would put into one task.
+    monkeypatch.setattr(J, "SPLIT", 16)
+    (tmp_path / "records").write_text('{"images":[]}\n' * 100)
+    files = J.listed(spark, str(tmp_path))
+    assert J.records(files).rdd.getNumPartitions() == 8
+    assert J.with_kinds(files).count() == 1
+    assert J.records(files).count() == 100
+
+
+def test_documents_are_written_in_parts(spark):
+    from zonespark.plans.ordering import sorted_parts
+
+    parts = sorted_parts(spark.range(100), "id").rdd.glom().collect()
+    assert len(parts) == 8 and [row.id for part in parts for row in part] == list(range(100))

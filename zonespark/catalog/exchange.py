@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from zonespark.catalog.registry import query
-from zonespark.plans.ordering import shared_folder
+from zonespark.plans.ordering import dealt, shared_folder
 from zonespark.schemas import ZONE
 from zonespark.sources import documents as O
 from zonespark.sources import exchange as E
@@ -42,7 +42,7 @@ def _layout_files(t):
         F.lit('":{"ref_width":'), (F.col("ref_width") + F.when(F.col("ord") % 11 == 0, 1).otherwise(0)).cast("string"),
         F.lit(',"ref_height":'), F.col("ref_height").cast("string"), F.lit(',"zones":['), zone, F.lit("]}}}}"),
     )
-    return t.lay2.select(F.concat(F.lit("layout"), F.col("ord").cast("string")).alias("path"), text.alias("text")).repartition("path")
+    return dealt(t.lay2.select(F.concat(F.lit("layout"), F.col("ord").cast("string")).alias("path"), text.alias("text")), "path")
 
 
 @query(
@@ -104,7 +104,7 @@ def _backup_files(t):
         F.when(idx % 2 == 0, "true").otherwise("0"), F.lit(',"windowWidth":'), when(3, "0.5", F.lit("80")),
         F.lit('},"frames":{"'), frame, F.lit('":[{"x":'), x, F.lit(',"y":3,"width":40,"height":20,"note":"n"}]}}]}'),
     )
-    return t.ims.select(F.concat(F.lit("backup"), idx.cast("string")).alias("path"), text.alias("text")).repartition("path")
+    return dealt(t.ims.select(F.concat(F.lit("backup"), idx.cast("string")).alias("path"), text.alias("text")), "path")
 
 
 @query(
@@ -162,7 +162,7 @@ def _template_files(t):
         F.when(ord_ % 17 == 0, "").otherwise(zone), F.lit(']}'),
     )
     text = F.concat(F.lit('{"format":"any-templates","version":1,"templates":['), template, F.lit(","), template, F.lit("]}"))
-    return t.lay2.select(F.concat(F.lit("templates"), ord_.cast("string")).alias("path"), text.alias("text")).repartition("path")
+    return dealt(t.lay2.select(F.concat(F.lit("templates"), ord_.cast("string")).alias("path"), text.alias("text")), "path")
 
 
 @query(

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.plans.ordering import lookup, materialise
+from zonespark.plans.ordering import join_large, lookup, materialise, sorted_parts
 from zonespark.sources.ranged import write_parts
 
 
@@ -72,7 +72,8 @@ def document(head: str, levels: list[Level], tail: str, comma: str = ",") -> Dat
         else:
             parent = levels[i - 1].keys
             ends = rows.groupBy(*parent).agg(F.max("order").alias("_max"))
-            rows = lookup(rows, above.join(ends, parent), parent, ["order"], copies=16 if level.few_parents else 1)
+            opened = join_large(above, ends, parent)
+            rows = lookup(rows, opened, parent, ["order"]) if level.few_parents else join_large(rows, opened, parent)
             rows = rows.withColumn("_last", F.col("order") == F.col("_max"))
         path = [(F.col(f"_o{j}"), 1) for j in range(i)]
         here = F.col("order")
@@ -92,7 +93,7 @@ def document(head: str, levels: list[Level], tail: str, comma: str = ",") -> Dat
 
 
 def in_order(fragments: DataFrame) -> DataFrame:
-    return fragments.orderBy("place").select("line")
+    return sorted_parts(fragments, "place").select("line")
 
 
 def write_document(fragments: DataFrame, path: str) -> None:

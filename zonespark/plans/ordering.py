@@ -42,6 +42,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(table)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt over as many tasks as the session has partitions, however few bytes it has.
+
+    A row may stand for work of any size, a stretch of a file or a document to be parsed. Without a number AQE would put such
+    small tables into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def sorted_parts(df: DataFrame, *order: str) -> DataFrame:
+    """df in order over as many parts as the session has partitions: rows that compress well would end up in one after a plain sort."""
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
     """df cut into consecutive ranges of `order`, numbered in the column _slice.
 

@@ -13,7 +13,7 @@ from zonespark.functions.text import json_quote
 from zonespark.operators import export as X
 from zonespark.operators.templates import template_order
 from zonespark.plans.documents import Level, document, literal, members, write_document
-from zonespark.plans.ordering import materialise
+from zonespark.plans.ordering import materialise, sorted_parts
 from zonespark.schemas import DEVICE, FRAME, RECOGNISED, RECT, ZONE
 
 PRODUCT = "zonespark"
@@ -149,7 +149,7 @@ def write_backup(path: str, images: DataFrame, zones: DataFrame, generated_at: s
     """Write a backup as records, sorted as the library is."""
     # A sort reads its input twice, once for the ranges: of stored records that is their keys alone.
     rows = materialise(backup_records(images, zones, generated_at))
-    rows.orderBy("import_idx", "image_id").select("value").write.mode("errorifexists").text(path)
+    sorted_parts(rows, "import_idx", "image_id").select("value").write.mode("errorifexists").text(path)
 
 
 def write_backup_document(path: str, images: DataFrame, zones: DataFrame, generated_at: str) -> None:

@@ -18,7 +18,7 @@ from zonespark.functions.definitions import definition_columns, definition_defec
 from zonespark.functions.geometry import inside
 from zonespark.functions.text import is_digits, js_trim
 from zonespark.operators.templates import derived_id, template_name
-from zonespark.plans.ordering import materialise, with_global_rank
+from zonespark.plans.ordering import join_large, materialise, with_global_rank
 from zonespark.schemas import DEVICE, LAYOUT_KEY, ZONE
 from zonespark.sources import json_scan as J
 from zonespark.sources.ranged import MANIFEST, document_parts, path_exists, reachable
@@ -288,6 +288,8 @@ def parse_backup(
     zones = frames.select(
         "path", "image_id", "frame_index", "ref_width", "ref_height", F.posexplode("members").alias("ord", "zone")
     ).select("*", *_zone_columns(F.col("zone"))).drop("zone")
+    # Judged and kept from one reading of the rectangles.
+    zones = materialise(zones)
     twice = (
         images.groupBy("path", "image_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         .select("path", F.lit("Invalid or duplicate image identifier.").alias("reason"))
@@ -329,7 +331,7 @@ def parse_backup(
         invert.isNull() | (F.schema_of_variant(invert) == "VOID")
         | (F.to_json(invert).isin("false", "0", '""', "0.0", "-0"))
     )
-    good = images.join(rejects, "path", "left_anti").select(
+    good = join_large(images, rejects, ["path"], "left_anti").select(
         "path", "pos", "image_id", "name", F.coalesce("image_path", "name").alias("image_path"), "combo",
         F.col("ref_width").cast("int").alias("width"), F.col("ref_height").cast("int").alias("height"),
         F.col("frame_count").cast("int").alias("frame_count"),
@@ -348,11 +350,11 @@ def parse_backup(
         held = ranked.withColumn("has_source", F.lit(False))
     else:
         at_hand = sources.select("image_id").distinct().withColumn("_held", F.lit(True))
-        held = ranked.join(at_hand, "image_id", "left").withColumn(
+        held = join_large(ranked, at_hand, ["image_id"], "left").withColumn(
             "has_source", F.coalesce("_held", F.lit(False))
         ).drop("_held")
     restored = held.withColumnRenamed("path", "file").withColumnRenamed("image_path", "path").drop("pos")
-    kept = zones.join(rejects, "path", "left_anti").select(
+    kept = join_large(zones, rejects, ["path"], "left_anti").select(
         "image_id", F.col("frame_index").cast("int").alias("frame_index"), F.col("ord").cast("bigint").alias("ord"),
         *_ints("x", "y", "width", "height"), "note", F.col("path").alias("file"),
     )

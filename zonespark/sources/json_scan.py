@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonespark.functions import variants as V
-from zonespark.plans.ordering import materialise
+from zonespark.plans.ordering import dealt, materialise
 from zonespark.shipping import ship_package
 from zonespark.sources.ranged import open_file
 
 #: Bytes of a split, bytes read at a time, and the longest first line that is looked at to tell records from a document.
-SPLIT, _BLOCK, _FIRST_LINE = 32 << 20, 1 << 20, 16 << 20
+SPLIT, _BLOCK, _FIRST_LINE = 8 << 20, 1 << 20, 16 << 20
 _OUTSIDE, _INSIDE, _ESCAPED = range(3)
 _BLANK = b" \t\r\n"
 
@@ -173,7 +173,7 @@ def _splits(files: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(SPLIT).cast("long"))
     cut_up = files.select("document", "path", "base", "length", F.explode(starts).alias("start"))
     stop = F.least(F.col("start") + SPLIT, F.col("length"))
-    return cut_up.select("document", "path", "base", "start", stop.alias("stop")).repartition("path", "start")
+    return dealt(cut_up.select("document", "path", "base", "start", stop.alias("stop")), "path", "start")
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +202,7 @@ def with_kinds(files: DataFrame) -> DataFrame:
                 line = pa.array([first_line(path)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in (0, 1)), line], ["path", "length", "line"])
 
-    spread = files.select("path", "length").repartition("path")
+    spread = dealt(files.select("path", "length"), "path")
     told = spread.mapInArrow(look, "path string, length long, line string")
     alone = F.coalesce(V.is_one_value(F.col("line")), F.lit(False))
     return materialise(told.select("path", "length", alone.alias("records"), F.coalesce(F.col("line") == "", F.lit(False)).alias("blank")))
@@ -298,7 +298,7 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
     placed = materialise(_placed(files))
-    spread = placed.select("document", "path", "split", "start", "stop", "state", "depth").repartition("document", "split")
+    spread = dealt(placed.select("document", "path", "split", "start", "stop", "state", "depth"), "document", "split")
     pieces = materialise(spread.mapInArrow(read, _PIECES))
 
     last = F.encode(F.substring(F.col("piece").cast("string"), -1, 1), "utf-8")
