@@ -124,3 +124,31 @@ def test_the_dictionary_knows_every_identifying_tag():
     data = D.dicom(*[D.element(int(t, 16), "", b"ab", implicit=True) for t in texts], syntax=D.IMPLICIT)
     found = {r[1]: (r[2], r[3], r[4]) for r in S._one_file(data, DICTIONARY)}
     assert all(found[t] == (*DICTIONARY[t], "ab") for t in texts)
+
+
+def test_archives_stand_for_their_files(spark, tmp_path):
+    import zipfile
+
+    from zonespark.sources.ranged import members_of, open_file, pack, write_archives
+
+    png = bytes([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A]) + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    rows = [(f"batch/{i}.png", png + str(i).encode()) for i in range(50)] + [("batch/.hidden.png", png), ("broken.dcm", b"no image")]
+    folder = f"{tmp_path}/archives"
+    write_archives(spark.createDataFrame(rows, "path string, content binary"), folder, each=4)
+    with zipfile.ZipFile(f"{folder}/deflated.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("deep/é.png", png + b"x" * 100)
+    (tmp_path / "archives" / "no.zip").write_bytes(b"no archive")
+    # Many files are few files of the store.
+    assert len(list((tmp_path / "archives").iterdir())) < len(rows) / 2
+    expected = {path: hashlib.sha256(content).hexdigest() for path, content in rows[:50]} | {"deep/é.png": hashlib.sha256(png + b"x" * 100).hexdigest()}
+    for files in (S.scan_images(spark, folder, archives=True), S.inspect_files(S.list_files(spark, folder, archives=True))):
+        images, rejects = files
+        assert {r.path.split("!/")[1]: r.image_id for r in images.collect()} == expected
+        assert {r.width for r in images.collect()} == {640}
+        assert sorted(r.path.split("/")[-1] for r in rejects.collect()) == ["broken.dcm", "no.zip"]
+    # Without being asked for, an archive is a file that is no image.
+    assert S.scan_images(spark, folder)[0].isEmpty()
+    parts = [p for partition in pack([(f"{folder}/deflated.zip", 1 << 30)], 1 << 29, archives=True) for p in partition.paths]
+    assert parts == [(f"{folder}/deflated.zip", i, 16) for i in range(16)]
+    with open_file(f"{folder}/deflated.zip") as handle:
+        assert [name for i in range(2) for name, _ in members_of(handle, "a", i, 2)] == ["a!/deep/é.png"]

@@ -1,6 +1,7 @@
 """Image files as tables: what each file is, and every DICOM tag it carries."""
 
 import json
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from zonespark.shipping import ship_package
 from zonespark.sources.dicom_dictionary import DICTIONARY
 from zonespark.sources.dicom_values import tag_rows
 from zonespark.sources.dicom_walk import PIXEL_DATA, Malformed, read_elements
-from zonespark.sources.ranged import DicomTags, ImageHeaders, RangedFile, in_batches, load, map_files, open_file, reachable
+from zonespark.sources.ranged import DicomTags, ImageHeaders, Opener, in_batches, is_archive, load, map_files, members_of, ranged, reachable
 
 PNG_MAGIC = bytearray([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A])
 
@@ -49,10 +50,35 @@ HEADER_TAGS = {
 }
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a folder with its bytes, leaving out hidden files and DICOMDIR."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return importable(files.select("path", "content"))
+def list_files(spark: SparkSession, path: str, archives: bool = False) -> DataFrame:
+    """Every file below a folder with its bytes, leaving out hidden files and DICOMDIR. With `archives`, ZIP files stand for what they hold."""
+    files = importable(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
+    if not archives:
+        return files
+    ship_package(spark)
+
+    def row(name: str, content: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([content], pa.binary())], ["path", "content"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not is_archive(name):
+                    yield row(name, value.as_py())
+                    continue
+                try:
+                    for member, opener in members_of(pa.BufferReader(value.as_buffer()), name):
+                        try:
+                            with opener() as data:
+                                content = data[:]
+                        except OSError:
+                            content = b""
+                        yield row(member, content)
+                except (zipfile.BadZipFile, pa.ArrowException, OSError):
+                    # No archive, so a file that is no image.
+                    yield row(name, value.as_py())
+
+    return files.mapInArrow(unpack, "path string, content binary")
 
 
 def file_name(path: Column) -> Column:
@@ -96,12 +122,11 @@ def _dicom_header(contents: pd.Series) -> pd.DataFrame:
 UNREADABLE = "The file could not be read."
 
 
-def header_rows(path: str) -> Iterator[tuple]:
+def header_rows(path: str, opener: Opener | None = None) -> Iterator[tuple]:
     """The row of one file, read by range. A file that cannot be read is a row with an error."""
     facts, image_id, png = dict.fromkeys(names_of(_HEADER)), None, False
     try:
-        with open_file(path) as handle:
-            data = RangedFile(handle)
+        with opener() if opener else ranged(path) as data:
             image_id, png = data.sha256(), data[:8] == bytes(PNG_MAGIC)
             if png:
                 # What follows the length and name of the first chunk; a shorter file has no size.
@@ -196,23 +221,23 @@ def _too_long(spark: SparkSession, path: str) -> DataFrame:
     return importable(files.select("path")).withColumn("error", F.lit(TOO_LONG))
 
 
-def scan_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_images(spark: SparkSession, path: str, archives: bool = False) -> tuple[DataFrame, DataFrame]:
     """(images, rejects) of every file below a folder.
 
     Files are read by range, however long they are, and a file that cannot be read is a row of rejects. Where Python cannot open
-    the store, Spark reads whole files, and those too long for a value are rejects as well.
+    the store, Spark reads whole files, and those too long for a value are rejects as well. With `archives`, ZIP files stand for the
+    files they hold (see members_of).
     """
     if reachable(path):
-        return _judged(_as_read(load(spark, ImageHeaders, path)))
-    images, rejects = inspect_files(list_files(spark, path))
+        return _judged(_as_read(load(spark, ImageHeaders, path, archives=str(archives).lower())))
+    images, rejects = inspect_files(list_files(spark, path, archives))
     return images, rejects.unionByName(_too_long(spark, path))
 
 
-def file_tags(path: str, dictionary: dict | None) -> Iterator[tuple]:
+def file_tags(path: str, dictionary: dict | None, opener: Opener | None = None) -> Iterator[tuple]:
     """The tag rows and warnings of one DICOM file, read by range; a PNG has none."""
     try:
-        with open_file(path) as handle:
-            data = RangedFile(handle)
+        with opener() if opener else ranged(path) as data:
             if data[:8] == bytes(PNG_MAGIC):
                 return
             start = path, data.sha256()
@@ -273,16 +298,17 @@ def _tags_and_warnings(read: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_dicom_tags(
-    spark: SparkSession, path: str, dictionary: dict[str, tuple[str, str]] = DICTIONARY
+    spark: SparkSession, path: str, dictionary: dict[str, tuple[str, str]] = DICTIONARY, archives: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(tags, warnings) of every DICOM file below a folder; PNG files have none.
 
     Files are read by range, however long they are. Where Python cannot open the store, Spark reads whole files.
+    With `archives`, ZIP files stand for the files they hold.
     """
     if reachable(path):
         given = {} if dictionary is DICTIONARY else {"dictionary": json.dumps(dictionary)}
-        return _tags_and_warnings(load(spark, DicomTags, path, **given))
-    files = list_files(spark, path).filter(F.substring("content", 1, 8) != F.lit(PNG_MAGIC))
+        return _tags_and_warnings(load(spark, DicomTags, path, archives=str(archives).lower(), **given))
+    files = list_files(spark, path, archives).filter(F.substring("content", 1, 8) != F.lit(PNG_MAGIC))
     tags, warnings = read_tags(files, dictionary)
     long = _too_long(spark, path).select(
         F.lit(None).cast("string").alias("image_id"), F.col("path").alias("file"), F.lit(False).alias("partial"), F.col("error").alias("warning")
