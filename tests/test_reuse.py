@@ -163,3 +163,11 @@ def test_preview(spark):
     assert empty.isEmpty()
     matched = L.matching_layouts(pictures, layouts(spark, ("16", 640, 480, True, [BAND]))[0])
     assert listed(matched, "import_idx") == [0, 1]
+
+
+def test_previews_join_counts_to_images_once(spark):
+    pictures, drawn = images(spark, {}, {"combo": ""}), zones(spark, {(0, 0): [BAND, BAND], (1, 0): [BAND, BAND]})
+    union = spark.createDataFrame([], "combo string, ref_width int, ref_height int, x int, y int, width int, height int, note string")
+    counts = L.preview_counts(pictures, drawn, union)
+    assert counts._jdf.queryExecution().analyzed().toString().count("Join LeftOuter, (image_id") == 1
+    assert listed(counts, "scope", "zones", "extra", order=["image_id"]) == [("union", 0, 0), ("frame", 2, 0)]

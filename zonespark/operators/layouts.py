@@ -122,21 +122,19 @@ def preview_counts(images: DataFrame, zones: DataFrame, union: DataFrame) -> Dat
     own = _open_frame_zones(images, zones)
     sizes = union.groupBy(*LAYOUT_KEY).agg(F.count("*").alias("_union"))
     identity = [*LAYOUT_KEY, *ZONE]
-    distinct_own = own.select("image_id", *identity).distinct()
-    shared = (
-        # A whole zone is no hot key, so the union is not repeated.
-        distinct_own.join(union.select(*identity), identity)
-        .groupBy("image_id").agg(F.count("*").alias("_shared"))
+    distinct_own = own.groupBy("image_id", *identity).agg(F.count("*").alias("_n"))
+    # Own and shared zones are counted in one pass. A whole zone is no hot key, so the union is not repeated.
+    counts = (
+        distinct_own.join(union.select(*identity, F.lit(True).alias("_in")), identity, "left")
+        .groupBy("image_id").agg(F.sum("_n").alias("_own"), F.count("_in").alias("_shared"))
     )
-    own_counts = own.groupBy("image_id").agg(F.count("*").alias("_own"))
     placed = images.select(
         "image_id", F.coalesce("combo", F.lit("")).alias("combo"),
         F.col("width").alias("ref_width"), F.col("height").alias("ref_height"),
     )
     joined = (
         lookup(placed, sizes, LAYOUT_KEY, ["image_id"], "left")
-        .join(own_counts, "image_id", "left")
-        .join(shared, "image_id", "left")
+        .join(counts, "image_id", "left")
         .fillna(0, ["_union", "_own", "_shared"])
     )
     grouped = is_digits(F.col("combo"))
