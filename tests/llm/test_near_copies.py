@@ -166,6 +166,35 @@ def test_full_files_lose_no_pair(spark):
     assert {p for p in nearest if p[0] >= 5000} == small
 
 
+def test_a_crowd_gives_few_candidates_before_its_links_are_known(spark, monkeypatch):
+    """Candidates of copies grow with their number, and files that were not compared whole lose no pair of different groups."""
+    rng, told = random.Random(13), []
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = {i: " ".join(edited(words, 0.01, rng)) for i in range(300)} | {1000 + i: " ".join(f"z{rng.randrange(3000)}" for _ in range(80)) for i in range(50)}
+    seen = N._candidates
+
+    def counted(*args):
+        found = N.keep(seen(*args))
+        told.append((found.filter("u IS NOT NULL").count(), seen(*args[:2]).filter("u IS NOT NULL").count()))
+        return found
+
+    monkeypatch.setattr(N, "_candidates", counted)
+    groups = plain_groups(texts)
+    assert set(groups.values()) <= kept_ids(spark, texts)
+    few, all_of_small = told[0]
+    assert few < 0.5 * all_of_small
+
+
+def test_texts_travel_once_to_those_that_stay(spark):
+    docs = spark.createDataFrame([(i // 2, f"text {i // 2} of many") for i in range(40)] + [(None, None), (None, "")], "doc_id long, text string")
+    found = N.first_of_near_copies(docs)
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in found.collect()) == [*((False, i) for i in range(20)), (True, None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    # One exchange of the documents and one of the list of those that stay.
+    assert len(texts) == 2
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     found = N.first_of_near_copies(docs)

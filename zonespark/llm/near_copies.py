@@ -13,7 +13,7 @@ from math import acos, ceil, log, log2, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonespark.llm.common import keep, pick, word_blocks
@@ -25,6 +25,9 @@ _SEED = 42
 _REMEMBERED, _TOGETHER, _NEAR = 200_000, 1 << 13, 2048
 #: Members up to which a file gives all its pairs at once, and those of a block of a fuller file.
 _FEW, _MEMBERS = 32, 1024
+#: The same while groups are sought: unrelated texts seldom make a file fuller, and many copies of one text give few pairs each before
+#: the links among them are known.
+_UNRELATED = 5
 # Odd constants that mix 64-bit words.
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -177,7 +180,7 @@ def _within(differ: np.ndarray, ring: Ring) -> np.ndarray:
     return good
 
 
-def _first_look(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+def _first_look(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring, few: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of a file whose chains stay within their budgets: all of a small file, of others for each row the nearest before it.
 
     Rows are sorted by file (run) and chain. All files are gone through at once: rows 1, 2, 3, … places apart, as long as there are any in one file.
@@ -185,7 +188,7 @@ def _first_look(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring
     new = np.concatenate([[True], run[1:] != run[:-1]])
     number = np.cumsum(new) - 1
     before = np.arange(len(run)) - np.flatnonzero(new)[number]
-    small = (np.bincount(number) <= _FEW)[number]
+    small = (np.bincount(number) <= few)[number]
     least, nearest = np.full(len(node), 65, np.int64), np.full(len(node), -1, np.int64)
     one, other = [], []
     here = np.flatnonzero(before >= 1)
@@ -205,8 +208,11 @@ def _first_look(chain: np.ndarray, node: np.ndarray, run: np.ndarray, ring: Ring
     return node[np.concatenate([*one, found])], node[np.concatenate([*other, nearest[found]])]
 
 
-def _candidates(filed: DataFrame, ring: Ring) -> DataFrame:
-    """u and v of nodes whose chains agree, u above v, and in rows without them the segment and value of files that gave only their nearest pairs."""
+def _candidates(filed: DataFrame, ring: Ring, few: int = _FEW) -> DataFrame:
+    """u and v of nodes whose chains agree, u above v, and in rows without them the segment and value of files that gave only their nearest pairs.
+
+    Files of up to `few` members give all their pairs.
+    """
     names = ["u", "v", "segment", "value"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +222,13 @@ def _candidates(filed: DataFrame, ring: Ring) -> DataFrame:
             segment, value, chain, node = (np.concatenate(c) for c in zip(*held))
             new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])])
             run = np.cumsum(new)
-            one, other = _first_look(chain.view(np.uint64), node, run, ring)
+            one, other = _first_look(chain.view(np.uint64), node, run, ring, few)
             # A pair that agrees in several segments is told once per batch.
             pairs = np.unique(np.stack([np.maximum(one, other), np.minimum(one, other)], 1), axis=0)
             if len(pairs):
                 nothing = [pa.nulls(len(pairs), kind) for kind in (pa.int32(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nothing], names)
-            full = np.flatnonzero(new)[np.bincount(run)[1:] > _FEW]
+            full = np.flatnonzero(new)[np.bincount(run)[1:] > few]
             if len(full):
                 nothing = pa.nulls(len(full), pa.int64())
                 yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(segment[full]), pa.array(value[full])], names)
@@ -299,7 +305,8 @@ def _near(pairs: DataFrame, prints: DataFrame, ring: Ring) -> DataFrame:
 
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs of text hashes (u, v) whose texts have shingle sets at least as similar as the bound."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # Written, so that its size is known before the join is planned: texts travel only where the list is too long to be sent out.
+    wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     text = F.coalesce("text", F.lit(""))
     texts = pick(docs, "text").select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
 
@@ -342,7 +349,7 @@ def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int
     can change nothing; the rest are compared each.
     """
     filed = _filed(nodes, ring)
-    found = keep(_candidates(filed, ring))
+    found = keep(_candidates(filed, ring, _UNRELATED))
     near = keep(_near(found.filter("u IS NOT NULL").select("u", "v"), nodes, ring))
     first = near.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v"))
     links = keep(_similar(first, docs, shingle, similarity))
@@ -352,7 +359,7 @@ def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
-    full = found.filter("u IS NULL").select("segment", "value")
+    full = keep(found.filter("u IS NULL").select("segment", "value"))
     if full.isEmpty():
         return roots
     others = keep(_near(_across(filed, full, roots, ring), nodes, ring).select("u", "v"))
@@ -360,6 +367,10 @@ def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
+def _row_key(doc_id: Column, text_hash: Column) -> dict[str, Column]:
+    return {"_key": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull(), "_hash": text_hash}
+
+
 def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text, …) that stay: of each group of near copies the document with the smallest doc_id, once.
 
@@ -384,5 +395,9 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     lowered = [c.lower() for c in names]
     at, text = (f"_{names.index(n) if n in names else lowered.index(n)}" for n in ("doc_id", "text"))
     rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    same = F.col(at).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("text_hash"))
-    return rows.join(first, same, "left_semi").dropDuplicates([at, text]).toDF(*names)
+    # Ids without nulls, so that the rows of a document lie together and in order after the join, whether it is there once or more often:
+    # texts travel once, and as much at every size, which a broadcast of a short list would not.
+    key = ["_key", "_none", "_hash"]
+    keyed = rows.withColumns(_row_key(F.col(at).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    stay = first.select(*[c.alias(name) for name, c in _row_key(F.col("doc_id"), F.col("text_hash")).items()])
+    return keyed.join(stay.hint("merge"), key, "left_semi").dropDuplicates(key).select(*rows.columns).toDF(*names)
