@@ -199,6 +199,27 @@ def test_coverage_against_brute_force(spark):
     assert sorted((r.frame_index, r.ord) for r in got.collect()) == want
 
 
+def test_zones_of_images_without_boxes_are_left_out_first(spark):
+    boxes = detections(spark, {(0, 0): [(20, 8, 30, 10, "A", 90), (600, 8, 30, 10, "B", 90)], (1, 0): [(20, 8, 30, 10, "C", 90)]})
+    left = K.uncovered(boxes, zones(spark, {(0, 0): [BAND], **{(i, 0): [BAND] for i in range(2, 9)}}))
+    assert listed(left, "text") == ["B", "C"]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    # Once by image, before zones are grouped, and once by cell.
+    assert plan.count("Join LeftSemi") == 2
+
+
+def test_cells_are_the_smallest_that_hold_a_rectangle(spark):
+    rng = random.Random(17)
+    rows = [tuple(sorted(rng.randrange(-3000, 9000) for _ in range(2))) for _ in range(300)] + [(a, a + rng.randrange(80)) for a in range(-200, 200, 3)]
+    rows = [(*a, *b) for a, b in zip(rows, reversed(rows))] + [(5, 5, 7, 7), (0, 2**31 - 1, 0, 1), (-(2**31), -(2**31) + 1, 0, 1)]
+    table = spark.createDataFrame(rows, "x0 int, x1 int, y0 int, y1 int")
+    size = K._smallest_cell(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    found = table.select("*", size.alias("size"), K._cell(F.col("x0"), size).alias("across")).collect()
+    for x0, x1, y0, y1, size, across in found:
+        holding = [c for c in K._CELLS if all((a + K._SHIFT) >> c == (b + K._SHIFT) >> c for a, b in ((x0, x1), (y0, y1)))]
+        assert (size, across) == ((holding[0], (x0 + K._SHIFT) >> holding[0]) if holding else (K._EVERYWHERE, 0))
+
+
 def test_accepting_never_carries_text(spark):
     boxes = detections(spark, {(0, 0): [(72, 90, 150, 24, "ALDER^FOX 12", 74)], (0, 1): [(3, 3, 30, 18, "ELM", 80)]})
     drawn = zones(spark, {(0, 0): [BAND]})

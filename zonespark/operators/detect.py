@@ -296,20 +296,21 @@ _EVERYWHERE = 31
 _SHIFT = (1 << 30) + 4096
 
 
-def _cell_size(low: Column, high: Column) -> Column:
-    """The power of two from which on both edges lie in one cell."""
-    differ = (low.cast("bigint") + _SHIFT).bitwiseXOR(high.cast("bigint") + _SHIFT)
-    return F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+def _shifted(edge: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", edge.cast("bigint") + _SHIFT, bits)
 
 
 def _smallest_cell(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The smallest of the cell sizes at which a rectangle lies in a single cell."""
-    size = F.greatest(_cell_size(x0, x1), _cell_size(y0, y1))
-    return reduce(lambda rest, c: F.when(size <= c, c).otherwise(rest), reversed(_CELLS), F.lit(_EVERYWHERE))
+
+    def fits(c: int) -> Column:
+        return (_shifted(x0, F.lit(c)) == _shifted(x1, F.lit(c))) & (_shifted(y0, F.lit(c)) == _shifted(y1, F.lit(c)))
+
+    return reduce(lambda rest, c: F.when(fits(c), c).otherwise(rest), reversed(_CELLS), F.lit(_EVERYWHERE))
 
 
 def _cell(edge: Column, size: Column) -> Column:
-    return F.when(size == _EVERYWHERE, 0).otherwise(F.floor((edge.cast("bigint") + _SHIFT) / F.pow(F.lit(2.0), size)).cast("bigint"))
+    return F.when(size == _EVERYWHERE, 0).otherwise(_shifted(edge, size))
 
 
 def uncovered(boxes: DataFrame, zones: DataFrame, scope: str = "frame") -> DataFrame:
@@ -318,10 +319,12 @@ def uncovered(boxes: DataFrame, zones: DataFrame, scope: str = "frame") -> DataF
     Every zone lies in one cell, the smallest of a few sizes that holds it whole; a zone around a box lies in a cell around the box, so
     a distinct box looks into the one cell of each size that holds it. No zone is repeated, and one image with a large share of all boxes
     is divided by its cells. Of zones with the same corner and width only the tallest can matter, which drops repeated zones before they travel.
+    Zones of images without a box are left out first: where boxes lie on few images, the others' zones are neither grouped nor sorted.
     """
     keys = FRAME if scope == "frame" else ["image_id"]
     right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    tallest = zones.groupBy(*keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), right.alias("zx1")).agg(F.max(bottom).alias("zy1"))
+    boxed = boxes.select("image_id").distinct()
+    tallest = zones.join(boxed, "image_id", "left_semi").groupBy(*keys, F.col("x").alias("zx0"), F.col("y").alias("zy0"), right.alias("zx1")).agg(F.max(bottom).alias("zy1"))
     edges = [F.col(c) for c in ("zx0", "zy0", "zx1", "zy1")]
     placed = (
         tallest.filter((F.col("zx1") >= F.col("zx0")) & (F.col("zy1") >= F.col("zy0")))
