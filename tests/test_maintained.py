@@ -57,6 +57,19 @@ def test_a_zone_whose_first_place_goes_is_first_seen_at_the_next(spark, tmp_path
     assert {r.combo for r in store.union().collect()} == {"9"}
 
 
+def test_places_are_gone_through_once_when_they_are_stored(spark, tmp_path):
+    places = occurrences(images(spark, {}, {}), zones(spark, {(0, 0): [BAND, LABEL], (1, 0): [BAND]}))
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    store = LayoutStore.create(spark, str(tmp_path / "s"), places.mapInArrow(told, places.schema))
+    assert seen.value == places.count() == 3 and store.union().count() == 2
+
+
 def test_an_update_rewrites_the_buckets_it_touches_and_no_others(spark, tmp_path):
     pictures = images(spark, *[{"combo": str(i)} for i in range(60)])
     drawn = zones(spark, {(i, 0): [BAND] for i in range(60)})

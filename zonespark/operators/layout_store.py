@@ -112,7 +112,9 @@ def _write(spark: SparkSession, path: str, places: DataFrame, version: int, buck
     # A layout that holds a third of all zones is divided by zone.
     spread = places.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64(*ZONE), F.lit(8)))
     spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/places/version={version}")
-    union = union_of(places).withColumn("bucket", _bucket())
+    # From what was written, so that the library behind the places is gone through once.
+    written = spark.read.schema(f"{_COLUMNS['places']}, bucket int").parquet(f"{path}/places/version={version}")
+    union = union_of(written).withColumn("bucket", _bucket())
     union.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/union/version={version}")
     commit = spark.createDataFrame([(b, version) for b in buckets], "bucket int, version long")
     commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={version}")
