@@ -185,6 +185,39 @@ def test_a_crowd_gives_few_candidates_before_its_links_are_known(spark, monkeypa
     assert few < 0.5 * all_of_small
 
 
+def test_a_crowd_below_the_bound_gives_no_rows_by_its_square(spark, monkeypatch):
+    """Texts that resemble each other almost enough are all compared, but as members of files, not as rows of pairs."""
+    rng, told = random.Random(17), []
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = {i: " ".join(edited(words, rng.choice([0.004, 0.014, 0.018]), rng)) for i in range(400)}
+    for name in ("_near", "_similar"):
+        def counted(pairs, *rest, seen=getattr(N, name)):
+            pairs = N.keep(pairs)
+            told.append(pairs.count())
+            return seen(pairs, *rest)
+
+        monkeypatch.setattr(N, name, counted)
+    groups = plain_groups(texts)
+    assert set(groups.values()) <= kept_ids(spark, texts) and sum(told) < 0.25 * 400 * 399 / 2
+
+
+def test_links_across_full_files_are_those_of_all_their_pairs(spark):
+    rng = random.Random(19)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = {i: " ".join(edited(words, rng.choice([0.004, 0.014, 0.018]), rng)) for i in range(120)}
+    docs, ring = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), N.Ring.of(1000, 0.8)
+    nodes = N.keep(N._fingerprints(docs, 5, ring.words).select(N.F.col("text_hash").alias("node"), "print").dropDuplicates(["node"]))
+    filed = N.keep(N._filed(nodes, ring))
+    full = filed.groupBy("segment", "value").count().filter("count > 5").select("segment", "value")
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = N._near(N._across(filed, full, none, ring), nodes, ring).select("u", "v")
+    links = N.keep(N._links_across(filed, full, none, nodes, ring, docs, 5, 0.8))
+    want = dict(N.components(N._similar(pairs, docs, 5, 0.8)).collect())
+    assert len(want) > 20 and dict(N.components(links).collect()) == want == dict(N._joined(none, links).collect())
+    # No more links than members of files.
+    assert links.count() < filed.join(full, ["segment", "value"], "left_semi").count()
+
+
 def test_texts_travel_once_to_those_that_stay(spark):
     docs = spark.createDataFrame([(i // 2, f"text {i // 2} of many") for i in range(40)] + [(None, None), (None, "")], "doc_id long, text string")
     found = N.first_of_near_copies(docs)

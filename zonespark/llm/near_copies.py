@@ -24,7 +24,7 @@ _SEED = 42
 #: Words a task remembers the hash of, shingles added up at a time, and members of a file that the first look compares with one.
 _REMEMBERED, _TOGETHER, _NEAR = 200_000, 1 << 13, 2048
 #: Members up to which a file gives all its pairs at once, and those of a block of a fuller file.
-_FEW, _MEMBERS = 32, 1024
+_FEW, _MEMBERS = 32, 512
 #: The same while groups are sought: unrelated texts seldom make a file fuller, and many copies of one text give few pairs each before
 #: the links among them are known.
 _UNRELATED = 5
@@ -46,6 +46,11 @@ class Ring:
     def words(self) -> int:
         return -(-self.length * self.segments // 64)
 
+    @property
+    def most(self) -> int:
+        """The most differences of whole fingerprints, the bits beyond the ring included."""
+        return self.distance + 64 * self.words - self.length * self.segments
+
     @property
     def chain(self) -> int:
         """Segments of the chain that go into 64 bits."""
@@ -256,12 +261,8 @@ def _candidates(filed: DataFrame, ring: Ring, few: int = _FEW) -> DataFrame:
     return together.mapInArrow(compare, "u long, v long, segment int, value long").distinct()
 
 
-def _across(filed: DataFrame, full: DataFrame, roots: DataFrame, ring: Ring) -> DataFrame:
-    """(u, v) of nodes of different groups whose chains agree, of all members of the full files (segment, value).
-
-    Members that links join already need no further link. The others are dealt to blocks, and every two blocks meet in a group of
-    their own, so no task holds a file.
-    """
+def _blocks(filed: DataFrame, full: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the full files (segment, value) that hold more than one group, dealt so that every two blocks meet once (low, high)."""
     members = filed.join(full, ["segment", "value"], "left_semi").join(roots, "node", "left")
     members = keep(members.withColumn("root", F.coalesce("root", "node")))
     mixed = members.groupBy("segment", "value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -269,22 +270,100 @@ def _across(filed: DataFrame, full: DataFrame, roots: DataFrame, ring: Ring) ->
     dealt = members.join(blocks, ["segment", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    met = met.select("segment", "value", low, high, "block", "chain", "node", "root")
+    return met.select("segment", "value", low, high, "block", "chain", "node", "root")
+
+
+def _meetings(group: pa.Table, ring: Ring) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a group of blocks of pairs of different groups whose chains agree."""
+    low, high, block, chain, node, root = (group.column(c).to_numpy() for c in ("low", "high", "block", "chain", "node", "root"))
+    chain, one, other = chain.view(np.uint64), np.flatnonzero(block == low), np.flatnonzero(block == high)
+    for start in range(0, len(one), 256):
+        part = one[start : start + 256]
+        good = (root[part][:, None] != root[other]) & _within(chain[part][:, None] ^ chain[other], ring)
+        if low[0] == high[0]:
+            good &= node[part][:, None] < node[other]
+        at, to = np.nonzero(good)
+        yield part[at], other[to]
+
+
+def _across(filed: DataFrame, full: DataFrame, roots: DataFrame, ring: Ring) -> DataFrame:
+    """(u, v) of nodes of different groups whose chains agree, of all members of the full files (segment, value).
+
+    Members that links join already need no further link. The others are dealt to blocks, and every two blocks meet in a group of
+    their own, so no task holds a file.
+    """
 
     def compare(group: pa.Table) -> pa.Table:
-        low, high, block, chain, node, root = (group.column(c).to_numpy() for c in ("low", "high", "block", "chain", "node", "root"))
-        chain, one, other = chain.view(np.uint64), np.flatnonzero(block == low), np.flatnonzero(block == high)
-        pairs = [np.zeros((0, 2), np.int64)]
-        for start in range(0, len(one), 256):
-            part = one[start : start + 256]
-            good = (root[part][:, None] != root[other]) & _within(chain[part][:, None] ^ chain[other], ring)
-            at, to = np.nonzero(good)
-            u, v = node[part[at]], node[other[to]]
+        node, pairs = group.column("node").to_numpy(), [np.zeros((0, 2), np.int64)]
+        for at, to in _meetings(group, ring):
+            u, v = node[at], node[to]
             pairs.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0))
         pairs = np.concatenate(pairs)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return met.groupBy("segment", "value", "low", "high").applyInArrow(compare, "u long, v long").distinct()
+    return _blocks(filed, full, roots).groupBy("segment", "value", "low", "high").applyInArrow(compare, "u long, v long").distinct()
+
+
+def _first_segment(differ: np.ndarray, ring: Ring) -> np.ndarray:
+    """The first segment in which pairs of fingerprints that differ in these words agree, chain included."""
+    bits = np.unpackbits(differ.astype(">u8").view(np.uint8), axis=1)[:, : ring.length * ring.segments]
+    masks = bits.reshape(len(bits), ring.segments, ring.length).sum(axis=2, dtype=np.int64)
+    good, after = masks == 0, np.zeros(masks.shape, np.int64)
+    for i, budget in enumerate(ring.budgets()):
+        after += np.roll(masks, -1 - i, axis=1)
+        good &= after <= budget
+    return np.argmax(good, axis=1)
+
+
+def _near_meetings(group: pa.Table, ring: Ring) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of _meetings whose whole fingerprints differ within the distance. Of all files a pair meets in, only the first tells it."""
+    segment = group.column("segment")[0].as_py()
+    prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint64).reshape(group.num_rows, -1)
+    for at, to in _meetings(group, ring):
+        for start in range(0, len(at), 4096):
+            one, other = at[start : start + 4096], to[start : start + 4096]
+            differ = prints[one] ^ prints[other]
+            near = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= ring.most)
+            near = near[_first_segment(differ[near], ring) == segment]
+            if len(near):
+                yield one[near], other[near]
+
+
+def _links_across(filed: DataFrame, full: DataFrame, roots: DataFrame, nodes: DataFrame, ring: Ring, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of similar texts that join the groups which meet in full files, as many as it takes to join them.
+
+    All pairs that _across would give are looked at, but where their members lie: a crowd of texts just below the bound has pairs by the
+    square of its size, and neither they nor their shingles travel. What travels is a member once per file and block it meets.
+    """
+    by, names = ["segment", "value", "low", "high"], ["segment", "value", "low", "high", "block", "chain", "node", "root", "print"]
+
+    def wanted(group: pa.Table) -> pa.Table:
+        met = [np.zeros(0, np.int64), *(np.concatenate(pair) for pair in _near_meetings(group, ring))]
+        return group.take(pa.array(np.unique(np.concatenate(met)))).select(names)
+
+    def link(group: pa.Table) -> pa.Table:
+        node, root, found = group.column("node").to_pylist(), group.column("root").to_pylist(), []
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")]
+        above: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in above:
+                above[r] = r = above.get(above[r], above[r])
+            return r
+
+        for at, to in _near_meetings(group, ring):
+            for i, j in zip(at.tolist(), to.tolist()):
+                one, other = top(root[i]), top(root[j])
+                if one != other and _alike(sets[i], sets[j], similarity):
+                    above[max(one, other)] = min(one, other)
+                    found.append((max(node[i], node[j]), min(node[i], node[j])))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    met = _blocks(filed, full, roots).join(nodes.select("node", "print"), "node").select(*names)
+    schema = "segment int, value long, low int, high int, block int, chain long, node long, root long, print binary"
+    members = keep(met.groupBy(*by).applyInArrow(wanted, schema))
+    sets = _sets(members.select("node").distinct(), docs, shingle)
+    return members.join(sets, "node").groupBy(*by).applyInArrow(link, "u long, v long").distinct()
 
 
 def _near(pairs: DataFrame, prints: DataFrame, ring: Ring) -> DataFrame:
@@ -297,16 +376,16 @@ def _near(pairs: DataFrame, prints: DataFrame, ring: Ring) -> DataFrame:
             if batch.num_rows:
                 one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
                 far = np.bitwise_count(one ^ other).sum(axis=1).astype(np.int64)
-                good = pa.array(np.flatnonzero(far <= ring.distance + (64 * ring.words - ring.length * ring.segments)))
+                good = pa.array(np.flatnonzero(far <= ring.most))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), pa.array(far).take(good)], ["u", "v", "far"])
 
     return both.select("u", "v", "one", "other").mapInArrow(differ, "u long, v long, far long")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of text hashes (u, v) whose texts have shingle sets at least as similar as the bound."""
+def _sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and shingles of the texts whose hashes are wanted (node)."""
     # Written, so that its size is known before the join is planned: texts travel only where the list is too long to be sent out.
-    wanted = keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    wanted = keep(wanted)
     text = F.coalesce("text", F.lit(""))
     texts = pick(docs, "text").select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
 
@@ -317,17 +396,24 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     # Copies of a text are read once each where they lie, and one of their equal sets goes on.
-    sets = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles binary")
-    sets = keep(sets)
+    return keep(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(cut, "node long, shingles binary"))
+
+
+def _alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared >= similarity * (len(one) + len(other) - shared)
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of text hashes (u, v) whose texts have shingle sets at least as similar as the bound."""
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, shingle)
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "one"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "other"}), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for i, (one, other) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                if shared >= similarity * (len(a) + len(b) - shared):
+                if _alike(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64), similarity):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], ["u", "v"])
 
@@ -342,6 +428,16 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (u, v). Only the groups that they join are gone through again, each as one node."""
+    ends = links
+    for c in ("u", "v"):
+        ends = ends.join(roots.withColumnsRenamed({"node": c, "root": f"_{c}"}), c, "left")
+    merged = components(ends.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
+    below = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    return keep(below.select("node", F.coalesce("_top", "root").alias("root")).unionByName(merged))
+
+
 def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of texts that links of similar texts join; roots and texts without a link are not listed. Nodes have node and print.
 
@@ -357,14 +453,12 @@ def near_copy_groups(docs: DataFrame, nodes: DataFrame, ring: Ring, shingle: int
     rest = keep(_apart(near.select("u", "v").join(first, ["u", "v"], "left_anti"), roots))
     more = keep(_similar(rest, docs, shingle, similarity))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
+        roots = _joined(roots, more)
     full = keep(found.filter("u IS NULL").select("segment", "value"))
     if full.isEmpty():
         return roots
-    others = keep(_near(_across(filed, full, roots, ring), nodes, ring).select("u", "v"))
-    more = keep(_similar(others, docs, shingle, similarity))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    more = keep(_links_across(filed, full, roots, nodes, ring, docs, shingle, similarity))
+    return roots if more.isEmpty() else _joined(roots, more)
 
 
 def _row_key(doc_id: Column, text_hash: Column) -> dict[str, Column]:
