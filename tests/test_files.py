@@ -183,3 +183,20 @@ def test_stream_import(spark, tmp_path):
     write(inbox, c_dot_png=D.png(tail=b"other"), copy_dot_png=D.png())
     assert run() == [(0, "a.dcm"), (1, "b.png"), (2, "c.png")]
     assert run() == [(0, "a.dcm"), (1, "b.png"), (2, "c.png")]
+
+
+def test_warnings_alone_are_those_of_the_tags(spark):
+    """read_warnings goes through every file as read_tags does, and makes no row of a tag."""
+    e = D.element
+    bad = e(0x00280106, "US", b"abc\0\0\0\0\0\0"), e(0x00080005, "CS", "ISO 2022 IR 58"), e(0x00081080, "LO", "caf\xe9")
+    utf8 = e(0x00080005, "CS", "ISO_IR 192"), e(0x00081080, "LO", b"caf\xe9")
+    inner = D.item(e(0x00080100, "SH", b"\xff\xfe") + e(0x00081155, "UI", b"\xff\xfe")) + D.END
+    contents = [
+        D.dicom(), D.dicom(*bad), D.dicom(*utf8), D.dicom(*utf8, e(0x00081110, "SQ", inner, length=0xFFFFFFFF)), D.dicom(syntax=D.IMPLICIT),
+        D.dicom(e(0x00280106, "US", b"abc "), e(0x00280107, "FD", b"abc ")), D.dicom(*utf8)[:-40], b"nothing", b"", D.png(),
+    ]
+    files = spark.createDataFrame([(f"f{i}", bytearray(c)) for i, c in enumerate(contents)], "path string, content binary")
+    want = S.read_tags(files)[1]
+    found = S.read_warnings(files)
+    assert found.columns == want.columns
+    assert sorted(found.collect()) == sorted(want.collect()) and len({r.file for r in found.collect()}) >= 7

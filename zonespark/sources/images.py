@@ -17,7 +17,7 @@ from zonespark.plans.ordering import materialise
 from zonespark.schemas import DEVICE, names_of
 from zonespark.shipping import ship_package
 from zonespark.sources.dicom_dictionary import DICTIONARY
-from zonespark.sources.dicom_values import tag_rows
+from zonespark.sources.dicom_values import find_warnings, tag_rows
 from zonespark.sources.dicom_walk import PIXEL_DATA, Malformed, read_elements
 from zonespark.sources.ranged import DicomTags, ImageHeaders, Opener, in_batches, is_archive, load, map_files, members_of, ranged, reachable
 
@@ -43,6 +43,8 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 HEADER_ARROW, TAGS_ARROW = _arrow_schema(FILE_HEADER), _arrow_schema(TAGS)
+_WARNINGS = "image_id STRING, file STRING, partial BOOLEAN, warning STRING"
+_WARNINGS_ARROW = _arrow_schema(_WARNINGS)
 # Where the four device attributes and the other header facts are stored.
 HEADER_TAGS = {
     "sop_class": "00080016", "modality": "00080060", "manufacturer": "00080070", "model": "00081090",
@@ -252,15 +254,52 @@ def _one_file(content, dictionary: dict) -> Iterator[tuple]:
     try:
         found, problem = read_elements(content, dictionary)
     except Malformed:
-        yield *blank, False, "Could not parse the DICOM metadata."
+        yield *blank, False, _NOTHING_READ
         return
     warnings: dict[str, None] = {}
     for row_idx, row in enumerate(tag_rows(found, dictionary, warnings)):
         yield row_idx, *row, None, None
+    for partial, warning in _told(warnings, problem):
+        yield *blank, partial, warning
+
+
+_NOTHING_READ = "Could not parse the DICOM metadata."
+
+
+def _told(warnings: dict[str, None], problem: str | None) -> Iterator[tuple]:
     if problem:
         warnings["Partial metadata: only the tags before a malformed or unsupported element are shown."] = None
     for warning in warnings:
-        yield *blank, problem is not None, warning
+        yield problem is not None, warning
+
+
+def _warnings_of(content, dictionary: dict) -> Iterator[tuple]:
+    """Whether it could be read in part, and the warning, for each warning of a file."""
+    try:
+        found, problem = read_elements(content, dictionary)
+    except Malformed:
+        yield False, _NOTHING_READ
+        return
+    warnings: dict[str, None] = {}
+    find_warnings(found, dictionary, warnings)
+    yield from _told(warnings, problem)
+
+
+def read_warnings(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTIONARY) -> DataFrame:
+    """The warnings of read_tags alone: every file is gone through as there, but no row of a tag is made or written."""
+    ship_package(files.sparkSession)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for i, content in enumerate(batch.column(2)):
+                    for told in _warnings_of(content.as_py(), dictionary):
+                        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *told
+
+        yield from in_batches(rows(), _WARNINGS_ARROW)
+
+    hashed = files.select(F.sha2("content", 256).alias("image_id"), F.col("path").alias("file"), "content")
+    return hashed.mapInArrow(parse, _WARNINGS)
 
 
 def read_tags(files: DataFrame, dictionary: dict[str, tuple[str, str]] = DICTIONARY) -> tuple[DataFrame, DataFrame]:
