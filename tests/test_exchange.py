@@ -218,3 +218,11 @@ def test_a_folder_may_mix_records_and_documents(spark, tmp_path):
     (tmp_path / "e.json").write_text("")
     found = [r["text"] for r in documents_in(spark, str(tmp_path)).orderBy("path").collect()]
     assert found == ['{"r": 1}', '{"r": 2}', '\n{\n  "d": 3\n}\n', '{"r": 4}']
+
+
+def test_rejects_of_backups_alone_rank_nothing(spark, monkeypatch):
+    """backup_rejects gives what parse_backup refuses, without a position for every good image."""
+    given = files(spark, bad=backup(image(combo="x1")), good=backup(image(id="c" * 64)), other="[]")
+    want = sorted(E.parse_backup(given)[2].collect())
+    monkeypatch.setattr(E, "with_global_rank", lambda *_: 1 / 0)
+    assert sorted(E.backup_rejects(given).collect()) == want and {r.path for r in want} == {"bad", "other"}

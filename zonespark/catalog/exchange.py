@@ -135,7 +135,7 @@ def backup_zones(t):
 
 @query("S5_rejected_backups", _BACKUPS + "SELECT file AS path, reason FROM judged WHERE reason IS NOT NULL", ("ims",))
 def rejected_backups(t):
-    return E.parse_backup(_backup_files(t))[2]
+    return E.backup_rejects(_backup_files(t))
 
 
 # One template file per customer with the same template twice; some lack a name, a size or any zone.

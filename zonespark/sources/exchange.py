@@ -260,19 +260,19 @@ def _positive(name: str) -> Column:
     return F.coalesce(F.col(name) > 0, F.lit(False))
 
 
-def parse_backup(
-    files: DataFrame | Read, sources: DataFrame | None = None, products: list[str] | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, zones, rejects) of annotation backups. `sources` lists the image_id of files at hand."""
-    top, entries = _envelope(files if isinstance(files, Read) else Read(files), "images", "project", products)
-    entries = entries.withColumnRenamed("item", "image")
+def _image_text(name: str) -> Column:
+    return V.text(V.member(F.col("image"), name))
 
-    def text(name: str) -> Column:
-        return V.text(V.member(F.col("image"), name))
 
-    def whole(name: str) -> Column:
-        return V.integer(V.member(F.col("image"), name))
+def _image_whole(name: str) -> Column:
+    return V.integer(V.member(F.col("image"), name))
 
+
+def _judged_backup(files: DataFrame | Read, products: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, zones, rejects) of annotation backups as they were read, those of refused files included."""
+    top, entries = _envelope(files if isinstance(files, Read) else Read(files), "images", "project", products)
+    entries = entries.withColumnRenamed("item", "image")
+    text, whole = _image_text, _image_whole
     images = entries.select(
         "path", "pos", "image", text("id").alias("image_id"), text("name").alias("name"),
         text("path").alias("image_path"), text("combo").alias("combo"), text("kind").alias("kind"),
@@ -319,6 +319,20 @@ def parse_backup(
             ),
         ]
     )
+    return images, zones, rejects
+
+
+def backup_rejects(files: DataFrame | Read, products: list[str] | None = None) -> DataFrame:
+    """The rejects of parse_backup alone: what the good files hold is neither joined nor ranked."""
+    return _judged_backup(files, products)[2]
+
+
+def parse_backup(
+    files: DataFrame | Read, sources: DataFrame | None = None, products: list[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, zones, rejects) of annotation backups. `sources` lists the image_id of files at hand."""
+    images, zones, rejects = _judged_backup(files, products)
+    text, whole = _image_text, _image_whole
     opened = F.when(
         (F.col("frame_index") >= 0) & (F.col("frame_index") < F.col("frame_count")), F.col("frame_index")
     ).otherwise(0)
