@@ -347,7 +347,7 @@ def read_document(t):
 )
 def read_document_zones(t):
     folder = _folder(t, "document")
-    O.write_backup_document(folder, t.ims, t.nz, _NOW)
+    O.write_backup_document(folder, t.ims, t.nz, _NOW, "gzip")
     return E.read_backup(t.ims.sparkSession, folder, one_document=True)[1].drop("file")
 
 

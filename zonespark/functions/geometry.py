@@ -47,7 +47,7 @@ def has_area(rect: Column) -> Column:
     return (rect["width"] > 0) & (rect["height"] > 0)
 
 
-def inside(width: Column, height: Column) -> Column:
-    """A zone with area that needs no clipping at all."""
-    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+def inside(width: Column, height: Column, zone: Column | None = None) -> Column:
+    """A zone with area that needs no clipping at all: that of the row, or one given as a struct."""
+    x, y, w, h = (F.col(c) if zone is None else zone[c] for c in ("x", "y", "width", "height"))
     return (w > 0) & (h > 0) & (x >= 0) & (y >= 0) & (x + w <= width) & (y + h <= height)

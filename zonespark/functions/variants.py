@@ -19,12 +19,17 @@ def is_object(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    # DECIMAL goes on with its digits; the other names end here.
+    return F.coalesce(F.substring(F.schema_of_variant(value), 1, 6).isin("BIGINT", "DECIMA", "DOUBLE", "FLOAT"), F.lit(False))
 
 
 def integer(value: Column) -> Column:
     """The value as BIGINT if it is a JSON number without a fraction in the safe range, else NULL."""
-    number = F.when(is_number(value), F.try_variant_get(value, "$", "double"))
+    return whole(number(value))
+
+
+def whole(number: Column) -> Column:
+    """A number as BIGINT if it has no fraction and is in the safe range, else NULL."""
     return F.when(
         (number == F.floor(number)) & (F.abs(number) <= MAX_SAFE_INTEGER), number.cast("bigint")
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLICE = "_slice"
+#: Rows that are counted as few, and broadcast.
+_FEW = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,7 +40,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     table = f"{shared_folder(spark)}/zonespark-{uuid.uuid4().hex}"
-    df.write.parquet(table)
+    # Tables that are read once or twice take less to pack than to store.
+    df.write.option("compression", "zstd").parquet(table)
     return spark.read.schema(df.schema).parquet(table)
 
 
@@ -76,21 +79,34 @@ def across_slices():
 
 
 def with_global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """A dense 0-based position over the whole table in the order given."""
-    sliced = range_slices(df, order)
+    """A dense 0-based position over the whole table in the order given.
+
+    Rows are numbered within their slice as it is written in order, so they are exchanged once.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = sorted_parts(df, *order).withColumn(SLICE, F.spark_partition_id()).withColumn("_local", within)
+    sliced = materialise(numbered)
     before = across_slices().rowsBetween(Window.unboundedPreceding, -1)
     offsets = slice_summary(sliced, F.count("*").alias("_n")).select(
         SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(SLICE).orderBy(*order)
-    ranked = sliced.withColumn("_local", F.row_number().over(inside))
     return (
-        ranked.join(F.broadcast(offsets), SLICE)
-        .withColumn(name, F.col("_offset") + F.col("_local") - 1)
+        sliced.join(F.broadcast(offsets), SLICE)
+        .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop(SLICE, "_offset", "_local")
     )
 
 
+def without_few(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not in a stored table that mostly has few rows, if any: then the rows stay where they are.
+
+    The few are counted and broadcast, up to some ten thousand; more meet the rows by sorting.
+    """
+    if others.count() <= _FEW:
+        return rows.join(F.broadcast(others.select(*keys)), keys, "left_anti")
+    return join_large(rows, others, keys, "left_anti")
+
+
 def with_rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """A dense 0-based position inside each key. A key may hold any share of the table.
 

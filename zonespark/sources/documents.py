@@ -7,13 +7,14 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonespark.export_schema import ExportSchema
 from zonespark.functions.text import json_quote
 from zonespark.operators import export as X
 from zonespark.operators.templates import template_order
 from zonespark.plans.documents import Level, document, literal, members, write_document
-from zonespark.plans.ordering import materialise, sorted_parts
+from zonespark.plans.ordering import join_large, materialise, sorted_parts
 from zonespark.schemas import DEVICE, FRAME, RECOGNISED, RECT, ZONE
 
 PRODUCT = "zonespark"
@@ -50,29 +51,33 @@ def write_export_tables(path: str, tables: X.ExportTables, format: str = "parque
         getattr(tables, name).write.mode("errorifexists").format(format).save(f"{path}/{name}")
 
 
-def _zone_leaves(zones: DataFrame, keys: list[str], indent: int) -> Level:
+def _zone_text(indent: int):
     fields = {**{c: F.col(c).cast("string") for c in RECT}, "note": json_quote(F.coalesce("note", F.lit("")))}
     pad = " " * indent
-    text = F.concat(F.lit(pad + "{\n"), members(indent + 2, fields), F.lit("\n" + pad + "}"))
+    return F.concat(F.lit(pad + "{\n"), members(indent + 2, fields), F.lit("\n" + pad + "}"))
+
+
+def _zone_leaves(zones: DataFrame, keys: list[str], indent: int) -> Level:
     return Level(
         zones.select(
-            *keys, F.struct("ord", *ZONE).alias("order"), text.alias("open"),
+            *keys, F.struct("ord", *ZONE).alias("order"), _zone_text(indent).alias("open"),
             F.lit(None).cast("string").alias("close"),
         ),
         [*keys, "order"], few_parents=False,
     )
 
 
-def backup_document(images: DataFrame, zones: DataFrame, generated_at: str, format: str = f"{PRODUCT}-project") -> DataFrame:
-    """Images with their zones by frame, as an annotation backup."""
-    refuse_text(zones)
-    frames = zones.select(*FRAME).distinct()
-    used = frames.select("image_id").distinct().withColumn("_used", F.lit(True))
+def _image_head(images: DataFrame, at: str = ""):
+    """The text of an image up to its frames, from columns of that name or the fields of a struct `at`."""
+
+    def column(name: str):
+        return F.col(f"{at}{name}")
+
     def optional(name: str):
-        return F.coalesce(F.col(name).cast("string"), F.lit("null"))
+        return F.coalesce(column(name).cast("string"), F.lit("null"))
 
     def string(name: str):
-        return json_quote(F.coalesce(F.col(name), F.lit("")))
+        return json_quote(F.coalesce(column(name), F.lit("")))
 
     metadata = {
         **{"sopClass" if c == "sop_class" else c: string(c) for c in DEVICE if c in images.columns},
@@ -81,32 +86,100 @@ def backup_document(images: DataFrame, zones: DataFrame, generated_at: str, form
     }
     head = {
         "id": string("image_id"), "name": string("name"), "path": string("path"), "combo": string("combo"),
-        **{k: F.col(c).cast("string") for k, c in (("width", "width"), ("height", "height"))},
+        **{k: column(c).cast("string") for k, c in (("width", "width"), ("height", "height"))},
         **{k: optional(c) for k, c in (("filenameWidth", "filename_width"), ("filenameHeight", "filename_height"))
            if c in images.columns},
         **({"sample": string("sample")} if "sample" in images.columns else {}),
-        "kind": string("kind"), "frameCount": F.col("frame_count").cast("string"),
-        "frameIndex": F.col("open_frame").cast("string"),
+        "kind": string("kind"), "frameCount": column("frame_count").cast("string"),
+        "frameIndex": column("open_frame").cast("string"),
         "metadata": F.concat(F.lit("{\n"), members(8, metadata), F.lit("\n      }")),
     }
-    opened = F.concat(F.lit("    {\n"), members(6, head), F.lit(',\n      "frames": {'))
+    return F.concat(F.lit("    {\n"), members(6, head), F.lit(',\n      "frames": {'))
+
+
+_EMPTY_IMAGE, _IMAGE_END, _FRAME_END, _DOCUMENT_END = "}\n    }", "      }\n    }", "        ]", "  ]\n}"
+
+
+def _frame_start():
+    return F.concat(F.lit('        "'), F.col("frame_index").cast("string"), F.lit('": ['))
+
+
+def _backup_start(generated_at: str, format: str) -> str:
+    return (
+        "{\n" + f'  "format": {literal(format)},\n  "version": 1,\n  "generated_at": {literal(generated_at)},\n'
+        + '  "images": ['
+    )
+
+
+def backup_document(images: DataFrame, zones: DataFrame, generated_at: str, format: str = f"{PRODUCT}-project") -> DataFrame:
+    """Images with their zones by frame, as an annotation backup."""
+    refuse_text(zones)
+    frames = zones.select(*FRAME).distinct()
+    used = frames.select("image_id").distinct().withColumn("_used", F.lit(True))
+    opened = _image_head(images)
     empty = F.col("_used").isNull()
     entries = images.join(used, "image_id", "left").select(
         "image_id", F.struct("import_idx", "image_id").alias("order"),
-        F.when(empty, F.concat(opened, F.lit("}\n    }"))).otherwise(opened).alias("open"),
-        F.when(~empty, "      }\n    }").alias("close"),
+        F.when(empty, F.concat(opened, F.lit(_EMPTY_IMAGE))).otherwise(opened).alias("open"),
+        F.when(~empty, _IMAGE_END).alias("close"),
     )
     lists = frames.select(
-        *FRAME, F.struct("frame_index").alias("order"),
-        F.concat(F.lit('        "'), F.col("frame_index").cast("string"), F.lit('": [')).alias("open"),
-        F.lit("        ]").alias("close"),
-    )
-    start = (
-        "{\n" + f'  "format": {literal(format)},\n  "version": 1,\n  "generated_at": {literal(generated_at)},\n'
-        + '  "images": ['
+        *FRAME, F.struct("frame_index").alias("order"), _frame_start().alias("open"), F.lit(_FRAME_END).alias("close"),
     )
     levels = [Level(entries, ["image_id"]), Level(lists, FRAME, False), _zone_leaves(zones, FRAME, 10)]
-    return document(start, levels, "  ]\n}")
+    return document(_backup_start(generated_at, format), levels, _DOCUMENT_END)
+
+
+def _placed_zones(images: DataFrame, zones: DataFrame) -> DataFrame:
+    """The zones of images with the number of their image and what begins and ends at each. An image has its zones in one task, as it has to fit a value
+    where it is read."""
+    placed = join_large(zones.select(*FRAME, "ord", *ZONE), images.select("image_id", "import_idx"), ["image_id"])
+    along = Window.partitionBy("import_idx", "image_id").orderBy("frame_index", "ord", *ZONE)
+    own = F.struct("frame_index")
+    rows = placed.withColumn("_before", F.lag(own).over(along)).withColumn("_after", F.lead(own).over(along))
+
+    def other(beside: str):
+        return F.col(beside).isNull() | ~F.col(f"{beside}.frame_index").eqNullSafe(F.col("frame_index"))
+
+    told = rows.select(
+        "import_idx", *FRAME, "ord", *ZONE, other("_before").alias("begins"), other("_after").alias("ends"), F.col("_after").isNull().alias("ends_image"),
+    )
+    # A frame without a number has no zones in a document.
+    return told.filter(F.col("frame_index").isNotNull() | F.col("begins") | F.col("ends"))
+
+
+def _backup_lines(images: DataFrame, zones: DataFrame, generated_at: str, format: str) -> DataFrame:
+    """The lines of backup_document in order. What is sorted are the rows, which are made into text where they end up."""
+    leaves = materialise(_placed_zones(images, zones))
+    used = leaves.filter("ends_image").select("image_id").distinct().withColumn("used", F.lit(True))
+    entries = join_large(images, used, ["image_id"], "left")
+    last = images.select("import_idx", "image_id").orderBy(F.desc("import_idx"), F.desc("image_id")).first()
+    spark = images.sparkSession
+    rows = (
+        leaves.withColumns({"phase": F.lit(1), "leaf": F.lit(True)})
+        .unionByName(
+            entries.select(F.lit(1).alias("phase"), F.lit(False).alias("leaf"), "import_idx", "image_id", "used", F.struct(*images.columns).alias("image")),
+            allowMissingColumns=True,
+        )
+        .unionByName(spark.range(1).select(F.lit(0).alias("phase")), allowMissingColumns=True)
+        .unionByName(spark.range(1).select(F.lit(2).alias("phase")), allowMissingColumns=True)
+    )
+    ordered = sorted_parts(rows, "phase", "import_idx", "image_id", "leaf", "frame_index", "ord", *ZONE)
+
+    end = F.when(F.col("image_id") == F.lit(last and last["image_id"]), "").otherwise(",")
+    head = F.when(F.col("used"), F.col("head")).otherwise(F.concat("head", F.lit(_EMPTY_IMAGE), end))
+    zone = F.concat(_zone_text(10), F.when(F.col("ends"), "").otherwise(","))
+    leaf = F.concat_ws(
+        "\n", F.when(F.col("begins"), F.coalesce(_frame_start(), F.lit(""))),
+        F.when(F.col("frame_index").isNotNull(), F.coalesce(zone, F.lit(""))),
+        F.when(F.col("ends"), F.concat(F.lit(_FRAME_END), F.when(F.col("ends_image"), "").otherwise(","))),
+        F.when(F.col("ends_image"), F.concat(F.lit(_IMAGE_END), end)),
+    )
+    line = (
+        F.when(F.col("phase") == 0, _backup_start(generated_at, format)).when(F.col("phase") == 2, _DOCUMENT_END)
+        .when(F.col("leaf"), leaf).otherwise(head)
+    )
+    return ordered.withColumn("head", _image_head(images, "image.")).select(line.alias("line"))
 
 
 def _listed_zones(zones: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,9 +225,14 @@ def write_backup(path: str, images: DataFrame, zones: DataFrame, generated_at: s
     sorted_parts(rows, "import_idx", "image_id").select("value").write.mode("errorifexists").text(path)
 
 
-def write_backup_document(path: str, images: DataFrame, zones: DataFrame, generated_at: str) -> None:
-    """Write a backup as the single document other tools read; the part files put one after the other are it."""
-    write_document(backup_document(images, zones, generated_at), path)
+def write_backup_document(path: str, images: DataFrame, zones: DataFrame, generated_at: str, compression: str | None = None) -> None:
+    """Write a backup as the single document other tools read; the part files put one after the other are it.
+
+    With the compression `gzip` they are gzip files, which put one after the other are a gzip file of the document.
+    """
+    refuse_text(zones)
+    lines = _backup_lines(images, zones, generated_at, f"{PRODUCT}-project")
+    lines.write.mode("errorifexists").text(path, compression=compression)
 
 
 def templates_document(

@@ -4,9 +4,12 @@ A file is cut into splits of bytes. Whether a split begins inside a string, and
 before it is read; so each split first tells what it would do from each possible start (outside a string, inside one, after a
 backslash there), these answers are composed along the document, and then every split is cut with its true start. The cut is
 at depth two: elements of the document's own members become rows of their own, and what is left, with the place of its
-opening bracket standing for the elements of a member, is a small skeleton that is parsed like any document.
+opening bracket standing for the elements of a member, is a small skeleton that is parsed like any document. A gzip file (`.gz`) is one
+split, however long it is: it can be read from its beginning only.
 """
 
+import gzip
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,13 @@ from zonespark.sources.ranged import open_file
 SPLIT, _BLOCK, _FIRST_LINE = 8 << 20, 1 << 20, 16 << 20
 _OUTSIDE, _INSIDE, _ESCAPED = range(3)
 _BLANK = b" \t\r\n"
+#: Kinds of bytes that mean something in JSON; all others are 0.
+_QUOTE, _SLASH, _OPENS, _CLOSES, _COMMAS = range(1, 6)
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((_QUOTE, b'"'), (_SLASH, b"\\"), (_OPENS, b"[{"), (_CLOSES, b"]}"), (_COMMAS, b",")):
+    _KINDS[list(_bytes)] = _kind
+#: Files that are read inflated, and the most bytes that one of theirs may stand for.
+GZIP, _INFLATED = ".gz", 1100
 
 _SPLITS = "document string, path string, base long, start long, stop long"
 _PIECES = (
@@ -38,44 +48,54 @@ _SKELETON, _ELEMENT, _LAST_OPENED = range(3)
 _GOES_ON, _COMMA, _CLOSED = range(3)
 
 
-def _quotes(block: np.ndarray, escaped: bool) -> tuple[np.ndarray, bool]:
-    """(which bytes are quotes that no backslash escapes, whether the byte after the block is escaped)."""
-    quotes = block == 34
-    slashes = block == 92
-    if not slashes.any() and not escaped:
-        return quotes, False
-    # The last byte up to each that is no backslash; -1 where the block begins with them.
-    last = np.maximum.accumulate(np.where(slashes, -1, np.arange(len(block))))
-    at = np.flatnonzero(quotes)
-    before = np.where(at > 0, last[at - 1], -1)
-    run = at - 1 - before + (escaped & (before < 0))
-    quotes[at[run % 2 == 1]] = False
-    trailing = len(block) - 1 - last[-1] + (escaped and last[-1] < 0)
-    return quotes, bool(trailing % 2)
+def _marks(block: np.ndarray, escaped: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(places and kinds of the bytes that mean something, whether the byte after the block is escaped).
 
-
-def _strings(quotes: np.ndarray, inside: bool) -> np.ndarray:
-    """Which bytes lie in a string, the opening quote included."""
-    return (np.cumsum(quotes) + inside) % 2 == 1
-
-
-def _brackets(block: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """1 where a bracket outside strings opens, -1 where one closes, else 0."""
-    opens, closes = (block == 91) | (block == 123), (block == 93) | (block == 125)
-    return np.where(strings, 0, opens.astype(np.int8) - closes.astype(np.int8))
+    Few bytes of a document do, so all else is done with their places alone. Quotes that a backslash escapes are left out, and so are backslashes.
+    """
+    kinds = _KINDS[block]
+    at = np.flatnonzero(kinds)
+    kinds = kinds[at]
+    slashes = at[kinds == _SLASH]
+    if not len(slashes) and not escaped:
+        return at, kinds, False
+    # Backslashes that stand together are a run; the byte after a run of odd length is escaped.
+    starts = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+    lengths = np.diff(starts, append=len(slashes))
+    firsts = slashes[starts]
+    if escaped and (not len(firsts) or firsts[0] != 0):
+        # An empty run before the block, that counts as one.
+        firsts, lengths = np.insert(firsts, 0, 0), np.insert(lengths, 0, 0)
+    odd = lengths + (escaped & (np.arange(len(lengths)) == 0))
+    after = (firsts + lengths)[odd % 2 == 1]
+    kept = (kinds != _SLASH) & ~((kinds == _QUOTE) & np.isin(at, after))
+    return at[kept], kinds[kept], bool(len(after) and after[-1] == len(block))
+
+
+def _outside(kinds: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
+    """(which marks lie outside strings, whether the block ends inside one)."""
+    within = (np.cumsum(kinds == _QUOTE) + inside) % 2 == 1
+    return ~within, bool(within[-1]) if len(within) else inside
+
+
+def _state(inside: bool, escaped: bool) -> int:
+    return _ESCAPED if inside and escaped else _INSIDE if inside else _OUTSIDE
 
 
 def outcomes(blocks: Iterator[bytes]) -> list[tuple[int, int]]:
     """(state at the end, change of depth) of some bytes for each state they may begin in."""
     lanes = [(state, 0) for state in (_OUTSIDE, _INSIDE, _ESCAPED)]
     for raw in blocks:
-        block, known = np.frombuffer(raw, np.uint8), {}
+        block, known, read = np.frombuffer(raw, np.uint8), {}, {}
         for i, (state, depth) in enumerate(lanes):
             if state not in known:
-                quotes, escaped = _quotes(block, state == _ESCAPED)
-                strings = _strings(quotes, state != _OUTSIDE)
-                end = _ESCAPED if strings[-1] and escaped else _INSIDE if strings[-1] else _OUTSIDE
-                known[state] = end, int(_brackets(block, strings).sum(dtype=np.int64))
+                begun = state == _ESCAPED
+                if begun not in read:
+                    read[begun] = _marks(block, begun)
+                _, kinds, escaped = read[begun]
+                outside, inside = _outside(kinds, state != _OUTSIDE)
+                change = np.count_nonzero(outside & (kinds == _OPENS)) - np.count_nonzero(outside & (kinds == _CLOSES))
+                known[state] = _state(inside, escaped), change
             lanes[i] = known[state][0], depth + known[state][1]
     return lanes
 
@@ -89,23 +109,23 @@ def cut(blocks: Iterator[bytes], state: int, depth: int, at: int) -> Iterator[tu
     container, first, starts = None, False, False
     skeleton, skeleton_at, element, element_at = [], at, [], at
     for raw in blocks:
-        block = np.frombuffer(raw, np.uint8)
-        quotes, escaped = _quotes(block, state == _ESCAPED)
-        strings = _strings(quotes, state != _OUTSIDE)
-        state = _ESCAPED if strings[-1] and escaped else _INSIDE if strings[-1] else _OUTSIDE
-        steps = _brackets(block, strings)
-        after = depth + np.cumsum(steps, dtype=np.int64)
-        events = ((steps == 1) & (after == 2)) | ((steps == -1) & (after == 1)) | ((block == 44) & ~strings & (after == 2))
+        places, kinds, escaped = _marks(np.frombuffer(raw, np.uint8), state == _ESCAPED)
+        outside, inside = _outside(kinds, state != _OUTSIDE)
+        state = _state(inside, escaped)
+        places, kinds = places[outside], kinds[outside]
+        steps = (kinds == _OPENS).astype(np.int64) - (kinds == _CLOSES)
+        after = depth + np.cumsum(steps)
+        events = ((steps == 1) & (after == 2)) | ((steps == -1) & (after == 1)) | ((kinds == _COMMAS) & (after == 2))
         done, deep = 0, depth >= 2
-        for e in np.flatnonzero(events).tolist():
-            if steps[e] == 1:
+        for e, step in zip(places[events].tolist(), steps[events].tolist()):
+            if step == 1:
                 skeleton.append(raw[done : e + 1])
                 container = at + e
                 yield skeleton_at, _SKELETON, container, None, None, None, b"".join(skeleton)
                 skeleton, element, first, starts, deep = [], [], True, True, True
             else:
                 element.append(raw[done:e])
-                closed = steps[e] == -1
+                closed = step == -1
                 yield element_at, _ELEMENT, container, first, starts, _CLOSED if closed else _COMMA, b"".join(element)
                 element, first, starts, deep = [], False, not closed, not closed
                 if closed:
@@ -113,7 +133,7 @@ def cut(blocks: Iterator[bytes], state: int, depth: int, at: int) -> Iterator[tu
             done = e + 1
             element_at = at + done
         (element if deep else skeleton).append(raw[done:])
-        depth = int(after[-1])
+        depth = int(after[-1]) if len(after) else depth
         at += len(raw)
     if depth >= 2:
         yield element_at, _ELEMENT, container, first, starts, _GOES_ON, b"".join(element)
@@ -123,7 +143,30 @@ def cut(blocks: Iterator[bytes], state: int, depth: int, at: int) -> Iterator[tu
         yield skeleton_at, _SKELETON, None, None, None, None, b"".join(skeleton)
 
 
+def packed(path: Column) -> Column:
+    return path.endswith(GZIP)
+
+
+def room(path: Column, length: Column) -> Column:
+    """Bytes that a file takes in a document at most: of a packed one it is not known what it holds until it is read."""
+    return F.when(packed(path), (length + 1) * _INFLATED).otherwise(length)
+
+
+def _inflated(path: str) -> Iterator[bytes]:
+    """The bytes that a gzip file holds. One that is broken or ends too soon ends with a byte that no JSON has."""
+    with open_file(path) as handle, gzip.GzipFile(fileobj=handle) as held:
+        try:
+            while block := held.read(_BLOCK):
+                yield block
+        except (OSError, EOFError, zlib.error):
+            yield b"\0"
+
+
 def _blocks(path: str, start: int, stop: int) -> Iterator[bytes]:
+    if path.endswith(GZIP):
+        # Read as a whole, by the one split it has.
+        yield from _inflated(path)
+        return
     with open_file(path) as handle:
         while start < stop:
             block = handle.read_at(min(_BLOCK, stop - start), start)
@@ -135,6 +178,9 @@ def _blocks(path: str, start: int, stop: int) -> Iterator[bytes]:
 
 def _lines(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(place, line) of the lines that begin between two places of a file."""
+    if path.endswith(GZIP):
+        yield from _all_lines(_inflated(path))
+        return
     with open_file(path) as handle:
         size, at, rest, rest_at = handle.size(), start, b"", start
         skipping = start > 0
@@ -168,11 +214,24 @@ def _lines(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
             yield rest_at, rest
 
 
+def _all_lines(blocks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    rest, at = b"", 0
+    for block in blocks:
+        lines = (rest + block).split(b"\n")
+        rest = lines.pop()
+        for line in lines:
+            yield at, line
+            at += len(line) + 1
+    if rest:
+        yield at, rest
+
+
 def _splits(files: DataFrame) -> DataFrame:
-    """Splits of files (document, path, base: where the file stands in the document, length), spread over tasks."""
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(SPLIT).cast("long"))
+    """Splits of files (document, path, base: where the file stands in the document, length), spread over tasks. A packed file is one split."""
+    last = F.when(packed(F.col("path")), F.lit(0)).otherwise(F.greatest(F.col("length") - 1, F.lit(0)))
+    starts = F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(SPLIT).cast("long"))
     cut_up = files.select("document", "path", "base", "length", F.explode(starts).alias("start"))
-    stop = F.least(F.col("start") + SPLIT, F.col("length"))
+    stop = F.when(packed(F.col("path")), F.col("length")).otherwise(F.least(F.col("start") + SPLIT, F.col("length")))
     return dealt(cut_up.select("document", "path", "base", "start", stop.alias("stop")), "path", "start")
 
 
@@ -326,8 +385,10 @@ def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min_by("first", "at").alias("first"), F.max("ends").alias("ends"), _concatenated(F.struct("at", "piece")).alias("piece"),
     )
     columns = ["document", "split", "at", "container", "first", "ends", "piece"]
+    # A row per split that begins inside a member: pieces of documents are not exchanged for them.
+    carried = F.broadcast(carried.filter(F.col("carried").isNotNull()))
     found = whole.select(*columns).unionByName(torn.select(*columns)).join(carried, ["document", "split"], "left")
-    text = F.regexp_replace(F.col("piece").cast("string"), r"^[ \t\r\n]+|[ \t\r\n]+\z", "")
+    text = F.btrim(F.col("piece").cast("string"), F.lit(" \t\r\n"))
     elements = found.select("document", F.coalesce("container", "carried").alias("container"), "at", text.alias("text"), "first", "ends")
     # Nothing between the brackets is no element.
     return skeletons, elements.filter(~((F.col("text") == "") & F.col("first") & (F.col("ends") == _CLOSED))).drop("first", "ends")
