@@ -303,7 +303,7 @@ _WHOLE = """, bad AS (SELECT DISTINCT z.image_id FROM zon z JOIN ims i ON i.imag
 )
 def backup_round_trip(t):
     folder = _folder(t, "backup")
-    O.write_backup(folder, t.ims, t.zon, _NOW)
+    O.write_backup(folder, t.ims, t.zon, _NOW, "gzip")
     return E.read_backup(t.ims.sparkSession, folder)[0].select(
         "image_id", "name", "path", "combo", "width", "height", "frame_count", "open_frame", "kind", "manufacturer", "model", "sop_class", "software",
         "import_idx",
@@ -318,7 +318,7 @@ def backup_round_trip(t):
 )
 def backup_zones_round_trip(t):
     folder = _folder(t, "backup")
-    O.write_backup(folder, t.ims, t.zon, _NOW)
+    O.write_backup(folder, t.ims, t.zon, _NOW, "gzip")
     return E.read_backup(t.ims.sparkSession, folder)[1].drop("file")
 
 

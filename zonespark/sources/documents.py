@@ -194,10 +194,10 @@ def _records(kind: str, items: str, entry, generated_at: str, format: str | None
     return F.to_json(F.struct(*head, F.array(entry).alias(items))).alias("value")
 
 
-def backup_records(images: DataFrame, zones: DataFrame, generated_at: str, format: str | None = None) -> DataFrame:
-    """A backup as records: every row is an annotation backup of one image, so any number of files is still a backup."""
+def _backup_entries(images: DataFrame, zones: DataFrame) -> DataFrame:
+    """import_idx, image_id and the entry of each image in a backup. Zones are exchanged once, by their image."""
     refuse_text(images, zones)
-    lists = _listed_zones(zones, FRAME).groupBy("image_id").agg(
+    lists = _listed_zones(zones.repartition("image_id"), FRAME).groupBy("image_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("frame_index").cast("string"), "zones"))).alias("frames")
     )
     have = images.columns
@@ -215,14 +215,21 @@ def backup_records(images: DataFrame, zones: DataFrame, generated_at: str, forma
         *part(names), F.struct(*part(metadata)).alias("metadata"), *([F.struct(*part(display)).alias("display")] if part(display) else []),
         F.coalesce("frames", empty).alias("frames"),
     )
-    return images.join(lists, "image_id", "left").select("import_idx", "image_id", _records("project", "images", entry, generated_at, format))
+    return join_large(images, lists, ["image_id"], "left").select("import_idx", "image_id", entry.alias("entry"))
+
+
+def backup_records(images: DataFrame, zones: DataFrame, generated_at: str, format: str | None = None) -> DataFrame:
+    """A backup as records: every row is an annotation backup of one image, so any number of files is still a backup."""
+    record = _records("project", "images", F.col("entry"), generated_at, format)
+    return _backup_entries(images, zones).select("import_idx", "image_id", record)
 
 
-def write_backup(path: str, images: DataFrame, zones: DataFrame, generated_at: str) -> None:
-    """Write a backup as records, sorted as the library is."""
-    # A sort reads its input twice, once for the ranges: of stored records that is their keys alone.
-    rows = materialise(backup_records(images, zones, generated_at))
-    sorted_parts(rows, "import_idx", "image_id").select("value").write.mode("errorifexists").text(path)
+def write_backup(path: str, images: DataFrame, zones: DataFrame, generated_at: str, compression: str | None = None) -> None:
+    """Write a backup as records, sorted as the library is. With the compression `gzip` each part is a gzip file, which reads back as it is."""
+    # A sort goes through its input twice, once for the ranges: records are made into text after it.
+    ordered = sorted_parts(_backup_entries(images, zones), "import_idx", "image_id")
+    record = _records("project", "images", F.col("entry"), generated_at, None)
+    ordered.select(record).write.mode("errorifexists").text(path, compression=compression)
 
 
 def write_backup_document(path: str, images: DataFrame, zones: DataFrame, generated_at: str, compression: str | None = None) -> None:
