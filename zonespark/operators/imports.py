@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonespark.plans.ordering import with_global_rank
+from zonespark.plans.ordering import join_large, with_global_rank
 
 
 def import_outcomes(library: DataFrame, incoming: DataFrame, order: str = "path") -> DataFrame:
@@ -12,15 +12,32 @@ def import_outcomes(library: DataFrame, incoming: DataFrame, order: str = "path"
     Only the first file of every content can be anything but a duplicate, so the library meets one row per
     content, and the answer goes back to that very file; copies of one content never gather anywhere.
     """
-    firsts = incoming.groupBy("image_id").agg(F.min(order).alias(order))
-    known = library.select("image_id", F.coalesce("has_source", F.lit(False)).alias("_has_source"))
-    outcome = F.when(F.col("_has_source").isNull(), "added").when(~F.col("_has_source"), "reconnected")
-    told = firsts.join(known, "image_id", "left").select("image_id", order, outcome.alias("outcome"))
+    told = _told_of_firsts(library, incoming, order)
     return incoming.join(told, ["image_id", order], "left").withColumn(
         "outcome", F.coalesce("outcome", F.lit("duplicate"))
     )
 
 
+def _told_of_firsts(library: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """The first file of every content, with its outcome: NULL where the library has content and source."""
+    firsts = incoming.groupBy("image_id").agg(F.min(order).alias(order))
+    known = library.select("image_id", F.coalesce("has_source", F.lit(False)).alias("_has_source"))
+    outcome = F.when(F.col("_has_source").isNull(), "added").when(~F.col("_has_source"), "reconnected")
+    return firsts.join(known, "image_id", "left").select("image_id", order, outcome.alias("outcome"))
+
+
+def taken_files(library: DataFrame, incoming: DataFrame, order: str = "path") -> DataFrame:
+    """The files of incoming (image_id and its order) that are added or reconnected: import_outcomes without the duplicates.
+
+    Files do not meet their contents once more for it, unless one of them is listed twice.
+    """
+    told = _told_of_firsts(library, incoming, order).filter(F.col("outcome").isNotNull())
+    listed = incoming.select("image_id", order)
+    if listed.groupBy(F.xxhash64("image_id", order).alias("file")).count().filter("count > 1").isEmpty():
+        return told
+    return listed.join(told, ["image_id", order])
+
+
 def added_images(library: DataFrame, outcomes: DataFrame, order: str = "path") -> DataFrame:
     """The new images of an import, numbered on from the library's last one in `order`."""
     fresh = with_global_rank(outcomes.filter(F.col("outcome") == "added").drop("outcome"), [order], "_rank")
@@ -31,13 +48,13 @@ def added_images(library: DataFrame, outcomes: DataFrame, order: str = "path") -
     )
 
 
-def numbered(added: DataFrame, start: int, order: str = "path") -> DataFrame:
-    """New images numbered from `start` in `order`.
+def numbered(images: DataFrame, start: int, order: str = "path", files: DataFrame | None = None) -> DataFrame:
+    """New images numbered from `start` in `order`: all of them, or those of `files` (image_id and order).
 
     Only the order column is sorted and ranked; the images meet their numbers in a join that splits like any other.
     """
-    ranks = with_global_rank(added.select("image_id", order), [order], "_rank").select("image_id", "_rank")
-    return added.join(ranks, "image_id").withColumn("import_idx", F.col("_rank") + F.lit(start)).drop("_rank")
+    ranks = with_global_rank((images if files is None else files).select("image_id", order), [order], "_rank")
+    return join_large(images, ranks, ["image_id", order]).withColumn("import_idx", F.col("_rank") + F.lit(start)).drop("_rank")
 
 
 def reconnect(library: DataFrame, back: DataFrame) -> DataFrame:

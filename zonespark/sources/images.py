@@ -190,16 +190,18 @@ def _judged(read: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("h.error"),
         F.when(~F.coalesce(whole, F.lit(False)), "Invalid image dimensions or frame count."),
     )
-    name = file_name(F.col("path"))
+    facts = [*DEVICE, "modality", "photometric", "bits", "transfer_syntax"]
     judged = read.select(
-        "path", "image_id", "_png", "h", name.alias("name"), width.alias("width"), height.alias("height"),
-        frames.alias("frame_count"), error.alias("error"), parse_filename(name).alias("stated"),
+        "path", "image_id", "_png", width.alias("width"), height.alias("height"), frames.alias("frame_count"), error.alias("error"),
+        *[F.col(f"h.{c}").alias(c) for c in facts],
     )
-    # Images and rejects come from one reading of the files.
+    # Images and rejects come from one reading of the files. What the path tells is not stored beside it.
     judged = materialise(judged)
     rejects = judged.filter(F.col("error").isNotNull()).select("path", "error")
-    header = [F.coalesce(F.col(f"h.{c}"), F.lit("")).alias(c) for c in DEVICE]
-    images = judged.filter(F.col("error").isNull()).select(
+    header = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in DEVICE]
+    name = file_name(F.col("path"))
+    named = judged.filter(F.col("error").isNull()).withColumn("name", name).withColumn("stated", parse_filename(name))
+    images = named.select(
         "image_id", "name", "path",
         F.coalesce("stated.combo", F.lit("")).alias("combo"),
         F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"),
@@ -208,7 +210,7 @@ def _judged(read: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("stated.sample", F.lit("")).alias("sample"),
         F.when(F.col("_png"), "PNG").otherwise("DICOM").alias("kind"),
         F.lit(0).alias("open_frame"), F.lit(True).alias("has_source"),
-        *header, "h.modality", "h.photometric", "h.bits", "h.transfer_syntax",
+        *header, *facts[len(DEVICE):],
     )
     return images, rejects
 

@@ -92,18 +92,18 @@ class Library:
         places = self.spark.createDataFrame([(r["run"], r["bucket"], r["size"]) for r in self.buckets], "run string, bucket string, size long")
         asked = ids.select("image_id", F.explode(F.array(*[_bucket(d) for d in range(_DIGITS + 1)])).alias("bucket"))
         # One row per bucket of a live run: there are at most 256 in each of a logarithmic number of runs.
-        asked = asked.join(F.broadcast(places), "bucket").select("*", F.explode(_positions(F.col("size"))).alias("at"))
-        asked = asked.withColumn("part", F.expr(f"at div {_ROW}")).withColumn("bit", F.expr(f"cast(at % {_ROW} as int)"))
+        asked = asked.join(F.broadcast(places), "bucket").select("run", "bucket", _positions(F.col("size")).alias("at"))
         filters = table(self.spark, f"{self.path}/filters", f"{_FILTERS}, run STRING").filter(F.col("run").isin(list(self.live)))
         byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
-        met = asked.join(filters, ["run", "bucket", "part"]).filter(F.expr(f"shiftright({byte}, bit % 8) & 1 = 1"))
-        whole = met.groupBy("run", "bucket", "image_id").agg(F.count_distinct("at").alias("met"))
-        needed = asked.groupBy("run", "bucket", "image_id").agg(F.count_distinct("at").alias("needed"))
-        held = whole.join(needed, ["run", "bucket", "image_id"]).filter("met = needed")
-        return [tuple(r) for r in held.select("run", "bucket").distinct().collect()]
-
-    def known(self, ids: DataFrame) -> DataFrame:
-        """image_id and has_source of those of the ids that the library holds. Opens only the buckets that may hold them."""
+        # Bit after bit: only what has met one is asked for the next, and the ids themselves are not.
+        for i in range(_HASHES):
+            asked = asked.withColumn("part", F.expr(f"at[{i}] div {_ROW}")).withColumn("bit", F.expr(f"cast(at[{i}] % {_ROW} as int)"))
+            met = asked.join(filters, ["run", "bucket", "part"]).filter(F.expr(f"shiftright({byte}, bit % 8) & 1 = 1"))
+            asked = met.select("run", "bucket", "at")
+        return [tuple(r) for r in asked.select("run", "bucket").distinct().collect()]
+
+    def near(self, ids: DataFrame) -> DataFrame:
+        """image_id and has_source of the rows in the buckets that may hold one of the ids, which are the only ones that are opened."""
         places = self.may_hold(ids)
         if not places:
             return self.spark.createDataFrame([], "image_id string, has_source boolean")
@@ -111,8 +111,12 @@ class Library:
         for run, bucket in places:
             runs.setdefault(run, []).append(bucket)
         here = [(F.col("run") == run) & F.col("bucket").isin(buckets) for run, buckets in runs.items()]
-        rows = self._rows().filter(reduce(lambda a, b: a | b, here)).select("image_id", "has_source")
-        return rows.join(ids.select("image_id").distinct(), "image_id", "left_semi").groupBy("image_id").agg(F.max("has_source").alias("has_source"))
+        return self._rows().filter(reduce(lambda a, b: a | b, here)).select("image_id", "has_source")
+
+    def known(self, ids: DataFrame) -> DataFrame:
+        """image_id and has_source of those of the ids that the library holds. Opens only the buckets that may hold them."""
+        held = self.near(ids).join(ids.select("image_id").distinct(), "image_id", "left_semi")
+        return held.groupBy("image_id").agg(F.max("has_source").alias("has_source"))
 
     def write_run(self, rows: DataFrame, run: Run, last_idx: int | None, n: int) -> None:
         """Write n images (with `again`) as a run and commit it. Writing a run again replaces it."""
@@ -126,7 +130,7 @@ class Library:
         bucketed = rows.select(*columns, _bucket(digits).alias("bucket"))
         if digits:
             bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", "image_id")
-        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(at)
+        bucketed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at)
 
         written = self.spark.read.schema(f"{_IMAGES}, bucket STRING").parquet(at)
         power = F.expr(f"shiftleft(cast(1 as bigint), cast(greatest(15, ceil(log2({_BITS} * count(*)))) as int))")
@@ -170,6 +174,9 @@ class Library:
 def _folded(rows: DataFrame) -> DataFrame:
     """Rows that give an image its source back, put into the image's own row where that is among the rows."""
     own = rows.filter(~F.col("again"))
+    if rows.filter("again").isEmpty():
+        # Mostly so: images that never lost their source wait for nothing.
+        return own
     back = rows.filter("again").select("image_id").distinct().withColumn("_back", F.lit(True))
     held = own.join(back, "image_id", "left").withColumn("has_source", F.col("has_source") | F.coalesce("_back", F.lit(False))).drop("_back")
     waiting = rows.filter("again").join(own.select("image_id"), "image_id", "left_anti").dropDuplicates(["image_id"])
