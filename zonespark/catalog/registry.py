@@ -18,7 +18,7 @@ class Tables:
     """The views of one data folder, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir, self._made = spark, sf_dir, {}
+        self._spark, self._dir, self._made, self._stored = spark, sf_dir, {}, set()
 
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.view(self._spark, self._dir, name, self._made)
@@ -27,6 +27,14 @@ class Tables:
         """Write views out before they are used, as the stored tables they stand for."""
         for name in names:
             self._made[name] = materialise(getattr(self, name))
+            self._stored.add(name)
+
+    def dealt(self, view: str, by: str, table: str, key: str, parts: int) -> DataFrame:
+        """A view over so many parts, dealt out `by` a column. If it is not stored, the rows of the table it is made from are dealt out by their key: they
+        may be far shorter."""
+        if view in self._stored:
+            return getattr(self, view).repartition(parts, by)
+        return fixtures.view(self._spark, self._dir, view, {table: getattr(self, table).repartition(parts, key)})
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), ctes: str = "", recursive: bool = False):

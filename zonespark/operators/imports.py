@@ -48,13 +48,14 @@ def added_images(library: DataFrame, outcomes: DataFrame, order: str = "path") -
     )
 
 
-def numbered(images: DataFrame, start: int, order: str = "path", files: DataFrame | None = None) -> DataFrame:
-    """New images numbered from `start` in `order`: all of them, or those of `files` (image_id and order).
+def numbered(images: DataFrame, start: int, order: str = "path", places: DataFrame | None = None) -> DataFrame:
+    """New images numbered from `start` in `order`: all of them, or those of `places` (image_id, order and place), which are ranked already.
 
     Only the order column is sorted and ranked; the images meet their numbers in a join that splits like any other.
     """
-    ranks = with_global_rank((images if files is None else files).select("image_id", order), [order], "_rank")
-    return join_large(images, ranks, ["image_id", order]).withColumn("import_idx", F.col("_rank") + F.lit(start)).drop("_rank")
+    if places is None:
+        places = with_global_rank(images.select("image_id", order), [order], "place")
+    return join_large(images, places, ["image_id", order]).withColumn("import_idx", F.col("place") + F.lit(start)).drop("place")
 
 
 def reconnect(library: DataFrame, back: DataFrame) -> DataFrame:

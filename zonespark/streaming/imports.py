@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from zonespark.operators.imports import numbered, taken_files
-from zonespark.plans.ordering import join_large, materialise
+from zonespark.plans.ordering import join_large, with_global_rank
 from zonespark.sources.images import importable, inspect_files, inspect_paths
 from zonespark.sources.ranged import reachable
-from zonespark.streaming.library import Library, Run, table
+from zonespark.streaming.library import Library, Run, brief, table, whole
 
 _REJECTS = "path STRING, error STRING"
 
@@ -34,19 +34,21 @@ def import_batch(files: DataFrame, batch: int, library_path: str) -> None:
     inspect = inspect_files if "content" in files.columns else inspect_paths
     images, rejects = inspect(importable(files))
     rejects.select("path", "error").write.mode("overwrite").parquet(f"{library_path}/rejects/batch={batch}")
-    # Hashes are exchanged as bytes, half as long as their digits.
-    brief = images.withColumn("image_id", F.unhex("image_id"))
+    # The contents of files have a hash each, which is exchanged as bytes.
+    hashed = brief(images)
     near = library.near(images.select("image_id")).select(F.unhex("image_id").alias("image_id"), "has_source")
     known = near.groupBy("image_id").agg(F.max("has_source").alias("has_source"))
     # What happens to a file is told by its hash and path; the images meet that once, and are not stored again for it.
-    taken = materialise(taken_files(known, brief.select("image_id", "path")))
+    incoming = hashed.withColumnsRenamed({"hash": "image_id", "id": "_id"})
+    taken = with_global_rank(taken_files(known, incoming.select("image_id", "path")), ["outcome", "path"], "place")
     counts = {r["outcome"]: r["count"] for r in taken.groupBy("outcome").count().collect()}
+    # Added files come before those of images that are known.
     new, back = (taken.filter(F.col("outcome") == o).drop("outcome") for o in ("added", "reconnected"))
-    rows = numbered(brief, library.next_idx, files=new).withColumn("again", F.lit(False))
+    rows = numbered(incoming, library.next_idx, places=new).withColumn("again", F.lit(False))
     if counts.get("reconnected"):
-        again = join_large(brief, back.distinct(), ["image_id", "path"])
+        again = join_large(incoming, back.drop("place").distinct(), ["image_id", "path"])
         rows = rows.unionByName(again.withColumn("import_idx", F.lit(None).cast("bigint")).withColumn("again", F.lit(True)))
-    rows = rows.withColumn("image_id", F.lower(F.hex("image_id")))
+    rows = whole(rows.withColumnsRenamed({"image_id": "hash", "_id": "id"}))
     added = counts.get("added", 0)
     library.write_run(
         rows.withColumn("has_source", F.lit(True)), Run(0, batch, batch), library.next_idx + added - 1, added + counts.get("reconnected", 0)

@@ -25,6 +25,8 @@ _BITS, _HASHES, _ROW = 16, 3, 1 << 15
 #: `again` marks the row of a known image that has its source back; the image's own row stands in an older run.
 _IMAGES = f"{IMAGES}, again BOOLEAN"
 _FILTERS = "bucket STRING, part BIGINT, bits BINARY"
+#: Columns that differ from image to image.
+_OWN = ["import_idx", "name", "path", "combo", "filename_width", "filename_height", "sample", "bucket"]
 _COMMITS = "level INT, first BIGINT, last BIGINT, bucket STRING, images BIGINT, size BIGINT, last_idx BIGINT"
 
 
@@ -53,6 +55,23 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def brief(rows: DataFrame) -> DataFrame:
+    """Images as they are exchanged: the hash as bytes, half as long as its digits, and the columns that many images share as one value, which packs as one.
+
+    An id that is no hash stays as it is. `whole` makes images of them again.
+    """
+    short = F.unhex("image_id")
+    hashed = F.coalesce(F.lower(F.hex(short)) == F.col("image_id"), F.lit(False))
+    own = [F.col(c) for c in rows.columns if c in _OWN]
+    shared = F.struct(*[c for c in rows.columns if c not in _OWN and c != "image_id"]).alias("shared")
+    return rows.select(F.when(hashed, short).alias("hash"), F.when(~hashed, F.col("image_id")).alias("id"), *own, shared)
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    own = [c for c in rows.columns if c not in ("hash", "id", "shared")]
+    return rows.select(F.coalesce(F.lower(F.hex("hash")), "id").alias("image_id"), *own, "shared.*")
+
+
 def _bucket(digits: int) -> Column:
     return F.concat(F.lit("x"), F.substring("image_id", 1, digits) if digits else F.lit(""))
 
@@ -89,18 +108,21 @@ class Library:
         """(run, bucket) of the buckets whose filter may hold some of the ids (image_id): one answer per bucket, not per image."""
         if not self.buckets:
             return []
-        places = self.spark.createDataFrame([(r["run"], r["bucket"], r["size"]) for r in self.buckets], "run string, bucket string, size long")
-        asked = ids.select("image_id", F.explode(F.array(*[_bucket(d) for d in range(_DIGITS + 1)])).alias("bucket"))
+        numbered = [(i, r["run"], r["bucket"], r["size"]) for i, r in enumerate(self.buckets)]
         # One row per bucket of a live run: there are at most 256 in each of a logarithmic number of runs.
-        asked = asked.join(F.broadcast(places), "bucket").select("run", "bucket", _positions(F.col("size")).alias("at"))
+        places = F.broadcast(self.spark.createDataFrame(numbered, "place int, run string, bucket string, size long"))
+        asked = ids.select("image_id", F.explode(F.array(*[_bucket(d) for d in range(_DIGITS + 1)])).alias("bucket"))
+        asked = asked.join(places, "bucket").select("place", _positions(F.col("size")).alias("at"))
+        asked = asked.select("place", *[F.col("at")[i].alias(f"at{i}") for i in range(_HASHES)])
         filters = table(self.spark, f"{self.path}/filters", f"{_FILTERS}, run STRING").filter(F.col("run").isin(list(self.live)))
+        filters = filters.join(places, ["run", "bucket"]).select("place", "part", "bits")
         byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
-        # Bit after bit: only what has met one is asked for the next, and the ids themselves are not.
+        # Bit after bit: only what has met one is asked for the next, and neither the ids nor the names of buckets are exchanged for it.
         for i in range(_HASHES):
-            asked = asked.withColumn("part", F.expr(f"at[{i}] div {_ROW}")).withColumn("bit", F.expr(f"cast(at[{i}] % {_ROW} as int)"))
-            met = asked.join(filters, ["run", "bucket", "part"]).filter(F.expr(f"shiftright({byte}, bit % 8) & 1 = 1"))
-            asked = met.select("run", "bucket", "at")
-        return [tuple(r) for r in asked.select("run", "bucket").distinct().collect()]
+            rest = [f"at{k}" for k in range(i + 1, _HASHES)]
+            here = asked.select("place", F.expr(f"at{i} div {_ROW}").alias("part"), F.expr(f"cast(at{i} % {_ROW} as int)").alias("bit"), *rest)
+            asked = here.join(filters, ["place", "part"]).filter(F.expr(f"shiftright({byte}, bit % 8) & 1 = 1")).select("place", *rest)
+        return [numbered[r["place"]][1:3] for r in asked.distinct().collect()]
 
     def near(self, ids: DataFrame) -> DataFrame:
         """image_id and has_source of the rows in the buckets that may hold one of the ids, which are the only ones that are opened."""
@@ -129,7 +151,7 @@ class Library:
         at = f"{self.path}/images/run={run.name}"
         bucketed = rows.select(*columns, _bucket(digits).alias("bucket"))
         if digits:
-            bucketed = bucketed.repartition("bucket").sortWithinPartitions("bucket", "image_id")
+            bucketed = whole(brief(bucketed).repartition("bucket")).sortWithinPartitions("bucket", "image_id")
         bucketed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at)
 
         written = self.spark.read.schema(f"{_IMAGES}, bucket STRING").parquet(at)
